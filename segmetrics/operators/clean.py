@@ -44,8 +44,11 @@ def prefilter(parsed: DataFrame, predicate: Column | None) -> DataFrame:
     return parsed if predicate is None else parsed.where(predicate)
 
 
-def segment_columns(parsed: DataFrame, require_address: bool = False) -> DataFrame:
-    """Normalised segment attributes and the property id; narrow output."""
+def segment_columns(
+    parsed: DataFrame, require_address: bool = False, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """Normalised segment attributes and the property id; narrow output.
+    ``extra`` adds named columns (e.g. a normalised street) in the same pass."""
     out = parsed.select(
         F.col("transaction_id"),
         property_id(F.col("postcode"), F.col("paon"), F.col("saon"), F.col("street")).alias("property_id"),
@@ -58,6 +61,7 @@ def segment_columns(parsed: DataFrame, require_address: bool = False) -> DataFra
         house_type(F.col("property_type")).alias("house_type"),
         tenure(F.col("duration")).alias("tenure"),
         (is_blank("paon") & is_blank("saon") & is_blank("street")).alias("_no_address"),
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
     if require_address:
         # sales without any address part would all share one property per
