@@ -426,16 +426,13 @@ FROM ranged"""
 SELECT {K}, year_bought, {ycols} FROM frame LEFT JOIN piv USING ({K}, year_bought)"""
 
     # declared extras
-    q["line_true_stats"] = base(
+    q["line_mode"] = base(
         sales_cte(),
-        cube_cte("sales", "med", ["year_sold"], "quantile_disc(price, 0.5) AS median_price, count(*) AS sale_count"),
         cube_cte("sales", "pp", ["year_sold", "price"], "count(*) AS n"),
-    ) + f""", mode AS (
-  SELECT {K}, year_sold, price AS mode_price FROM (
-    SELECT *, row_number() OVER (PARTITION BY {K}, year_sold ORDER BY n DESC, price ASC) AS rk FROM pp) t
-  WHERE rk = 1
-)
-SELECT {K}, year_sold, median_price, sale_count, mode_price FROM med JOIN mode USING ({K}, year_sold)"""
+    ) + f"""SELECT {K}, year_sold, mode_price, CAST(sale_count AS BIGINT) AS sale_count FROM (
+    SELECT *, price AS mode_price, sum(n) OVER (PARTITION BY {K}, year_sold) AS sale_count,
+      row_number() OVER (PARTITION BY {K}, year_sold ORDER BY n DESC, price ASC) AS rk FROM pp) t
+  WHERE rk = 1"""
     q["heatmap_price_stats"] = base(sales_cte(), repeats_cte(), cube_cte(
         "repeats", "hp", ["year_bought", "year_sold"],
         """sum(price) / count(*) AS avg_price, quantile_disc(price, 0.5) AS median_price,

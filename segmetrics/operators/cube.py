@@ -124,7 +124,7 @@ def affected_keys(segments: DataFrame) -> DataFrame:
     tenure either kept or replaced by 'all'. Adds ``mask`` (0..7)."""
     masks = F.array(*[F.lit(i) for i in range(8)])
     out = segments.select("*", F.explode(masks).alias("mask"))
-    pick = lambda c, bit: F.when((F.col("mask").bitwise_and(F.lit(bit))) != 0, F.lit(ALL)).otherwise(F.col(c))
+    pick = lambda c, bit: F.when((F.col("mask").bitwiseAND(F.lit(bit))) != 0, F.lit(ALL)).otherwise(F.col(c))
     return out.select(
         *[c for c in segments.columns if c not in ("location_value", "house_type", "tenure")],
         "mask",
