@@ -1,7 +1,11 @@
 """Text cleaning of raw sale fields (native expressions).
 
-Whitespace follows Unicode rules (``(?U)\\s``), so a no-break space counts as a
-blank just like an ASCII space.
+"Whitespace" is exactly the set of characters for which Python's
+``str.isspace()`` holds (ASCII blanks, the 0x1C-0x1F separators, no-break
+space, the Unicode space separators...), built by that rule below. Stripping
+uses ``btrim`` with that set; inner whitespace is first mapped to ' ' with
+``translate`` (a per-character table), and runs of blanks are collapsed by a
+regex only when ``instr`` finds one, so most rows run no regex at all.
 """
 from __future__ import annotations
 
@@ -16,9 +20,10 @@ from segmetrics.schema import (
     UNKNOWN,
 )
 
-_EDGE_BLANKS = r"(?U)^\s+|\s+$"
-_BLANK_RUN = r"(?U)\s+"
-_FIRST_TOKEN = r"(?U)^(\S+)"
+# Rule: every code point Python counts as whitespace (all lie below U+3001).
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+_OTHER_BLANKS = WHITESPACE.replace(" ", "")
+_AS_SPACES = " " * len(_OTHER_BLANKS)
 
 
 def _col(c: Column | str) -> Column:
@@ -26,8 +31,8 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing (Unicode) whitespace."""
-    return F.regexp_replace(_col(c), _EDGE_BLANKS, "")
+    """Remove leading and trailing whitespace."""
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -36,10 +41,15 @@ def is_blank(c: Column | str) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def _blanks_to_spaces(c: Column) -> Column:
+    return F.translate(c, _OTHER_BLANKS, _AS_SPACES)
+
+
 def _clean(c: Column) -> Column:
     # strip, lower-case, drop '#', then collapse whitespace runs; the order
     # matters: "# a" keeps its leading blank, "#" becomes "".
-    return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "#", ""), _BLANK_RUN, " ")
+    x = _blanks_to_spaces(F.replace(F.lower(strip(c)), F.lit("#"), F.lit("")))
+    return F.when(F.instr(x, "  ") > 0, F.regexp_replace(x, " {2,}", " ")).otherwise(x)
 
 
 def normalise(c: Column | str) -> Column:
@@ -76,7 +86,7 @@ def tenure(c: Column | str) -> Column:
 def outcode(c: Column | str) -> Column:
     """Postcode -> outward code: first whitespace token, normalised."""
     c = _col(c)
-    token = F.regexp_extract(strip(c), _FIRST_TOKEN, 1)
+    token = F.substring_index(_blanks_to_spaces(strip(c)), " ", 1)
     return F.when(is_blank(c), F.lit(UNKNOWN)).otherwise(
-        F.regexp_replace(F.lower(token), "#", "")
+        F.replace(F.lower(token), F.lit("#"), F.lit(""))
     )

@@ -33,7 +33,14 @@ from segmetrics.operators.upsert import (
     upsert_performance,
 )
 from segmetrics.operators.views import heatmap_grid, metric_long, metric_range, metric_scaled
-from segmetrics.plans.build import HEAT_INPUT, LINE_INPUT, heatmap_agg, line_agg
+from segmetrics.plans.build import (
+    HEAT_INPUT,
+    LINE_INPUT,
+    heatmap_agg,
+    line_agg,
+    performance_from_sales,
+    shared_sales,
+)
 from segmetrics.plans.serve import (
     list_performance,
     lookup_segment,
@@ -81,12 +88,17 @@ def sales(spark, sf):
     return clean_sales(raw(spark, sf))
 
 
+def shared(spark, sf):
+    """Clean sales, partitioned for the repeat pairing and checkpointed."""
+    return shared_sales(sales(spark, sf))
+
+
 def repeats(spark, sf):
-    return repeat_sales(sales(spark, sf))
+    return repeat_sales(shared(spark, sf))
 
 
 def perf_from(s: DataFrame) -> DataFrame:
-    return performance_table(line_series(line_agg(s)), heatmap_series(heatmap_agg(repeat_sales(s))))
+    return performance_from_sales(s)
 
 
 def perf(spark, sf):

@@ -27,8 +27,11 @@ OPTIONAL_ROLES = ["paon", "saon", "street"]
 
 
 def read_raw_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Scan headerless sale CSV file(s) or folder(s) by position."""
-    return (
+    """Scan headerless sale CSV file(s) or folder(s) by position (a single
+    compressed file is spread over the cluster before cleaning)."""
+    from segmetrics.sources.tables import spread
+
+    return spread(
         spark.read.schema(RAW_SCHEMA)
         .option("header", False)
         .option("mode", "PERMISSIVE")
