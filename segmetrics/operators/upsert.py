@@ -21,13 +21,14 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def parse_performance_kv(kv: DataFrame, seq: Column | int = 0) -> DataFrame:
+def parse_performance_kv(kv: DataFrame, seq: Column | int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """(key, value) text -> typed performance rows + ``load_seq``; rejects
     dropped. Missing graphs default to empty arrays."""
     ok = kv.where(~_blank(F.col("key")) & is_valid_json(F.trim(F.col("value"))))
     parsed = ok.select(
         F.trim("key").alias("_key"), parse_performance_value(F.trim(F.col("value"))).alias("v"),
         (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("load_seq"),
+        *keep,
     )
     return parsed.select(
         *split_key("_key"),
@@ -35,16 +36,18 @@ def parse_performance_kv(kv: DataFrame, seq: Column | int = 0) -> DataFrame:
         F.coalesce("v.heatmap_graph", F.array().cast(f"array<{HEATMAP_CELL.simpleString()}>")).alias("heatmap_graph"),
         F.col("v.sale_count").alias("sale_count"),
         "load_seq",
+        *keep,
     )
 
 
-def parse_dimension_kv(kv: DataFrame, seq: Column | int = 0) -> DataFrame:
+def parse_dimension_kv(kv: DataFrame, seq: Column | int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """(key 'meta#<dim>', value {sk, label}) -> (dimension_name, value,
     label, sale_count, load_seq); rows without sk are rejected."""
     ok = kv.where(~_blank(F.col("key")) & is_valid_json(F.trim(F.col("value"))))
     parsed = ok.select(
         F.trim("key").alias("_key"), parse_dimension_value(F.trim(F.col("value"))).alias("v"),
         (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("load_seq"),
+        *keep,
     )
     parsed = parsed.where(F.coalesce(F.col("v.sk"), F.lit("")) != "")
     return parsed.select(
@@ -53,6 +56,7 @@ def parse_dimension_kv(kv: DataFrame, seq: Column | int = 0) -> DataFrame:
         F.col("v.label").alias("label"),
         F.col("v.sale_count").alias("sale_count"),
         "load_seq",
+        *keep,
     )
 
 
@@ -77,18 +81,35 @@ def upsert(
     existing: DataFrame,
     incoming: DataFrame,
     keys: Sequence[str],
-    seq: str = "load_seq",
+    seq: str | Sequence[str] = "load_seq",
 ) -> DataFrame:
-    """Last write wins per key: incoming rows (highest ``seq`` first) replace
-    existing rows; existing keys without an update stay."""
-    cols = [c for c in existing.columns if c not in keys and c != seq]
-    old = existing.select(*keys, *cols, F.lit(-1).cast("long").alias(seq)) if seq not in existing.columns else existing.select(*keys, *cols, seq)
-    new = incoming.select(*keys, *cols, F.col(seq).cast("long").alias(seq))
-    both = old.unionByName(new)
+    """Last write wins per key: the row with the highest ``seq`` (a column
+    or a list of columns compared in order) replaces the others; existing
+    rows rank below every incoming row when they carry no ``seq``."""
+    order = [seq] if isinstance(seq, str) else list(seq)
+    cols = [c for c in existing.columns if c not in keys and c not in order]
+
+    def with_order(df: DataFrame, default: bool) -> DataFrame:
+        extra = [
+            (F.lit(-1).cast("long") if default or o not in df.columns else F.col(o).cast("long")).alias(o)
+            for o in order
+        ]
+        return df.select(*keys, *cols, *extra)
+
+    both = with_order(existing, default=not set(order) <= set(existing.columns)).unionByName(
+        with_order(incoming, default=False)
+    )
     latest = both.groupBy(*keys).agg(
-        F.max_by(F.struct(*cols, F.col(seq)), F.col(seq)).alias("_row")
+        F.max_by(F.struct(*cols, *order), F.struct(*order)).alias("_row")
     )
-    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols], F.col(f"_row.{seq}").alias(seq))
+    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in [*cols, *order]])
+
+
+def latest(rows: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
+    """Current view of an append-only change table: last row per key."""
+    cols = [c for c in rows.columns if c not in keys and c not in seq]
+    agg = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*seq)).alias("_row"))
+    return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
 def upsert_performance(existing: DataFrame, incoming: DataFrame) -> DataFrame:
