@@ -15,6 +15,8 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # RDD-level writes (the checkpoint of clean sales) go through this
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
 

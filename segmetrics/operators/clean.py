@@ -78,3 +78,14 @@ def clean_sales(
     """Raw sale table (any column names the role rules resolve) -> clean sales."""
     parsed = parse_price_date(resolve_roles(raw))
     return segment_columns(prefilter(parsed, predicate), require_address)
+
+
+def reserved_value_report(sales: DataFrame) -> DataFrame:
+    """Data-quality check: rows whose cleaned segment value is the literal
+    'all' (it would collide with the roll-up key), and rows without any
+    address part (they pair up as false repeat sales). One pass, one row."""
+    from segmetrics.schema import ALL
+
+    counts = [F.count_if(F.col(c) == ALL).alias(f"{c}_all") for c in ("county", "outcode", "district", "house_type", "tenure")]
+    no_address = F.count_if(F.col("property_id").rlike(r"^[^|]*\|\|\|$")).alias("no_address")
+    return sales.agg(F.count(F.lit(1)).alias("sales"), *counts, no_address)

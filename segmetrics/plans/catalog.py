@@ -20,7 +20,13 @@ from segmetrics.functions.keys import segment_key, split_key
 from segmetrics.functions.text import house_type, normalise, normalise_or_empty, outcode, tenure
 from segmetrics.functions.keys import property_id as property_id_expr
 from segmetrics.operators.aggregates import heatmap_metrics, line_metrics, price_stats_metrics
-from segmetrics.operators.clean import borough_predicate, clean_sales, parse_price_date, segment_columns
+from segmetrics.operators.clean import (
+    borough_predicate,
+    clean_sales,
+    parse_price_date,
+    reserved_value_report,
+    segment_columns,
+)
 from segmetrics.operators.cube import affected_keys, location_fanout, segment_cube, segment_cube_gs
 from segmetrics.operators.dimensions import dimension_index, list_dimension
 from segmetrics.operators.merge import merge_heatmap, merge_line
@@ -268,6 +274,11 @@ def q_clean_sales(spark, sf):
     return sales(spark, sf).select(*SALE_OUT, _date("sale_date"))
 
 
+@query("reserved_values")
+def q_reserved_values(spark, sf):
+    return reserved_value_report(sales(spark, sf))
+
+
 @query("prefilter_borough")
 def q_prefilter_borough(spark, sf):
     return clean_sales(raw(spark, sf), borough_predicate("NATION_7")).select(*SALE_OUT, _date("sale_date"))

@@ -60,3 +60,13 @@ def test_resolve_roles_by_name(spark):
     assert r.columns[:3] == ["transaction_id", "price", "date"]
     row = r.collect()[0]
     assert row["price"] == "1" and row["date"] == "2019-01-01" and row["street"] == "x" and row["paon"] == ""
+
+
+def test_reserved_value_report(spark):
+    from segmetrics.operators.clean import reserved_value_report
+
+    rows = [sale("a", "1", "2019-01-01", county=" ALL "),
+            sale("b", "1", "2019-01-01", paon=None, saon=None, street=None),
+            sale("c", "1", "2019-01-01")]
+    r = reserved_value_report(clean_sales(raw_rows(spark, rows))).collect()[0]
+    assert (r["sales"], r["county_all"], r["tenure_all"], r["no_address"]) == (3, 1, 0, 1)

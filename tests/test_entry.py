@@ -24,6 +24,7 @@ def test_registry():
     assert set(sql) <= set(qs)
     assert len(qs) >= 45
     assert set(qs) - set(sql) == {"export_json", "roundtrip_csv", "line_true_stats"}
+    assert "reserved_values" in sql
 
 
 @pytest.mark.parametrize("name", ["clean_sales", "repeat_sales", "line_agg", "heatmap_agg", "dimension_index",
