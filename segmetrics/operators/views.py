@@ -66,22 +66,20 @@ def heatmap_grid(
     keys: Sequence[str] = KEY_COLUMNS,
 ) -> DataFrame:
     """Rows: each segment x each year bought in ``years``; columns ``y<year>``
-    for each year sold in ``years``; missing cells are null. The year list is
-    explicit, so the pivot needs no extra pass to find its values."""
+    for each year sold in ``years``; missing cells are null.
+
+    One aggregation per segment gathers its in-grid cells into a map (at
+    most len(years)^2 entries); rows come from exploding the fixed year
+    list, so segments whose cells all fall outside the grid still get their
+    empty rows, and the cells are read once (no pivot + frame join)."""
     years = list(years or grid_years())
     value = metric_value(metric)
-    in_grid = cells.where(F.col("year_bought").isin(years) & F.col("year_sold").isin(years))
-    pivoted = (
-        in_grid.select(*keys, "year_bought", "year_sold", value.alias("_v"))
-        .groupBy(*keys, "year_bought")
-        .pivot("year_sold", years)
-        .agg(F.max("_v"))
-    )
-    for y in years:
-        pivoted = pivoted.withColumnRenamed(y, f"y{y}")
-    frame = cells.select(*keys).distinct().select(
-        *keys, F.explode(F.array(*[F.lit(y) for y in years])).alias("year_bought")
-    )
-    return frame.join(pivoted, [*keys, "year_bought"], "left").select(
-        *keys, "year_bought", *[F.col(f"y{y}") for y in years]
+    in_grid = F.col("year_bought").isin(years) & F.col("year_sold").isin(years)
+    entry = F.when(in_grid, F.struct(F.concat_ws("|", "year_bought", "year_sold").alias("k"), value.alias("v")))
+    per_segment = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_cells"))
+    rows = per_segment.select(*keys, F.explode(F.array(*[F.lit(y) for y in years])).alias("year_bought"), "_cells")
+    return rows.select(
+        *keys,
+        "year_bought",
+        *[F.try_element_at("_cells", F.concat(F.col("year_bought"), F.lit(f"|{y}"))).alias(f"y{y}") for y in years],
     )

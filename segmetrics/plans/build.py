@@ -68,7 +68,12 @@ def shared_sales(sales: DataFrame, materialize: bool = True) -> DataFrame:
 
 
 def performance_from_sales(sales: DataFrame, materialize: bool = True) -> DataFrame:
-    shared = shared_sales(sales, materialize)
+    return performance_from_shared(shared_sales(sales, materialize))
+
+
+def performance_from_shared(shared: DataFrame) -> DataFrame:
+    """Performance table from sales already prepared by ``shared_sales``
+    (filters on it keep its partitioning)."""
     lines = line_series(line_agg(shared))
     heat = heatmap_series(heatmap_agg(repeat_sales(shared)))
     return performance_table(lines, heat)

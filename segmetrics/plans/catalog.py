@@ -45,6 +45,7 @@ from segmetrics.plans.build import (
     heatmap_agg,
     line_agg,
     performance_from_sales,
+    performance_from_shared,
     shared_sales,
 )
 from segmetrics.plans.serve import (
@@ -228,8 +229,8 @@ def q_roundtrip_csv(spark, sf):
 
 @query("upsert_performance")
 def q_upsert_performance(spark, sf):
-    s = sales(spark, sf)
-    first = perf_from(s.where(F.col("year_sold") < SNAPSHOT_YEAR))
+    s = shared(spark, sf)
+    first = performance_from_shared(s.where(F.col("year_sold") < SNAPSHOT_YEAR))
     # second load: only the segments the newer sales touch, rebuilt from all sales
     newer = s.where(F.col("year_sold") >= SNAPSHOT_YEAR)
     touched = (
@@ -246,15 +247,16 @@ def q_upsert_performance(spark, sf):
         )
         .distinct()
     )
-    second = perf_from(s).join(touched, KEY_COLUMNS, "left_semi").withColumn("load_seq", F.lit(1).cast("long"))
+    second = performance_from_shared(s).join(touched, KEY_COLUMNS, "left_semi").withColumn(
+        "load_seq", F.lit(1).cast("long"))
     return _perf_summary(upsert_performance(first, second))
 
 
 @query("upsert_dimension")
 def q_upsert_dimension(spark, sf):
-    s = sales(spark, sf)
-    first = dimension_index(perf_from(s.where(F.col("year_sold") < SNAPSHOT_YEAR)))
-    second = dimension_index(perf_from(s)).withColumn("load_seq", F.lit(1).cast("long"))
+    s = shared(spark, sf)
+    first = dimension_index(performance_from_shared(s.where(F.col("year_sold") < SNAPSHOT_YEAR)))
+    second = dimension_index(performance_from_shared(s)).withColumn("load_seq", F.lit(1).cast("long"))
     return upsert_dimension(first, second).drop("load_seq")
 
 
