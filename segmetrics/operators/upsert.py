@@ -118,3 +118,23 @@ def upsert_performance(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert_dimension(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, incoming, ["dimension_name", "value"])
+
+
+def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int = 0):
+    """Parse a (key, value) load and count rows read / rejected *in the same
+    pass* that writes it: returns (rows, Observation); the observation is
+    filled when the first action on ``rows`` completes."""
+    from pyspark.sql import Observation
+
+    obs = Observation(f"{kind}_load")
+    value = F.trim(F.col("value"))
+    blank = _blank(F.col("key"))
+    bad = ~blank & ~is_valid_json(value)
+    observed = kv.observe(
+        obs,
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(blank).alias("blank_key"),
+        F.count_if(bad).alias("malformed"),
+    )
+    parse = parse_performance_kv if kind == "performance" else parse_dimension_kv
+    return parse(observed, seq), obs

@@ -90,3 +90,15 @@ def test_dimension_json(spark):
     idx = spark.createDataFrame([("county", "kent", "Kent", 3)], "dimension_name string, value string, label string, sale_count bigint")
     r = dimension_to_json(idx).collect()[0]
     assert r["key"] == "meta#county" and json.loads(r["value"]) == {"sk": "kent", "label": "Kent", "sale_count": 3}
+
+
+def test_observed_load_single_pass(spark, tmp_dir):
+    from segmetrics.operators.upsert import observed_load
+
+    kv = spark.createDataFrame([
+        ("county#kent#all#all#all#all", GOOD), ("", GOOD), ("county#x#all#all#all#all", "nope"),
+    ], "key string, value string")
+    rows, obs = observed_load(kv)
+    rows.write.mode("overwrite").parquet(f"{tmp_dir}/loaded")
+    assert obs.get == {"rows_read": 3, "blank_key": 1, "malformed": 1}
+    assert spark.read.parquet(f"{tmp_dir}/loaded").count() == 1
