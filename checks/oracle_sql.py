@@ -358,6 +358,7 @@ FROM masked""".replace("WITH", "", 0)
     CAST(year_bought AS VARCHAR) AS year_bought, CAST(year_sold AS VARCHAR) AS year_sold, {HEAT_OUT}
   FROM heat"""
     q["performance_table"] = base(*FULL) + summary
+    q["performance_join"] = base(*FULL) + summary
     q["dimension_index"] = base(*FULL, dims_cte()) + "SELECT dimension_name, value, label, sale_count FROM dims"
     q["list_dimension"] = base(*FULL, dims_cte()) + (
         "SELECT dimension_name, value, label, sale_count FROM dims WHERE dimension_name = 'borough'")

@@ -17,6 +17,8 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     # RDD-level writes (the checkpoint of clean sales) go through this
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    # remove checkpoint files once the DataFrame using them is gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

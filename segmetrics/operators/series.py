@@ -49,3 +49,31 @@ def performance_table(lines: DataFrame, heatmaps: DataFrame) -> DataFrame:
         F.coalesce(F.col("heatmap_graph"), empty).alias("heatmap_graph"),
         F.col("sale_count"),
     )
+
+
+def performance_from_aggs(line_agg: DataFrame, heat_agg: DataFrame) -> DataFrame:
+    """Same rows as ``performance_table(line_series(line_agg),
+    heatmap_series(heat_agg))`` in a single aggregation: line points and
+    heatmap cells are unioned and gathered per key with two
+    ``collect_list``s, so one shuffle replaces two series aggregations plus
+    a join. Keys come from the line side, as in the left join."""
+    point_t = LINE_POINT.simpleString()
+    cell_t = HEATMAP_CELL.simpleString()
+    point = F.struct(
+        F.col("year_sold").cast("string").alias("year_sold"),
+        F.col("avg_price").cast("double").alias("avg_price"),
+        F.col("median_price").cast("double").alias("median_price"),
+        F.col("mode_price").cast("double").alias("mode_price"),
+        F.col("sale_count").cast("bigint").alias("sale_count"),
+    )
+    cell = F.struct(*[F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in HEATMAP_CELL.fields])
+    lines = line_agg.select(*KEY_COLUMNS, point.alias("_p"), F.lit(None).cast(cell_t).alias("_c"))
+    cells = heat_agg.select(*KEY_COLUMNS, F.lit(None).cast(point_t).alias("_p"), cell.alias("_c"))
+    gathered = lines.unionByName(cells).groupBy(*KEY_COLUMNS).agg(
+        F.sort_array(F.collect_list("_p")).alias("line_graph"),
+        F.sort_array(F.collect_list("_c")).alias("heatmap_graph"),
+        F.sum("_p.sale_count").cast("bigint").alias("sale_count"),
+    )
+    return gathered.where(F.size("line_graph") > 0).select(
+        *KEY_COLUMNS, "line_graph", "heatmap_graph", "sale_count"
+    )

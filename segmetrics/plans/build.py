@@ -14,7 +14,7 @@ from segmetrics.operators.aggregates import heatmap_metrics, line_metrics
 from segmetrics.operators.clean import clean_sales
 from segmetrics.operators.cube import segment_cube_gs
 from segmetrics.operators.repeat import repeat_sales
-from segmetrics.operators.series import heatmap_series, line_series, performance_table
+from segmetrics.operators.series import performance_from_aggs
 
 LINE_INPUT = ["price", "year_sold", "county", "outcode", "district", "house_type", "tenure"]
 HEAT_INPUT = [
@@ -74,9 +74,7 @@ def performance_from_sales(sales: DataFrame, materialize: bool = True) -> DataFr
 def performance_from_shared(shared: DataFrame) -> DataFrame:
     """Performance table from sales already prepared by ``shared_sales``
     (filters on it keep its partitioning)."""
-    lines = line_series(line_agg(shared))
-    heat = heatmap_series(heatmap_agg(repeat_sales(shared)))
-    return performance_table(lines, heat)
+    return performance_from_aggs(line_agg(shared), heatmap_agg(repeat_sales(shared)))
 
 
 def performance_from_raw(

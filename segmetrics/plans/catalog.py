@@ -417,6 +417,13 @@ def q_performance_table(spark, sf):
     return _perf_summary(perf(spark, sf))
 
 
+@query("performance_join")
+def q_performance_join(spark, sf):
+    """J1 as a join: line series left-joined with heatmap series."""
+    sh = shared(spark, sf)
+    return _perf_summary(performance_table(line_series(line_agg(sh)), heatmap_series(heatmap_agg(repeat_sales(sh)))))
+
+
 @query("dimension_index")
 def q_dimension_index(spark, sf):
     return dimension_index(perf(spark, sf))

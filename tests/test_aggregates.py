@@ -54,3 +54,17 @@ def test_price_stats(spark):
     df = keyed(spark, rows, "year_bought int, year_sold int, appreciation_pounds double, appreciation_pct double, price double")
     r = df.groupBy("year_bought").agg(*price_stats_metrics()).collect()[0]
     assert (r["avg_price"], r["min_price"], r["max_price"], r["pct_sales_at_loss"]) == (150.0, 100.0, 200.0, 50.0)
+
+
+def test_performance_forms_agree(spark):
+    from segmetrics.operators.repeat import repeat_sales
+    from segmetrics.operators.series import performance_from_aggs, performance_table
+    from segmetrics.plans import catalog as C
+    from segmetrics.plans.build import heatmap_agg, line_agg
+    from tests.conftest import SF001
+
+    sh = C.shared(spark, SF001)
+    la, ha = line_agg(sh), heatmap_agg(repeat_sales(sh))
+    a = performance_table(line_series(la), heatmap_series(ha))
+    b = performance_from_aggs(la, ha)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
