@@ -22,7 +22,7 @@ def test_entry_runs(spark):
 def test_registry():
     qs, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(qs)
-    assert len(qs) >= 45
+    assert len(qs) >= 51
     assert set(qs) - set(sql) == {"export_json", "roundtrip_csv", "line_true_stats"}
     assert "reserved_values" in sql
 
