@@ -101,15 +101,15 @@ def lookup_segment(perf: DataFrame, location_type: str, location_value: str, hou
 def lookup(perf: DataFrame, requests: DataFrame) -> DataFrame:
     """Matched items per valid request (0 or 1 row per request), served shape."""
     req = normalise_requests(validate_requests(requests).where("valid").drop("valid", "reason"))
-    return req.join(served_shape(perf), KEY_COLUMNS, "inner")
+    # shape only the matched rows: the join runs on the stored table
+    return served_shape(req.join(perf, KEY_COLUMNS, "inner"))
 
 
 def list_performance(perf: DataFrame, requests: DataFrame) -> DataFrame:
     """Per valid request: ``count`` of matched items beside the items'
     content (null when nothing matched)."""
     req = normalise_requests(validate_requests(requests).where("valid").drop("valid", "reason"))
-    items = served_shape(perf)
-    joined = req.join(items, KEY_COLUMNS, "left")
+    joined = served_shape(req.join(perf, KEY_COLUMNS, "left"))
     matched = F.col("line_graph").isNotNull()
     return joined.groupBy("request_id").agg(
         F.count_if(matched).alias("count"),
