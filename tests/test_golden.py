@@ -55,3 +55,23 @@ def test_serving_tables_written_once(spark, tmp_dir):
     assert dims[("house_type", "flat")] == ("Flat", 2)
     assert dims[("size_band", "all")] == ("all", 2)
     assert dims[("tenure", "all")] == ("All", 2)
+
+
+def test_cli_build(tmp_dir):
+    import subprocess
+    import sys
+
+    src = f"{tmp_dir}/in"
+    import os
+    os.makedirs(src)
+    with open(f"{src}/ppd.csv", "w") as f:
+        f.write("\n".join(LINES) + "\n")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run(
+        [sys.executable, "-m", "segmetrics", "build", "--input", src, "--output", f"{tmp_dir}/out",
+         "--borough", "hackney", "--export-csv"],
+        cwd=repo, capture_output=True, text=True, timeout=600,
+    )
+    assert out.returncode == 0, out.stderr[-2000:]
+    files = os.listdir(f"{tmp_dir}/out/house_price_performance_csv")
+    assert any(f.endswith(".csv") for f in files)
