@@ -1,55 +1,76 @@
 """Repeat sales: pair every sale with the previous sale of the same property.
 
-Order inside a property is (sale_date, price, transaction_id). The pairing is
-a lag, computed in two window levels so that no task ever has to hold all
-sales of one property:
+Order inside a property is (sale_date, price, transaction_id). The pairing
+equals a per-property ``lag``, computed so that no task has to hold all
+sales of a property, nor of a property-day:
 
-1. inside one (property, day): lag over (price, transaction_id);
-2. the first sale of a day takes the last sale (highest price) of the
-   property's previous sale day: a lag over the property's *days*, whose
-   count is bounded by the calendar, not by the data.
+1. Ties: within one (property, day, price) every sale but the first (lowest
+   transaction id) pairs with a sale of the same day and price. Finding the
+   first is an aggregation, combined map-side, so duplicated or bulk sales
+   never gather in one task.
+2. Within a day: the first sale at a price pairs with the day's previous
+   *distinct* price - a window over the distinct prices of one
+   property-day.
+3. Across days: the first price of a day pairs with the highest price of
+   the property's previous sale *day* - a window over the property's sale
+   days, bounded by the calendar.
 
-Level 1 and the join back are co-partitioned on (property_id, sale_date), so
-the sales are shuffled once, the same as a plain per-property window.
+Every step is keyed by (property_id, sale_date) or coarser; on sales
+hash-partitioned by (property_id, sale_date) (see ``plans.build``) steps 1-2
+and the join back run without moving the sales; only the per-day rows of
+step 3 are shuffled.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PD = ["property_id", "sale_date"]
+
+
+def _order_key() -> F.Column:
+    # transaction id ascending, nulls first
+    return F.struct(F.col("transaction_id").isNotNull().alias("has"), F.col("transaction_id").alias("tid"))
+
 
 def with_predecessor(sales: DataFrame) -> DataFrame:
     """Add ``bought_date``, ``bought_price``, ``bought_year`` (null when the
     sale is the property's first)."""
-    in_day = Window.partitionBy("property_id", "sale_date").orderBy(
-        F.col("price").asc(), F.col("transaction_id").asc_nulls_first()
+    # 1. distinct (property, day, price) with the first sale's order key
+    prices = sales.groupBy(*PD, "price").agg(F.min(_order_key()).alias("_first"))
+    # 2. previous distinct price within the property-day
+    in_day = Window.partitionBy(*PD).orderBy("price")
+    prices = prices.withColumn("_prev_price", F.lag("price").over(in_day))
+    per_day = prices.groupBy(*PD).agg(
+        F.map_from_entries(F.collect_list(F.struct("price", F.struct("_first", "_prev_price")))).alias("_prices"),
+        F.max("price").alias("_last_price"),
     )
-    s1 = sales.withColumn("_prev_price_in_day", F.lag("price").over(in_day)).withColumn(
-        "_first_in_day", F.row_number().over(in_day) == 1
-    )
-
+    # 3. last price of the previous sale day
     by_day = Window.partitionBy("property_id").orderBy("sale_date")
-    days = (
-        s1.groupBy("property_id", "sale_date")
-        .agg(F.max("price").alias("_last_price"))
-        .select(
-            "property_id",
-            "sale_date",
-            F.lag(F.struct(F.col("sale_date").alias("d"), F.col("_last_price").alias("p")))
-            .over(by_day)
-            .alias("_prev_day"),
-        )
+    per_day = per_day.withColumn(
+        "_prev_day",
+        F.lag(F.struct(F.col("sale_date").alias("d"), F.col("_last_price").alias("p"))).over(by_day),
+    ).drop("_last_price")
+
+    joined = sales.join(per_day, PD, "left")
+    info = F.try_element_at(F.col("_prices"), F.col("price"))
+    is_first = _order_key().eqNullSafe(info["_first"])
+    first_of_day = info["_prev_price"].isNull()
+    bought_date = (
+        F.when(~is_first, F.col("sale_date"))
+        .when(first_of_day, F.col("_prev_day.d"))
+        .otherwise(F.col("sale_date"))
     )
-    joined = s1.join(days, ["property_id", "sale_date"], "left")
-    bought_date = F.when(F.col("_first_in_day"), F.col("_prev_day.d")).otherwise(F.col("sale_date"))
-    bought_price = F.when(F.col("_first_in_day"), F.col("_prev_day.p")).otherwise(
-        F.col("_prev_price_in_day")
+    bought_price = (
+        F.when(~is_first, F.col("price"))
+        .when(first_of_day, F.col("_prev_day.p"))
+        .otherwise(info["_prev_price"])
     )
     return (
         joined.withColumn("bought_date", bought_date)
         .withColumn("bought_price", bought_price)
         .withColumn("bought_year", F.year("bought_date"))
-        .drop("_prev_price_in_day", "_first_in_day", "_prev_day")
+        .drop("_prices", "_prev_day")
     )
 
 

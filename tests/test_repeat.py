@@ -56,3 +56,17 @@ def test_appreciation_and_repeat_filter(spark):
         else:
             assert r["appreciation_pct"] is None
         assert r["year_bought"] == r["bought_date"].year
+
+
+def test_null_transaction_id_orders_first(spark):
+    d1, d2 = dt.date(2001, 1, 1), dt.date(2001, 2, 1)
+    rows = [("a", "p", 100.0, d1), (None, "p", 200.0, d2), ("b", "p", 200.0, d2), ("c", "p", 150.0, d2)]
+    full = [(t, p, x, d, d.year, "c", "o", "d", "flat", "freehold") for t, p, x, d in rows]
+    schema = ("transaction_id string, property_id string, price double, sale_date date, year_sold int, "
+              "county string, outcode string, district string, house_type string, tenure string")
+    got = {(r["transaction_id"], r["price"]): (r["bought_date"], r["bought_price"])
+           for r in with_predecessor(spark.createDataFrame(full, schema)).collect()}
+    assert got[("a", 100.0)] == (None, None)
+    assert got[("c", 150.0)] == (d1, 100.0)       # first sale of the day <- previous day's last
+    assert got[(None, 200.0)] == (d2, 150.0)      # null id is first among the ties
+    assert got[("b", 200.0)] == (d2, 200.0)
