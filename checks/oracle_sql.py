@@ -66,7 +66,7 @@ RAW = """raw AS (
     CASE WHEN l_linenumber % 4 = 3 THEN lower(pc) || ' ' ELSE pc END AS postcode,
     CASE WHEN l_linenumber % 2 = 0 THEN lower(code) ELSE code END AS property_type,
     'N' AS old_new,
-    CASE WHEN l_returnflag = 'A' THEN 'F' WHEN l_returnflag = 'N' THEN 'L' ELSE 'U' END AS duration,
+    translate(l_returnflag, 'ANR', 'FLU') AS duration,
     CAST(l_partkey AS VARCHAR) AS paon,
     CASE WHEN l_partkey % 6 = 3 THEN 'Flat ' || CAST(l_suppkey % 4 AS VARCHAR) ELSE '' END AS saon,
     s_name AS street,

@@ -3,9 +3,9 @@
 "Whitespace" is exactly the set of characters for which Python's
 ``str.isspace()`` holds (ASCII blanks, the 0x1C-0x1F separators, no-break
 space, the Unicode space separators...), built by that rule below. Stripping
-uses ``btrim`` with that set; inner whitespace is first mapped to ' ' with
-``translate`` (a per-character table), and runs of blanks are collapsed by a
-regex only when ``instr`` finds one, so most rows run no regex at all.
+uses ``btrim`` with that set; inner whitespace is mapped to ' ' with
+``translate`` (a per-character table) and runs of blanks are collapsed with a
+literal-prefix regex. Each function references its input once.
 """
 from __future__ import annotations
 
@@ -45,32 +45,36 @@ def _blanks_to_spaces(c: Column) -> Column:
     return F.translate(c, _OTHER_BLANKS, _AS_SPACES)
 
 
-def _clean(c: Column) -> Column:
-    # strip, lower-case, drop '#', then collapse whitespace runs; the order
-    # matters: "# a" keeps its leading blank, "#" becomes "".
-    x = _blanks_to_spaces(F.replace(F.lower(strip(c)), F.lit("#"), F.lit("")))
-    return F.when(F.instr(x, "  ") > 0, F.regexp_replace(x, " {2,}", " ")).otherwise(x)
+def _clean_stripped(s: Column) -> Column:
+    # lower-case, drop '#', then collapse whitespace runs (input already
+    # stripped); the order matters: "# a" keeps its leading blank, "#"
+    # becomes "". Each input is referenced once, so the generated code stays
+    # small enough for the JIT.
+    return F.regexp_replace(_blanks_to_spaces(F.replace(F.lower(s), F.lit("#"), F.lit(""))), " {2,}", " ")
+
+
+def _stripped_or_null(c: Column) -> Column:
+    return F.nullif(strip(c), F.lit(""))
 
 
 def normalise(c: Column | str) -> Column:
     """Blank -> 'unknown'; otherwise strip, lower, remove '#', single blanks."""
-    c = _col(c)
-    return F.when(is_blank(c), F.lit(UNKNOWN)).otherwise(_clean(c))
+    return F.coalesce(_clean_stripped(_stripped_or_null(_col(c))), F.lit(UNKNOWN))
 
 
 def normalise_or_empty(c: Column | str) -> Column:
     """Null or '' -> ''; whitespace-only -> 'unknown'; else as ``normalise``."""
     c = _col(c)
-    return F.when(c.isNull() | (c == ""), F.lit("")).otherwise(normalise(c))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("")).otherwise(normalise(c))
 
 
 def _code_lookup(c: Column, mapping: dict[str, str], default: str) -> Column:
+    # a blank or missing value has no first letter in the map -> default
     first = F.substring(F.lower(strip(c)), 1, 1)
     pairs = []
     for code, name in mapping.items():
         pairs += [F.lit(code), F.lit(name)]
-    looked_up = F.coalesce(F.try_element_at(F.create_map(*pairs), first), F.lit(default))
-    return F.when(is_blank(c), F.lit(default)).otherwise(looked_up)
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), first), F.lit(default))
 
 
 def house_type(c: Column | str) -> Column:
@@ -85,8 +89,5 @@ def tenure(c: Column | str) -> Column:
 
 def outcode(c: Column | str) -> Column:
     """Postcode -> outward code: first whitespace token, normalised."""
-    c = _col(c)
-    token = F.substring_index(_blanks_to_spaces(strip(c)), " ", 1)
-    return F.when(is_blank(c), F.lit(UNKNOWN)).otherwise(
-        F.replace(F.lower(token), F.lit("#"), F.lit(""))
-    )
+    token = F.substring_index(_blanks_to_spaces(_stripped_or_null(_col(c))), " ", 1)
+    return F.coalesce(F.replace(F.lower(token), F.lit("#"), F.lit("")), F.lit(UNKNOWN))

@@ -69,23 +69,28 @@ def raw_sales_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ln = F.col("l_linenumber")
     part = F.col("l_partkey")
-    code = F.element_at(F.array(*[F.lit(x) for x in "DSTFOX"]), (part % 6 + 1).cast("int"))
-    postcode = F.concat(F.lit("E"), _s(part % 50), F.lit(" "), _s(F.col("l_suppkey") % 9), F.lit("AB"))
+    # property code by part, lower case on even line numbers (one lookup)
+    codes = F.array(*[F.lit(x) for x in "DSTFOXdstfox"])
+    code = F.element_at(codes, (part % 6 + 1 + F.when(ln % 2 == 0, 6).otherwise(0)).cast("int"))
+    # upper case, or lower case with a trailing blank on every 4th line
+    low = ln % 4 == 3
+    postcode = F.concat(
+        F.when(low, F.lit("e")).otherwise(F.lit("E")), _s(part % 50), F.lit(" "), _s(F.col("l_suppkey") % 9),
+        F.when(low, F.lit("ab ")).otherwise(F.lit("AB")),
+    )
     county = (
         F.when(ln % 3 == 0, F.col("r_name"))
         .when(ln % 3 == 1, F.concat(F.lit("  "), F.lower("r_name"), F.lit(" ")))
-        .otherwise(F.regexp_replace("r_name", " ", "  "))
+        .otherwise(F.replace(F.col("r_name"), F.lit(" "), F.lit("  ")))
     )
     cols = {
         "transaction_id": F.concat(_s(F.col("l_orderkey")), F.lit("-"), _s(ln)),
         "price": _s(F.floor("l_extendedprice").cast("bigint")),
         "date_of_transfer": F.date_format("l_shipdate", "yyyy-MM-dd HH:mm"),
-        "postcode": F.when(ln % 4 == 3, F.concat(F.lower(postcode), F.lit(" "))).otherwise(postcode),
-        "property_type": F.when(ln % 2 == 0, F.lower(code)).otherwise(code),
+        "postcode": postcode,
+        "property_type": code,
         "old_new": F.lit("N"),
-        "duration": F.when(F.col("l_returnflag") == "A", "F")
-        .when(F.col("l_returnflag") == "N", "L")
-        .otherwise("U"),
+        "duration": F.translate(F.col("l_returnflag"), "ANR", "FLU"),
         "paon": _s(part),
         "saon": F.when(part % 6 == 3, F.concat(F.lit("Flat "), _s(F.col("l_suppkey") % 4))).otherwise(F.lit("")),
         "street": F.col("s_name"),
