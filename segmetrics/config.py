@@ -46,7 +46,10 @@ def shared_dir(spark: SparkSession, required: bool = True) -> str | None:
     (``spark.checkpoint.dir``); never a machine-local default."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001 - no SparkContext on a Connect session
+            d = None
     if not d and required:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     return d

@@ -52,9 +52,18 @@ def shared_sales(sales: DataFrame, materialize: bool = True) -> DataFrame:
     # reports hash partitioning on (property_id, sale_date)
     n = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parted = sales.repartition(n, "property_id", "sale_date")
+    from segmetrics.config import shared_dir
+
     spark = sales.sparkSession
-    if not materialize or not spark.sparkContext.getCheckpointDir():
+    folder = shared_dir(spark, required=False)
+    if not materialize or not folder:
         return parted
+    try:
+        if not spark.sparkContext.getCheckpointDir():
+            # the session names the folder but the context was started without it
+            spark.sparkContext.setCheckpointDir(folder)
+    except Exception:  # noqa: BLE001 - Connect: the server owns the checkpoint folder
+        pass
     # The checkpoint only records the hash partitioning when the job that
     # writes it is planned without AQE; that job is scan -> clean ->
     # fixed-count repartition, where AQE has nothing to re-plan.
