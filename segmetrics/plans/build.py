@@ -8,7 +8,6 @@ the line/heatmap join run on aggregated rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from segmetrics.operators.aggregates import heatmap_metrics, line_metrics
 from segmetrics.operators.clean import clean_sales

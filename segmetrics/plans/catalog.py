@@ -19,7 +19,7 @@ from segmetrics.functions.json import performance_to_json
 from segmetrics.functions.keys import segment_key, split_key
 from segmetrics.functions.text import house_type, normalise, normalise_or_empty, outcode, tenure
 from segmetrics.functions.keys import property_id as property_id_expr
-from segmetrics.operators.aggregates import heatmap_metrics, line_metrics, price_stats_metrics
+from segmetrics.operators.aggregates import line_metrics, price_stats_metrics
 from segmetrics.operators.clean import (
     borough_predicate,
     clean_sales,

@@ -1,5 +1,4 @@
 """Line and heatmap metrics on hand-made groups."""
-from pyspark.sql import functions as F
 
 from segmetrics.operators.aggregates import heatmap_metrics, line_metrics, median, price_stats_metrics
 from segmetrics.operators.series import heatmap_series, line_series

@@ -2,7 +2,6 @@
 import itertools
 import random
 
-from pyspark.sql import functions as F
 
 from segmetrics.operators.aggregates import line_metrics
 from segmetrics.operators.cube import affected_keys, location_fanout, segment_cube, segment_cube_gs

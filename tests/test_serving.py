@@ -1,5 +1,4 @@
 """Lookups as batch DataFrame operators."""
-from pyspark.sql import functions as F
 
 from segmetrics.operators.dimensions import dimension_index, list_dimension
 from segmetrics.plans.serve import (

@@ -1,5 +1,4 @@
 """Metric choice, ranges, scaling, grid."""
-from pyspark.sql import functions as F
 
 from segmetrics.operators.views import heatmap_grid, metric_long, metric_range, metric_scaled, metric_value
 
