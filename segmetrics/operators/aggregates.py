@@ -58,3 +58,20 @@ def price_stats_metrics() -> list[Column]:
         n.alias("sale_count"),
         (F.lit(100) * F.count_if(F.col("appreciation_pounds") < 0) / n).alias("pct_sales_at_loss"),
     ]
+
+
+# Finest-grain partials for the line path: sum and count are mergeable, so
+# the cube can roll up these partials instead of expanding every sale.
+def line_partials(price: str = "price") -> list[Column]:
+    return [F.sum(price).alias("_price_sum"), F.count(F.lit(1)).alias("_n")]
+
+
+def line_metrics_from_partials() -> list[Column]:
+    """``line_metrics`` over rows carrying ``_price_sum`` and ``_n``."""
+    avg = F.sum("_price_sum") / F.sum("_n")
+    return [
+        avg.alias("avg_price"),
+        avg.alias("median_price"),
+        avg.alias("mode_price"),
+        F.sum("_n").cast("bigint").alias("sale_count"),
+    ]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from segmetrics.operators.aggregates import heatmap_metrics, line_metrics
+from segmetrics.operators.aggregates import heatmap_metrics, line_metrics_from_partials, line_partials
 from segmetrics.operators.clean import clean_sales
 from segmetrics.operators.cube import segment_cube_gs
 from segmetrics.operators.repeat import repeat_sales
@@ -23,8 +23,14 @@ HEAT_INPUT = [
 
 
 def line_agg(sales: DataFrame) -> DataFrame:
-    """Line path: (segment, year_sold) -> avg price, count."""
-    return segment_cube_gs(sales.select(*LINE_INPUT), line_metrics(), by=["year_sold"])
+    """Line path: (segment, year_sold) -> avg price, count.
+
+    Sales are first reduced to (county, outcode, district, house type,
+    tenure, year) partials (sum, count); the 16 grouping sets then expand
+    those partials, not every sale."""
+    finest = [c for c in LINE_INPUT if c != "price"]
+    partials = sales.groupBy(*finest).agg(*line_partials())
+    return segment_cube_gs(partials, line_metrics_from_partials(), by=["year_sold"])
 
 
 def heatmap_agg(repeats: DataFrame) -> DataFrame:
