@@ -307,10 +307,12 @@ def _sql() -> dict[str, str]:
     # projections / scalar functions
     q["clean_sales"] = base(sales_cte()) + f"SELECT {sale_out} FROM sales"
     q["reserved_values"] = base(sales_cte()) + """SELECT count(*) AS sales,
-    count_if(county = 'all') AS county_all, count_if(outcode = 'all') AS outcode_all,
-    count_if(district = 'all') AS district_all, count_if(house_type = 'all') AS house_type_all,
-    count_if(tenure = 'all') AS tenure_all,
-    count_if(regexp_matches(property_id, '^[^|]*\\|\\|\\|$')) AS no_address
+    CAST(count_if(county = 'all') AS BIGINT) AS county_all,
+    CAST(count_if(outcode = 'all') AS BIGINT) AS outcode_all,
+    CAST(count_if(district = 'all') AS BIGINT) AS district_all,
+    CAST(count_if(house_type = 'all') AS BIGINT) AS house_type_all,
+    CAST(count_if(tenure = 'all') AS BIGINT) AS tenure_all,
+    CAST(count_if(regexp_matches(property_id, '^[^|]*\\|\\|\\|$')) AS BIGINT) AS no_address
   FROM sales"""
     q["prefilter_borough"] = base(sales_cte("lower(trim(district)) = 'nation_7'")) + f"SELECT {sale_out} FROM sales"
     q["segment_columns"] = base(sales_cte()) + ("SELECT transaction_id, county, outcode, district, house_type, tenure, "
