@@ -10,20 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a dimension side that may be shipped to every executor.
+# Bounds for a dimension side that may be shipped to every executor.
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """``broadcast(dim)`` when it has at most ``max_rows`` rows, else None.
-    The check reads at most ``max_rows + 1`` rows of ``dim``."""
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else None
+def _row_width(df: DataFrame) -> int:
+    """Spark's default size estimate of one row of ``df`` (bytes)."""
+    try:
+        return int(df._jdf.schema().defaultSize())
+    except Exception:  # noqa: BLE001 - no JVM handle (Connect): assume wide rows
+        return 256
+
+
+def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame | None:
+    """``broadcast(dim)`` when its measured row count is at most ``max_rows``
+    and count x row width at most ``max_bytes``, else None. The check reads
+    at most ``limit + 1`` rows of ``dim``."""
+    limit = min(max_rows, max(1, max_bytes // max(1, _row_width(dim))))
+    n = dim.limit(limit + 1).count()
+    return F.broadcast(dim) if n <= limit else None
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list, how: str = "inner",
-                   max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    small = checked_broadcast(dim, max_rows)
+                   max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    small = checked_broadcast(dim, max_rows, max_bytes)
     if small is not None:
         return fact.join(small, on, how)
     return fact.hint("merge").join(dim.hint("merge"), on, how)
