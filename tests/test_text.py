@@ -82,3 +82,21 @@ def test_property_id_and_lookup(spark):
     lk = spark.createDataFrame([(None,), ("",), ("  ",), (" Flat ",), ("A#B",)], "v string")
     got = [r[0] for r in lk.select(lookup_part("v")).collect()]
     assert got == ["all", "all", "", "flat", "a#b"]
+
+
+def test_random_strings_follow_rules(spark):
+    import random
+
+    rnd = random.Random(11)
+    alphabet = list("aAbZ9#-_ ") + ["\t", "\n", "\x0b", "\x1c", "\x1f", "\xa0", " ", "　", "é", "Ö"]
+    values = [None, ""] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = df.select("i", normalise("v").alias("n"), normalise_or_empty("v").alias("e"),
+                    outcode("v").alias("o"), house_type("v").alias("h"), tenure("v").alias("t")).collect()
+    for r in got:
+        v = values[r["i"]]
+        assert r["n"] == py_normalise(v), repr(v)
+        assert r["e"] == (py_normalise(v) if v else ""), repr(v)
+        assert r["o"] == py_outcode(v), repr(v)
+        assert r["h"] == py_house(v), repr(v)
+        assert r["t"] == py_tenure(v), repr(v)
