@@ -120,7 +120,7 @@ def upsert_dimension(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(existing, incoming, ["dimension_name", "value"])
 
 
-def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int = 0):
+def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int = 0, keep: Sequence[str] = ()):
     """Parse a (key, value) load and count rows read / rejected *in the same
     pass* that writes it: returns (rows, Observation); the observation is
     filled when the first action on ``rows`` completes."""
@@ -130,11 +130,14 @@ def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int =
     value = F.trim(F.col("value"))
     blank = _blank(F.col("key"))
     bad = ~blank & ~is_valid_json(value)
-    observed = kv.observe(
-        obs,
+    metrics = [
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(blank).alias("blank_key"),
         F.count_if(bad).alias("malformed"),
-    )
+    ]
+    if kind != "performance":
+        no_sk = ~blank & ~bad & (F.coalesce(parse_dimension_value(value)["sk"], F.lit("")) == "")
+        metrics.append(F.count_if(no_sk).alias("missing_sk"))
+    observed = kv.observe(obs, *metrics)
     parse = parse_performance_kv if kind == "performance" else parse_dimension_kv
-    return parse(observed, seq), obs
+    return parse(observed, seq, keep), obs

@@ -6,20 +6,20 @@ missing graphs -> []) and appended to a change table partitioned by batch
 id. Every row carries ``load_seq`` (the batch id) and ``row_seq`` (its
 position in the batch, increasing with file split and row order), so the
 current table is the last row per key: a ``max_by`` aggregation at read
-time. A batch is written to its own ``load_seq=<id>`` folder with overwrite,
+time. Rejected rows are counted in the same pass that writes a batch
+(``observe``) and kept as one report row per batch. A batch is written to its
+own ``load_seq=<id>`` folder with overwrite,
 so a replayed batch after a failure replaces itself (exactly-once with the
 query checkpoint).
 """
 from __future__ import annotations
 
 import os
-from typing import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from segmetrics.operators.upsert import latest, parse_dimension_kv, parse_performance_kv
+from segmetrics.operators.upsert import latest, observed_load
 from segmetrics.schema import KEY_COLUMNS, KEY_VALUE_SCHEMA
 
 SEQ = ["load_seq", "row_seq"]
@@ -40,13 +40,20 @@ def _start(
     source_dir: str,
     table_dir: str,
     checkpoint_location: str,
-    parse: Callable[[DataFrame, int], DataFrame],
+    kind: str,
     files_per_batch: int,
     available_now: bool,
 ) -> StreamingQuery:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = parse(batch.withColumn("row_seq", F.monotonically_increasing_id()), batch_id)
-        rows.write.mode("overwrite").parquet(os.path.join(table_dir, f"load_seq={batch_id}"))
+        rows, obs = observed_load(batch.withColumn("row_seq", F.monotonically_increasing_id()), kind,
+                                  batch_id, keep=["row_seq"])
+        rows.drop("load_seq").write.mode("overwrite").parquet(os.path.join(table_dir, f"load_seq={batch_id}"))
+        # rows read / rejected, counted in the same pass as the write above
+        report = {"load_seq": batch_id, **obs.get}
+        report["loaded"] = (report["rows_read"] - report["blank_key"] - report["malformed"]
+                            - report.get("missing_sk", 0))
+        batch.sparkSession.createDataFrame([report]).write.mode("overwrite").json(
+            os.path.join(table_dir, "_load_reports", f"load_seq={batch_id}"))
 
     writer = (
         _drops(spark, source_dir, files_per_batch)
@@ -57,24 +64,16 @@ def _start(
     return writer.start()
 
 
-def _perf_rows(batch: DataFrame, batch_id: int) -> DataFrame:
-    return parse_performance_kv(batch, batch_id, keep=["row_seq"]).drop("load_seq")
-
-
-def _dim_rows(batch: DataFrame, batch_id: int) -> DataFrame:
-    return parse_dimension_kv(batch, batch_id, keep=["row_seq"]).drop("load_seq")
-
-
 def start_performance_loader(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_location: str,
                              files_per_batch: int = 1, available_now: bool = False) -> StreamingQuery:
     """Stream performance (key, value) drops into the change table."""
-    return _start(spark, source_dir, table_dir, checkpoint_location, _perf_rows, files_per_batch, available_now)
+    return _start(spark, source_dir, table_dir, checkpoint_location, "performance", files_per_batch, available_now)
 
 
 def start_dimension_loader(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_location: str,
                            files_per_batch: int = 1, available_now: bool = False) -> StreamingQuery:
     """Stream dimension (key, value) drops into the change table."""
-    return _start(spark, source_dir, table_dir, checkpoint_location, _dim_rows, files_per_batch, available_now)
+    return _start(spark, source_dir, table_dir, checkpoint_location, "dimension", files_per_batch, available_now)
 
 
 def current_performance(spark: SparkSession, table_dir: str) -> DataFrame:
@@ -82,6 +81,11 @@ def current_performance(spark: SparkSession, table_dir: str) -> DataFrame:
     return latest(spark.read.parquet(table_dir), KEY_COLUMNS, SEQ)
 
 
+def load_reports(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Per-batch load reports (rows read, blank keys, malformed, loaded)."""
+    return spark.read.json(os.path.join(table_dir, "_load_reports"))
+
+
 def current_dimension_index(spark: SparkSession, table_dir: str) -> DataFrame:
     """Current dimension index: the last loaded row per (dimension, value)."""
     return latest(spark.read.parquet(table_dir), ["dimension_name", "value"], SEQ)

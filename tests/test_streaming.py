@@ -3,7 +3,13 @@ write per key; replays are idempotent."""
 import json
 import os
 
-from segmetrics.streaming.loader import current_dimension_index, current_performance, start_dimension_loader, start_performance_loader
+from segmetrics.streaming.loader import (
+    current_dimension_index,
+    current_performance,
+    load_reports,
+    start_dimension_loader,
+    start_performance_loader,
+)
 
 
 def drop(folder, name, rows):
@@ -30,6 +36,9 @@ def test_performance_stream(spark, tmp_dir):
     q.awaitTermination(120)
     got = {r["location_value"]: r["line_graph"][0]["avg_price"] for r in current_performance(spark, table).collect()}
     assert got == {"kent": 4.0, "essex": 2.0}
+    reports = {r["load_seq"]: r for r in load_reports(spark, table).collect()}
+    assert (reports[0]["rows_read"], reports[0]["blank_key"], reports[0]["malformed"], reports[0]["loaded"]) == (4, 1, 1, 2)
+    assert reports[1]["loaded"] == 2
 
 
 def test_dimension_stream(spark, tmp_dir):
@@ -40,3 +49,5 @@ def test_dimension_stream(spark, tmp_dir):
     q.awaitTermination(120)
     rows = current_dimension_index(spark, table).collect()
     assert [(r["dimension_name"], r["value"], r["label"]) for r in rows] == [("county", "kent", "Kent")]
+    (rep,) = load_reports(spark, table).collect()
+    assert (rep["rows_read"], rep["missing_sk"], rep["loaded"]) == (2, 1, 1)
