@@ -27,7 +27,7 @@ def _build(args, spark: SparkSession) -> None:
     paths = build_serving_tables(sales, args.output)
     if args.export_csv:
         write_key_value_csv(performance_to_json(spark.read.parquet(paths["performance"])),
-                            f"{args.output}/house_price_performance_csv")
+                            f"{args.output}/performance_csv")
         write_key_value_csv(dimension_to_json(spark.read.parquet(paths["dimension_index"])),
                             f"{args.output}/dimension_index_csv")
     print(json.dumps(paths))
