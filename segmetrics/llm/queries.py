@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmetrics.llm import licenses, line_dedup, mixing, packing, quality_model, quality_rules, simhash, url_filters
+from segmetrics.llm import embedding_dedup, licenses, line_dedup, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, url_filters
 from segmetrics.llm.common import table
 from segmetrics.llm.sql import ORACLE_SQL  # noqa: F401 - read by the entry module
 
@@ -49,6 +49,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filters.filter_urls(captures(pages), list_entries(pages))
@@ -87,5 +95,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op4_url_filters, op5_packing, op6_quality_rules, op7_license_scans, op8_simhash, op9_mixing,
+    op1_line_dedup, op2_suffix_dedup, op3_embedding_dedup, op4_url_filters, op5_packing, op6_quality_rules, op7_license_scans, op8_simhash, op9_mixing,
     op10_quality_classifier)}
