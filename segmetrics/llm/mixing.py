@@ -26,7 +26,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmetrics.llm.common import free_name, n_words, stored
+from segmetrics.llm.common import n_words, stored
 
 SALTS = 1024
 
@@ -117,16 +117,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     with all its columns. Rows that share doc_id, source and size are
     exchangeable for the sampler; their copies are dealt out by a row number
     among them."""
-    key = [free_name(docs.columns, c) for c in ("mix_id", "mix_source", "mix_size", "mix_row", "mix_copies")]
-    i, s, z, r, c = key
-    among = lambda cols: Window.partitionBy(*cols).orderBy(F.lit(0))
-    taken = sample_copies(docs, **how).where("copies > 0").select(
-        F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("copies").cast("int").alias(c))
-    # repeated rows: the number of copies of their k-th is the k-th drawn
-    taken = taken.withColumn(r, F.row_number().over(Window.partitionBy(i, s, z).orderBy(F.col(c).desc())))
-    sized = docs.withColumn(z, n_words(F.col("text")))
-    sized = sized.withColumn(r, F.row_number().over(among([F.col("doc_id"), F.col("source"), F.col(z)])))
-    t = taken.select(*[F.col(x).alias(f"{x}_t") for x in (i, s, z, r)], c)
-    on = (F.col("doc_id").eqNullSafe(F.col(f"{i}_t")) & F.col("source").eqNullSafe(F.col(f"{s}_t"))
-          & (F.col(z) == F.col(f"{z}_t")) & (F.col(r) == F.col(f"{r}_t")))
-    return (sized.join(t, on).withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*docs.columns))
+    drawn = sample_copies(docs, **how).groupBy(
+        F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(
+        F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("drawn")).where("drawn[0] > 0")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("d_id"),
+                       docs["source"].alias("d_source"), n_words(docs["text"]).alias("d_size"))
+    met = rows.join(drawn, F.col("d_id").eqNullSafe(F.col("t_id")) & F.col("d_source").eqNullSafe(F.col("t_source"))
+                    & (F.col("d_size") == F.col("t_size")))
+    row = F.row_number().over(Window.partitionBy("d_id", "d_source", "d_size").orderBy(F.lit(0)))
+    copies = met.withColumn("row", row).withColumn("copies", F.expr("drawn[row - 1]")).where("copies > 0")
+    return copies.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        *[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
     tables hold none: betting hosts by their names, other hosts and path
     prefixes by a checksum, each added, removed and in part added again."""
     hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
-    h = F.crc32(F.col("host"))
+    h = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     entry = lambda name, pattern, when, added: F.struct(
         F.lit(name).alias("list_name"), pattern.alias("pattern"), when.alias("day"), F.lit(added).alias("added"))

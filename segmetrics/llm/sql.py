@@ -1,3 +1,108 @@
-"""DuckDB statements of the queries that SQL can express."""
+"""DuckDB statements of the queries that SQL can express. They restate the
+results from the texts, without hashes, salts, slices or doubling."""
 
-ORACLE_SQL: dict[str, str] = {}
+# op1: a window of lines from each line on, until it has 5 words; a window
+# that also starts earlier covers lines to delete. Five lines are enough.
+_OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d),
+ex AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS ln FROM raw),
+w AS (SELECT doc_id, i, ln, len(regexp_extract_all(ln, '[^\x20\x09-\x0D]+')) AS n FROM ex),
+s AS (SELECT doc_id, i, ln, n, row_number() OVER (ORDER BY doc_id, i) AS pos,
+             row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w WHERE n > 0),
+a AS (SELECT *, list(ln) OVER f AS lns, list(n) OVER f AS ns FROM s
+      WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+m AS (SELECT doc_id, pos, lns, CASE WHEN list_sum(ns[1:1]) >= 5 THEN 1 WHEN len(ns) >= 2 AND list_sum(ns[1:2]) >= 5 THEN 2
+        WHEN len(ns) >= 3 AND list_sum(ns[1:3]) >= 5 THEN 3 WHEN len(ns) >= 4 AND list_sum(ns[1:4]) >= 5 THEN 4
+        WHEN len(ns) >= 5 AND list_sum(ns[1:5]) >= 5 THEN 5 END AS depth FROM a),
+r AS (SELECT pos, depth, min(pos) OVER (PARTITION BY lns[1:depth]) AS first FROM m WHERE depth IS NOT NULL),
+g AS (SELECT DISTINCT unnest(generate_series(pos, pos + depth - 1)) AS pos FROM r WHERE pos > first),
+gone AS (SELECT s.doc_id, s.i, s.pos - lag(s.pos) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS gap FROM s JOIN g USING (pos)),
+per AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE gap IS NULL OR gap > 1) AS n_runs FROM gone GROUP BY 1),
+kept AS (SELECT ex.doc_id, string_agg(ex.ln, chr(10) ORDER BY ex.i) AS t FROM ex ANTI JOIN gone ON ex.doc_id = gone.doc_id AND ex.i = gone.i GROUP BY 1),
+nl AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(nl.n, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN nl USING (doc_id)
+"""
+
+# op4: dated entries by host, intervals by the next entry, and a plain range
+# join over every pattern that covers a URL
+_OP4 = r"""
+WITH c AS (SELECT page_id, url, (DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER)) AS fetch_day,
+    regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(coalesce(url, ''),
+      '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '\.$', '') AS host,
+    string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\\]*/([^?#]*)', 1), '/') AS path
+  FROM pages),
+h AS (SELECT DISTINCT host FROM c WHERE host <> ''),
+x AS (SELECT host, ('0x' || substr(md5(host), 1, 6))::BIGINT AS k FROM h),
+e AS (
+  SELECT 'gambling' AS list_name, host AS pattern, DATE '2024-01-01' AS day, true AS added FROM x WHERE regexp_matches(host, 'casino|bets|poker')
+  UNION ALL SELECT 'spam', host, DATE '2024-01-01' + CAST(k % 97 AS INTEGER), true FROM x WHERE k % 3 = 0
+  UNION ALL SELECT 'spam', host, DATE '2024-01-01' + CAST(k % 97 + 60 AS INTEGER), false FROM x WHERE k % 3 = 0
+  UNION ALL SELECT 'spam', host, DATE '2024-01-01' + CAST(k % 97 + 150 AS INTEGER), true FROM x WHERE k % 3 = 0
+  UNION ALL SELECT 'policy', host || '/de/', DATE '2024-01-01' + CAST(k % 200 AS INTEGER), true FROM x WHERE k % 5 = 0
+  UNION ALL SELECT 'policy', host || '/de/', DATE '2024-01-01' + CAST(k % 200 + 45 AS INTEGER), false FROM x WHERE k % 5 = 0),
+v AS (SELECT list_name, pattern, day AS valid_from, added, lead(day) OVER (PARTITION BY list_name, pattern ORDER BY day) AS valid_to FROM e),
+lab AS (SELECT *, string_split(host, '.') AS ls FROM c),
+ks AS (
+  SELECT page_id, url, fetch_day, unnest([array_to_string(ls[i:], '.') FOR i IN generate_series(1, len(ls) - 1)]) AS key FROM lab WHERE host <> ''
+  UNION SELECT page_id, url, fetch_day, unnest([host || '/' || array_to_string(path[1:i], '/') || '/' FOR i IN generate_series(1, len(path) - 1)]) FROM lab WHERE host <> ''),
+hit AS (SELECT ks.page_id, list_name FROM ks JOIN v ON key = pattern AND added AND valid_from <= fetch_day AND (valid_to IS NULL OR fetch_day < valid_to)),
+m AS (SELECT page_id, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists, count(*) AS n FROM hit GROUP BY 1)
+SELECT c.page_id, c.url, c.fetch_day, c.host, coalesce(m.lists, '') AS lists, coalesce(m.n, 0) AS n_matches, m.lists IS NOT NULL AS blocked
+FROM c LEFT JOIN m USING (page_id)
+"""
+
+_OP6 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+        [l FOR l IN string_split(text, chr(10)) IF len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) > 0] AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE n > 1) GROUP BY 1),
+ex AS (SELECT doc_id, source, text, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
+         len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, source, text, unnest(ls) AS l FROM w)),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+common AS (SELECT ex.source, line FROM ex JOIN hosts ON ex.source IS NOT DISTINCT FROM hosts.source
+           GROUP BY ex.source, line, docs HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > docs * 0.002),
+lost AS (SELECT doc_id, count(*) AS n, sum(ex.n)::BIGINT AS words FROM ex
+         JOIN common ON ex.line = common.line AND ex.source IS NOT DISTINCT FROM common.source GROUP BY 1),
+f AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words,
+        coalesce(lost.n, 0) AS removed_lines, coalesce(lost.words, 0) AS removed_words
+      FROM w LEFT JOIN rw USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, removed_lines, removed_words,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * removed_words <= n_words AS kept
+FROM f
+"""
+
+_OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT source, source_size, (k - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+-- share by weight, close what reaches its cap, share the rest again
+step(n, closed, rest, shares) AS (
+  SELECT 0, []::VARCHAR[], (SELECT sum(source_size)::BIGINT FROM w), (SELECT sum(weight)::BIGINT FROM w)
+  UNION ALL
+  SELECT n + 1, c.closed, (SELECT sum(source_size)::BIGINT FROM w) - c.caps, (SELECT sum(weight)::BIGINT FROM w) - c.weights
+  FROM step, LATERAL (SELECT list('s' || coalesce(source, '') || '/' || (source IS NULL)) AS closed,
+      coalesce(sum(cap), 0)::BIGINT AS caps, coalesce(sum(weight), 0)::BIGINT AS weights
+    FROM w WHERE rest * weight > cap * shares OR list_contains(step.closed, 's' || coalesce(source, '') || '/' || (source IS NULL))) c
+  WHERE len(c.closed) > len(step.closed)),
+fin AS (SELECT * FROM step ORDER BY n DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN list_contains(closed, 's' || coalesce(source, '') || '/' || (source IS NULL))
+        THEN cap::DOUBLE ELSE (rest * weight)::DOUBLE / nullif(shares, 0)::DOUBLE END AS target,
+        ('0x' || substr(md5('9:' || coalesce('s' || source, 'n')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM w, fin),
+n AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.target / nullif(t.source_size, 0) AS rate, u,
+        row_number() OVER (PARTITION BY d.source ORDER BY d.size, ((coalesce(d.doc_id, 0) % 1024) + 1024) % 1024, d.doc_id) AS k
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, coalesce(floor(k::DOUBLE * rate + u) - floor((k - 1)::DOUBLE * rate + u), 0)::BIGINT AS copies FROM n)
+SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size AS taken, copies, source FROM c
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op4_url_filters": _OP4, "op6_quality_rules": _OP6,
+                              "op9_mixing": _OP9}
