@@ -14,9 +14,8 @@ scan split, block by block, so there is no shuffle, a task's memory is one
 Arrow batch, and a lost executor repeats its splits with the same result.
 Sequence ids carry the split's number in their upper bits.
 
-Token ids come through a cache of white-space separated chunks; no token
-of this vocabulary spans white space. The tests hold the ids against the
-tokenizer's on whole texts.
+Token ids come through bounded caches of chunks and words. The tests hold the ids against the tokenizer's on
+whole texts.
 
 Defined results: a null or empty text is the end token alone; repeated rows
 and null ids are documents of their own; an empty table gives an empty
@@ -27,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from typing import Iterable, Iterator
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,64 +38,85 @@ from segmetrics.llm.common import in_arrow
 END_ID = 2
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 256
-CACHE = 400_000
-# a word of Latin letters with trailing ASCII marks: two tokens' worth of text
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+CACHE = 1_000_000
+# texts of ASCII and Latin letters, digits and marks, without apostrophes
+# (which begin tokens of their own); these split into words by the pattern
+PLAIN = re.compile("[ \\t\\n\\rA-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\\[-`{-~]*")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 
 
-class ChunkTokenizer:
-    """Ids of a text as little-endian uint32 bytes, through bounded caches of
-    chunks and of the words inside them."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself
+    where it prints, else the next letter after the 256th."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {**{b: chr(b) for b in prints}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
+class CachedTokenizer:
+    """Ids of a text as little-endian uint32 bytes, through two bounded
+    caches: white-space separated chunks, and the words inside them. No token
+    of the vocabulary spans white space. Words of plain texts go to the
+    tokenizer's model, chunks of other texts through all of the tokenizer."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
-
-    def learn(self, chunks: Iterable[bytes]) -> None:
-        """Fill the cache with the chunks that it lacks."""
-        missing = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(missing) > self.cache:
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+            if len(self.words) >= self.cache:
+                self.words.clear()
+            self.words[word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = b"".join(map(self._word, PIECE.findall(chunk)))
+        if len(self.chunks) >= self.cache // 2:
             self.chunks.clear()
-            missing = list(chunks)
-        if len(self.words) > self.cache:
-            self.words = {"": b""}
-        plain, other = {}, []
-        for c in missing:
-            m = PLAIN.fullmatch(c.decode("utf-8"))
-            if m:
-                plain[c] = (m[1].lower(), m[2])
-            else:
-                other.append(c)
-        new = list({w for pair in plain.values() for w in pair if w not in self.words})
-        self.words.update(zip(new, self._encode(new)))
-        words = self.words
-        self.chunks.update((c, words[a] + words[b]) for c, (a, b) in plain.items())
-        self.chunks.update(zip(other, self._encode([c.decode("utf-8") for c in other])))
+        self.chunks[chunk] = found
+        return found
+
+    def _other(self, chunk: str) -> bytes:
+        found = self.others.get(chunk)
+        if found is None:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            found = b"".join([i.to_bytes(4, "little") for i in ids])
+            if len(self.others) >= self.cache // 4:
+                self.others.clear()
+            self.others[chunk] = found
+        return found
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         end = END_ID.to_bytes(4, "little")
-        for at in range(0, len(texts), 256):
-            split = [(t or "").encode("utf-8").split() for t in texts[at:at + 256]]
-            self.learn(set().union(*split))
-            look = self.chunks.__getitem__
-            for words in split:
-                yield b"".join(map(look, words)) + end
+        for text in texts:
+            text = text or ""
+            # a special token's text is one token wherever it stands
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                chunks = text.lower().split()
+                found = list(map(self.chunks.get, chunks))
+                if None in found:
+                    found = [self._chunk(c) if x is None else x for c, x in zip(chunks, found)]
+                yield b"".join(found) + end
+            else:
+                yield b"".join([self._other(c.decode()) for c in text.encode().split()]) + end
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+_TOKENIZERS: dict[str, CachedTokenizer] = {}
 
 
-def tokenizer_at(path: str) -> ChunkTokenizer:
+def tokenizer_at(path: str) -> CachedTokenizer:
     """One tokenizer a Python worker, kept between its tasks."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
+        _TOKENIZERS[path] = CachedTokenizer(path)
     return _TOKENIZERS[path]
 
 
