@@ -2,8 +2,9 @@
 
 * ``read_raw_sales``: headerless positional sale file(s), every column a
   nullable string, no schema inference (missing trailing columns -> null).
-* ``resolve_roles``: map the columns of any sale table to the roles the
-  cleaning step needs, by column-name rules.
+* ``resolve_roles``: project any sale table onto the roles the cleaning step
+  needs; the caller names the columns, or they are found by the words of
+  their names.
 * ``read_key_value_csv`` / ``write_key_value_csv``: the (key, value) export.
 """
 from __future__ import annotations
@@ -13,88 +14,86 @@ from pyspark.sql import functions as F
 
 from segmetrics.schema import KEY_VALUE_SCHEMA, RAW_SCHEMA
 
-# Roles that must resolve to a column, and roles that default to ''.
-REQUIRED_ROLES = [
-    "price",
-    "date",
-    "postcode",
-    "property_type",
-    "duration",
-    "county",
-    "district",
-]
-OPTIONAL_ROLES = ["paon", "saon", "street"]
+# Role -> the words that a column name must hold for it, most wanted first;
+# a name that is one of the alternatives, word for word, beats any other.
+ROLE_WORDS = {
+    "price": [["price"]],
+    "date": [["date", "transfer"], ["date"]],
+    "postcode": [["postcode"]],
+    "property_type": [["property", "type"]],
+    "duration": [["duration"]],
+    "county": [["county"]],
+    "district": [["district"]],
+    "paon": [["paon"]],
+    "saon": [["saon"]],
+    "street": [["street"]],
+}
+# address parts that may be missing; they default to ''
+OPTIONAL_ROLES = {"paon", "saon", "street"}
+# words that disqualify a column for a role
+NOT_FOR = {"street": ["address"]}
 
 
 def read_raw_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Scan headerless sale CSV file(s) or folder(s) by position (a single
-    compressed file is spread over the cluster before cleaning)."""
-    from segmetrics.sources.tables import spread
-
-    return spread(
-        spark.read.schema(RAW_SCHEMA)
-        .option("header", False)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    """Scan headerless sale CSV file(s) or folder(s) by position."""
+    return spark.read.schema(RAW_SCHEMA).option("header", False).option("mode", "PERMISSIVE").csv(path)
+
 
+def match_role(role: str, columns: list[str]) -> str | None:
+    """The column for a role, None if no name fits; several that fit equally
+    well are an error, to be settled by naming one."""
+    for words in ROLE_WORDS[role]:
+        fits = [c for c in columns if all(w in c.lower() for w in words)
+                and not any(w in c.lower() for w in NOT_FOR.get(role, []))]
+        exact = [c for c in fits if c.lower() in (role, "_".join(words), "_of_".join(words))]
+        if len(exact) == 1 or len(fits) == 1:
+            return (exact or fits)[0]
+        if fits:
+            raise ValueError(f"role {role}: {fits} fit equally well; name one in roles=")
+    return None
 
-def _first(columns: list[str], test, default: str) -> str:
-    return next((c for c in columns if test(c)), default)
-
-
-def _role_names(columns: list[str]) -> dict[str, str]:
-    """Column name for each role, chosen by name rules."""
-    if "price" in columns:
-        price = "price"
-    else:
-        price = _first(columns, lambda c: "price" in c, "price")
-    date = _first(columns, lambda c: "date" in c and "transfer" in c, "date_of_transfer")
-    if date not in columns:
-        date = _first(columns, lambda c: "date" in c, "date")
-    return {
-        "price": price,
-        "date": date,
-        "postcode": _first(columns, lambda c: "postcode" in c, "postcode"),
-        "property_type": _first(columns, lambda c: "property" in c and "type" in c, "property_type"),
-        "duration": _first(columns, lambda c: "duration" in c, "duration"),
-        "county": _first(columns, lambda c: "county" in c, "county"),
-        "district": _first(columns, lambda c: "district" in c, "district"),
-        "paon": _first(columns, lambda c: "paon" in c, "paon"),
-        "saon": _first(columns, lambda c: "saon" in c, "saon"),
-        "street": _first(columns, lambda c: "street" in c and "address" not in c.lower(), "street"),
-    }
-
-
-def resolve_roles(df: DataFrame) -> DataFrame:
-    """Project ``df`` onto the role columns (schema-time mapping, no data pass).
+
+def resolve_roles(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """Project ``df`` onto the role columns (schema-time mapping, no data
+    pass). ``roles`` names columns for roles; the others are matched by name.
 
     Adds ``transaction_id`` (null when absent) as the last tie-break key.
     Missing required roles raise; missing address parts become ''.
     """
-    names = _role_names(df.columns)
-    missing = [r for r in REQUIRED_ROLES if names[r] not in df.columns]
+    named = dict(roles or {})
+    unknown = [r for r in named if r not in ROLE_WORDS] + [c for c in named.values() if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such role or column: {unknown}")
+    found = {r: named.get(r) or match_role(r, df.columns) for r in ROLE_WORDS}
+    missing = [r for r, c in found.items() if c is None and r not in OPTIONAL_ROLES]
     if missing:
-        raise ValueError(f"cannot resolve columns for roles: {missing}")
-    cols = [F.col(names[r]).cast("string").alias(r) for r in REQUIRED_ROLES]
-    for r in OPTIONAL_ROLES:
-        cols.append(
-            (F.col(names[r]).cast("string") if names[r] in df.columns else F.lit("")).alias(r)
-        )
+        raise ValueError(f"no column fits the roles {missing}; name them in roles=")
     tid = F.col("transaction_id").cast("string") if "transaction_id" in df.columns else F.lit(None).cast("string")
-    return df.select(tid.alias("transaction_id"), *cols)
+    return df.select(tid.alias("transaction_id"), *[
+        (F.lit("") if c is None else F.col(c).cast("string")).alias(r) for r, c in found.items()])
+
+
+# A row's place in a load: files by path, blocks of a file by their start,
+# rows of a block as they are read.
+LOAD_PLACE = ["file_path", "block_start", "row_pos"]
 
 
-def read_key_value_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_key_value_csv(spark: SparkSession, path: str | list[str], with_place: bool = False) -> DataFrame:
     """Read a (key, value) CSV export with a header; values may hold commas
-    and escaped quotes, which a real CSV parser keeps intact."""
-    return (
+    and escaped quotes, which a real CSV parser keeps intact. ``with_place``
+    adds the columns ``LOAD_PLACE``."""
+    rows = (
         spark.read.schema(KEY_VALUE_SCHEMA)
         .option("header", True)
         .option("escape", "\\")
         .option("multiLine", False)
         .csv(path)
     )
+    if not with_place:
+        return rows
+    return rows.select(
+        "key", "value", F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_pos"))
 
 
 def write_key_value_csv(df: DataFrame, path: str) -> None:

@@ -34,38 +34,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has task
-    slots (one unsplittable file or row group) before per-row work. On real
-    inputs of many files/row groups the scan is already wide: no-op, no
-    shuffle. Hash partitioning on ``cols`` (round-robin when none) keeps the
-    row placement deterministic for task retries."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *cols) if cols else df.repartition(slots)
-
-
 def _s(c) -> F.Column:
     return c.cast("string")
 
 
 def raw_sales_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sale rows (16 string columns) derived from lineitem + supplier +
-    nation + region. Nation and region are fixed-size dimension tables."""
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
+    nation + region."""
+    # the test tables come as one unsplittable file each: deal the rows out
+    li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_extendedprice", "l_returnflag", "l_shipdate",
-    ), "l_orderkey")
+    ).repartition("l_orderkey")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    # nation/region hold 25/5 rows by definition; supplier grows with the
-    # data, so it is broadcast only after a row-count check
-    place = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(
-        F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    df = join_dimension(li, place, F.col("l_suppkey") == F.col("s_suppkey"))
+    df = join_dimension(li, supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    df = join_dimension(df, nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    df = join_dimension(df, region, F.col("n_regionkey") == F.col("r_regionkey"))
 
     ln = F.col("l_linenumber")
     part = F.col("l_partkey")

@@ -1,15 +1,16 @@
 """Parsing, dropping bad rows, role resolution."""
-from pyspark.sql import functions as F
+import pytest
 
-from segmetrics.operators.clean import borough_predicate, clean_sales
+from segmetrics.operators.clean import borough_predicate, clean_sales, rejected_sales
+from segmetrics.plans.build import performance_from_sales
 from segmetrics.sources.csv import read_raw_sales, resolve_roles
 from tests.conftest import raw_rows
 
 
 def sale(tid, price, date, **kw):
-    base = {"transaction_id": tid, "price": price, "date_of_transfer": date, "postcode": "N1 2AB",
-            "property_type": "F", "duration": "F", "paon": "10", "street": "Test Street",
-            "district": "Hackney", "county": "Greater London", "record_status": "D"}
+    base = {"transaction_id": tid, "price": price, "date_of_transfer": date, "postcode": "QX4 7ZZ",
+            "property_type": "T", "duration": "L", "paon": "3", "street": "Mill Lane",
+            "district": "Fenwick", "county": "North Vale", "record_status": "D"}
     base.update(kw)
     return base
 
@@ -30,43 +31,68 @@ def test_price_and_date_parsing(spark):
     assert set(got) == {"a", "b", "f", "i"}
     assert got["a"]["price"] == 250000.0 and got["b"]["price"] == 100000.0
     assert str(got["f"]["sale_date"]) == "2020-01-02" and got["f"]["year_sold"] == 2020
-    assert got["a"]["county"] == "greater london" and got["a"]["outcode"] == "n1"
-    assert got["a"]["house_type"] == "flat" and got["a"]["tenure"] == "freehold"
-    assert got["a"]["property_id"] == "n1 2ab|10||test street"
+    assert got["a"]["county"] == "north vale" and got["a"]["outcode"] == "qx4"
+    assert got["a"]["house_type"] == "terraced" and got["a"]["tenure"] == "leasehold"
+    assert got["a"]["property_id"] == "qx4 7zz|3||mill lane"
+    why = {r["transaction_id"]: r["reason"] for r in rejected_sales(raw_rows(spark, rows)).collect()}
+    assert why == {"c": "price", "d": "price", "e": "date", "g": "price", "h": "date"}
 
 
 def test_borough_prefilter_and_deletes_kept(spark):
-    rows = [sale("a", "1", "2019-01-01", district=" HACKNEY "), sale("b", "1", "2019-01-01", district="Camden")]
-    out = clean_sales(raw_rows(spark, rows), borough_predicate("Hackney")).collect()
+    rows = [sale("a", "1", "2019-01-01", district=" FENWICK "), sale("b", "1", "2019-01-01", district="Aldham")]
+    out = clean_sales(raw_rows(spark, rows), borough_predicate("Fenwick")).collect()
     assert [r["transaction_id"] for r in out] == ["a"]   # record_status 'D' is not filtered
 
 
 def test_csv_scan_positional_and_short_rows(spark, tmp_dir):
     path = f"{tmp_dir}/sales.csv"
     with open(path, "w") as f:
-        f.write("tid1,250000,2019-06-15 00:00,N1 2AB,F,N,F,10,,Test Street,,London,Hackney,Greater London,A,A\n")
-        f.write("tid2,280000,2021-07-20 00:00,N1 2AB\n")
+        f.write("s1,180000,2011-03-02 00:00,QX4 7ZZ,T,N,L,3,,Mill Lane,,Weirton,Fenwick,North Vale,A,A\n")
+        f.write("s2,90000,2014-07-01 00:00,QX4 1AA\n")
     df = read_raw_sales(spark, path)
     rows = {r["transaction_id"]: r for r in df.collect()}
-    assert rows["tid1"]["county"] == "Greater London" and rows["tid1"]["saon"] is None
-    assert rows["tid2"]["postcode"] == "N1 2AB" and rows["tid2"]["county"] is None
+    assert rows["s1"]["county"] == "North Vale" and rows["s1"]["saon"] is None
+    assert rows["s2"]["postcode"] == "QX4 1AA" and rows["s2"]["county"] is None
+
+
+NAMED = ("sale_price string, transfer_date string, postcode_full string, property_type string,"
+         " duration string, county string, district string, street_name string")
 
 
 def test_resolve_roles_by_name(spark):
-    df = spark.createDataFrame([("1", "2019-01-01", "N1", "F", "L", "Kent", "Dover", "x")],
-                               "sale_price string, transfer_date string, postcode_full string, property_type string,"
-                               " duration string, county string, district string, street_name string")
+    df = spark.createDataFrame([("1", "2019-01-01", "Q1", "F", "L", "Vale", "Weir", "x")], NAMED)
     r = resolve_roles(df)
     assert r.columns[:3] == ["transaction_id", "price", "date"]
     row = r.collect()[0]
     assert row["price"] == "1" and row["date"] == "2019-01-01" and row["street"] == "x" and row["paon"] == ""
 
 
+def test_resolve_roles_named_and_ambiguous(spark):
+    df = spark.createDataFrame([("1", "2019-01-01", "Q1", "F", "L", "Vale", "Weir", "x", "9")], NAMED + ", list_price string")
+    with pytest.raises(ValueError, match="price"):
+        resolve_roles(df)
+    assert resolve_roles(df, {"price": "list_price"}).first()["price"] == "9"
+    with pytest.raises(ValueError, match="county"):
+        resolve_roles(df.drop("county"), {"price": "list_price"})
+    with pytest.raises(ValueError):
+        resolve_roles(df, {"price": "no_such_column"})
+
+
+def test_reserved_values_are_rejected(spark):
+    rows = [sale("a", "100", "2011-01-01"), sale("b", "150", "2014-01-01", county=" ALL "), sale("c", "120", "2014-01-01"),
+            sale("d", "1", "2014-01-01", postcode="all 1")]
+    raw = raw_rows(spark, rows)
+    assert {r["transaction_id"]: r["reason"] for r in rejected_sales(raw).collect()} == {"b": "reserved", "d": "reserved"}
+    perf = performance_from_sales(clean_sales(raw)).collect()
+    for r in perf:     # each year once, and the sale that reads 'all' nowhere
+        assert [p["year_sold"] for p in r["line_graph"]] == ["2011", "2014"] and r["sale_count"] == 2
+
+
 def test_reserved_value_report(spark):
     from segmetrics.operators.clean import reserved_value_report
 
     rows = [sale("a", "1", "2019-01-01", county=" ALL "),
             sale("b", "1", "2019-01-01", paon=None, saon=None, street=None),
             sale("c", "1", "2019-01-01")]
-    r = reserved_value_report(clean_sales(raw_rows(spark, rows))).collect()[0]
+    r = reserved_value_report(clean_sales(raw_rows(spark, rows), keep_reserved=True)).collect()[0]
     assert (r["sales"], r["county_all"], r["tenure_all"], r["no_address"]) == (3, 1, 0, 1)
