@@ -1,8 +1,9 @@
-"""Command line: build the serving tables, export them, or run the loader.
+"""Command line: build the serving tables, export them, or load exports.
 
     python -m segmetrics build  --input SALES_CSV_DIR --output OUT_DIR [--borough NAME]
                                 [--require-address] [--export-csv]
-    python -m segmetrics load   --source DROP_DIR --table TABLE_DIR --checkpoint CKPT_DIR
+    python -m segmetrics load   --source EXPORT_DIR --table TABLE_DIR [--kind performance|dimension]
+    python -m segmetrics stream --source DROP_DIR --table TABLE_DIR --checkpoint CKPT_DIR
                                 [--kind performance|dimension] [--available-now]
 
 The session comes from the cluster defaults (master, memory, and
@@ -15,6 +16,8 @@ import json
 
 from pyspark.sql import SparkSession
 
+from segmetrics.config import SCALE_CONF
+
 
 def _build(args, spark: SparkSession) -> None:
     from segmetrics.functions.json import dimension_to_json, performance_to_json
@@ -34,6 +37,12 @@ def _build(args, spark: SparkSession) -> None:
 
 
 def _load(args, spark: SparkSession) -> None:
+    from segmetrics.plans.load import load_export
+
+    print(json.dumps(load_export(spark, args.source, args.table, args.kind)))
+
+
+def _stream(args, spark: SparkSession) -> None:
     from segmetrics.streaming.loader import start_dimension_loader, start_performance_loader
 
     start = start_performance_loader if args.kind == "performance" else start_dimension_loader
@@ -50,16 +59,23 @@ def main(argv=None) -> None:
     b.add_argument("--borough", help="keep only sales of this district (case-insensitive)")
     b.add_argument("--require-address", action="store_true", help="drop sales without any address part")
     b.add_argument("--export-csv", action="store_true", help="also write (key, value) CSV exports")
-    ld = sub.add_parser("load", help="stream (key, value) drops into a serving change table")
+    bl = sub.add_parser("load", help="apply a (key, value) export to a serving table")
+    bl.add_argument("--source", required=True)
+    bl.add_argument("--table", required=True)
+    bl.add_argument("--kind", choices=["performance", "dimension"], default="performance")
+    ld = sub.add_parser("stream", help="stream (key, value) drops into a serving change table")
     ld.add_argument("--source", required=True)
     ld.add_argument("--table", required=True)
     ld.add_argument("--checkpoint", required=True)
     ld.add_argument("--kind", choices=["performance", "dimension"], default="performance")
     ld.add_argument("--available-now", action="store_true", help="process what is there, then stop")
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName(f"segmetrics-{args.cmd}").getOrCreate()
+    builder = SparkSession.builder.appName(f"segmetrics-{args.cmd}")
+    for key, value in SCALE_CONF.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     try:
-        (_build if args.cmd == "build" else _load)(args, spark)
+        {"build": _build, "load": _load, "stream": _stream}[args.cmd](args, spark)
     finally:
         spark.stop()
 

@@ -1,9 +1,11 @@
 """Loading (key, value) exports into the serving tables, and upserts.
 
-Rows with a blank key or malformed JSON are rejected, not raised;
-dimension rows also need a non-empty ``sk``. Upsert is last-write-wins per
-key: one aggregation (``max_by`` over a load sequence), so many versions of
-one key are combined map-side instead of sorted in one task.
+Rows with a blank key or malformed JSON are rejected, not raised; dimension
+rows also need a non-empty ``sk``.
+
+An upsert reduces the load to the last row of each key, and takes the keys
+that it holds out of the table with an anti join that builds on the load:
+the table is streamed through, neither sorted nor aggregated.
 """
 from __future__ import annotations
 
@@ -14,102 +16,133 @@ from pyspark.sql import functions as F
 
 from segmetrics.functions.json import is_valid_json, parse_dimension_value, parse_performance_value
 from segmetrics.functions.keys import split_key
+from segmetrics.functions.text import strip
 from segmetrics.schema import HEATMAP_CELL, KEY_COLUMNS, LINE_POINT
+from segmetrics.sources.csv import LOAD_PLACE
 
+DIMENSION_KEYS = ["dimension_name", "value"]
 
-def _blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
 
+def _blank(c: str) -> Column:
+    return F.col(c).isNull() | (strip(c) == "")
 
-def parse_performance_kv(kv: DataFrame, seq: Column | int = 0, keep: Sequence[str] = ()) -> DataFrame:
-    """(key, value) text -> typed performance rows + ``load_seq``; rejects
-    dropped. Missing graphs default to empty arrays."""
-    ok = kv.where(~_blank(F.col("key")) & is_valid_json(F.trim(F.col("value"))))
-    parsed = ok.select(
-        F.trim("key").alias("_key"), parse_performance_value(F.trim(F.col("value"))).alias("v"),
-        (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("load_seq"),
-        *keep,
-    )
+
+def _well_formed(kv: DataFrame) -> DataFrame:
+    return kv.where(~_blank("key") & is_valid_json(F.col("value")))
+
+
+def _sequence(seq: Column | int | None) -> list[Column]:
+    if seq is None:
+        return []
+    return [(F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("load_seq")]
+
+
+def parse_performance_kv(kv: DataFrame, seq: Column | int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, value) text -> typed performance rows, and ``load_seq`` if
+    ``seq`` is given; rejects dropped. Missing graphs default to empty arrays."""
+    parsed = _well_formed(kv).select(
+        strip("key").alias("_key"), parse_performance_value(F.col("value")).alias("v"), *_sequence(seq), *keep)
+    rest = [c for c in parsed.columns if c not in ("_key", "v")]
     return parsed.select(
         *split_key("_key"),
         F.coalesce("v.line_graph", F.array().cast(f"array<{LINE_POINT.simpleString()}>")).alias("line_graph"),
         F.coalesce("v.heatmap_graph", F.array().cast(f"array<{HEATMAP_CELL.simpleString()}>")).alias("heatmap_graph"),
         F.col("v.sale_count").alias("sale_count"),
-        "load_seq",
-        *keep,
+        *rest,
     )
 
 
-def parse_dimension_kv(kv: DataFrame, seq: Column | int = 0, keep: Sequence[str] = ()) -> DataFrame:
+def parse_dimension_kv(kv: DataFrame, seq: Column | int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(key 'meta#<dim>', value {sk, label}) -> (dimension_name, value,
-    label, sale_count, load_seq); rows without sk are rejected."""
-    ok = kv.where(~_blank(F.col("key")) & is_valid_json(F.trim(F.col("value"))))
-    parsed = ok.select(
-        F.trim("key").alias("_key"), parse_dimension_value(F.trim(F.col("value"))).alias("v"),
-        (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("load_seq"),
-        *keep,
-    )
-    parsed = parsed.where(F.coalesce(F.col("v.sk"), F.lit("")) != "")
-    return parsed.select(
+    label, sale_count) and ``load_seq`` if ``seq`` is given; rows without sk
+    are rejected."""
+    parsed = _well_formed(kv).select(
+        strip("key").alias("_key"), parse_dimension_value(F.col("value")).alias("v"), *_sequence(seq), *keep)
+    rest = [c for c in parsed.columns if c not in ("_key", "v")]
+    return parsed.where(F.coalesce(F.col("v.sk"), F.lit("")) != "").select(
         F.regexp_replace("_key", "^meta#", "").alias("dimension_name"),
         F.col("v.sk").alias("value"),
         F.col("v.label").alias("label"),
         F.col("v.sale_count").alias("sale_count"),
-        "load_seq",
-        *keep,
+        *rest,
     )
 
 
-def load_report(kv: DataFrame, require_sk: bool = False) -> DataFrame:
-    """One-row report: rows read, blank keys, malformed values, loaded."""
-    value = F.trim(F.col("value"))
-    blank = _blank(F.col("key"))
-    bad = ~blank & ~is_valid_json(value)
+def _report(require_sk: bool) -> list[Column]:
+    blank = _blank("key")
+    bad = ~blank & ~is_valid_json(F.col("value"))
     no_sk = F.lit(False)
     if require_sk:
-        no_sk = ~blank & ~bad & (F.coalesce(parse_dimension_value(value)["sk"], F.lit("")) == "")
-    return kv.agg(
+        no_sk = ~blank & ~bad & (F.coalesce(parse_dimension_value(F.col("value"))["sk"], F.lit("")) == "")
+    return [
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(blank).alias("blank_key"),
         F.count_if(bad).alias("malformed"),
         F.count_if(no_sk).alias("missing_sk"),
         F.count_if(~blank & ~bad & ~no_sk).alias("loaded"),
-    )
+    ]
 
 
-def upsert(
-    existing: DataFrame,
-    incoming: DataFrame,
-    keys: Sequence[str],
-    seq: str | Sequence[str] = "load_seq",
-) -> DataFrame:
-    """Last write wins per key: the row with the highest ``seq`` (a column
-    or a list of columns compared in order) replaces the others; existing
-    rows rank below every incoming row when they carry no ``seq``."""
-    order = [seq] if isinstance(seq, str) else list(seq)
-    cols = [c for c in existing.columns if c not in keys and c not in order]
-
-    def with_order(df: DataFrame, default: bool) -> DataFrame:
-        extra = [
-            (F.lit(-1).cast("long") if default or o not in df.columns else F.col(o).cast("long")).alias(o)
-            for o in order
-        ]
-        return df.select(*keys, *cols, *extra)
-
-    both = with_order(existing, default=not set(order) <= set(existing.columns)).unionByName(
-        with_order(incoming, default=False)
-    )
-    latest = both.groupBy(*keys).agg(
-        F.max_by(F.struct(*cols, *order), F.struct(*order)).alias("_row")
-    )
-    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in [*cols, *order]])
+def load_report(kv: DataFrame, require_sk: bool = False) -> DataFrame:
+    """One-row report: rows read, blank keys, malformed values, loaded."""
+    return kv.agg(*_report(require_sk))
+
+
+def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int | None = None, keep: Sequence[str] = ()):
+    """Parse a (key, value) load and count rows read / rejected *in the same
+    pass* that writes it: returns (rows, Observation); the observation is
+    filled when the first action on ``rows`` completes."""
+    from pyspark.sql import Observation
+
+    obs = Observation(f"{kind}_load")
+    observed = kv.observe(obs, *_report(kind != "performance"))
+    parse = parse_performance_kv if kind == "performance" else parse_dimension_kv
+    return parse(observed, seq, keep), obs
+
+
+def last_of_load(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key by ``order``; rows that tie there are told
+    apart by a hash of their content, so the result never depends on how the
+    rows are laid out. ``order`` columns other than a sequence are dropped."""
+    cols = [c for c in rows.columns if c not in keys]
+    place = F.struct(*order, F.xxhash64(*rows.columns).alias("_content"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), place).alias("_row"))
+    return last.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in cols if c not in LOAD_PLACE])
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], seq: str = "load_seq") -> DataFrame:
+    """The table after the load: the load's last row of each of its keys, and
+    the table's rows of all other keys.
+
+    Rows of a load are ordered by ``seq`` if they carry it, then by their
+    place in the files (``LOAD_PLACE``) if they carry that. If the table and
+    the load both carry ``seq``, a table row with a greater one stays; if
+    neither does, the load wins. One side alone is an error: it cannot be
+    told which row is newer."""
+    if (seq in existing.columns) != (seq in incoming.columns):
+        raise ValueError(f"'{seq}' must be in both, the table and the load, or in neither")
+    order = [c for c in [seq, *LOAD_PLACE] if c in incoming.columns]
+    latest = last_of_load(incoming, keys, order).select(*existing.columns)
+    n = {k: F.col(f"n.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys}
+    same = None
+    for c in n.values():
+        same = c if same is None else same & c
+    load_keys = latest.select(*keys, *([seq] if seq in existing.columns else [])).hint("shuffle_hash").alias("n")
+    if seq not in existing.columns:
+        return existing.alias("t").join(load_keys, same, "left_anti").unionByName(latest)
+    stays = F.col(f"t.{seq}") > F.col(f"n.{seq}")
+    kept = existing.alias("t").join(load_keys, same & ~F.coalesce(stays, F.lit(False)), "left_anti")
+    newer = existing.select(*keys, seq).alias("t").join(load_keys, same & stays).select(*[F.col(f"t.{k}") for k in keys])
+    match = None
+    for k in keys:
+        c = F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}"))
+        match = c if match is None else match & c
+    return kept.unionByName(latest.alias("l").join(newer.alias("o"), match, "left_anti"))
 
 
 def latest(rows: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
     """Current view of an append-only change table: last row per key."""
-    cols = [c for c in rows.columns if c not in keys and c not in seq]
-    agg = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*seq)).alias("_row"))
-    return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in cols])
+    return last_of_load(rows, keys, seq).drop(*seq)
 
 
 def upsert_performance(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -117,27 +150,4 @@ def upsert_performance(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_dimension(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    return upsert(existing, incoming, ["dimension_name", "value"])
-
-
-def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int = 0, keep: Sequence[str] = ()):
-    """Parse a (key, value) load and count rows read / rejected *in the same
-    pass* that writes it: returns (rows, Observation); the observation is
-    filled when the first action on ``rows`` completes."""
-    from pyspark.sql import Observation
-
-    obs = Observation(f"{kind}_load")
-    value = F.trim(F.col("value"))
-    blank = _blank(F.col("key"))
-    bad = ~blank & ~is_valid_json(value)
-    metrics = [
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(blank).alias("blank_key"),
-        F.count_if(bad).alias("malformed"),
-    ]
-    if kind != "performance":
-        no_sk = ~blank & ~bad & (F.coalesce(parse_dimension_value(value)["sk"], F.lit("")) == "")
-        metrics.append(F.count_if(no_sk).alias("missing_sk"))
-    observed = kv.observe(obs, *metrics)
-    parse = parse_performance_kv if kind == "performance" else parse_dimension_kv
-    return parse(observed, seq, keep), obs
+    return upsert(existing, incoming, DIMENSION_KEYS)

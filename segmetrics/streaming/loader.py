@@ -3,10 +3,9 @@
 A file source watches a drop folder; each micro-batch is parsed with the
 same rules as the batch loader (blank keys and malformed JSON rejected,
 missing graphs -> []) and appended to a change table partitioned by batch
-id. Every row carries ``load_seq`` (the batch id) and ``row_seq`` (its
-position in the batch, increasing with file split and row order), so the
-current table is the last row per key: a ``max_by`` aggregation at read
-time. Rejected rows are counted in the same pass that writes a batch
+id. Every row carries ``load_seq`` (the batch id) and its place in the
+files of the batch (path, block, row), so the current table is the last row
+per key: a ``max_by`` aggregation at read time. Rejected rows are counted in the same pass that writes a batch
 (``observe``) and kept as one report row per batch. A batch is written to its
 own ``load_seq=<id>`` folder with overwrite,
 so a replayed batch after a failure replaces itself (exactly-once with the
@@ -21,8 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from segmetrics.operators.upsert import latest, observed_load
 from segmetrics.schema import KEY_COLUMNS, KEY_VALUE_SCHEMA
+from segmetrics.sources.csv import LOAD_PLACE
 
-SEQ = ["load_seq", "row_seq"]
+SEQ = ["load_seq", *LOAD_PLACE]
 
 
 def _drops(spark: SparkSession, source_dir: str, files_per_batch: int) -> DataFrame:
@@ -32,6 +32,8 @@ def _drops(spark: SparkSession, source_dir: str, files_per_batch: int) -> DataFr
         .option("escape", "\\")
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(source_dir)
+        .select("key", "value", F.col("_metadata.file_path").alias("file_path"),
+                F.col("_metadata.file_block_start").alias("block_start"))
     )
 
 
@@ -45,13 +47,11 @@ def _start(
     available_now: bool,
 ) -> StreamingQuery:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows, obs = observed_load(batch.withColumn("row_seq", F.monotonically_increasing_id()), kind,
-                                  batch_id, keep=["row_seq"])
+        rows, obs = observed_load(batch.withColumn("row_pos", F.monotonically_increasing_id()), kind,
+                                  batch_id, keep=LOAD_PLACE)
         rows.drop("load_seq").write.mode("overwrite").parquet(os.path.join(table_dir, f"load_seq={batch_id}"))
         # rows read / rejected, counted in the same pass as the write above
         report = {"load_seq": batch_id, **obs.get}
-        report["loaded"] = (report["rows_read"] - report["blank_key"] - report["malformed"]
-                            - report.get("missing_sk", 0))
         batch.sparkSession.createDataFrame([report]).write.mode("overwrite").json(
             os.path.join(table_dir, "_load_reports", f"load_seq={batch_id}"))
 
