@@ -2,10 +2,10 @@
 folder for intermediate tables (read from ``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale; all are plain Spark SQL configs.
 SCALE_CONF = {
@@ -15,10 +15,6 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    # RDD-level writes (the checkpoint of clean sales) go through this
-    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
-    # remove checkpoint files once the DataFrame using them is gone
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,24 +33,35 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark.sparkContext.setLogLevel("ERROR")
     if checkpoint_dir and not shared_dir(spark, required=False):
         spark.conf.set("spark.checkpoint.dir", checkpoint_dir)
-        spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark
 
 
 def shared_dir(spark: SparkSession, required: bool = True) -> str | None:
     """The cluster's shared folder for intermediate data
-    (``spark.checkpoint.dir``); never a machine-local default."""
+    (``spark.checkpoint.dir``), or None if the session names none."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # noqa: BLE001 - no SparkContext on a Connect session
-            d = None
     if not d and required:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     return d
 
 
+def work_dir(spark: SparkSession) -> str:
+    """``shared_dir``; a local session that names none, as in tests, gets a
+    fresh folder of its own, any other session an error."""
+    if not shared_dir(spark, required=False) and spark.conf.get("spark.master", "").startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-work-"))
+    return shared_dir(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one written table."""
-    return os.path.join(shared_dir(spark), "segmetrics", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{work_dir(spark).rstrip('/')}/segmetrics/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back:
+    later branches and lost executors re-read the files, not the plan. It
+    has as many parts as the plan had partitions."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

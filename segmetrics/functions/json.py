@@ -2,8 +2,7 @@
 
 Typed nested columns are the working form; JSON text only exists at the
 export/import edge. Export rounds like the served documents: 2 decimals,
-1 for ``pct_sales_appreciated``, half-even (``bround``); missing pounds
-metrics print 0.0, missing percent metrics print null.
+1 for ``pct_sales_appreciated``, half-even; missing pounds print 0.0, missing percent metrics print null.
 """
 from __future__ import annotations
 
@@ -11,13 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmetrics.functions.keys import segment_key
+from segmetrics.functions.text import strip
 from segmetrics.schema import DIMENSION_VALUE, PERFORMANCE_VALUE
 
 _OPTS = {"ignoreNullFields": "false"}
 
 
 def _r(c: Column, digits: int = 2) -> Column:
-    return F.bround(c, digits)
+    """Round a double as the value that it is, half to even. ``bround`` rounds
+    its shortest decimal text: where that ends in a 5 at the next digit, the
+    value may lie to either side of it. There the side is taken from the
+    exact remainder of ``c`` times a power of ten (by splitting ``c`` in two
+    halves whose products are exact)."""
+    power = float(10 ** (digits + 1))
+    whole = F.rint(c * power)
+    high = c * 134217729.0 - (c * 134217729.0 - c)
+    rest = (high * power - whole) + (c - high) * power
+    near_tie = (F.abs(whole) % 10 == 5) & (rest != 0) & (F.abs(rest) < 0.25)
+    low = F.floor(F.abs(whole) / 10).cast("double")
+    side = F.when((rest > 0) == (c > 0), low + 1).otherwise(low)
+    return F.when(near_tie, F.signum(c) * side / float(10 ** digits)).otherwise(F.bround(c, digits))
 
 
 def export_line_graph(points: Column) -> Column:
@@ -85,4 +97,4 @@ def parse_dimension_value(value: Column) -> Column:
 
 def is_valid_json(value: Column) -> Column:
     """True when ``value`` is non-blank, well-formed JSON."""
-    return value.isNotNull() & (F.trim(value) != "") & F.try_parse_json(value).isNotNull()
+    return value.isNotNull() & (strip(value) != "") & F.try_parse_json(value).isNotNull()

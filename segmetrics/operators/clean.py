@@ -1,5 +1,9 @@
 """Cleaning: parse price and date, drop unparseable rows, derive segment
-columns and the property id. Native expressions only (ANSI-safe ``try_*``)."""
+columns and the property id. Native expressions only (ANSI-safe ``try_*``).
+
+A sale is rejected if its price or date does not parse, or if a segment
+value reads ``all``: that is the key of the roll-ups, and such a sale would
+count twice in them. ``rejected_sales`` returns these rows with the reason."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from segmetrics.functions.keys import property_id
 from segmetrics.functions.text import house_type, is_blank, normalise, outcode, tenure
+from segmetrics.schema import ALL
 from segmetrics.sources.csv import resolve_roles
 
 SALE_COLUMNS = [
@@ -23,16 +28,32 @@ SALE_COLUMNS = [
 ]
 
 
-def parse_price_date(roles: DataFrame) -> DataFrame:
-    """Add ``price`` (double), ``sale_date`` (date), ``year_sold`` (int); rows
-    whose price or date does not parse are dropped, not raised."""
+SEGMENT_COLUMNS = ["county", "outcode", "district", "house_type", "tenure"]
+
+
+def _parsed(roles: DataFrame) -> DataFrame:
+    """``price`` (double), ``sale_date`` (date) and ``year_sold`` (int), null
+    where the text does not parse."""
     price = F.col("price").try_cast("double")
     sale_date = F.try_to_date(F.substring(F.trim(F.col("date")), 1, 10), "yyyy-MM-dd")
     out = roles.withColumn("price", price).withColumn("sale_date", sale_date)
-    out = out.where(F.col("price").isNotNull() & F.col("sale_date").isNotNull())
     return out.withColumn("year_sold", F.year("sale_date"))
 
 
+def parse_price_date(roles: DataFrame) -> DataFrame:
+    """Add ``price``, ``sale_date`` and ``year_sold``; rows whose price or
+    date does not parse are dropped, not raised."""
+    return _parsed(roles).where(F.col("price").isNotNull() & F.col("sale_date").isNotNull())
+
+
+def reserved(columns: list[str] = SEGMENT_COLUMNS) -> Column:
+    """True for a sale with a segment value that is the roll-up key."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | (F.col(c) == ALL)
+    return out
+
+
 def borough_predicate(value: str) -> Column:
     """Pre-filter on the raw district: lower(trim(district)) == value."""
     return F.lower(F.trim(F.col("district"))) == F.lit(value.strip().lower())
@@ -74,18 +95,30 @@ def clean_sales(
     raw: DataFrame,
     predicate: Column | None = None,
     require_address: bool = False,
+    keep_reserved: bool = False,
+    roles: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Raw sale table (any column names the role rules resolve) -> clean sales."""
-    parsed = parse_price_date(resolve_roles(raw))
-    return segment_columns(prefilter(parsed, predicate), require_address)
+    """Raw sale table -> clean sales. ``roles`` names columns where the role
+    rules don't settle them; ``keep_reserved`` keeps the sales whose segment
+    values read ``all`` (for reports, never for the cube)."""
+    parsed = parse_price_date(resolve_roles(raw, roles))
+    sales = segment_columns(prefilter(parsed, predicate), require_address)
+    return sales if keep_reserved else sales.where(~reserved())
+
+
+def rejected_sales(raw: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """The raw sales that ``clean_sales`` leaves out: transaction_id and the
+    first reason that holds: price, date or reserved."""
+    parsed = _parsed(resolve_roles(raw, roles))
+    marked = segment_columns(parsed).withColumn("reason", F.when(F.col("price").isNull(), "price").when(
+        F.col("sale_date").isNull(), "date").when(reserved(), "reserved"))
+    return marked.where(F.col("reason").isNotNull()).select("transaction_id", "reason")
 
 
 def reserved_value_report(sales: DataFrame) -> DataFrame:
     """Data-quality check: rows whose cleaned segment value is the literal
     'all' (it would collide with the roll-up key), and rows without any
     address part (they pair up as false repeat sales). One pass, one row."""
-    from segmetrics.schema import ALL
-
-    counts = [F.count_if(F.col(c) == ALL).alias(f"{c}_all") for c in ("county", "outcode", "district", "house_type", "tenure")]
+    counts = [F.count_if(F.col(c) == ALL).alias(f"{c}_all") for c in SEGMENT_COLUMNS]
     no_address = F.count_if(F.col("property_id").rlike(r"^[^|]*\|\|\|$")).alias("no_address")
     return sales.agg(F.count(F.lit(1)).alias("sales"), *counts, no_address)

@@ -8,7 +8,10 @@ value-or-'all' masks = 24 segments.
   themselves: {county}, {outcode}, {district}, {} x CUBE(house type, tenure).
   The {} sets are identical for every location type, so they are computed
   once and copied to the three types after aggregation.
-* ``affected_keys``    the 8 keys a given segment row contributes to.
+* ``affected_keys``    the keys a given segment row contributes to.
+
+The dimensions next to the location are a parameter: with the size band as
+a third, a sale counts toward 48 segments.
 
 Aggregates are passed in as aliased Columns; the grouping is the
 ``Expand`` + partial/final ``HashAggregate`` Catalyst plans for grouping sets,
@@ -118,20 +121,17 @@ def segment_cube_gs(
     return exploded.select(*_key_select(values, by, metrics))
 
 
-def affected_keys(segments: DataFrame) -> DataFrame:
-    """For each segment row (the 6 key columns, 'all' allowed) list the 8
-    keys whose aggregates it feeds: each of location value, house type and
-    tenure either kept or replaced by 'all'. Adds ``mask`` (0..7)."""
-    masks = F.array(*[F.lit(i) for i in range(8)])
+def affected_keys(segments: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """For each segment row (the 6 key columns, 'all' allowed) list the keys
+    whose aggregates it feeds: the location value and each of ``dims`` either
+    kept or replaced by 'all' (8 keys for two dimensions). Adds ``mask``."""
+    parts = ["location_value", *dims]
+    masks = F.array(*[F.lit(i) for i in range(1 << len(parts))])
     out = segments.select("*", F.explode(masks).alias("mask"))
-    pick = lambda c, bit: F.when((F.col("mask").bitwiseAND(F.lit(bit))) != 0, F.lit(ALL)).otherwise(F.col(c))
-    return out.select(
-        *[c for c in segments.columns if c not in ("location_value", "house_type", "tenure")],
-        "mask",
-        pick("location_value", 4).alias("affected_location_value"),
-        pick("house_type", 2).alias("affected_house_type"),
-        pick("tenure", 1).alias("affected_tenure"),
-        F.col("location_value"),
-        F.col("house_type"),
-        F.col("tenure"),
-    )
+
+    def pick(place: int, c: str) -> Column:
+        bit = F.lit(1 << (len(parts) - 1 - place))
+        return F.when(F.col("mask").bitwiseAND(bit) != 0, F.lit(ALL)).otherwise(F.col(c)).alias(f"affected_{c}")
+
+    return out.select(*[c for c in segments.columns if c not in parts], "mask",
+                      *[pick(i, c) for i, c in enumerate(parts)], *parts)

@@ -1,41 +1,25 @@
-"""Fact-to-dimension joins with a checked broadcast.
+"""Fact-to-dimension joins.
 
-A dimension side is broadcast only after its row count is measured and
-found under ``max_rows``; beyond that the join is a shuffle (sort-merge)
-join. The fact side is never broadcast, whatever the file-size estimate
-says (a small compressed file can hide a large table).
+A dimension is broadcast only if the optimizer's size of it is within
+``MAX_BROADCAST_BYTES``; the check reads statistics, not data. Beyond that
+the join shuffles both sides, and Spark splits skewed keys. The fact side is
+never broadcast: a small compressed file can hold a large table.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bounds for a dimension side that may be shipped to every executor.
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def _row_width(df: DataFrame) -> int:
-    """Spark's default size estimate of one row of ``df`` (bytes)."""
-    try:
-        return int(df._jdf.schema().defaultSize())
-    except Exception:  # noqa: BLE001 - no JVM handle (Connect): assume wide rows
-        return 256
-
-
-def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame | None:
-    """``broadcast(dim)`` when its measured row count is at most ``max_rows``
-    and count x row width at most ``max_bytes``, else None. The check reads
-    at most ``limit + 1`` rows of ``dim``."""
-    limit = min(max_rows, max(1, max_bytes // max(1, _row_width(dim))))
-    n = dim.limit(limit + 1).count()
-    return F.broadcast(dim) if n <= limit else None
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list, how: str = "inner",
-                   max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    small = checked_broadcast(dim, max_rows, max_bytes)
-    if small is not None:
-        return fact.join(small, on, how)
+                   max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    if estimated_bytes(dim) <= max_bytes:
+        return fact.join(F.broadcast(dim), on, how)
     return fact.hint("merge").join(dim.hint("merge"), on, how)

@@ -1,87 +1,76 @@
 """Merging several series into one (count-weighted), per group.
 
-``items`` has a group column, an item id and one series array per row; the
-result has one row per (group, year) or (group, year bought, year sold).
-A group of one item passes its values through unchanged.
+``items`` has a group column and one series array per row; the result has one
+row per (group, year) or (group, year bought, year sold). A group of one item
+passes its values through unchanged.
 
 Line: weighted mean of avg/median/mode by sale_count, counts summed; when
 the counts sum to 0, the plain mean.
 Heatmap: as line for the pounds metrics and the appreciated share; percent
 metrics skip null values in both numerator and weight (all null -> null);
 with a zero total count, nulls count as 0 in a plain mean.
+
+Series are exploded first and combined map-side per (group, year); the number
+of items of a group, which tells a single item from a point that only one
+of several items has, is a narrow count joined to the merged rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_VALUES = ["avg_price", "median_price", "mode_price"]
 HEAT_POUNDS = ["avg_appreciation_pounds", "median_appreciation_pounds", "pct_sales_appreciated"]
 HEAT_PCT = ["avg_appreciation_pct", "median_appreciation_pct"]
+HEAT_OUT = ["avg_appreciation_pounds", "median_appreciation_pounds", "sale_count",
+            "avg_appreciation_pct", "median_appreciation_pct", "pct_sales_appreciated"]
 
 
-def _with_item_count(items: DataFrame, group: str) -> DataFrame:
-    # items per group are segments (bounded by the key space, not by sales);
-    # the window's shuffle on the group also serves the (group, year)
-    # aggregation that follows, and the items plan runs once
-    return items.withColumn("_n_items", F.count(F.lit(1)).over(Window.partitionBy(group)))
+def _merge(items: DataFrame, group: str, series: str, by: Sequence[str], values: dict[str, list[Column]],
+           choose) -> DataFrame:
+    """Partial sums per (group, by), joined with the group's item count."""
+    points = items.select(group, F.explode(series).alias("p")).select(group, "p.*")
+    n = F.col("sale_count")
+    sums = [F.sum(n).cast("bigint").alias("sale_count")]
+    for v, parts in values.items():
+        sums += [F.max(v).alias(f"_one_{v}"), *parts]
+    merged = points.groupBy(group, *by).agg(*sums)
+    count = items.groupBy(F.col(group).alias("_group")).agg((F.count(F.lit(1)) == 1).alias("_single"))
+    both = merged.join(count, F.col(group).eqNullSafe(F.col("_group")))
+    out = {v: F.when(F.col("_single"), F.col(f"_one_{v}")).otherwise(choose(v)).alias(v) for v in values}
+    return both.select(group, *by, "sale_count", *out.values())
 
 
-def _weighted(v: str, n: Column, total: Column) -> Column:
-    return F.try_divide(F.sum(F.col(v) * n), total)
+def _weighted(v: str) -> list[Column]:
+    n = F.col("sale_count")
+    has = F.col(v).isNotNull()
+    return [F.sum(F.when(has, F.col(v) * n)).alias(f"_sum_{v}"), F.sum(F.when(has, n)).alias(f"_weight_{v}")]
 
 
 def merge_line(items: DataFrame, group: str, series: str = "line_graph") -> DataFrame:
-    pts = _with_item_count(items, group).select(
-        group, "_n_items", F.explode(series).alias("p")
-    ).select(group, "_n_items", "p.*")
-    n = F.col("sale_count")
-    total = F.sum(n)
-    aggs = [F.first("_n_items").alias("_n_items"), total.cast("bigint").alias("sale_count")]
-    for v in LINE_VALUES:
-        single = F.max(v)
-        plain = F.avg(v)
-        aggs.append(
-            F.when(F.first("_n_items") == 1, single)
-            .when(total == 0, plain)
-            .otherwise(_weighted(v, n, total))
-            .alias(v)
-        )
-    out = pts.groupBy(group, "year_sold").agg(*aggs)
-    return out.select(group, "year_sold", *LINE_VALUES, "sale_count")
+    values = {v: [*_weighted(v), F.avg(v).alias(f"_plain_{v}")] for v in LINE_VALUES}
+
+    def choose(v: str) -> Column:
+        return F.when(F.col("sale_count") == 0, F.col(f"_plain_{v}")).otherwise(
+            F.try_divide(F.col(f"_sum_{v}"), F.col("sale_count")))
+
+    return _merge(items, group, series, ["year_sold"], values, choose).select(
+        group, "year_sold", *LINE_VALUES, "sale_count")
 
 
 def merge_heatmap(items: DataFrame, group: str, series: str = "heatmap_graph") -> DataFrame:
-    cells = _with_item_count(items, group).select(
-        group, "_n_items", F.explode(series).alias("c")
-    ).select(group, "_n_items", "c.*")
-    n = F.col("sale_count")
-    total = F.sum(n)
-    single_item = F.first("_n_items") == 1
-    aggs = [total.cast("bigint").alias("sale_count")]
-    for v in HEAT_POUNDS:
-        aggs.append(
-            F.when(single_item, F.max(v))
-            .when(total == 0, F.avg(F.coalesce(F.col(v), F.lit(0.0))))
-            .otherwise(_weighted(v, n, total))
-            .alias(v)
-        )
-    for v in HEAT_PCT:
-        has = F.col(v).isNotNull()
-        wsum = F.sum(F.when(has, F.col(v) * n))
-        wn = F.sum(F.when(has, n))
-        aggs.append(
-            F.when(single_item, F.max(v))
-            .when(total == 0, F.avg(F.coalesce(F.col(v), F.lit(0.0))))
-            .otherwise(F.try_divide(wsum, wn))
-            .alias(v)
-        )
-    out = cells.groupBy(group, "year_bought", "year_sold").agg(*aggs)
-    return out.select(
-        group, "year_bought", "year_sold",
-        "avg_appreciation_pounds", "median_appreciation_pounds", "sale_count",
-        "avg_appreciation_pct", "median_appreciation_pct", "pct_sales_appreciated",
-    )
+    values = {v: [*_weighted(v), F.avg(F.coalesce(F.col(v), F.lit(0.0))).alias(f"_plain_{v}")]
+              for v in [*HEAT_POUNDS, *HEAT_PCT]}
+
+    def choose(v: str) -> Column:
+        weight = f"_weight_{v}" if v in HEAT_PCT else "sale_count"
+        return F.when(F.col("sale_count") == 0, F.col(f"_plain_{v}")).otherwise(
+            F.try_divide(F.col(f"_sum_{v}"), F.col(weight)))
+
+    return _merge(items, group, series, ["year_bought", "year_sold"], values, choose).select(
+        group, "year_bought", "year_sold", *HEAT_OUT)
 
 
 def to_line_series(merged: DataFrame, group: str) -> DataFrame:

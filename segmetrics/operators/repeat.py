@@ -1,77 +1,50 @@
 """Repeat sales: pair every sale with the previous sale of the same property.
 
 Order inside a property is (sale_date, price, transaction_id). The pairing
-equals a per-property ``lag``, computed so that no task has to hold all
-sales of a property, nor of a property-day:
+equals a per-property ``lag``, computed in parts so that no task holds all
+sales of a property, or of a property-day:
 
-1. Ties: within one (property, day, price) every sale but the first (lowest
-   transaction id) pairs with a sale of the same day and price. Finding the
-   first is an aggregation, combined map-side, so duplicated or bulk sales
-   never gather in one task.
-2. Within a day: the first sale at a price pairs with the day's previous
-   *distinct* price - a window over the distinct prices of one
-   property-day.
-3. Across days: the first price of a day pairs with the highest price of
-   the property's previous sale *day* - a window over the property's sale
-   days, bounded by the calendar.
+1. Parts. The sales of a property are cut by day and price band, a cut that
+   follows their order. A window over each part pairs all but its first sale.
+2. Carry. The last sale of each part goes to the next part of its property:
+   a window over one narrow row per part, so over at most days x bands of a
+   property, whatever the number of its sales.
+3. The first sale of each part takes what is carried there.
 
-Every step is keyed by (property_id, sale_date) or coarser; on sales
-hash-partitioned by (property_id, sale_date) (see ``plans.build``) steps 1-2
-and the join back run without moving the sales; only the per-day rows of
-step 3 are shuffled.
+A bulk of sales with one property, day and price is one part still; it pairs
+with itself at equal date and price, so only its first sale needs finding.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PD = ["property_id", "sale_date"]
 
 
-def _order_key() -> F.Column:
-    # transaction id ascending, nulls first
-    return F.struct(F.col("transaction_id").isNotNull().alias("has"), F.col("transaction_id").alias("tid"))
+def _band(price: Column) -> Column:
+    """Price band, growing with the price: sixteen to each doubling; one for
+    what isn't positive, one for NaN, which sorts last."""
+    return (F.when(F.isnan(price), F.lit(1 << 20)).when(price > 0, F.floor(F.log2(price) * 16).cast("int"))
+            .otherwise(F.lit(-(1 << 20))))
 
 
 def with_predecessor(sales: DataFrame) -> DataFrame:
     """Add ``bought_date``, ``bought_price``, ``bought_year`` (null when the
     sale is the property's first)."""
-    # 1. distinct (property, day, price) with the first sale's order key
-    prices = sales.groupBy(*PD, "price").agg(F.min(_order_key()).alias("_first"))
-    # 2. previous distinct price within the property-day
-    in_day = Window.partitionBy(*PD).orderBy("price")
-    prices = prices.withColumn("_prev_price", F.lag("price").over(in_day))
-    per_day = prices.groupBy(*PD).agg(
-        F.map_from_entries(F.collect_list(F.struct("price", F.struct("_first", "_prev_price")))).alias("_prices"),
-        F.max("price").alias("_last_price"),
-    )
-    # 3. last price of the previous sale day
-    by_day = Window.partitionBy("property_id").orderBy("sale_date")
-    per_day = per_day.withColumn(
-        "_prev_day",
-        F.lag(F.struct(F.col("sale_date").alias("d"), F.col("_last_price").alias("p"))).over(by_day),
-    ).drop("_last_price")
-
-    joined = sales.join(per_day, PD, "left")
-    info = F.try_element_at(F.col("_prices"), F.col("price"))
-    is_first = _order_key().eqNullSafe(info["_first"])
-    first_of_day = info["_prev_price"].isNull()
-    bought_date = (
-        F.when(~is_first, F.col("sale_date"))
-        .when(first_of_day, F.col("_prev_day.d"))
-        .otherwise(F.col("sale_date"))
-    )
-    bought_price = (
-        F.when(~is_first, F.col("price"))
-        .when(first_of_day, F.col("_prev_day.p"))
-        .otherwise(info["_prev_price"])
-    )
-    return (
-        joined.withColumn("bought_date", bought_date)
-        .withColumn("bought_price", bought_price)
-        .withColumn("bought_year", F.year("bought_date"))
-        .drop("_prices", "_prev_day")
-    )
+    part = [*PD, "_band"]
+    inside = Window.partitionBy(*part).orderBy(F.col("price"), F.col("transaction_id").asc_nulls_first())
+    paired = sales.withColumn("_band", _band(F.col("price"))).withColumns(
+        {"_previous": F.lag("price").over(inside), "_more": F.lead(F.lit(1)).over(inside)})
+    ends = paired.where(F.col("_more").isNull()).select(*part, F.struct(F.col("sale_date").alias("d"), F.col("price").alias("p")).alias("end"))
+    parts = Window.partitionBy("property_id").orderBy("sale_date", "_band")
+    carried = ends.select(*part, F.lag("end").over(parts).alias("_carried"))
+    both = paired.join(carried, part)
+    first = F.col("_previous").isNull()
+    bought_date = F.when(first, F.col("_carried.d")).otherwise(F.col("sale_date"))
+    bought_price = F.when(first, F.col("_carried.p")).otherwise(F.col("_previous"))
+    return both.withColumns({"bought_date": bought_date, "bought_price": bought_price}).withColumn(
+        "bought_year", F.year("bought_date")).select(*sales.columns, "bought_date", "bought_price", "bought_year")
 
 
 def with_appreciation(df: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 """Grid views of heatmap cells: metric selection, long form, colour range,
 min-max scaling and the year x year grid.
 
-Cells are the served shape, one row per (segment, year_bought, year_sold).
-A segment holds at most years^2 cells, so per-segment windows stay small.
+A segment's cells lie in one array (``heatmap_graph``, the served shape), so
+ranges and grids are computed inside the row and exploded last: no shuffle,
+and a segment without cells keeps its rows.
 """
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmetrics.schema import (
@@ -19,40 +20,50 @@ from segmetrics.schema import (
     KEY_COLUMNS,
 )
 
-CELL_KEY = [*KEY_COLUMNS, "year_bought", "year_sold"]
+CELLS = "heatmap_graph"
 
 
-def metric_value(metric: str) -> Column:
-    """Cell value for a metric name; an unknown name gives the default."""
-    name = metric if metric in HEATMAP_METRICS else HEATMAP_METRIC_DEFAULT
-    return F.col(name).cast("double")
+def metric_name(metric: str) -> str:
+    """The metric, or the default for an unknown name."""
+    return metric if metric in HEATMAP_METRICS else HEATMAP_METRIC_DEFAULT
 
 
-def metric_long(cells: DataFrame, keys: Sequence[str] = CELL_KEY) -> DataFrame:
-    """One row per (cell, metric) for all six metrics (``stack``)."""
-    args = ", ".join(f"'{m}', cast(`{m}` as double)" for m in HEATMAP_METRICS)
-    return cells.select(*keys, F.expr(f"stack({len(HEATMAP_METRICS)}, {args}) AS (metric, value)"))
+def metric_value(cell: Column, metric: str) -> Column:
+    return cell[metric_name(metric)].cast("double")
 
 
-def metric_range(long: DataFrame, keys: Sequence[str] = KEY_COLUMNS) -> DataFrame:
-    """Per (segment, metric): min and max over non-null values, over all
-    cells; no value -> min 0; max <= min -> max = min + 1."""
-    agg = long.groupBy(*keys, "metric").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    lo = F.coalesce(F.col("_lo"), F.lit(0.0))
-    hi = F.when(F.col("_hi").isNull() | (F.col("_hi") <= lo), lo + 1).otherwise(F.col("_hi"))
-    return agg.select(*keys, "metric", lo.alias("min_value"), hi.alias("max_value"))
+def _bounds(metric: str) -> Column:
+    """(lo, hi) over a segment's non-null values, over all cells; no value ->
+    lo 0; hi <= lo -> lo + 1."""
+    values = F.filter(F.transform(CELLS, lambda c: metric_value(c, metric)), lambda v: v.isNotNull())
+    lo = F.coalesce(F.array_min(values), F.lit(0.0))
+    top = F.array_max(values)
+    hi = F.when(top.isNull() | (top <= lo), lo + 1).otherwise(top)
+    return F.struct(F.lit(metric).alias("metric"), lo.alias("min_value"), hi.alias("max_value"))
 
 
-def metric_scaled(long: DataFrame, keys: Sequence[str] = KEY_COLUMNS) -> DataFrame:
+def metric_long(perf: DataFrame, keys: Sequence[str] = KEY_COLUMNS) -> DataFrame:
+    """One row per (cell, metric) for all six metrics."""
+    cells = perf.select(*keys, F.explode(CELLS).alias("c"))
+    args = ", ".join(f"'{m}', cast(c.`{m}` as double)" for m in HEATMAP_METRICS)
+    return cells.select(*keys, "c.year_bought", "c.year_sold",
+                        F.expr(f"stack({len(HEATMAP_METRICS)}, {args}) AS (metric, value)"))
+
+
+def metric_range(perf: DataFrame, keys: Sequence[str] = KEY_COLUMNS) -> DataFrame:
+    """Per (segment, metric): min_value and max_value."""
+    return perf.select(*keys, F.inline(F.array(*[_bounds(m) for m in HEATMAP_METRICS])))
+
+
+def metric_scaled(perf: DataFrame, keys: Sequence[str] = KEY_COLUMNS) -> DataFrame:
     """Min-max scaled value (0..1) of each cell within its segment and
     metric; null values stay null."""
-    w = Window.partitionBy(*keys, "metric")
-    lo = F.coalesce(F.min("value").over(w), F.lit(0.0))
-    hi_raw = F.max("value").over(w)
-    hi = F.when(hi_raw.isNull() | (hi_raw <= lo), lo + 1).otherwise(hi_raw)
-    return long.withColumn("min_value", lo).withColumn("max_value", hi).withColumn(
-        "scaled", (F.col("value") - F.col("min_value")) / (F.col("max_value") - F.col("min_value"))
-    )
+    bounds = perf.select(*keys, CELLS, F.array(*[_bounds(m) for m in HEATMAP_METRICS]).alias("_bounds"))
+    cells = bounds.select(*keys, "_bounds", F.explode(CELLS).alias("c"))
+    args = ", ".join(f"_bounds[{i}], cast(c.`{m}` as double)" for i, m in enumerate(HEATMAP_METRICS))
+    long = cells.select(*keys, "c.year_bought", "c.year_sold", F.expr(f"stack({len(HEATMAP_METRICS)}, {args}) AS (b, value)"))
+    return long.select(*keys, "year_bought", "year_sold", "b.metric", "value", "b.min_value", "b.max_value").withColumn(
+        "scaled", (F.col("value") - F.col("min_value")) / (F.col("max_value") - F.col("min_value")))
 
 
 def grid_years(first: int = GRID_YEAR_MIN, last: int = GRID_YEAR_MAX) -> list[str]:
@@ -60,26 +71,20 @@ def grid_years(first: int = GRID_YEAR_MIN, last: int = GRID_YEAR_MAX) -> list[st
 
 
 def heatmap_grid(
-    cells: DataFrame,
+    perf: DataFrame,
     metric: str = HEATMAP_METRIC_DEFAULT,
     years: Sequence[str] | None = None,
     keys: Sequence[str] = KEY_COLUMNS,
 ) -> DataFrame:
     """Rows: each segment x each year bought in ``years``; columns ``y<year>``
-    for each year sold in ``years``; missing cells are null.
-
-    One aggregation per segment gathers its in-grid cells into a map (at
-    most len(years)^2 entries); rows come from exploding the fixed year
-    list, so segments whose cells all fall outside the grid still get their
-    empty rows, and the cells are read once (no pivot + frame join)."""
+    for each year sold in ``years``; missing cells are null. A table loaded
+    with two cells for one pair of years shows the first."""
     years = list(years or grid_years())
-    value = metric_value(metric)
-    in_grid = F.col("year_bought").isin(years) & F.col("year_sold").isin(years)
-    entry = F.when(in_grid, F.struct(F.concat_ws("|", "year_bought", "year_sold").alias("k"), value.alias("v")))
-    per_segment = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_cells"))
-    rows = per_segment.select(*keys, F.explode(F.array(*[F.lit(y) for y in years])).alias("year_bought"), "_cells")
-    return rows.select(
-        *keys,
-        "year_bought",
-        *[F.try_element_at("_cells", F.concat(F.col("year_bought"), F.lit(f"|{y}"))).alias(f"y{y}") for y in years],
-    )
+    bought = perf.select(*keys, CELLS, F.explode(F.array(*[F.lit(y) for y in years])).alias("year_bought"))
+    row = bought.select(*keys, "year_bought", F.filter(CELLS, lambda c: c["year_bought"] == F.col("year_bought")).alias("_row"))
+
+    def at(year: str) -> Column:
+        cell = F.try_element_at(F.filter("_row", lambda c: c["year_sold"] == year), F.lit(1))
+        return metric_value(cell, metric).alias(f"y{year}")
+
+    return row.select(*keys, "year_bought", *[at(y) for y in years])

@@ -1,94 +1,62 @@
 """Build job: raw sales -> clean sales -> line and heatmap cubes -> the
 performance table (one row per segment) and the dimension index.
 
-Shuffles on the sales: one for the repeat-sale window (co-partitioned with
-its join back), one partial-aggregated exchange per cube. Series assembly and
+Shuffles on the sales: those of the repeat-sale pairing, and one
+partial-aggregated exchange per cube. Series assembly and
 the line/heatmap join run on aggregated rows.
 """
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 
+from segmetrics.config import stored
 from segmetrics.operators.aggregates import heatmap_metrics, line_metrics_from_partials, line_partials
 from segmetrics.operators.clean import clean_sales
-from segmetrics.operators.cube import segment_cube_gs
+from segmetrics.operators.cube import DIMS, segment_cube_gs
 from segmetrics.operators.repeat import repeat_sales
 from segmetrics.operators.series import performance_from_aggs
 
-LINE_INPUT = ["price", "year_sold", "county", "outcode", "district", "house_type", "tenure"]
-HEAT_INPUT = [
-    "appreciation_pounds", "appreciation_pct", "year_bought", "year_sold",
-    "county", "outcode", "district", "house_type", "tenure",
-]
+LINE_BASE = ["price", "year_sold", "county", "outcode", "district"]
+HEAT_BASE = ["appreciation_pounds", "appreciation_pct", "year_bought", "year_sold", "county", "outcode", "district"]
+LINE_INPUT = [*LINE_BASE, *DIMS]
+HEAT_INPUT = [*HEAT_BASE, *DIMS]
 
 
-def line_agg(sales: DataFrame) -> DataFrame:
+def line_agg(sales: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """Line path: (segment, year_sold) -> avg price, count.
 
-    Sales are first reduced to (county, outcode, district, house type,
-    tenure, year) partials (sum, count); the 16 grouping sets then expand
-    those partials, not every sale."""
-    finest = [c for c in LINE_INPUT if c != "price"]
+    Sales are first reduced to partials (sum, count) by location, ``dims``
+    and year; the grouping sets then expand those partials, not every sale."""
+    finest = [*[c for c in LINE_BASE if c != "price"], *dims]
     partials = sales.groupBy(*finest).agg(*line_partials())
-    return segment_cube_gs(partials, line_metrics_from_partials(), by=["year_sold"])
+    return segment_cube_gs(partials, line_metrics_from_partials(), by=["year_sold"], dims=dims)
 
 
-def heatmap_agg(repeats: DataFrame) -> DataFrame:
+def heatmap_agg(repeats: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """Heatmap path: (segment, year_bought, year_sold) -> appreciation metrics."""
     return segment_cube_gs(
-        repeats.select(*HEAT_INPUT), heatmap_metrics(), by=["year_bought", "year_sold"]
+        repeats.select(*HEAT_BASE, *dims), heatmap_metrics(), by=["year_bought", "year_sold"], dims=dims
     )
 
 
-def shared_sales(sales: DataFrame, materialize: bool = True) -> DataFrame:
-    """Clean sales hash-partitioned on (property_id, sale_date), the
-    grouping of the repeat-sale window, and checkpointed into the cluster's
-    shared checkpoint folder.
-
-    Both the line and the heatmap path (and the two branches inside the
-    repeat-sale pairing) read this one copy: the raw input is scanned and
-    cleaned once, lineage is cut (a lost executor re-reads the checkpoint,
-    not the raw files), and the checkpoint keeps its hash partitioning, so
-    the window and the per-day aggregate run without another shuffle.
-    Without a checkpoint folder (or ``materialize=False``) the plan stays
-    lazy and each branch recomputes its input.
-    """
-    # explicit partition count: AQE keeps it, so the checkpoint still
-    # reports hash partitioning on (property_id, sale_date)
-    n = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = sales.repartition(n, "property_id", "sale_date")
-    from segmetrics.config import shared_dir
+def shared_sales(sales: DataFrame) -> DataFrame:
+    """Clean sales written once as Parquet into the cluster's shared folder.
 
-    spark = sales.sparkSession
-    folder = shared_dir(spark, required=False)
-    if not materialize or not folder:
-        return parted
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            # the session names the folder but the context was started without it
-            spark.sparkContext.setCheckpointDir(folder)
-    except Exception:  # noqa: BLE001 - Connect: the server owns the checkpoint folder
-        pass
-    # The checkpoint only records the hash partitioning when the job that
-    # writes it is planned without AQE; that job is scan -> clean ->
-    # fixed-count repartition, where AQE has nothing to re-plan.
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return parted.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
-
-
-def performance_from_sales(sales: DataFrame, materialize: bool = True) -> DataFrame:
-    return performance_from_shared(shared_sales(sales, materialize))
-
-
-def performance_from_shared(shared: DataFrame) -> DataFrame:
-    """Performance table from sales already prepared by ``shared_sales``
-    (filters on it keep its partitioning)."""
-    return performance_from_aggs(line_agg(shared), heatmap_agg(repeat_sales(shared)))
+    The line path, the heatmap path and both branches of the repeat-sale
+    pairing read this copy: the raw input is scanned and cleaned once, a lost
+    executor re-reads the files, and each path reads only its columns."""
+    return stored(sales, "sales")
+
+
+def performance_from_sales(sales: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    return performance_from_shared(shared_sales(sales), dims)
+
+
+def performance_from_shared(shared: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Performance table from sales already prepared by ``shared_sales``."""
+    return performance_from_aggs(line_agg(shared, dims), heatmap_agg(repeat_sales(shared), dims))
 
 
 def performance_from_raw(
@@ -97,7 +65,7 @@ def performance_from_raw(
     return performance_from_sales(clean_sales(raw, predicate, require_address))
 
 
-def build_serving_tables(sales: DataFrame, base_path: str) -> dict[str, str]:
+def build_serving_tables(sales: DataFrame, base_path: str, dims: Sequence[str] = DIMS) -> dict[str, str]:
     """Write the performance table (Parquet, partitioned by location type),
     then derive the dimension index from the *written* table, reading only
     its key columns and counts, so the cube is never computed twice."""
@@ -106,7 +74,7 @@ def build_serving_tables(sales: DataFrame, base_path: str) -> dict[str, str]:
     spark = sales.sparkSession
     perf_path = f"{base_path}/performance"
     dim_path = f"{base_path}/dimension_index"
-    performance_from_sales(sales).write.mode("overwrite").partitionBy("location_type").parquet(perf_path)
+    performance_from_sales(sales, dims).write.mode("overwrite").partitionBy("location_type").parquet(perf_path)
     written = spark.read.parquet(perf_path).select(
         "location_type", "location_value", "house_type", "tenure", "size_band", "year_built_band", "sale_count"
     )

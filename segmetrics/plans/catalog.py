@@ -14,16 +14,19 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmetrics.config import scratch_path
-from segmetrics.functions.json import performance_to_json
+from segmetrics.config import scratch_path, stored
+from segmetrics.functions.json import dimension_to_json, performance_to_json
 from segmetrics.functions.keys import segment_key, split_key
 from segmetrics.functions.text import house_type, normalise, normalise_or_empty, outcode, tenure
 from segmetrics.functions.keys import property_id as property_id_expr
 from segmetrics.operators.aggregates import line_metrics, price_stats_metrics
+from segmetrics.operators import extras
 from segmetrics.operators.clean import (
     borough_predicate,
     clean_sales,
     parse_price_date,
+    rejected_sales,
+    reserved,
     reserved_value_report,
     segment_columns,
 )
@@ -34,6 +37,7 @@ from segmetrics.operators.repeat import repeat_sales
 from segmetrics.operators.series import heatmap_series, line_series, performance_table
 from segmetrics.operators.upsert import (
     load_report,
+    parse_dimension_kv,
     parse_performance_kv,
     upsert_dimension,
     upsert_performance,
@@ -53,11 +57,14 @@ from segmetrics.plans.serve import (
     lookup_segment,
     query_heatmap,
     query_line,
+    rejected_requests,
     served_shape,
     validate_requests,
 )
-from segmetrics.schema import KEY_COLUMNS, SERVED_CELL_FIELDS
+from segmetrics.schema import HEATMAP_CELL, KEY_COLUMNS, SERVED_CELL_FIELDS
 from segmetrics.sources.csv import read_key_value_csv, read_raw_sales, resolve_roles, write_key_value_csv
+from segmetrics.operators.joins import join_dimension
+from segmetrics.plans.load import load_export, read_current
 from segmetrics.sources.tables import raw_sales_from_tables, read_table
 
 REPORT_DIGITS = 6
@@ -176,14 +183,21 @@ def _flat_line(p: DataFrame) -> DataFrame:
     )
 
 
-def _perf_summary(p: DataFrame) -> DataFrame:
-    return p.select(
-        *KEY_COLUMNS,
-        F.col("sale_count").cast("bigint").alias("sale_count"),
-        F.size("line_graph").alias("line_points"),
-        F.size("heatmap_graph").alias("heatmap_cells"),
-        F.aggregate("heatmap_graph", F.lit(0).cast("bigint"), lambda acc, c: acc + c["sale_count"]).alias("repeat_sale_count"),
-    )
+LINE_VALUES = ["avg_price", "median_price", "mode_price"]
+CELL_VALUES = [f.name for f in HEATMAP_CELL.fields if f.name not in ("year_bought", "year_sold", "sale_count")]
+
+
+def _payload(p: DataFrame, keys=KEY_COLUMNS, digits: int = REPORT_DIGITS) -> DataFrame:
+    """Everything that a performance table holds, one row per line point
+    (``kind`` line) and heatmap cell (``kind`` cell)."""
+    def rows(kind, series, fields):
+        x = p.select(*keys, F.col("sale_count").alias("total_sale_count"), F.explode(series).alias("x"))
+        year = F.col("x.year_bought") if kind == "cell" else F.lit(None).cast("string")
+        values = [F.round(F.col(f"x.{v}"), digits) if v in fields else F.lit(None).cast("double") for v in [*LINE_VALUES, *CELL_VALUES]]
+        return x.select(*keys, "total_sale_count", F.lit(kind).alias("kind"), year.alias("year_bought"), "x.year_sold",
+                        "x.sale_count", *[c.alias(v) for c, v in zip(values, [*LINE_VALUES, *CELL_VALUES])])
+
+    return rows("line", "line_graph", LINE_VALUES).unionByName(rows("cell", "heatmap_graph", CELL_VALUES))
 
 
 # --- sources / sinks ---------------------------------------------------------
@@ -206,63 +220,140 @@ def q_resolve_roles(spark, sf):
 def q_write_read_parquet(spark, sf):
     path = scratch_path(spark, "performance")
     perf(spark, sf).write.mode("overwrite").partitionBy("location_type").parquet(path)
-    return _perf_summary(spark.read.parquet(path))
+    return _payload(spark.read.parquet(path))
 
 
 @query("export_json")
 def q_export_json(spark, sf):
-    return performance_to_json(perf(spark, sf))
+    """The exported text, parsed again: its rounded numbers."""
+    kv = performance_to_json(perf(spark, sf))
+    return _payload(parse_performance_kv(kv))
 
 
 @query("import_json")
 def q_import_json(spark, sf):
     kv = performance_to_json(perf(spark, sf))
-    return _perf_summary(parse_performance_kv(kv).drop("load_seq"))
+    return _payload(parse_performance_kv(kv))
 
 
 @query("roundtrip_csv")
 def q_roundtrip_csv(spark, sf):
     path = scratch_path(spark, "performance_csv")
     write_key_value_csv(performance_to_json(perf(spark, sf)), path)
-    return read_key_value_csv(spark, path)
+    return _payload(parse_performance_kv(read_key_value_csv(spark, path)))
+
+
+def _loads(spark, sf, kind: str) -> DataFrame:
+    """A first load and a second one through the batch loader. The first
+    holds the table of the sales before the cut-over year; the second all
+    of the full table, in two files: rows with wrong counts first, then the
+    right ones, and between them rows that must be rejected."""
+    s = shared(spark, sf)
+    before = performance_from_shared(s.where(F.col("year_sold") < SNAPSHOT_YEAR))
+    full = stored(performance_from_shared(s), "full")
+    to_kv = performance_to_json if kind == "performance" else lambda p: dimension_to_json(dimension_index(p))
+    first, second, table = (scratch_path(spark, n) for n in ("load-1", "load-2", f"table-{kind}"))
+    write_key_value_csv(to_kv(before), first)
+    wrong = full.withColumn("sale_count", F.col("sale_count") + 1)
+    right = to_kv(full)
+    rejects = right.select(F.when(F.hash("key") % 2 == 0, F.lit(" ")).otherwise(F.col("key")).alias("key"),
+                           F.lit("{not json").alias("value"))
+    write_key_value_csv(to_kv(wrong), f"{second}/a")
+    write_key_value_csv(rejects, f"{second}/b")
+    write_key_value_csv(right, f"{second}/c")
+    load_export(spark, first, table, kind)
+    load_export(spark, [f"{second}/{x}" for x in "abc"], table, kind)
+    return read_current(spark, table)
 
 
 @query("upsert_performance")
 def q_upsert_performance(spark, sf):
-    s = shared(spark, sf)
-    first = performance_from_shared(s.where(F.col("year_sold") < SNAPSHOT_YEAR))
-    # second load: only the segments the newer sales touch, rebuilt from all sales
-    newer = s.where(F.col("year_sold") >= SNAPSHOT_YEAR)
-    touched = (
-        affected_keys(location_fanout(newer).select(
-            "location_type", "location_value", "house_type", "tenure",
-            F.lit("all").alias("size_band"), F.lit("all").alias("year_built_band"),
-        ).distinct())
-        .select(
-            "location_type",
-            F.col("affected_location_value").alias("location_value"),
-            F.col("affected_house_type").alias("house_type"),
-            F.col("affected_tenure").alias("tenure"),
-            "size_band", "year_built_band",
-        )
-        .distinct()
-    )
-    second = performance_from_shared(s).join(touched, KEY_COLUMNS, "left_semi").withColumn(
-        "load_seq", F.lit(1).cast("long"))
-    return _perf_summary(upsert_performance(first, second))
+    """Last write wins, by file and row, over repeated keys and rejects."""
+    return _payload(_loads(spark, sf, "performance"))
+
+
+@query("upsert_sequence")
+def q_upsert_sequence(spark, sf):
+    """Table and load both carry sequences: of each key the greater stays.
+    Keys with an odd sale count have the older row in the load."""
+    full = stored(perf(spark, sf), "full")
+    odd = F.col("sale_count") % 2 == 1
+    table = full.withColumn("load_seq", F.lit(5).cast("long"))
+    load = full.withColumn("load_seq", F.when(odd, 4).otherwise(6).cast("long")).withColumn("sale_count", -F.col("sale_count"))
+    return upsert_performance(table, load.unionByName(load.withColumn("load_seq", F.col("load_seq") - 3))).select(
+        *KEY_COLUMNS, "sale_count", "load_seq")
 
 
 @query("upsert_dimension")
 def q_upsert_dimension(spark, sf):
-    s = shared(spark, sf)
-    first = dimension_index(performance_from_shared(s.where(F.col("year_sold") < SNAPSHOT_YEAR)))
-    second = dimension_index(performance_from_shared(s)).withColumn("load_seq", F.lit(1).cast("long"))
-    return upsert_dimension(first, second).drop("load_seq")
+    return _loads(spark, sf, "dimension").select("dimension_name", "value", "label", "sale_count")
+
+
+def _dirty_load(p: DataFrame) -> DataFrame:
+    """The table's export as a load with rejects: every 7th sale count's key
+    blank, every 5th value cut short, every 3rd without ``sk``."""
+    n = F.col("sale_count")
+    idx = dimension_index(p)
+    kv = dimension_to_json(idx.withColumn("value", F.when(n % 3 == 0, "").otherwise(F.col("value")))
+                           .withColumn("sale_count", n))
+    count = F.get_json_object("value", "$.sale_count").cast("long")
+    return kv.select(
+        F.when(count % 7 == 0, F.lit("\u00a0 ")).otherwise(F.col("key")).alias("key"),
+        F.when(count % 5 == 0, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")).alias("value"))
 
 
 @query("load_report")
 def q_load_report(spark, sf):
-    return load_report(performance_to_json(perf(spark, sf)))
+    return load_report(_dirty_load(perf(spark, sf)), require_sk=True)
+
+
+@query("load_dirty")
+def q_load_dirty(spark, sf):
+    """What such a load brings into the dimension index."""
+    return parse_dimension_kv(_dirty_load(perf(spark, sf)))
+
+
+# --- dirty sales --------------------------------------------------------------
+
+def dirty_raw(spark, sf) -> DataFrame:
+    """The raw sales with the faults that files have: prices and dates that
+    don't parse, prices of zero, blanks, and values that read 'All'. Line
+    and order numbers decide, so that SQL can repeat it."""
+    ids = F.split("transaction_id", "-")
+    o, n = ids[0].cast("long"), ids[1].cast("long")
+    changed = {
+        "price": F.when(o % 17 == 0, "n/a").when(o % 19 == 0, "12,500").when(o % 13 == 0, " 0 ").otherwise(F.col("price")),
+        "date_of_transfer": F.when(o % 23 == 0, "1996-02-31 00:00").when(o % 29 == 0, "").otherwise(F.col("date_of_transfer")),
+        "county": F.when(o % 31 == 0, " All ").when(o % 37 == 0, "  ").otherwise(F.col("county")),
+        "district": F.when((o % 41 == 0) & (n % 2 == 0), "ALL").otherwise(F.col("district")),
+        "postcode": F.when(o % 43 == 0, "").otherwise(F.col("postcode")),
+        "property_type": F.when(o % 47 == 0, "").otherwise(F.col("property_type")),
+        "duration": F.when(o % 53 == 0, F.lit(None)).otherwise(F.col("duration")),
+    }
+    return raw(spark, sf).withColumns(changed)
+
+
+@query("dirty_sales")
+def q_dirty_sales(spark, sf):
+    return clean_sales(dirty_raw(spark, sf)).select(*SALE_OUT, _date("sale_date"))
+
+
+@query("dirty_rejects")
+def q_dirty_rejects(spark, sf):
+    return rejected_sales(dirty_raw(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("dirty_performance")
+def q_dirty_performance(spark, sf):
+    """The whole table from dirty sales: reserved values counted nowhere, a
+    null percentage where the bought price is zero."""
+    return _payload(perf_from(clean_sales(dirty_raw(spark, sf))))
+
+
+@query("dirty_grid")
+def q_dirty_grid(spark, sf):
+    p = perf_from(clean_sales(dirty_raw(spark, sf)))
+    return heatmap_grid(served_shape(p), "median_appreciation_pct", DATA_YEARS)
 
 
 # --- projections / scalar functions ------------------------------------------
@@ -278,7 +369,7 @@ def q_clean_sales(spark, sf):
 
 @query("reserved_values")
 def q_reserved_values(spark, sf):
-    return reserved_value_report(sales(spark, sf))
+    return reserved_value_report(clean_sales(dirty_raw(spark, sf), keep_reserved=True))
 
 
 @query("prefilter_borough")
@@ -414,14 +505,14 @@ def q_heatmap_series(spark, sf):
 
 @query("performance_table")
 def q_performance_table(spark, sf):
-    return _perf_summary(perf(spark, sf))
+    return _payload(perf(spark, sf))
 
 
 @query("performance_join")
 def q_performance_join(spark, sf):
     """J1 as a join: line series left-joined with heatmap series."""
     sh = shared(spark, sf)
-    return _perf_summary(performance_table(line_series(line_agg(sh)), heatmap_series(heatmap_agg(repeat_sales(sh)))))
+    return _payload(performance_table(line_series(line_agg(sh)), heatmap_series(heatmap_agg(repeat_sales(sh)))))
 
 
 @query("dimension_index")
@@ -461,15 +552,26 @@ def q_validate_requests(spark, sf):
 def q_lookup_batch(spark, sf):
     lp = list_performance(perf(spark, sf), requests(spark, sf))
     item = F.try_element_at("items", F.lit(1))
+    points = F.coalesce(item["line_graph"], F.array().cast(lp.schema["items"].dataType.elementType["line_graph"].dataType))
+    cells = F.coalesce(item["heatmap_graph"], F.array().cast(lp.schema["items"].dataType.elementType["heatmap_graph"].dataType))
+    total = lambda xs, v: F.round(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x[v].cast("double"), F.lit(0.0))), 2)
     return lp.select(
         "request_id",
         F.col("count").cast("bigint").alias("match_count"),
         item["sale_count"].alias("sale_count"),
         F.size(item["line_graph"]).alias("line_points"),
         F.size(item["heatmap_graph"]).alias("heatmap_cells"),
+        total(points, "avg_price").alias("sum_avg_price"),
+        total(cells, "median_appreciation_pounds").alias("sum_median_pounds"),
+        total(cells, "sale_count").alias("repeat_sale_count"),
     )
 
 
+@query("rejected_requests")
+def q_rejected_requests(spark, sf):
+    return rejected_requests(requests(spark, sf)).select("request_id", "reason")
+
+
 @query("query_line")
 def q_query_line(spark, sf):
     return query_line(perf(spark, sf), requests(spark, sf)).select(
@@ -499,63 +601,81 @@ def q_merge_heatmap(spark, sf):
     return m.select("region", "year_bought", "year_sold", "sale_count", *[_r(c) for c in MERGED_HEAT])
 
 
+def _uneven(items: DataFrame) -> DataFrame:
+    """Items whose counts are zero for even years sold, and whose percent
+    metrics are null in every third cell by its count."""
+    def cell(c):
+        n = F.when(c["year_sold"].cast("int") % 2 == 0, F.lit(0).cast("bigint")).otherwise(c["sale_count"])
+        gone = c["sale_count"] % 3 == 0
+        return c.withField("sale_count", n).withField(
+            "avg_appreciation_pct", F.when(gone, None).otherwise(c["avg_appreciation_pct"])).withField(
+            "median_appreciation_pct", F.when(gone, None).otherwise(c["median_appreciation_pct"]))
+
+    def point(p):
+        n = F.when(p["year_sold"].cast("int") % 2 == 0, F.lit(0).cast("bigint")).otherwise(p["sale_count"])
+        return p.withField("sale_count", n)
+
+    return items.withColumn("heatmap_graph", F.transform("heatmap_graph", cell)).withColumn(
+        "line_graph", F.transform("line_graph", point))
+
+
+@query("merge_line_uneven")
+def q_merge_line_uneven(spark, sf):
+    m = merge_line(_uneven(region_items(spark, sf, perf(spark, sf))), "region")
+    return m.select("region", "year_sold", "sale_count", _r("avg_price"), _r("median_price"), _r("mode_price"))
+
+
+@query("merge_heatmap_uneven")
+def q_merge_heatmap_uneven(spark, sf):
+    m = merge_heatmap(_uneven(region_items(spark, sf, perf(spark, sf))), "region")
+    return m.select("region", "year_bought", "year_sold", "sale_count", *[_r(c) for c in MERGED_HEAT])
+
+
 # --- views --------------------------------------------------------------------
 
-def _cells(spark, sf) -> DataFrame:
-    p = served_shape(perf(spark, sf))
-    return p.select(*KEY_COLUMNS, F.explode("heatmap_graph").alias("c")).select(*KEY_COLUMNS, "c.*")
+def served(spark, sf) -> DataFrame:
+    return served_shape(perf(spark, sf))
 
 
 @query("metric_long")
 def q_metric_long(spark, sf):
-    return metric_long(_cells(spark, sf)).select(
+    return metric_long(served(spark, sf)).select(
         *KEY_COLUMNS, "year_bought", "year_sold", "metric", _r("value")
     )
 
 
 @query("metric_range")
 def q_metric_range(spark, sf):
-    return metric_range(metric_long(_cells(spark, sf))).select(
+    return metric_range(served(spark, sf)).select(
         *KEY_COLUMNS, "metric", _r("min_value"), _r("max_value")
     )
 
 
 @query("metric_scaled")
 def q_metric_scaled(spark, sf):
-    return metric_scaled(metric_long(_cells(spark, sf))).select(
+    return metric_scaled(served(spark, sf)).select(
         *KEY_COLUMNS, "year_bought", "year_sold", "metric", _r("scaled")
     )
 
 
 @query("heatmap_grid")
 def q_heatmap_grid(spark, sf):
-    return heatmap_grid(_cells(spark, sf), "median_appreciation_pounds", DATA_YEARS)
+    return heatmap_grid(served(spark, sf), "median_appreciation_pounds", DATA_YEARS)
 
 
 # --- declared extras ----------------------------------------------------------
 
-def _line_mode(s: DataFrame) -> DataFrame:
-    """Most frequent price per (segment, year sold), the lowest on ties:
-    counts per (segment, year, price) under the cube, then ``max_by``."""
-    per_price = segment_cube_gs(s, [F.count(F.lit(1)).alias("n")], by=["year_sold", "price"])
-    return per_price.groupBy(*KEY_COLUMNS, "year_sold").agg(
-        F.max_by("price", F.struct(F.col("n"), -F.col("price"))).alias("mode_price"),
-        F.sum("n").cast("bigint").alias("sale_count"),
-    )
-
-
 @query("line_mode")
 def q_line_mode(spark, sf):
-    return _line_mode(sales(spark, sf).select(*LINE_INPUT))
+    return extras.line_mode(extras.price_counts(sales(spark, sf).select(*LINE_INPUT)))
 
 
 @query("line_true_stats")
 def q_line_true_stats(spark, sf):
-    """Median (sketch-based ``percentile_approx``, exact on small groups,
-    within 1/accuracy of the rank on large ones) beside the exact mode."""
-    s = sales(spark, sf).select(*LINE_INPUT)
-    med = segment_cube_gs(s, [F.percentile_approx("price", 0.5, 10000).alias("median_price")], by=["year_sold"])
-    return med.join(_line_mode(s), [*KEY_COLUMNS, "year_sold"])
+    """Exact mode, and a median whose rank is checked over all prices."""
+    s = stored(sales(spark, sf).select(*LINE_INPUT), "line-input")
+    out = extras.line_true_stats(s, stored(extras.price_counts(s), "price-counts"))
+    return out.select(*extras.SEGMENT_YEAR, "mode_price", "sale_count", F.col("median_rank_ok").cast("int").alias("median_rank_ok"))
 
 
 @query("heatmap_price_stats")
@@ -564,25 +684,40 @@ def q_heatmap_price_stats(spark, sf):
     return segment_cube_gs(r, price_stats_metrics(), by=["year_bought", "year_sold"])
 
 
-def _street_sales(spark, sf) -> DataFrame:
+def _extended_sales(spark, sf, **extra) -> DataFrame:
     parsed = parse_price_date(resolve_roles(raw(spark, sf)))
-    return segment_columns(parsed, extra={"street": normalise("street")})
+    return segment_columns(parsed, extra=extra).where(~reserved())
 
 
 @query("street_agg")
 def q_street_agg(spark, sf):
-    """Street-level sparse aggregate: line metrics per (street, year sold)."""
-    s = _street_sales(spark, sf)
-    return s.groupBy("street", "year_sold").agg(
-        F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("sale_count")
-    )
+    return extras.street_line(_extended_sales(spark, sf, street=normalise("street")))
+
+
+@query("street_heatmap")
+def q_street_heatmap(spark, sf):
+    s = stored(_extended_sales(spark, sf, street=normalise("street")), "street-sales")
+    h = extras.street_heatmap(repeat_sales(s))
+    return h.select("street", "year_bought", "year_sold", *HEAT_OUT, _r("avg_appreciation_pct"))
 
 
 @query("adhoc_agg")
 def q_adhoc_agg(spark, sf):
-    """On-demand aggregate: any predicate on clean sales, then line metrics
-    by year (here: flats in one borough)."""
-    s = sales(spark, sf).where((F.col("district") == "nation_3") & (F.col("house_type") == "flat"))
-    return s.groupBy("year_sold").agg(
-        F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("sale_count")
-    )
+    return extras.adhoc_line(sales(spark, sf), (F.col("district") == "nation_3") & (F.col("house_type") == "flat"))
+
+
+BANDED = ["house_type", "tenure", "size_band"]
+
+
+def banded_sales(spark, sf) -> DataFrame:
+    """Clean sales with the size band of the part that was sold."""
+    s = _extended_sales(spark, sf, part=F.col("paon").cast("long"))
+    p = read_table(spark, sf, "part").select("p_partkey", extras.size_band(F.col("p_size")).alias("size_band"))
+    return join_dimension(s, p, F.col("part") == F.col("p_partkey"), "left").drop("part", "p_partkey")
+
+
+@query("banded_cube")
+def q_banded_cube(spark, sf):
+    """The performance table with the size band as a third dimension."""
+    p = performance_from_sales(banded_sales(spark, sf), BANDED)
+    return _payload(p.where(F.col("size_band") != "all"))

@@ -98,18 +98,26 @@ def lookup_segment(perf: DataFrame, location_type: str, location_value: str, hou
     return perf.where(cond)
 
 
+def valid_requests(requests: DataFrame) -> DataFrame:
+    """The valid requests with their key parts as the lookup builds them."""
+    return normalise_requests(validate_requests(requests).where("valid").drop("valid", "reason"))
+
+
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """The requests that no query answers, with the reason."""
+    return validate_requests(requests).where("NOT valid").drop("valid")
+
+
 def lookup(perf: DataFrame, requests: DataFrame) -> DataFrame:
     """Matched items per valid request (0 or 1 row per request), served shape."""
-    req = normalise_requests(validate_requests(requests).where("valid").drop("valid", "reason"))
     # shape only the matched rows: the join runs on the stored table
-    return served_shape(req.join(perf, KEY_COLUMNS, "inner"))
+    return served_shape(valid_requests(requests).join(perf, KEY_COLUMNS, "inner"))
 
 
 def list_performance(perf: DataFrame, requests: DataFrame) -> DataFrame:
     """Per valid request: ``count`` of matched items beside the items'
     content (null when nothing matched)."""
-    req = normalise_requests(validate_requests(requests).where("valid").drop("valid", "reason"))
-    joined = served_shape(req.join(perf, KEY_COLUMNS, "left"))
+    joined = served_shape(valid_requests(requests).join(perf, KEY_COLUMNS, "left"))
     matched = F.col("line_graph").isNotNull()
     return joined.groupBy("request_id").agg(
         F.count_if(matched).alias("count"),
@@ -117,13 +125,18 @@ def list_performance(perf: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def _answers(requests: DataFrame, merged: DataFrame) -> DataFrame:
+    """Every valid request with its merged rows; one row of nulls if none."""
+    return valid_requests(requests).select("request_id").distinct().join(merged, "request_id", "left")
+
+
 def query_line(perf: DataFrame, requests: DataFrame) -> DataFrame:
-    """Line series per request (merged by year when several items match);
-    no match -> no points."""
-    return merge_line(lookup(perf, requests), "request_id")
+    """Line series per request (merged by year when several items match); a
+    request without a match, or without points, has one row, its year null."""
+    return _answers(requests, merge_line(lookup(perf, requests), "request_id"))
 
 
 def query_heatmap(perf: DataFrame, requests: DataFrame) -> DataFrame:
     """Heatmap cells per request (merged by year pair when several items
-    match); no match -> no cells."""
-    return merge_heatmap(lookup(perf, requests), "request_id")
+    match); a request without cells has one row, its years null."""
+    return _answers(requests, merge_heatmap(lookup(perf, requests), "request_id"))

@@ -1,16 +1,17 @@
-"""Checked broadcast: broadcast under the bounds, shuffle join above."""
-from segmetrics.operators.joins import checked_broadcast, join_dimension
+"""Dimension joins: broadcast within the size bound, shuffle beyond it."""
+from segmetrics.operators.joins import estimated_bytes, join_dimension
 
 
-def test_checked_broadcast_bounds(spark):
-    dim = spark.range(100).withColumnRenamed("id", "k")
-    assert checked_broadcast(dim, max_rows=100) is not None
-    assert checked_broadcast(dim, max_rows=99) is None
-    assert checked_broadcast(dim, max_bytes=8 * 50) is None      # 8-byte rows: 50 rows fit
-    fact = spark.range(1000).withColumnRenamed("id", "k")
-    small = join_dimension(fact, dim, "k", max_rows=10)
-    plan = small._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" not in plan
-    assert small.count() == 100
-    big = join_dimension(fact, dim, "k")
-    assert "BroadcastHashJoin" in big._jdf.queryExecution().executedPlan().toString() or big.count() == 100
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcast_within_bound(spark):
+    dim, fact = spark.range(100).withColumnRenamed("id", "k"), spark.range(1000).withColumnRenamed("id", "k")
+    size = estimated_bytes(dim)
+    assert size == 800
+    small = join_dimension(fact, dim, "k", max_bytes=size)
+    assert "BroadcastHashJoin" in plan_of(small) and small.count() == 100
+    large = join_dimension(fact, dim, "k", max_bytes=size - 1)
+    assert "BroadcastHashJoin" not in plan_of(large) and "SortMergeJoin" in plan_of(large)
+    assert large.count() == 100

@@ -1,8 +1,9 @@
 """Plan regression tests: the physical properties the design relies on."""
 from segmetrics.operators.repeat import with_predecessor
 from segmetrics.plans import catalog as C
-from segmetrics.plans.build import build_serving_tables, line_agg, shared_sales
-from segmetrics.plans.serve import lookup_segment
+from segmetrics.operators.views import heatmap_grid, metric_long, metric_range, metric_scaled
+from segmetrics.plans.build import build_serving_tables, line_agg
+from segmetrics.plans.serve import lookup_segment, served_shape
 from tests.conftest import SF001
 
 
@@ -29,17 +30,32 @@ def test_fact_side_never_broadcast(spark):
         assert not any("lineitem" in m.toString() for m in walk(b) if m.nodeName().startswith("Scan"))
 
 
-def test_window_reads_checkpoint_without_shuffle(spark):
-    sh = shared_sales(C.sales(spark, SF001))
-    nodes = list(walk(root(with_predecessor(sh))))
-    in_day = [n for n in nodes if n.nodeName() == "Window" and "lag(price" in n.toString()]
-    assert in_day
-    chain = []
-    node = in_day[0]
-    while node.children().size() > 0:
-        node = node.children().apply(0)
-        chain.append(node.nodeName())
-    assert "Exchange" not in chain and chain[-1] == "Scan ExistingRDD"
+def test_views_need_no_shuffle(spark, tmp_dir):
+    paths = build_serving_tables(C.sales(spark, SF001), f"{tmp_dir}/serving")
+    perf = served_shape(spark.read.parquet(paths["performance"]))
+    for df in (metric_range(perf), metric_scaled(perf), heatmap_grid(perf, years=["2000"]), metric_long(perf)):
+        names = [n.nodeName() for n in walk(root(df))]
+        assert "Exchange" not in names and "Window" not in names, names
+
+
+def test_pairing_windows_hold_parts_only(spark):
+    nodes = list(walk(root(with_predecessor(C.sales(spark, SF001)))))
+    windows = [n.toString().split("\n")[0] for n in nodes if n.nodeName() == "Window"]
+    assert any("_band" in w and "sale_date" in w for w in windows)
+    # no window of sales runs over a whole property: that one has a row a part
+    over_property = [n for n in nodes if n.nodeName() == "Window" and "_band" not in n.toString().split("\n")[0].split("], [")[1]]
+    for n in over_property:
+        assert "Filter" in [m.nodeName() for m in walk(n)]
+
+
+def test_building_a_plan_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    C.raw(spark, SF001)
+    line_agg(C.sales(spark, SF001))
+    after = set(tracker.getJobIdsForGroup(None))
+    # reading a Parquet schema is all that may run
+    assert len(after - before) <= 8
 
 
 def test_cube_is_expand_with_partial_aggregation(spark):

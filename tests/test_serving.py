@@ -6,6 +6,7 @@ from segmetrics.plans.serve import (
     lookup_segment,
     query_heatmap,
     query_line,
+    rejected_requests,
     served_shape,
     validate_requests,
 )
@@ -52,15 +53,18 @@ def test_lookup_batch(spark):
     assert got[1]["items"][0]["sale_count"] == 3
     v = {r["request_id"]: r["reason"] for r in validate_requests(reqs).collect()}
     assert v == {1: None, 2: None, 3: None, 4: "location_type", 5: "location_value"}
+    assert {r["request_id"]: r["reason"] for r in rejected_requests(reqs).collect()} == {4: "location_type", 5: "location_value"}
 
 
 def test_query_line_and_heatmap(spark):
     reqs = requests(spark, [(1, "county", "Kent", None, None, None, None), (2, "county", "nowhere", None, None, None, None)])
     pts = {(r["request_id"], r["year_sold"]): r for r in query_line(perf_table(spark), reqs).collect()}
-    assert set(pts) == {(1, "2019"), (1, "2020")}
+    assert set(pts) == {(1, "2019"), (1, "2020"), (2, None)}       # no match: one row without a year
     assert pts[(1, "2019")]["avg_price"] == 100.0 and pts[(1, "2020")]["avg_price"] == 0.0
     cells = query_heatmap(perf_table(spark), reqs).collect()
-    assert len(cells) == 1 and cells[0]["avg_appreciation_pct"] is None and cells[0]["median_appreciation_pounds"] == 5.0
+    cells = {r["request_id"]: r for r in cells}
+    assert cells[1]["avg_appreciation_pct"] is None and cells[1]["median_appreciation_pounds"] == 5.0
+    assert set(cells) == {1, 2} and cells[2]["year_bought"] is None and cells[2]["sale_count"] is None
 
 
 def test_lookup_segment_and_dimensions(spark):

@@ -1,102 +1,74 @@
-"""Text cleaning against a small pure-Python statement
-of the rules (written from the rules, checked on hand-picked cases)."""
-import re
+"""Text cleaning against written-out results and
+properties that hold for any text."""
+import random
 
 from pyspark.sql import functions as F
 
 from segmetrics.functions.keys import lookup_part, property_id
 from segmetrics.functions.text import WHITESPACE, house_type, normalise, normalise_or_empty, outcode, tenure
+from segmetrics.schema import HOUSE_TYPES, TENURES
 
 
-def py_normalise(t):
-    if not t or t.strip() == "":
-        return "unknown"
-    t = re.sub("#", "", t.strip().lower())
-    return re.sub(r"\s+", " ", t)
+def test_whitespace_set_matches_python():
+    assert set(WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
 
 
-def py_house(v):
-    if v is None or v.strip() == "":
-        return "other"
-    return {"d": "detached", "s": "semi_detached", "t": "terraced", "f": "flat", "o": "other"}.get(
-        v.strip().lower()[:1], "other")
+def column(spark, values, expr):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[0] for r in df.orderBy("i").select(expr).collect()]
 
 
-def py_tenure(v):
-    if v is None or v.strip() == "":
-        return "unknown"
-    return {"f": "freehold", "l": "leasehold"}.get(v.strip().lower()[:1], "unknown")
+def test_normalise(spark):
+    cases = {
+        None: "unknown", "": "unknown", "   ": "unknown", "\t ": "unknown", "\x1c": "unknown",
+        "  Mill   Lane ": "mill lane", "Upper\tWeir\nRow": "upper weir row", "No#5": "no5",
+        "#": "", "# a": " a", "#  #": " ", "ÀBC déF": "àbc déf", "a\x1db": "a b",
+    }
+    assert column(spark, list(cases), normalise("v")) == list(cases.values())
+    or_empty = {**cases, None: "", "": "unknown"}
+    got = column(spark, list(or_empty), normalise_or_empty("v"))
+    assert got[0] == "" and got[2:] == list(or_empty.values())[2:]
 
 
-def py_outcode(v):
-    if v is None or not v.strip():
-        return "unknown"
-    return py_normalise(v.strip().split()[0])
+def test_house_type(spark):
+    cases = {"D": "detached", "detached": "detached", " s ": "semi_detached", "T": "terraced", "\tf": "flat", "O": "other",
+             "x": "other", "": "other", " ": "other", None: "other", "1d": "other"}
+    assert column(spark, list(cases), house_type("v")) == list(cases.values())
 
 
-CASES = [None, "", " ", "   ", "\t", " ", "\x1c", "#", "# a", "#  #", "  Hello   World ",
-         "A#B", "Greater  London", "N1 2AB", "n1 2ab", " e15\t3ab ", "ÀBC déf", "Detached",
-         "semi", " t", "F", "x", "l", "LEASE", "f ree", "a\x1db"]
+def test_tenure(spark):
+    cases = {"F": "freehold", "free": "freehold", " L": "leasehold", "lease": "leasehold", "U": "unknown", "": "unknown",
+             None: "unknown", " ": "unknown"}
+    assert column(spark, list(cases), tenure("v")) == list(cases.values())
 
 
-def test_whitespace_set_matches_python():
-    assert set(WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
-
-
-def test_functions_match_rules(spark):
-    df = spark.createDataFrame([(c,) for c in CASES], "v string")
-    out = df.select(
-        "v",
-        normalise("v").alias("n"),
-        normalise_or_empty("v").alias("ne"),
-        house_type("v").alias("h"),
-        tenure("v").alias("t"),
-        outcode("v").alias("o"),
-    ).collect()
-    assert len(out) == len(CASES)
-    for r in out:
-        v = r["v"]
-        assert r["n"] == py_normalise(v), v
-        assert r["ne"] == (py_normalise(v) if v else ""), v
-        assert r["h"] == py_house(v), v
-        assert r["t"] == py_tenure(v), v
-        assert r["o"] == py_outcode(v), v
-
-
-def test_trap_cases(spark):
-    df = spark.createDataFrame([("#",), ("# a",), (" ",), (None,), ("",)], "v string")
-    got = {r["v"]: (r["n"], r["e"]) for r in df.select("v", normalise("v").alias("n"),
-                                                        normalise_or_empty("v").alias("e")).collect()}
-    assert got["#"] == ("", "")          # '#' -> '' (not 'unknown')
-    assert got["# a"] == (" a", " a")    # leading blank survives
-    assert got[" "] == ("unknown", "unknown")
-    assert got[None] == ("unknown", "")
-    assert got[""] == ("unknown", "")
+def test_outcode(spark):
+    cases = {"QX4 7ZZ": "qx4", " yb12\t9aa ": "yb12", "QX4": "qx4", "Q#X4 7ZZ": "qx4", "": "unknown", "  ": "unknown",
+             None: "unknown", "#": "", "　W1 1A": "w1"}
+    assert column(spark, list(cases), outcode("v")) == list(cases.values())
 
 
 def test_property_id_and_lookup(spark):
-    df = spark.createDataFrame([("N1 2AB", "10", None, "Test  Street"), (" ", "", "", None)],
+    df = spark.createDataFrame([("QX4 7ZZ", "3", None, "Mill  Lane"), (" ", "", "", None)],
                                "pc string, paon string, saon string, street string")
     ids = [r[0] for r in df.select(property_id(F.col("pc"), F.col("paon"), F.col("saon"), F.col("street"))).collect()]
-    assert ids == ["n1 2ab|10||test street", "unknown|||"]
-    lk = spark.createDataFrame([(None,), ("",), ("  ",), (" Flat ",), ("A#B",)], "v string")
-    got = [r[0] for r in lk.select(lookup_part("v")).collect()]
-    assert got == ["all", "all", "", "flat", "a#b"]
+    assert ids == ["qx4 7zz|3||mill lane", "unknown|||"]
+    assert column(spark, [None, "", "  ", " Flat ", "A#B"], lookup_part("v")) == ["all", "all", "", "flat", "a#b"]
 
 
-def test_random_strings_follow_rules(spark):
-    import random
-
+def test_properties_of_any_text(spark):
     rnd = random.Random(11)
-    alphabet = list("aAbZ9#-_ ") + ["\t", "\n", "\x0b", "\x1c", "\x1f", "\xa0", " ", "　", "é", "Ö"]
-    values = [None, ""] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(400)]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
-    got = df.select("i", normalise("v").alias("n"), normalise_or_empty("v").alias("e"),
-                    outcode("v").alias("o"), house_type("v").alias("h"), tenure("v").alias("t")).collect()
-    for r in got:
-        v = values[r["i"]]
-        assert r["n"] == py_normalise(v), repr(v)
-        assert r["e"] == (py_normalise(v) if v else ""), repr(v)
-        assert r["o"] == py_outcode(v), repr(v)
-        assert r["h"] == py_house(v), repr(v)
-        assert r["t"] == py_tenure(v), repr(v)
+    alphabet = list("aAbZ9#-_ dstfoDSTFOlL") + ["\t", "\n", "\x0b", "\x1c", "\x1f", "\xa0", "　", "é", "Ö"]
+    values = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    n = column(spark, values, normalise("v"))
+    assert column(spark, n, F.coalesce(F.nullif(normalise("v"), F.lit("unknown")), F.col("v"))) == [
+        " ".join(x.split()) if x.strip() else x for x in n]                        # cleaning again only strips
+    for v, x, o, h, t in zip(values, n, column(spark, values, outcode("v")), column(spark, values, house_type("v")),
+                             column(spark, values, tenure("v"))):
+        assert "#" not in x and "  " not in x and x == x.lower()
+        assert not any(c in x for c in WHITESPACE if c != " ")
+        assert (x == "unknown") == (v.strip() == "")
+        assert " " not in o and o in (x, "unknown", "") or x.lstrip().startswith(o)
+        assert h in {*HOUSE_TYPES.values(), "other"} and t in {*TENURES.values(), "unknown"}
+        if not v.strip():
+            assert (h, t, o) == ("other", "unknown", "unknown")
