@@ -94,15 +94,18 @@ PARSED = """parsed AS (
 )"""
 
 
-def sales_cte(where: str = "TRUE", name: str = "sales", extra: str = "") -> str:
-    return f"""{name} AS (
+NOT_RESERVED = "NOT ('all' IN (county, outcode, district, house_type, tenure))"
+
+
+def sales_cte(where: str = "TRUE", name: str = "sales", extra: str = "", keep: str = NOT_RESERVED) -> str:
+    return f"""{name} AS (SELECT * FROM (
   SELECT transaction_id,
     {nz('postcode')} || '|' || {nz('paon')} || '|' || {nz('saon')} || '|' || {nz('street')} AS property_id,
     price_d AS price, sale_date, CAST(year(sale_date) AS INTEGER) AS year_sold,
     {norm('county')} AS county, {outcode('postcode')} AS outcode, {norm('district')} AS district,
     {house('property_type')} AS house_type, {tenure('duration')} AS tenure{extra}
   FROM parsed WHERE price_d IS NOT NULL AND sale_date IS NOT NULL AND {where}
-)"""
+) s WHERE {keep})"""
 
 
 def repeats_cte(src: str = "sales", name: str = "repeats") -> str:
@@ -167,6 +170,23 @@ def base(*ctes: str) -> str:
     return "WITH " + ",\n".join([RAW, PARSED, *ctes]) + "\n"
 
 
+O = "CAST(split_part(transaction_id, '-', 1) AS BIGINT)"
+N = "CAST(split_part(transaction_id, '-', 2) AS BIGINT)"
+DIRTY = f"""raw AS (SELECT * REPLACE (
+    CASE WHEN {O} % 17 = 0 THEN 'n/a' WHEN {O} % 19 = 0 THEN '12,500' WHEN {O} % 13 = 0 THEN ' 0 ' ELSE price END AS price,
+    CASE WHEN {O} % 23 = 0 THEN '1996-02-31 00:00' WHEN {O} % 29 = 0 THEN '' ELSE date_of_transfer END AS date_of_transfer,
+    CASE WHEN {O} % 31 = 0 THEN ' All ' WHEN {O} % 37 = 0 THEN '  ' ELSE county END AS county,
+    CASE WHEN {O} % 41 = 0 AND {N} % 2 = 0 THEN 'ALL' ELSE district END AS district,
+    CASE WHEN {O} % 43 = 0 THEN '' ELSE postcode END AS postcode,
+    CASE WHEN {O} % 47 = 0 THEN '' ELSE property_type END AS property_type,
+    CASE WHEN {O} % 53 = 0 THEN NULL ELSE duration END AS duration) FROM raw0
+)"""
+
+
+def dirty(*ctes: str) -> str:
+    return "WITH " + ",\n".join([RAW.replace("raw AS (", "raw0 AS (", 1), DIRTY, PARSED, *ctes]) + "\n"
+
+
 LINE = cube_cte("sales", "line", ["year_sold"], LINE_METRICS)
 HEAT = cube_cte("repeats", "heat", ["year_bought", "year_sold"], HEAT_METRICS)
 PERF = f"""perf AS (
@@ -282,6 +302,39 @@ def metric_long_cte() -> str:
     return "long AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
 
 
+LINE_VALUES = ["avg_price", "median_price", "mode_price"]
+CELL_VALUES = ["avg_appreciation_pounds", "median_appreciation_pounds", "avg_appreciation_pct", "median_appreciation_pct",
+               "pct_sales_appreciated", "biggest_loser_pounds", "biggest_loser_pct", "biggest_winner_pounds",
+               "biggest_winner_pct"]
+NULLABLE = [v for v in CELL_VALUES if v.endswith("_pct")]
+
+
+def payload(keys: list[str] = KEYS, where: str = "TRUE", exported: bool = False) -> str:
+    """Every line point and heatmap cell of the table; ``exported``: rounded
+    as the JSON export rounds, missing pounds as 0."""
+    def val(v: str) -> str:
+        if not exported:
+            return f"round({v}, {D}) AS {v}"
+        x = v if v in NULLABLE or v.startswith("biggest") else f"coalesce({v}, 0.0)"
+        digits = 1 if v == "pct_sales_appreciated" else 2
+        return f"CAST(format('{{:.{digits}f}}', {x}) AS DOUBLE) + 0.0 AS {v}"  # no negative zero
+
+    none = lambda vs: ", ".join(f"CAST(NULL AS DOUBLE) AS {v}" for v in vs)
+    k = ", ".join(keys)
+    return f"""SELECT * FROM (
+  SELECT {k}, t.sale_count AS total_sale_count, 'line' AS kind, CAST(NULL AS VARCHAR) AS year_bought,
+    CAST(l.year_sold AS VARCHAR) AS year_sold, l.sale_count, {', '.join(map(val, LINE_VALUES))}, {none(CELL_VALUES)}
+  FROM line l JOIN (SELECT {k}, sale_count FROM perf) t USING ({k})
+  UNION ALL
+  SELECT {k}, t.sale_count, 'cell', CAST(h.year_bought AS VARCHAR), CAST(h.year_sold AS VARCHAR), h.sale_count,
+    {none(LINE_VALUES)}, {', '.join(map(val, CELL_VALUES))}
+  FROM heat h JOIN (SELECT {k}, sale_count FROM perf) t USING ({k})) p WHERE {where}"""
+
+
+METRICS = ["avg_appreciation_pounds", "median_appreciation_pounds", "sale_count",
+           "avg_appreciation_pct", "median_appreciation_pct", "pct_sales_appreciated"]
+
+
 def _sql() -> dict[str, str]:
     q: dict[str, str] = {}
     sale_out = ("transaction_id, property_id, price, year_sold, county, outcode, district, house_type, tenure, "
@@ -295,18 +348,35 @@ def _sql() -> dict[str, str]:
             "ppd_category_type", "record_status"]) + " FROM raw"
     q["resolve_roles"] = base() + ("SELECT transaction_id, price, date_of_transfer AS date, postcode, property_type, "
                                    "duration, county, district, paon, saon, street FROM raw")
-    summary = f"SELECT {K}, sale_count, line_points, heatmap_cells, repeat_sale_count FROM perf"
+    summary = payload()
+    exported = payload(exported=True)
     q["write_read_parquet"] = base(*FULL) + summary
-    q["import_json"] = base(*FULL) + summary
-    q["upsert_performance"] = base(*FULL) + summary
+    for name in ("export_json", "import_json", "roundtrip_csv", "upsert_performance"):
+        q[name] = base(*FULL) + exported
+    q["upsert_sequence"] = base(*FULL) + (
+        f"SELECT {K}, CASE WHEN sale_count % 2 = 1 THEN sale_count ELSE -sale_count END AS sale_count, "
+        "CAST(CASE WHEN sale_count % 2 = 1 THEN 5 ELSE 6 END AS BIGINT) AS load_seq FROM perf")
     q["upsert_dimension"] = base(*FULL, dims_cte()) + "SELECT dimension_name, value, label, sale_count FROM dims"
-    q["load_report"] = base(*FULL) + ("SELECT count(*) AS rows_read, CAST(0 AS BIGINT) AS blank_key, "
-                                      "CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS missing_sk, "
-                                      "count(*) AS loaded FROM perf")
+    n = "coalesce(sale_count, 1)"
+    ok = f"{n} % 7 <> 0 AND {n} % 5 <> 0"
+    q["load_report"] = base(*FULL, dims_cte()) + f"""SELECT count(*) AS rows_read, count_if({n} % 7 = 0)::BIGINT AS blank_key,
+    count_if({n} % 7 <> 0 AND {n} % 5 = 0)::BIGINT AS malformed,
+    count_if({ok} AND ({n} % 3 = 0 OR value = ''))::BIGINT AS missing_sk,
+    count_if({ok} AND {n} % 3 <> 0 AND value <> '')::BIGINT AS loaded FROM dims"""
+    q["load_dirty"] = base(*FULL, dims_cte()) + (
+        f"SELECT dimension_name, value, label, sale_count FROM dims WHERE {ok} AND {n} % 3 <> 0 AND value <> ''")
+
+    # dirty sales
+    q["dirty_sales"] = dirty(sales_cte()) + f"SELECT {sale_out} FROM sales"
+    q["dirty_rejects"] = dirty() + f"""SELECT reason, count(*) AS "rows" FROM (
+    SELECT CASE WHEN price_d IS NULL THEN 'price' WHEN sale_date IS NULL THEN 'date'
+      WHEN 'all' IN ({norm('county')}, {outcode('postcode')}, {norm('district')}) THEN 'reserved' END AS reason FROM parsed) r
+  WHERE reason IS NOT NULL GROUP BY reason"""
+    q["dirty_performance"] = dirty(*FULL) + summary
 
     # projections / scalar functions
     q["clean_sales"] = base(sales_cte()) + f"SELECT {sale_out} FROM sales"
-    q["reserved_values"] = base(sales_cte()) + """SELECT count(*) AS sales,
+    q["reserved_values"] = dirty(sales_cte(keep="TRUE")) + """SELECT count(*) AS sales,
     CAST(count_if(county = 'all') AS BIGINT) AS county_all,
     CAST(count_if(outcode = 'all') AS BIGINT) AS outcode_all,
     CAST(count_if(district = 'all') AS BIGINT) AS district_all,
@@ -378,31 +448,44 @@ FROM masked""".replace("WITH", "", 0)
   FROM requests"""
     q["lookup_batch"] = base(*FULL, REQUESTS, NREQ) + f"""SELECT request_id,
     CAST(CASE WHEN p.sale_count IS NULL THEN 0 ELSE 1 END AS BIGINT) AS match_count,
-    p.sale_count, p.line_points, p.heatmap_cells
-  FROM nreq LEFT JOIN perf p USING ({K})"""
+    p.sale_count, p.line_points, p.heatmap_cells, coalesce(round(la.x, 2), 0.0) AS sum_avg_price,
+    coalesce(round(ha.x, 2), 0.0) AS sum_median_pounds, coalesce(round(ha.n, 2), 0.0) AS repeat_sale_count
+  FROM nreq LEFT JOIN perf p USING ({K})
+  LEFT JOIN (SELECT {K}, sum(avg_price) AS x FROM line GROUP BY {K}) la USING ({K})
+  LEFT JOIN (SELECT {K}, sum(coalesce(median_appreciation_pounds, 0.0)) AS x, sum(sale_count)::DOUBLE AS n
+             FROM heat GROUP BY {K}) ha USING ({K})"""
+    q["rejected_requests"] = base(REQUESTS) + f"""SELECT request_id,
+    CASE WHEN location_type IS NULL OR location_type NOT IN ('county', 'postcode', 'borough', 'street') THEN 'location_type'
+         ELSE 'location_value' END AS reason
+  FROM requests WHERE NOT coalesce({VALID}, false)"""
     q["query_line"] = base(*FULL, REQUESTS, NREQ) + f"""SELECT request_id, CAST(year_sold AS VARCHAR) AS year_sold,
     sale_count, round(avg_price, {D}) AS avg_price, round(median_price, {D}) AS median_price,
     round(mode_price, {D}) AS mode_price
-  FROM nreq JOIN line USING ({K})"""
+  FROM nreq LEFT JOIN line USING ({K})"""
     q["query_heatmap"] = base(*FULL, CELLS, REQUESTS, NREQ) + f"""SELECT request_id, year_bought, year_sold, sale_count,
     round(avg_appreciation_pounds, {D}) AS avg_appreciation_pounds,
     round(median_appreciation_pounds, {D}) AS median_appreciation_pounds,
     round(avg_appreciation_pct, {D}) AS avg_appreciation_pct,
     round(median_appreciation_pct, {D}) AS median_appreciation_pct,
     round(pct_sales_appreciated, {D}) AS pct_sales_appreciated
-  FROM nreq JOIN cells USING ({K})"""
-    q["merge_line"] = base(*FULL, REGION_ITEMS) + f"""SELECT i.region, CAST(l.year_sold AS VARCHAR) AS year_sold,
+  FROM nreq LEFT JOIN cells USING ({K})"""
+    uneven = """line_u AS (SELECT * REPLACE (CASE WHEN year_sold % 2 = 0 THEN 0 ELSE sale_count END AS sale_count) FROM line),
+cells_u AS (SELECT * REPLACE (CASE WHEN CAST(year_sold AS INTEGER) % 2 = 0 THEN 0 ELSE sale_count END AS sale_count,
+    CASE WHEN sale_count % 3 <> 0 THEN avg_appreciation_pct END AS avg_appreciation_pct,
+    CASE WHEN sale_count % 3 <> 0 THEN median_appreciation_pct END AS median_appreciation_pct) FROM cells)"""
+    for name, line_from, cells_from, more in (("", "line", "cells", []), ("_uneven", "line_u", "cells_u", [uneven])):
+        q[f"merge_line{name}"] = base(*FULL, CELLS, *more, REGION_ITEMS) + f"""SELECT i.region, CAST(l.year_sold AS VARCHAR) AS year_sold,
     CAST(sum(l.sale_count) AS BIGINT) AS sale_count,
     {weighted('avg_price')}, {weighted('median_price')}, {weighted('mode_price')}
-  FROM line l JOIN items i USING (location_value) JOIN n_items USING (region)
+  FROM {line_from} l JOIN items i USING (location_value) JOIN n_items USING (region)
   WHERE l.location_type = 'borough' AND l.house_type = 'all' AND l.tenure = 'all'
   GROUP BY i.region, l.year_sold"""
-    q["merge_heatmap"] = base(*FULL, CELLS, REGION_ITEMS) + f"""SELECT i.region, c.year_bought, c.year_sold,
+        q[f"merge_heatmap{name}"] = base(*FULL, CELLS, *more, REGION_ITEMS) + f"""SELECT i.region, c.year_bought, c.year_sold,
     CAST(sum(c.sale_count) AS BIGINT) AS sale_count,
     {weighted('avg_appreciation_pounds')}, {weighted('median_appreciation_pounds')},
     {weighted('pct_sales_appreciated')},
     {weighted_pct('avg_appreciation_pct')}, {weighted_pct('median_appreciation_pct')}
-  FROM cells c JOIN items i USING (location_value) JOIN n_items USING (region)
+  FROM {cells_from} c JOIN items i USING (location_value) JOIN n_items USING (region)
   WHERE c.location_type = 'borough' AND c.house_type = 'all' AND c.tenure = 'all'
   GROUP BY i.region, c.year_bought, c.year_sold"""
 
@@ -413,7 +496,7 @@ FROM masked""".replace("WITH", "", 0)
     round(coalesce(min(value), 0.0), {D}) AS min_value,
     round(CASE WHEN max(value) IS NULL OR max(value) <= coalesce(min(value), 0.0) THEN coalesce(min(value), 0.0) + 1
                ELSE max(value) END, {D}) AS max_value
-  FROM long GROUP BY {K}, metric"""
+  FROM perf CROSS JOIN (SELECT unnest({METRICS}) AS metric) m LEFT JOIN long USING ({K}, metric) GROUP BY {K}, metric"""
     q["metric_scaled"] = base(*FULL, CELLS, metric_long_cte()) + f""", ranged AS (
   SELECT *, coalesce(min(value) OVER w, 0.0) AS lo, max(value) OVER w AS hi_raw
   FROM long WINDOW w AS (PARTITION BY {K}, metric)
@@ -422,11 +505,12 @@ SELECT {K}, year_bought, year_sold, metric,
   round((value - lo) / (CASE WHEN hi_raw IS NULL OR hi_raw <= lo THEN lo + 1 ELSE hi_raw END - lo), {D}) AS scaled
 FROM ranged"""
     years = ", ".join(f"'{y}'" for y in YEARS)
-    pivots = ", ".join(
-        f"max(CASE WHEN year_sold = '{y}' THEN median_appreciation_pounds END) AS y{y}" for y in YEARS)
     ycols = ", ".join(f"y{y}" for y in YEARS)
-    q["heatmap_grid"] = base(*FULL, CELLS) + f""", frame AS (
-  SELECT {K}, unnest([{years}]) AS year_bought FROM (SELECT DISTINCT {K} FROM cells) s
+
+    def grid(start, metric: str) -> str:
+        pivots = ", ".join(f"max(CASE WHEN year_sold = '{y}' THEN {metric} END) AS y{y}" for y in YEARS)
+        return start(*FULL, CELLS) + f""", frame AS (
+  SELECT {K}, unnest([{years}]) AS year_bought FROM perf
 ), piv AS (
   SELECT {K}, year_bought, {pivots}
   FROM cells WHERE year_bought IN ({years}) AND year_sold IN ({years})
@@ -434,6 +518,9 @@ FROM ranged"""
 )
 SELECT {K}, year_bought, {ycols} FROM frame LEFT JOIN piv USING ({K}, year_bought)"""
 
+    q["heatmap_grid"] = grid(base, "median_appreciation_pounds")
+    q["dirty_grid"] = grid(dirty, "median_appreciation_pct")
+
     # declared extras
     q["line_mode"] = base(
         sales_cte(),
@@ -452,6 +539,21 @@ SELECT {K}, year_bought, {ycols} FROM frame LEFT JOIN piv USING ({K}, year_bough
     q["street_agg"] = base(sales_cte(extra=f", {norm('street')} AS street")) + (
         "SELECT street, year_sold, sum(price) / count(*) AS avg_price, count(*) AS sale_count "
         "FROM sales GROUP BY street, year_sold")
+    q["line_true_stats"] = q["line_mode"].replace("CAST(sale_count AS BIGINT) AS sale_count FROM",
+                                                  "CAST(sale_count AS BIGINT) AS sale_count, 1 AS median_rank_ok FROM")
+    q["street_heatmap"] = base(sales_cte(extra=f", {norm('street')} AS street"), repeats_cte()) + (
+        f"SELECT street, year_bought, year_sold, {HEAT_OUT} FROM (SELECT street, year_bought, year_sold, {HEAT_METRICS} "
+        "FROM repeats GROUP BY street, year_bought, year_sold) h")
+    banded = [sales_cte(name="sales0", extra=", CAST(paon AS BIGINT) AS part"), """sales AS (
+  SELECT s.*, CASE WHEN p_size >= 1 THEN CAST((p_size - 1) // 10 * 10 + 1 AS VARCHAR) || '-' || CAST((p_size - 1) // 10 * 10 + 10 AS VARCHAR)
+    ELSE 'unknown' END AS size_band FROM sales0 s LEFT JOIN part p ON s.part = p.p_partkey
+)""", repeats_cte()]
+
+    def band(cte: str) -> str:
+        return cte.replace("'all' AS size_band", "CASE WHEN grouping(size_band) = 1 THEN 'all' ELSE size_band END AS size_band").replace(
+            "CUBE(location_value, house_type, tenure)", "CUBE(location_value, house_type, tenure, size_band)")
+
+    q["banded_cube"] = base(*banded, band(LINE), band(HEAT), PERF) + payload(where="size_band <> 'all'")
     q["adhoc_agg"] = base(sales_cte()) + (
         "SELECT year_sold, sum(price) / count(*) AS avg_price, count(*) AS sale_count FROM sales "
         "WHERE district = 'nation_3' AND house_type = 'flat' GROUP BY year_sold")
