@@ -2,6 +2,7 @@
 folder for intermediate tables (read from ``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,7 @@ def shared_dir(spark: SparkSession, required: bool = True) -> str | None:
 def work_dir(spark: SparkSession) -> str:
     """``shared_dir``; a local session that names none, as in tests, gets a
     fresh folder of its own, any other session an error."""
-    if not shared_dir(spark, required=False) and spark.conf.get("spark.master", "").startswith("local["):
+    if not shared_dir(spark, required=False) and re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-work-"))
     return shared_dir(spark)
 
