@@ -3,41 +3,18 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmetrics.config import shared_dir
+from segmetrics.config import stored  # noqa: F401 - used by the operators
 
 # the white space that separates words, as characters and as a Java regex
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``). Only a local
-    session without that setting, as in tests, gets a fresh folder."""
-    folder = shared_dir(spark, required=False)
-    if folder:
-        return folder
-    if not spark.conf.get("spark.master", "").startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="run-work-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back:
-    later branches and lost executors re-read the files, not the plan."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -17,8 +17,9 @@ from segmetrics.llm.common import stored
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """Directed (u, v): v's link to the least of u and u's v's."""
-    least = pairs.groupBy(F.col("u").alias("m_u")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
+    """Directed (u, v): v's link to the least of u and u's v's. The minima
+    are stored, so the join deals both sides anew and Spark may split a hub."""
+    least = stored(pairs.groupBy(F.col("u").alias("m_u")).agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
     return pairs.join(least, F.col("u") == F.col("m_u"))
 
 

@@ -115,8 +115,9 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     # a line repeated in a text, or a text repeated in a host, counts once
     once = rows.select("host", "line", "text_hash").distinct()
     hosts = docs.select(host, text_hash).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    common = common_lines(once, hosts, max_docs, max_share).select(
-        F.col("host").alias("c_host"), F.col("line").alias("c_line"))
+    # stored: the join deals both sides anew, and Spark may split a common line
+    common = stored(common_lines(once, hosts, max_docs, max_share).select(
+        F.col("host").alias("c_host"), F.col("line").alias("c_line")), "common-lines")
     hit = rows.join(common, (F.col("line") == F.col("c_line")) & F.col("host").eqNullSafe(F.col("c_host")))
     # identical rows hold the same lines at the same places: count them once
     lost = hit.select("doc_id", "host", "text_hash", "place", "words").distinct().groupBy(

@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     linked = components(fingerprint_links(fps.select("fp"), radius))
     named = fps.join(linked, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("group"))
-    least = named.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("least"))
+    # stored: the join deals both sides anew, and Spark may split a large group
+    least = stored(named.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("least")), "simhash-least")
     groups = named.join(least, F.col("group") == F.col("g")).select(
         F.col("fp").alias("g_fp"), F.col("least.id").alias("component_id"), F.col("least.hash").alias("keeper_hash"))
     return prints.join(groups, F.col("fp") == F.col("g_fp")).select(

@@ -2,6 +2,9 @@
 the contracts' columns, and the pipeline stage by stage."""
 import os
 import sys
+from collections import defaultdict
+
+from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -69,12 +72,11 @@ def test_pipeline_stages(spark):
     for df in (kept, lined, single, mixed):
         assert df.columns == names
     pieces = corpus_pipeline.packed(spark, mixed, SF001).collect()
-    from collections import defaultdict
-
-    from tokenizers import Tokenizer
-
     full, ids = Tokenizer.from_file(queries.TOKENIZER), defaultdict(list)
     for r in mixed.collect():
         ids[r.doc_id].append(full.encode(r.text, add_special_tokens=False).ids + [2])
     check_pieces(pieces, ids)
-    assert len(pieces) and corpus_pipeline.run(spark, SF001).count() == len(pieces)
+    # where pieces end depends on the splits of the scan; the tokens do not
+    run = corpus_pipeline.run(spark, SF001).collect()
+    check_pieces(run, ids)
+    assert sum(p.length for p in run) == sum(p.length for p in pieces) > 0
