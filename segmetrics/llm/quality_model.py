@@ -115,15 +115,22 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, use: Column, n: int = SAMPLE_DOCS) -> list[list[str]]:
     """Texts labelled bad (0) and good (1): at most ``n`` each of rows where
-    ``use`` holds, by a hash of the id."""
-    marked = labels.where(use & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    ``use`` holds, by a hash of the id. Ids are drawn first, about 2 ``n`` a
+    class, so a few thousand ids go to the tasks and their texts come back;
+    no text is shuffled."""
+    marked = labels.where(use & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.col("quality").cast("int").alias("quality"))
+    counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     out = []
     for quality in (0, 1):
-        rows = marked.where(F.col("quality") == quality).select(F.col("doc_id").alias("l_id")).distinct()
+        below = min(1 << 30, -(-2 * n * (1 << 30) // max(1, counts.get(quality, 0))))
+        ids = marked.where((F.col("quality") == quality) & (place < below)).select(
+            F.col("doc_id").alias("l_id")).distinct().limit(4 * n)
         short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
-        ids = short.join(rows, F.col("doc_id") == F.col("l_id"), "left_semi").orderBy(
+        rows = short.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"), "left_semi").orderBy(
             F.xxhash64("doc_id"), "doc_id", "text").limit(n)
-        out.append([r["text"] for r in ids.collect()])
+        out.append([r["text"] for r in rows.collect()])
     return out
 
 
