@@ -20,12 +20,15 @@ steps keep that small without losing a suffix that could matter:
    A bucket's suffixes are sorted by themselves: no class spans buckets.
 
 A minimizer in more than ``HOT`` documents, as in a passage that a third of
-the corpus shares, would make its bucket large. Its windows are sent on
-their own instead: the least document of each is found by a grouped minimum,
-combined map-side, and joined back, which Spark splits where skewed.
+the corpus shares, would make its bucket large. Its windows travel on their
+own, to buckets by a hash of the window. And before anything travels, equal
+strings of one Arrow batch are combined: the least document's goes on, for
+the others it is settled that they repeat. So a bucket gets a string once a
+batch, however many documents hold it.
 
 A text is shuffled once; the three steps that read it share that exchange.
-A task holds one Arrow batch of texts, or one bucket.
+A task holds one Arrow batch of texts, or one bucket, which is a partition;
+of a bucket an eighth is sorted at a time.
 
 Defined results: a null text is empty; a null doc_id is larger than all
 others; rows with one doc_id are no copies of each other; a text under 50
@@ -48,6 +51,7 @@ from segmetrics.llm.suffix_sort import deep_shallow, words_at
 WINDOW = 50
 GRAM = 24
 HOT = 4096
+SHELVES = 8  # a bucket's suffixes are sorted in so many parts
 BLOCK = 1 << 16
 LAST = (1 << 63) - 1  # the order of a null doc_id
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -179,7 +183,7 @@ def _emit_anchors(buckets: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[tuple[int, list]]:
-    """Rows sorted by ``key`` -> (key, its values)."""
+    """Rows in runs of one ``key`` -> (key, its values)."""
     last, held = None, []
     for batch in batches:
         for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist()):
@@ -225,99 +229,160 @@ def _shared_anchors(hot_docs: int):
             new = np.flatnonzero(np.diff(t, prepend=-1))
             ends = np.append(new, t.size).astype(np.int32) * 4
             blob = pa.Array.from_buffers(pa.binary(), new.size, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(marks.tobytes())])
-            any_hot = np.logical_or.reduceat(marks >= HOT_MARK, new)
-            yield pa.record_batch([pa.array(ids[t[new]]), pa.array(hashes[t[new]]), blob, pa.array(any_hot)],
-                                  names=["ord", "text_hash", "marks", "hot"])
+            yield pa.record_batch([pa.array(ids[t[new]]), pa.array(hashes[t[new]]), blob], names=["ord", "text_hash", "marks"])
 
     return run
 
 
-def _marked(batch: pa.RecordBatch, hot: bool):
-    """The batch's anchors and the places of those marked, hot or not."""
-    a = Anchors(_texts(batch))
-    head = np.searchsorted(a.text, np.arange(batch.num_rows))
-    found = []
-    for i, blobs in enumerate(batch.column("marks").to_pylist()):
-        m = np.frombuffer(b"".join(blobs), "<u4")
-        m = m[(m >= HOT_MARK) == hot] & ~HOT_MARK
-        found.append(np.sort(m).astype(np.int64) + head[i])
-    return a, np.concatenate(found) if found else np.empty(0, np.int64)
-
-
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... size[0] of them, then start[1], ..."""
     total = np.cumsum(size)
     return np.arange(int(total[-1]) if size.size else 0) + np.repeat(start - np.concatenate(([0], total[:-1])), size)
 
 
+def _marked_runs(batch: pa.RecordBatch):
+    """The batch's anchors; of its marked runs the first places, numbers of
+    windows, texts and bucket hashes. Hot runs are cut into their windows."""
+    a = Anchors(_texts(batch))
+    head = np.searchsorted(a.text, np.arange(batch.num_rows))
+    found, is_hot = [], []
+    for i, blobs in enumerate(batch.column("marks").to_pylist()):
+        m = np.sort(np.frombuffer(b"".join(blobs), "<u4"))
+        found.append((m & ~HOT_MARK).astype(np.int64) + head[i])
+        is_hot.append(m >= HOT_MARK)
+    at = np.concatenate(found) if found else np.empty(0, np.int64)
+    hot = np.concatenate(is_hot) if is_hot else np.empty(0, bool)
+    cold, warm = at[~hot], at[hot]
+    place = np.concatenate([a.place[cold], _ranges(a.place[warm], a.count[warm])])
+    count = np.concatenate([a.count[cold], np.ones(place.size - cold.size, np.int64)])
+    text = np.concatenate([a.text[cold], np.repeat(a.text[warm], a.count[warm])])
+    if not place.size:
+        return a, place, count, text, place.astype(np.uint64), place.astype(np.uint64)
+    first, last = _window_hashes(a.data, place), _window_hashes(a.data, place + count - 1)
+    bucket = np.concatenate([a.mixed()[cold] >> np.uint64(7), first[cold.size:] >> np.uint64(7)])
+    # together the two windows hash all of a run of up to WINDOW windows
+    with np.errstate(over="ignore"):
+        both = first * MIX + last
+    return a, place, count, text, bucket, both
+
+
+def _window_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of the WINDOW bytes at each place."""
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    h = np.zeros(places.size, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in (*range(0, WINDOW - 7, 8), WINDOW - 8):
+            h = (h ^ eight[places + at].view("<u8").ravel()) * MIX
+            h ^= h >> np.uint64(31)
+    return h
+
+
+def _combined(a: Anchors, place, count, text, both, ids) -> np.ndarray:
+    """True for runs whose string a smaller document of the batch has too."""
+    order = np.lexsort((ids[text], both, count))
+    same = np.zeros(order.size, bool)
+    same[1:] = (both[order][1:] == both[order][:-1]) & (count[order][1:] == count[order][:-1])
+    least = order[np.maximum.accumulate(np.where(same, 0, np.arange(order.size)))]  # the first of the equal ones
+    at = np.flatnonzero(same)
+    run, ref = order[at], least[at]
+    later = (ids[text[run]] > ids[text[ref]]) & (count[run] <= WINDOW)
+    run, ref = run[later], ref[later]
+    done = np.zeros(order.size, bool)
+    for part in np.array_split(np.arange(run.size), run.size // 50_000 + 1):
+        if part.size:
+            size = count[run[part]] + WINDOW - 1
+            equal = a.data[_ranges(place[run[part]], size)] == a.data[_ranges(place[ref[part]], size)]
+            done[run[part]] = np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(size)[:-1])))
+    return done
+
+
+def _shelf(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes // np.uint64(buckets)) % np.uint64(SHELVES)).astype(np.uint8)
+
+
 def _emit_runs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(bucket, block): the strings of marked runs and where they stand."""
+        """(bucket, block, done): the strings of marked runs and where they
+        stand; done: runs that are settled as repeats."""
         for batch in batches:
-            a, at = _marked(batch, hot=False)
-            if not at.size:
+            a, place, count, text, bucket, both = _marked_runs(batch)
+            if not place.size:
                 continue
             ids, hashes = _longs(batch, "ord"), _longs(batch, "text_hash")
-            bucket = ((a.mixed()[at] >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, bucket = at[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            keys, blocks = [], []
+            settled = _combined(a, place, count, text, both, ids)
+            keys, blocks, done = [], [], []
+            if settled.any():
+                at = np.flatnonzero(settled)
+                at = at[np.lexsort((place[at], text[at]))]
+                p, c, t = place[at], count[at], text[at]
+                # neighbouring runs of a text become one
+                new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1] + c[:-1]) | (t[1:] != t[:-1]))))
+                keys.append(int(bucket[at[0]] % np.uint64(buckets)))
+                blocks.append(None)
+                done.append(_pack(ids=ids[t[new]], hashes=hashes[t[new]], places=(p[new] - a.starts[t[new]]).astype("<u4"),
+                                  counts=np.add.reduceat(c, new).astype("<u4")))
+            at = np.flatnonzero(~settled)
+            own, shelf = (bucket[at] % np.uint64(buckets)).astype(np.int64), _shelf(bucket[at], buckets)
+            order = np.lexsort((shelf, own))
+            at, own, shelf = at[order], own[order], shelf[order]
+            ends = np.searchsorted(own, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)).tolist():
                 r = at[ends[b]:ends[b + 1]]
-                size = a.count[r] + WINDOW - 1
-                text = a.text[r]
+                t = text[r]
                 keys.append(b)
-                blocks.append(_pack(ids=ids[text], hashes=hashes[text], places=(a.place[r] - a.starts[text]).astype("<u4"),
-                                    counts=a.count[r].astype("<u4"), data=a.data[_ranges(a.place[r], size)]))
-            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+                blocks.append(_pack(ids=ids[t], hashes=hashes[t], places=(place[r] - a.starts[t]).astype("<u4"),
+                                    counts=count[r].astype("<u4"), shelves=shelf[ends[b]:ends[b + 1]], data=a.data[_ranges(place[r], count[r] + WINDOW - 1)]))
+                done.append(None)
+            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blocks, pa.binary()), pa.array(done, pa.binary())],
+                                  names=["bucket", "block", "done"])
 
     return run
 
 
-def _emit_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, ord, text_hash, place): every window of hot runs, by a hash
-    of 128 bits."""
-    import xxhash
-
-    for batch in batches:
-        a, at = _marked(batch, hot=True)
-        if not at.size:
-            continue
-        ids, hashes = _longs(batch, "ord"), _longs(batch, "text_hash")
-        place, text = _ranges(a.place[at], a.count[at]), np.repeat(a.text[at], a.count[at])
-        data, digest = a.data.tobytes(), xxhash.xxh3_128_digest
-        w = np.frombuffer(b"".join([digest(data[p:p + WINDOW]) for p in place.tolist()]), "<i8").reshape(-1, 2)
-        yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(ids[text]), pa.array(hashes[text]),
-                               pa.array((place - a.starts[text]).astype(np.int32)),
-                               pa.array(np.ones(place.size, np.int32))], names=["w1", "w2", "ord", "text_hash", "place", "n"])
+def _repeats(ids, hashes, places, counts) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(ids), pa.array(hashes), pa.array(places.astype(np.int32)), pa.array(counts.astype(np.int32))],
+                           names=["ord", "text_hash", "place", "n"])
 
 
 def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ord, text_hash, place, n): n windows from ``place`` on that a smaller
-    document has too. A bucket's suffixes are sorted at once."""
-    for _, blocks in _groups(batches, "bucket", "block"):
-        cols = [_unpack(b, "<i8", "<i8", "<u4", "<u4", "u1") for b in blocks]
-        ids, hashes, places, counts, data = (np.concatenate(x) for x in zip(*cols))
-        counts = counts.astype(np.int64)
-        size = counts + WINDOW - 1
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        suffix, run = _ranges(starts, counts), np.repeat(np.arange(counts.size), counts)
-        order, klass = deep_shallow(data, suffix, WINDOW)
-        owner = ids[run[order]]
-        least = np.minimum.reduceat(owner, np.flatnonzero(np.diff(klass, prepend=-1)))
-        later = np.zeros(suffix.size, bool)
-        later[order] = owner > least[klass]
-        head = later.copy()
-        head[1:] &= ~(later[:-1] & (run[1:] == run[:-1]))
-        at = np.flatnonzero(head)
-        if not at.size:
+    document has too. A partition is one bucket."""
+    rows = (pa.record_batch([b.column("bucket"), pa.array(list(zip(b.column("block").to_pylist(), b.column("done").to_pylist())),
+                                                         pa.list_(pa.binary()))], names=["bucket", "both"]) for b in batches)
+    for _, both in _groups(rows, "bucket", "both"):
+        for _, done in both:
+            if done is not None:
+                yield _repeats(*_unpack(done, "<i8", "<i8", "<u4", "<u4"))
+        cols = [_unpack(b, "<i8", "<i8", "<u4", "<u4", "u1", "u1") for b, _ in both if b is not None]
+        if not cols:
             continue
-        n = np.add.reduceat(later.astype(np.int64), at)  # what follows a run is not later, up to the next head
+        ids, hashes, places, counts, shelves, data = (np.concatenate(x) for x in zip(*cols))
+        counts = counts.astype(np.int64)
+        starts = np.concatenate(([0], np.cumsum(counts + WINDOW - 1)[:-1]))
+        for shelf in range(SHELVES):
+            at = np.flatnonzero(shelves == shelf)
+            if at.size:
+                yield from _sorted_repeats(ids[at], hashes[at], places[at], counts[at],
+                                           data[_ranges(starts[at], counts[at] + WINDOW - 1)])
+
+
+def _sorted_repeats(ids, hashes, places, counts, data) -> Iterator[pa.RecordBatch]:
+    """Sort the runs' suffixes; stretches of windows of which a smaller
+    document has an equal one."""
+    starts = np.concatenate(([0], np.cumsum(counts + WINDOW - 1)[:-1]))
+    suffix, run = _ranges(starts, counts), np.repeat(np.arange(counts.size), counts)
+    order, klass = deep_shallow(data, suffix, WINDOW)
+    owner = ids[run[order]]
+    least = np.minimum.reduceat(owner, np.flatnonzero(np.diff(klass, prepend=-1)))
+    later = np.zeros(suffix.size, bool)
+    later[order] = owner > least[klass]
+    head = later.copy()
+    head[1:] &= ~(later[:-1] & (run[1:] == run[:-1]))
+    at = np.flatnonzero(head)
+    if at.size:
         r = run[at]
-        yield pa.record_batch([pa.array(ids[r]), pa.array(hashes[r]),
-                               pa.array((places[r] + (suffix[at] - starts[r])).astype(np.int32)), pa.array(n.astype(np.int32))],
-                              names=["ord", "text_hash", "place", "n"])
+        # what follows a stretch is no repeat, up to the next one
+        yield _repeats(ids[r], hashes[r], places[r] + (suffix[at] - starts[r]), np.add.reduceat(later.astype(np.int64), at))
 
 
 REPEATS = "ord long, text_hash long, place int, n int"
@@ -342,8 +407,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["r_ord", "r_hash", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, with_kept: bool = False, buckets_a_partition: int = 8,
-                   hot_docs: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_docs: int = HOT) -> DataFrame:
     """Documents (doc_id, text) -> one row per document: doc_id, n_bytes,
     n_removed, n_spans, kept_sha256 and, ``with_kept``, the remaining bytes."""
     spark = docs.sparkSession
@@ -354,7 +418,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, buckets_a_partition
     ids = stored(rows.select("doc_id", "ord", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"),
                              F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
                              F.when(F.octet_length("text") < WINDOW, F.col("text").cast("binary")).alias("short")), "suffix-ids")
-    first = ids.groupBy(F.col("sha").alias("f_sha")).agg(F.min("ord").alias("first"))
+    # stored: the join deals both sides anew, and Spark may split a common text
+    first = stored(ids.groupBy(F.col("sha").alias("f_sha")).agg(F.min("ord").alias("first")), "suffix-first")
     placed = stored(ids.join(first, F.col("sha") == F.col("f_sha")).select(
         "doc_id", "ord", "text_hash", "n_bytes", "sha", "short", (F.col("ord") == F.col("first")).alias("own")), "suffix-placed")
     owners = placed.where("own").select(F.col("ord").alias("o_ord"), F.col("text_hash").alias("o_hash")).distinct()
@@ -363,24 +428,15 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, buckets_a_partition
         owners, (F.col("ord") == F.col("o_ord")) & (F.col("text_hash") == F.col("o_hash")), "left_semi").dropDuplicates(
         ["ord", "text_hash"])
     anchors = in_arrow(texts, _emit_anchors(parts), "bucket int, block binary")
-    shared = in_arrow(anchors.repartitionById(parts, "bucket").sortWithinPartitions("bucket"), _shared_anchors(hot_docs),
-                      "ord long, text_hash long, marks binary, hot boolean")
+    shared = in_arrow(anchors.repartitionById(parts, "bucket"), _shared_anchors(hot_docs),
+                      "ord long, text_hash long, marks binary")
     marks = shared.groupBy(F.col("ord").alias("m_ord"), F.col("text_hash").alias("m_hash")).agg(
-        F.collect_list("marks").alias("marks"), F.bool_or("hot").alias("hot"))
-
-    def marked(which: DataFrame) -> DataFrame:
-        return texts.join(which, (F.col("ord") == F.col("m_ord")) & (F.col("text_hash") == F.col("m_hash"))).select(
-            "ord", "text_hash", "text", "marks")
-
-    n = parts * buckets_a_partition
-    runs = in_arrow(marked(marks), _emit_runs(n), "bucket int, block binary")
-    repeats = in_arrow(runs.repartitionById(parts, F.expr(f"bucket % {parts}")).sortWithinPartitions("bucket"),
-                       _sort_runs, REPEATS)
-    hot = in_arrow(marked(marks.where("hot")), _emit_hot, "w1 long, w2 long, " + REPEATS)
-    least = hot.groupBy(F.col("w1").alias("l1"), F.col("w2").alias("l2")).agg(F.min("ord").alias("least"))
-    hot_repeats = hot.join(least, (F.col("w1") == F.col("l1")) & (F.col("w2") == F.col("l2"))).where(
-        "ord > least").select("ord", "text_hash", "place", "n")
-    by_text = repeats.union(hot_repeats).groupBy(F.col("ord").alias("b_ord"), F.col("text_hash").alias("b_hash")).agg(
+        F.collect_list("marks").alias("marks"))
+    marked = texts.join(marks, (F.col("ord") == F.col("m_ord")) & (F.col("text_hash") == F.col("m_hash"))).select(
+        "ord", "text_hash", "text", "marks")
+    runs = in_arrow(marked, _emit_runs(parts), "bucket int, block binary, done binary")
+    repeats = in_arrow(runs.repartitionById(parts, "bucket"), _sort_runs, REPEATS)
+    by_text = repeats.groupBy(F.col("ord").alias("b_ord"), F.col("text_hash").alias("b_hash")).agg(
         F.collect_list(F.struct("place", "n")).alias("repeats"))
     cut = in_arrow(
         texts.join(by_text, (F.col("ord") == F.col("b_ord")) & (F.col("text_hash") == F.col("b_hash")), "left").select(
