@@ -17,9 +17,10 @@ first words stand, which loses no match.
 
 Defined results: a null or empty text has no words, no label and score 0;
 repeated rows get a result each; an empty table gives an empty result. The
-score is 1 where a phrase or template matches, else the largest share of
-its mandatory words that a template followed from a starting place, halved
-so that partial wording stays below any match.
+score is 1 where a phrase or template matches; else, over the templates
+all of whose mandatory words the text holds, the largest share of them that
+was followed from a starting place, halved so that partial wording stays
+below any match; else 0.
 """
 from __future__ import annotations
 

@@ -225,7 +225,7 @@ def test_licenses(spark, docs, rows):
         "Released under the MIT License.", "under the mit license UNDER THE MIT LICENSE", "under the mit licenses",
         "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.",
         "This work is licensed under the GNU General Public License, version 3.",
-        "This work is licensed under the GNU General Public License, version 4.",
+        "This work is licensed under the GNU General Public License, version 4, section 3.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files, to deal in the Software without restriction", "no wording", "", None,
         "licensed under the GNU General Public License as published by the Free Software Foundation, either version 3",
