@@ -12,9 +12,14 @@ others by brute force, in blocks. While it finds less than ``recall`` of the
 links, the beam is doubled and the search repeated. Links become components
 by star steps.
 
+Links are not listed one by one: a search task counts them for both ends and
+passes on its components as one edge a vector, so a large group of near
+vectors costs rows in proportion to its size. A pair across shards is met
+in one search; a pair inside a shard in two, one from each end, and each
+counts for the vector that was searched for.
+
 Shards: at least ``SHARDS``, and so many that none has over about
-``SHARD_ROWS`` vectors. A vector linked to many others costs a row a link;
-copies cost none.
+``SHARD_ROWS`` vectors.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components link with nothing; vectors link only with those of
@@ -104,10 +109,10 @@ def _build(beam: int, piece: int = 8 << 20):
         for (size, shard), rows in _rows_by(batches, "size", "shard"):
             rows = rows.combine_chunks()
             for batch in rows.to_batches(max_chunksize=max(1, rows.num_rows)):
-                x, ids = _vectors(batch), batch.column("node").to_numpy()
-                data = _blob([ids, x, *Graph.build(_unit(x), beam).arrays()])
+                x, ids, n = _vectors(batch), batch.column("node").to_numpy(), batch.column("n").to_numpy()
+                data = _blob([ids, n, x, *Graph.build(_unit(x), beam).arrays()])
                 out = [(0, k, data[at:at + piece]) for k, at in enumerate(range(0, len(data), piece))]
-                out += [(1, k, _blob([ids[at:at + BLOCK], x[at:at + BLOCK]])) for k, at in enumerate(range(0, len(ids), BLOCK))]
+                out += [(1, k, _blob([ids[at:at + BLOCK], n[at:at + BLOCK], x[at:at + BLOCK]])) for k, at in enumerate(range(0, len(ids), BLOCK))]
                 for kind, part, blob in out:
                     yield pa.record_batch([pa.array([size], pa.int32()), pa.array([shard], pa.int32()), pa.array([kind], pa.int32()),
                                            pa.array([part], pa.int32()), pa.array([blob], pa.binary())],
@@ -116,17 +121,46 @@ def _build(beam: int, piece: int = 8 << 20):
     return run
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links among nodes -> one edge a node, to the least of its component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[:a.size], ends[a.size:]
+    label = np.arange(nodes.size)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(nodes.size)
+    return nodes[other], nodes[label[other]]
+
+
+FOUND = "kind int, a long, b long, n long"
+
+
 def _search(least: float, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units: a graph's pieces, then blocks of vectors to search for."""
-        def links(graph: Graph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray):
-            a, b = graph.within(_unit(q).astype(np.float32), least - SLACK, beam)
+        """Units: a graph's pieces, then blocks of vectors to search for ->
+        counts (kind 0: node, links, links with copies) and edges (kind 1)."""
+        def found(graph: Graph, ids, copies, x, own: bool, q_ids, q_copies, q):
             u, v = _unit(q), _unit(x)
+            a, b = graph.within(u.astype(np.float32), least - SLACK, beam)
             cosine = np.concatenate([np.einsum("ij,ij->i", u[s], v[t]) for s, t in zip(
                 np.array_split(a, a.size // 65536 + 1), np.array_split(b, a.size // 65536 + 1))])
             ok = (cosine >= least) & (q_ids[a] != ids[b])
-            a, b = q_ids[a[ok]], ids[b[ok]]
-            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            a, b = a[ok], b[ok]
+            counts = [(q_ids, np.bincount(a, minlength=q_ids.size), np.bincount(a, copies[b], q_ids.size))]
+            if not own:
+                counts.append((ids, np.bincount(b, minlength=ids.size), np.bincount(b, q_copies[a], ids.size)))
+            node, links, heavy = (np.concatenate(c)[np.concatenate([c[1] for c in counts]) > 0] for c in zip(*counts))
+            low, high = _forest(q_ids[a], ids[b])
+            kind = np.repeat(np.array([0, 1], np.int32), [node.size, low.size])
+            none = np.zeros(low.size, np.int64)
+            return pa.record_batch([pa.array(kind), pa.array(np.concatenate([node, low])), pa.array(np.concatenate([links, high])),
+                                    pa.array(np.concatenate([heavy.astype(np.int64), none]))], names=["kind", "a", "b", "n"])
 
         now, pieces, state = None, [], None
         for batch in batches:
@@ -137,17 +171,20 @@ def _search(least: float, beam: int):
                 if row["kind"] == 0:
                     pieces.append(row["blob"])
                     continue
+                if state is None and not pieces:
+                    continue  # a shard without vectors of this length
                 if state is None:
-                    ids, x, *rest = _arrays(b"".join(pieces))
-                    state, pieces = (Graph.of(rest), ids, x), []
-                yield links(*state, *_arrays(row["blob"]))
+                    ids, copies, x, *rest = _arrays(b"".join(pieces))
+                    own = row["unit"].split("-")[0] == str(row["graph"])
+                    state, pieces = (Graph.of(rest), ids, copies, x, own), []
+                yield found(*state, *_arrays(row["blob"]))
 
     return run
 
 
 def _audit(sample: list, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All links of the audited vectors, by brute force over a block."""
+        """(node, links) of the audited vectors, by brute force over a block."""
         sizes: dict[int, tuple[list, list]] = {}
         for node, vector in sample:
             ids, vectors = sizes.setdefault(len(vector), ([], []))
@@ -160,26 +197,26 @@ def _audit(sample: list, least: float):
             ids, u = units[size]
             for batch in rows.to_batches(max_chunksize=BLOCK):
                 nodes = batch.column("node").to_numpy()
-                s, t = np.nonzero(u @ _unit(_vectors(batch)).T >= least)
-                a, b = ids[s], nodes[t]
-                ok = a != b
-                yield pa.record_batch([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["a", "b"])
+                near = (u @ _unit(_vectors(batch)).T >= least) & (ids[:, None] != nodes[None, :])
+                yield pa.record_batch([pa.array(ids), pa.array(near.sum(1).astype(np.int64))], names=["node", "links"])
 
     return run
 
 
 def _links(nodes: DataFrame, least: float, shards: int, beam: int) -> DataFrame:
+    """What the searches found (``FOUND``), with beams that pass the audit."""
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.select("node", "vector", "size", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = nodes.select("node", "n", "vector", "size", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
     graphs = stored(in_arrow(
         dealt.repartitionById(shards, "shard").sortWithinPartitions("size", "shard", "node"), _build(2 * BEAM),
         "size int, shard int, kind int, part int, blob binary"), "hnsw-graphs")
     sample = [(r["node"], r["vector"]) for r in
               nodes.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(AUDITED).select("node", "vector").collect()]
-    nodes_sorted = nodes.select("node", "vector", "size").sortWithinPartitions("size")
-    true = stored(in_arrow(nodes_sorted, _audit(sample, least), "a long, b long").distinct(), "hnsw-audit")
-    n_true = true.count()
+    brute = nodes.select("node", "vector", "size").sortWithinPartitions("size")
+    true = stored(in_arrow(brute, _audit(sample, least), "node long, links long").groupBy("node").agg(
+        F.sum("links").alias("links")), "hnsw-audit")
+    n_true = true.agg(F.sum("links")).first()[0] or 0
     # blocks of a shard go to its own graph and those of smaller numbers
     blocks = graphs.where("kind = 1").select(
         "size", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("graph"),
@@ -192,12 +229,12 @@ def _links(nodes: DataFrame, least: float, shards: int, beam: int) -> DataFrame:
     work = graph_rows.union(blocks).repartition(parts, "size", "graph", "unit").sortWithinPartitions(
         "size", "graph", "unit", "kind", "part")
     while True:
-        links = stored(in_arrow(work, _search(least, beam), "a long, b long").distinct(), "hnsw-links")
-        found = true.join(links, ["a", "b"]).count()
-        if found >= RECALL * n_true:
-            return links
+        found = stored(in_arrow(work, _search(least, beam), FOUND), "hnsw-found")
+        audited = found.where("kind = 0").join(true, F.col("a") == F.col("node")).agg(F.sum("b")).first()[0] or 0
+        if audited >= RECALL * n_true:
+            return found
         if beam > SHARD_ROWS:
-            raise RuntimeError(f"the audit found {found} of {n_true} links with beams of {beam}")
+            raise RuntimeError(f"the audit found {audited} of {n_true} links with beams of {beam}")
         beam *= 2
 
 
@@ -213,13 +250,13 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, beam: int = BEAM, sh
     nodes = stored(running_total(one, ["h1", "h2"], F.lit(1), "node", "hnsw-distinct").withColumn(
         "size", F.size("vector")), "hnsw-nodes")
     count = nodes.count()
-    links = _links(nodes, least, max(shards, -(-count // SHARD_ROWS)), beam)
-    ends = links.select(F.col("a").alias("from"), F.col("b").alias("to")).union(links.select("b", "a"))
-    weight = nodes.select(F.col("node").alias("w_node"), "n")
-    partners = ends.join(weight, F.col("to") == F.col("w_node")).groupBy("from").agg(F.sum("n").alias("partners"))
+    found = _links(nodes, least, max(shards, -(-count // SHARD_ROWS)), beam)
+    partners = found.where("kind = 0").groupBy(F.col("a").alias("from")).agg(F.sum("n").alias("partners"))
+    links = found.where("kind = 1").select("a", "b")
     grouped = nodes.join(components(links).withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select(
         "node", "h1", "h2", "n", "least_id", F.coalesce("component", "node").alias("component"))
-    ids = grouped.groupBy(F.col("component").alias("i_component")).agg(F.min("least_id").alias("component_id"))
+    # stored: the join deals both sides anew, and Spark may split a large group
+    ids = stored(grouped.groupBy(F.col("component").alias("i_component")).agg(F.min("least_id").alias("component_id")), "hnsw-ids")
     known = grouped.join(ids, F.col("component") == F.col("i_component")).join(
         partners, F.col("node") == F.col("from"), "left").select(
         F.col("h1").alias("k1"), F.col("h2").alias("k2"),
