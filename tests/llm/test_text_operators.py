@@ -1,6 +1,7 @@
 """Line dedup, suffix dedup, SimHash, quality rules, licenses and packing
 against brute force on a small corpus with odd rows."""
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -75,6 +76,43 @@ def test_line_dedup_longer_runs(spark):
     assert got == {1: rows[0][1], 2: "xx", 3: "ww", 4: rows[3][1]}
 
 
+def brute_runs(rows, least=5):
+    """(doc_id, text) -> text without the maximal runs that start earlier."""
+    out, seen = {}, defaultdict(list)
+    for i, text in sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (key(x[0]), order(x[1]))):
+        split = text.split("\n")
+        seq = [(k, x, len(WORD.findall(x))) for k, x in enumerate(split) if WORD.search(x)]
+        gone = set()
+        for a, (_, x, _) in enumerate(seq):
+            longest = 0
+            for other, b in seen[x]:
+                n = 0
+                while a + n < len(seq) and b + n < len(other) and seq[a + n][1] == other[b + n][1]:
+                    n += 1
+                longest = max(longest, n)
+            if sum(n for _, _, n in seq[a:a + longest]) >= least:
+                gone.update(k for k, _, _ in seq[a:a + longest])
+            seen[x].append((seq, a))
+        out[i, text] = "\n".join(x for k, x in enumerate(split) if k not in gone)
+    return out
+
+
+def test_line_dedup_whole_runs(spark, docs, rows):
+    """The short last lines of a repeated run go with it."""
+    run = "a line of ten words that stands in two documents\ntwo words"
+    some = [(1, run + "\nq"), (2, "x\n" + run + "\ny"), (3, run), (4, "a b c\nd e\nf"), (5, "a b c\nd e\nf\ng"), (6, "two words")]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, whole_runs=True).collect()}
+    assert got == {1: some[0][1], 2: "x\ny", 3: "", 4: some[3][1], 5: "g", 6: "two words"}
+    rng = random.Random(4)
+    lines = [" ".join("abcdefg"[rng.randrange(7)] for _ in range(n)) for n in (1, 1, 1, 2, 2, 3, 4, 5, 9)]
+    more = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    for df, r0 in ((docs, rows), (spark.createDataFrame(more, "doc_id long, text string"), more)):
+        want = brute_runs(r0)
+        kept = line_dedup.dedup_lines(df, whole_runs=True).collect()
+        assert Counter((r.doc_id, r.text or "") for r in kept) == Counter((r[0], want[r[0], r[1] or ""]) for r in r0)
+
+
 def brute_windows(rows, size=50):
     seen, out = {}, {}
     docs = sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: key(x[0]))
