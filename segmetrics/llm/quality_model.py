@@ -14,7 +14,10 @@ enters a score.
 Fitting reads a bounded, documented sample of the labelled rows:
 ``SAMPLE_DOCS`` texts a class at most, of at most ``SAMPLE_CHARS``
 characters each, chosen by a hash of the id; one half builds the
-dictionaries, the other calibrates. The model is a fixed size (two
+dictionaries, the other calibrates. The bound cuts the larger class more, so
+the calibration texts are weighted back to the shares of the two classes
+among all labels to learn from: a score is a probability at these shares,
+whatever the sample's size. The model is a fixed size (two
 dictionaries and ten numbers) and goes to the tasks in the closure of the
 scoring function. Every whole text is scored, in one pass without a shuffle.
 
@@ -81,20 +84,23 @@ class Sizes:
         return (bad - good) / (bad + good), rate, rate * rate
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 100) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 0.1, steps: int = 100) -> np.ndarray:
     """Weights of a logistic curve: Newton's steps, halved until the loss
-    falls. Both classes weigh as they occur."""
+    falls. Rows weigh so that class 1 has ``share`` of the whole weight,
+    which is the number of rows."""
     a = np.column_stack([np.ones(len(x)), x])
 
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+
     def loss(w: np.ndarray) -> float:
         z = a @ w
-        return float(np.sum(np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w)
+        return float(np.sum(weight * (np.logaddexp(0, z) - y * z)) + ridge / 2 * w @ w)
 
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(a.shape[1])
-        step = np.linalg.solve(h, a.T @ (p - y) + ridge * w)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(a.shape[1])
+        step = np.linalg.solve(h, a.T @ (weight * (p - y)) + ridge * w)
         while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
             step = step / 2
         w = w - step
@@ -113,9 +119,9 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(blocks)[-DICT_BYTES:] or b"\0" * 8
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, use: Column, n: int = SAMPLE_DOCS) -> list[list[str]]:
-    """Texts labelled bad (0) and good (1): at most ``n`` each of rows where
-    ``use`` holds, by a hash of the id. Ids are drawn first, about 2 ``n`` a
+def sample_labelled(docs: DataFrame, labels: DataFrame, use: Column, n: int = SAMPLE_DOCS) -> tuple[list[list[str]], list[int]]:
+    """Texts labelled bad (0) and good (1), at most ``n`` each of rows where
+    ``use`` holds, by a hash of the id; and the number of such labels. Ids are drawn first, about 2 ``n`` a
     class, so a few thousand ids go to the tasks and their texts come back;
     no text is shuffled."""
     marked = labels.where(use & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(
@@ -131,12 +137,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, use: Column, n: int = SA
         rows = short.join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"), "left_semi").orderBy(
             F.xxhash64("doc_id"), "doc_id", "text").limit(n)
         out.append([r["text"] for r in rows.collect()])
-    return out
+    return out, [counts.get(quality, 0) for quality in (0, 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, n: int = SAMPLE_DOCS) -> Model:
     """Fit on labelled documents; ``use`` selects the labels to learn from."""
-    bad, good = ([t.encode("utf-8", "surrogatepass") for t in x] for x in sample_labelled(docs, labels, use, n))
+    sample, (n_bad, n_good) = sample_labelled(docs, labels, use, n)
+    bad, good = ([t.encode("utf-8", "surrogatepass") for t in x] for x in sample)
     if not bad or not good:
         share = len(good) / (len(good) + len(bad)) if good or bad else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
@@ -147,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, n: int = SAMPLE_DOCS) -
     texts = [(t, 1) for t in half(good, 1)] + [(t, 0) for t in half(bad, 1)]
     x = np.array([sizes.features(t.decode("utf-8", "surrogatepass")) for t, _ in texts])
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    w = _logistic((x - mean) / scale, np.array([y for _, y in texts], float))
+    w = _logistic((x - mean) / scale, np.array([y for _, y in texts], float), n_good / (n_good + n_bad))
     return Model(d_good, d_bad, tuple(map(float, w)), tuple(map(float, mean)), tuple(map(float, scale)))
 
 

@@ -255,6 +255,26 @@ def test_quality_model_ignores_held_out_rows(spark):
     assert quality_model.fit(docs, flipped, learn) == quality_model.fit(docs, labels, learn)
 
 
+def test_quality_model_keeps_class_shares(spark):
+    """A sample that holds both classes alike still gives probabilities at
+    the labels' shares (80 good to 20 bad in a hundred)."""
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(4000):
+        good = i % 5 > 0
+        # the classes overlap, so the shares decide much of the score
+        usual = words[:40] if good != (rng.random() < 0.25) else words[20:]
+        rows.append((i, " ".join(rng.choice(usual) for _ in range(60)), int(good)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "quality")
+    mean = {}
+    for n in (300, 600, 3000):  # the last one takes every label
+        model = quality_model.fit(docs, labels, F.col("doc_id") < 3000, n)
+        mean[n] = quality_model.score(docs.where("doc_id >= 3000"), model).agg(F.avg("score")).first()[0]
+    assert all(abs(m - 0.8) < 0.05 for m in mean.values()), mean
+
+
 def test_quality_model_without_labels(spark, no_docs):
     docs, labels, _ = labelled(spark)
     model = quality_model.fit(docs, labels.limit(0), F.lit(True))
