@@ -1,8 +1,9 @@
 """A hierarchical navigable small-world graph over one shard of vectors.
 
 Layer 0 holds all vectors, each layer above about one in ``FAN`` of the one
-below; a vector is linked to its nearest neighbours found in each of its
-layers. A search walks down the layers, and on layer 0 keeps a beam of the
+below; a vector is linked to neighbours found in each of its layers: up to
+half of the links are those nearer to it than to any neighbour already taken,
+so that links lead out of a tight cluster, the rest the nearest. A search walks down the layers, and on layer 0 keeps a beam of the
 best ``beam`` vectors seen, always following the best ones not yet followed.
 Searches run for many queries in step, so that a step is a few array
 operations. Vectors are inserted in growing batches: a batch searches the
@@ -18,6 +19,25 @@ FOLLOW = 4  # vectors a search follows in one step
 CELLS = 1 << 23  # visited flags held at a time
 
 
+def diverse(x: np.ndarray, found: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
+    """Places of the ``width`` candidates to link with, for each row of
+    candidates (best first, -1: none): up to half of them those nearer to the
+    row than to any candidate taken before, and the nearest of the others."""
+    out = []
+    step = max(1, CELLS // max(1, found.shape[1] ** 2))
+    for at in range(0, len(found), step):
+        f, s = found[at:at + step], sims[at:at + step]
+        v = x[f]
+        among = v @ v.transpose(0, 2, 1)
+        taken = np.zeros(f.shape, bool)
+        for j in range(f.shape[1]):
+            taken[:, j] = (f[:, j] >= 0) & ~(taken[:, :j] & (among[:, j, :j] >= s[:, j, None])).any(1)
+        taken &= np.cumsum(taken, axis=1) <= width // 2
+        rank = np.where(taken, 0, np.where(f >= 0, 1, 2))
+        out.append(np.argsort(rank, axis=1, kind="stable")[:, :width])
+    return np.concatenate(out) if out else np.empty((0, min(width, found.shape[1])), np.int64)
+
+
 class Layer:
     """Links among the members of one layer, by row numbers of the shard."""
 
@@ -26,9 +46,9 @@ class Layer:
         self.near = np.full((n, width), -np.inf, np.float32)
         self.members = np.empty(0, np.int32)
 
-    def connect(self, rows: np.ndarray, found: np.ndarray, sims: np.ndarray) -> None:
+    def connect(self, x: np.ndarray, rows: np.ndarray, found: np.ndarray, sims: np.ndarray) -> None:
         """Link each row to what was found for it, and back; a row that gets
-        more links than fit keeps the nearest."""
+        more links than fit keeps the ``diverse`` ones."""
         a = np.repeat(rows, found.shape[1]).astype(np.int64)
         b, s = found.ravel().astype(np.int64), sims.ravel()
         ok = (b >= 0) & (a != b)
@@ -46,10 +66,27 @@ class Layer:
         a, b, s = a[order], b[order], s[order]
         first = np.searchsorted(a, touched)
         place = np.arange(a.size) - np.repeat(first, np.diff(np.append(first, a.size)))
-        keep = place < self.links.shape[1]
+        width = self.links.shape[1]
+        count = np.diff(np.append(first, a.size))
+        keep = np.ones(a.size, bool)
+        full = np.flatnonzero(count > width)
+        full, at = full[np.argsort(count[full], kind="stable")], 0
+        while at < full.size:  # rows of like counts, at most CELLS places
+            n = int(np.searchsorted(np.arange(1, full.size - at + 1) * count[full[at:]].astype(np.int64) ** 2, CELLS, "right"))
+            some = full[at:at + max(1, n)]
+            at += some.size
+            wide = np.arange(count[some].max())[None, :]
+            there = wide < count[some][:, None]
+            where = np.where(there, first[some][:, None] + wide, 0)
+            pick = diverse(x, np.where(there, b[where], -1), np.where(there, s[where], -np.inf), width)
+            keep[where[there]] = False
+            keep[np.take_along_axis(where, pick, 1)] = True
+        a, b, s = a[keep], b[keep], s[keep]
+        first = np.searchsorted(a, touched)
+        place = np.arange(a.size) - np.repeat(first, np.diff(np.append(first, a.size)))
         self.links[touched], self.near[touched] = -1, -np.inf
-        self.links[a[keep], place[keep]] = b[keep]
-        self.near[a[keep], place[keep]] = s[keep]
+        self.links[a, place] = b
+        self.near[a, place] = s
         self.members = np.union1d(self.members, rows).astype(np.int32)
 
 
@@ -82,7 +119,7 @@ class Graph:
                 if layer.members.size:
                     found, sims = g.search_layer(g.x[rows], start, l, beam if l == 0 else LINKS)
                     start = found[:, :4]
-                    found, sims = found[here, :width], sims[here, :width]
+                    found, sims = found[here], sims[here]
                 else:
                     found, sims = np.empty((here.size, 0), np.int32), np.empty((here.size, 0), np.float32)
                 if here.size:
@@ -91,8 +128,10 @@ class Graph:
                     top = np.argpartition(-mine, k - 1, axis=1)[:, :k] if k > 0 else np.empty((here.size, 0), int)
                     both = np.concatenate([found, rows[here][top]], axis=1)
                     both_s = np.concatenate([sims, np.take_along_axis(mine, top, 1)], axis=1)
-                    best = np.argsort(-both_s, axis=1, kind="stable")[:, :width]
-                    layer.connect(rows[here], np.take_along_axis(both, best, 1), np.take_along_axis(both_s, best, 1))
+                    best = np.argsort(-both_s, axis=1, kind="stable")
+                    both, both_s = np.take_along_axis(both, best, 1), np.take_along_axis(both_s, best, 1)
+                    best = diverse(g.x, both, both_s, width)
+                    layer.connect(g.x, rows[here], np.take_along_axis(both, best, 1), np.take_along_axis(both_s, best, 1))
         return g
 
     def search_layer(self, queries: np.ndarray, start: np.ndarray | None, l: int, beam: int):
@@ -158,9 +197,14 @@ class Graph:
     def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) pairs of similarity ``least`` or more: the beam's, and
         all that can be reached from them over links between such rows. There
-        is no limit on a query's pairs."""
+        is no limit on a query's pairs. A beam as wide as the shard compares
+        all, so that no row is out of reach."""
         if not len(self.x) or not len(queries):
             return np.empty(0, np.int64), np.empty(0, np.int64)
+        if beam >= len(self.x):
+            step = max(1, CELLS // len(self.x))
+            parts = [np.nonzero(queries[i:i + step] @ self.x.T >= least) for i in range(0, len(queries), step)]
+            return (np.concatenate([p[0] + i * step for i, p in enumerate(parts)]), np.concatenate([p[1] for p in parts]))
         start = None
         for l in range(len(self.layers) - 1, 0, -1):
             if self.layers[l].members.size:

@@ -224,6 +224,49 @@ def test_graph_finds_a_large_group():
     assert len(true & set(zip(q.tolist(), r.tolist()))) >= 0.98 * len(true)
 
 
+def test_graph_leaves_no_islands():
+    """Tight groups of more vectors than a row has links, near each other."""
+    rng = np.random.default_rng(3)
+    hub = rng.normal(size=64)
+    hub /= np.linalg.norm(hub)
+    parts = []
+    for _ in range(20):
+        d = rng.normal(size=64)
+        d -= d @ hub * hub
+        centre = np.sqrt(0.925) * hub + np.sqrt(0.075) * d / np.linalg.norm(d)
+        parts.append(centre + rng.normal(scale=0.00125, size=(200, 64)))
+    u = np.concatenate(parts)
+    u = (u / np.linalg.norm(u, axis=1)[:, None])[rng.permutation(4000)].astype(np.float32)
+    q, _ = Graph.build(u, 96).within(u[::40], 0.9, 48)
+    true = (u[::40] @ u.T >= 0.9).sum(1)
+    assert (np.bincount(q, minlength=100) / true).min() > 0.99
+
+
+def test_audit_sees_small_groups(spark):
+    """All links of the large group outweigh the lost ones in sum, not in
+    the audit; nothing to find passes."""
+    true = spark.createDataFrame([(i, 300_000) for i in range(85)] + [(100 + i, 2) for i in range(171)], "node long, links long")
+    found = spark.createDataFrame([(0, i, 300_000, 0) for i in range(85)] + [(1, 100, 101, 0)], "kind int, a long, b long, n long")
+    assert embedding_dedup.worst_share(found, true) == 0.0
+    half = found.union(spark.createDataFrame([(0, 100 + i, 1, 0) for i in range(171)], found.schema))
+    assert embedding_dedup.worst_share(half, true) == 0.5
+    assert embedding_dedup.worst_share(half.union(half), true) == 1.0
+    assert embedding_dedup.worst_share(found, true.withColumn("links", F.lit(0).cast("long"))) == 1.0
+
+
+def test_audit_grows_with_the_table(spark):
+    """One vector in 20 with its true links, whatever block it is in."""
+    x = clustered(4, 6000)
+    nodes = spark.createDataFrame([(i, 1, [float(c) for c in v], 16) for i, v in enumerate(x)], "node long, n long, vector array<float>, size int")
+    ids = np.arange(6000)
+    blocks = [(16, k, 1, 0, bytearray(embedding_dedup._blob([ids[k::2], np.ones(3000, int), x[k::2]]))) for k in range(2)]
+    graphs = spark.createDataFrame(blocks, "size int, shard int, kind int, part int, blob binary")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = (u[::20] @ u.T >= 0.9).sum(1) - 1
+    got = {r.node: r.links for r in embedding_dedup._true_links(nodes, graphs, 0.9, 2, 6000).collect()}
+    assert got == {20 * i: n for i, n in enumerate(want)}
+
+
 def labelled(spark, n=240):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]
