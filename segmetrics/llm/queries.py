@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmetrics.llm import embedding_dedup, licenses, line_dedup, mixing, packing, quality_model, quality_rules, simhash, suffix_dedup, url_filters
-from segmetrics.llm.common import table
+from segmetrics.llm import (embedding_dedup, language_id, licenses, line_dedup, mixing, packing, periodic_runs, quality_model,
+                            quality_rules, resampling, simhash, suffix_dedup, url_filters)
+from segmetrics.llm.common import WORD, let, table
 from segmetrics.llm.sql import ORACLE_SQL  # noqa: F401 - read by the entry module
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -94,6 +95,50 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s >= quality_model.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    learn = F.col("doc_id").isNotNull() & ~held_out
+    found = language_id.identify(docs, language_id.fit(docs, learn))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, the words joined by blanks; in a tenth of the
+    documents, by the id's checksum, words from one place on repeat."""
+    h = F.crc32(docs["doc_id"].cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: F.Column) -> F.Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return let(F.struct(words.alias("w"), a.cast("int").alias("a"), p.cast("int").alias("p")), lambda x: F.transform(
+            x["w"], lambda word, i: F.when(i < x["a"], word).otherwise(F.get(x["w"], x["a"] + (i - x["a"]) % x["p"]))))
+
+    words = F.regexp_extract_all(docs["text"], F.lit(WORD), 0)
+    return docs.select("doc_id", F.when((h % 10 == 0) & (F.regexp_count(docs["text"], F.lit(WORD)) > 0),
+                                        F.array_join(let(words, planted), " ")).otherwise(docs["text"]).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    # runs come by start and period: of equal exponents the first stays
+    best = F.aggregate("runs", F.lit(None).cast(periodic_runs.RUN), lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_suffix_dedup, op3_embedding_dedup, op4_url_filters, op5_packing, op6_quality_rules, op7_license_scans, op8_simhash, op9_mixing,
-    op10_quality_classifier)}
+    op10_quality_classifier, op11_importance_resampling, op12_language_id, op13_periodic_runs)}

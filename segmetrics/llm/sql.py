@@ -104,5 +104,30 @@ c AS (SELECT *, coalesce(floor(k::DOUBLE * rate + u) - floor((k - 1)::DOUBLE * r
 SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size AS taken, copies, source FROM c
 """
 
+# op11: checksums byte by byte over a table that its rule gives; a plain
+# sort of all scores
+_OP11 = r"""
+WITH t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tab
+           FROM range(256) AS r(b)),
+w AS (SELECT 1 AS d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+      UNION ALL SELECT 0, NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+v AS (SELECT DISTINCT word FROM w),
+x AS (SELECT word, xor(list_reduce([('0x' || substr(hex(word), 2 * i - 1, 2))::BIGINT FOR i IN range(1, strlen(word) + 1)],
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM v, t),
+c AS (SELECT doc_id, bucket, d FROM w JOIN x USING (word)),
+sums AS (SELECT bucket, sum(d)::DOUBLE AS s, sum(1 - d)::DOUBLE AS t FROM c GROUP BY 1),
+total AS (SELECT sum(s) AS s, sum(t) AS t FROM sums),
+gain AS (SELECT bucket, floor(1000 * ln((sums.t + 1) * (total.s + 10000) / ((sums.s + 1) * (total.t + 10000))))::BIGINT AS gain FROM sums, total),
+f AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM c JOIN gain USING (bucket) WHERE d = 1 GROUP BY 1),
+o AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM documents LEFT JOIN f USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM o WHERE n_features >= 20)
+SELECT o.doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank, n_features AS n_words
+FROM o LEFT JOIN r ON o.doc_id = r.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": _OP1, "op4_url_filters": _OP4, "op6_quality_rules": _OP6,
-                              "op9_mixing": _OP9}
+                              "op9_mixing": _OP9, "op11_importance_resampling": _OP11}

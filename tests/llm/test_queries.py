@@ -25,12 +25,15 @@ COLUMNS = {
     "op8_simhash": "doc_id fingerprint component_id",
     "op9_mixing": "doc_id size source_size target taken",
     "op10_quality_classifier": "doc_id held_out score predicted",
+    "op11_importance_resampling": "doc_id n_features weight score rank",
+    "op12_language_id": "doc_id held_out lang_pred score",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) <= set(e.queries()) and "pipeline" in e.queries()
     assert set(ORACLE_SQL) <= set(queries.QUERIES)
 
