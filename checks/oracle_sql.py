@@ -173,7 +173,8 @@ def base(*ctes: str) -> str:
 O = "CAST(split_part(transaction_id, '-', 1) AS BIGINT)"
 N = "CAST(split_part(transaction_id, '-', 2) AS BIGINT)"
 DIRTY = f"""raw AS (SELECT * REPLACE (
-    CASE WHEN {O} % 17 = 0 THEN 'n/a' WHEN {O} % 19 = 0 THEN '12,500' WHEN {O} % 13 = 0 THEN ' 0 ' ELSE price END AS price,
+    CASE WHEN {O} % 17 = 0 THEN 'n/a' WHEN {O} % 19 = 0 THEN '12,500' WHEN {O} % 13 = 0 THEN ' 0 '
+      WHEN {O} % 59 = 0 THEN 'Infinity' WHEN {O} % 61 = 0 THEN '1e999' ELSE price END AS price,
     CASE WHEN {O} % 23 = 0 THEN '1996-02-31 00:00' WHEN {O} % 29 = 0 THEN '' ELSE date_of_transfer END AS date_of_transfer,
     CASE WHEN {O} % 31 = 0 THEN ' All ' WHEN {O} % 37 = 0 THEN '  ' ELSE county END AS county,
     CASE WHEN {O} % 41 = 0 AND {N} % 2 = 0 THEN 'ALL' ELSE district END AS district,

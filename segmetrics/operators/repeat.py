@@ -1,8 +1,11 @@
 """Repeat sales: pair every sale with the previous sale of the same property.
 
 Order inside a property is (sale_date, price, transaction_id). The pairing
-equals a per-property ``lag``, computed in parts so that no task holds all
-sales of a property, or of a property-day:
+equals a per-property ``lag``, and is one for all properties but the
+``HOT_PROPERTIES`` with the most sales, if these have over ``HOT_SALES``:
+one exchange of the sales by property, one sort. The hot ones are found by
+counting ids, and are few enough to broadcast; a window over one of them
+would be a large task, so their sales are paired in parts:
 
 1. Parts. The sales of a property are cut by day and price band, a cut that
    follows their order. A window over each part pairs all but its first sale.
@@ -20,18 +23,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PD = ["property_id", "sale_date"]
+HOT_SALES = 100_000
+HOT_PROPERTIES = 10_000
 
 
 def _band(price: Column) -> Column:
     """Price band, growing with the price: sixteen to each doubling; one for
-    what isn't positive, one for NaN, which sorts last."""
-    return (F.when(F.isnan(price), F.lit(1 << 20)).when(price > 0, F.floor(F.log2(price) * 16).cast("int"))
-            .otherwise(F.lit(-(1 << 20))))
+    what isn't positive, and one each for infinity and NaN, which sort last."""
+    return (F.when(F.isnan(price), F.lit(1 << 20)).when(price == float("inf"), F.lit((1 << 20) - 1))
+            .when(price > 0, F.floor(F.log2(price) * 16).cast("int")).otherwise(F.lit(-(1 << 20))))
 
 
-def with_predecessor(sales: DataFrame) -> DataFrame:
-    """Add ``bought_date``, ``bought_price``, ``bought_year`` (null when the
-    sale is the property's first)."""
+def _bought(paired: DataFrame, columns: list[str], date: Column, price: Column) -> DataFrame:
+    return paired.select(*columns, date.alias("bought_date"), price.alias("bought_price"), F.year(date).alias("bought_year"))
+
+
+def _paired_whole(sales: DataFrame) -> DataFrame:
+    """A window over each property."""
+    own = Window.partitionBy("property_id").orderBy("sale_date", "price", F.col("transaction_id").asc_nulls_first())
+    last = sales.withColumn("_last", F.lag(F.struct("sale_date", "price")).over(own))
+    return _bought(last, sales.columns, F.col("_last.sale_date"), F.col("_last.price"))
+
+
+def _paired_in_parts(sales: DataFrame) -> DataFrame:
+    """No window larger than a part, or than the parts of a property."""
     part = [*PD, "_band"]
     inside = Window.partitionBy(*part).orderBy(F.col("price"), F.col("transaction_id").asc_nulls_first())
     paired = sales.withColumn("_band", _band(F.col("price"))).withColumns(
@@ -41,10 +56,25 @@ def with_predecessor(sales: DataFrame) -> DataFrame:
     carried = ends.select(*part, F.lag("end").over(parts).alias("_carried"))
     both = paired.join(carried, part)
     first = F.col("_previous").isNull()
-    bought_date = F.when(first, F.col("_carried.d")).otherwise(F.col("sale_date"))
-    bought_price = F.when(first, F.col("_carried.p")).otherwise(F.col("_previous"))
-    return both.withColumns({"bought_date": bought_date, "bought_price": bought_price}).withColumn(
-        "bought_year", F.year("bought_date")).select(*sales.columns, "bought_date", "bought_price", "bought_year")
+    return _bought(both, sales.columns, F.when(first, F.col("_carried.d")).otherwise(F.col("sale_date")),
+                   F.when(first, F.col("_carried.p")).otherwise(F.col("_previous")))
+
+
+def hot_properties(sales: DataFrame, hot_sales: int = HOT_SALES) -> DataFrame:
+    """Ids of the properties with over ``hot_sales`` sales, the
+    ``HOT_PROPERTIES`` hottest at most."""
+    counts = sales.groupBy(F.col("property_id").alias("_hot_id")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > hot_sales).orderBy(F.desc("n"), "_hot_id").limit(HOT_PROPERTIES).select("_hot_id")
+
+
+def with_predecessor(sales: DataFrame, hot_sales: int = HOT_SALES) -> DataFrame:
+    """Add ``bought_date``, ``bought_price``, ``bought_year`` (null when the
+    sale is the property's first)."""
+    # bounded by its limit, whatever the sales
+    hot = F.broadcast(hot_properties(sales, hot_sales))
+    is_hot = F.col("property_id") == F.col("_hot_id")
+    return _paired_whole(sales.join(hot, is_hot, "left_anti")).unionByName(
+        _paired_in_parts(sales.join(hot, is_hot, "left_semi")))
 
 
 def with_appreciation(df: DataFrame) -> DataFrame:

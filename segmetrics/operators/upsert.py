@@ -4,8 +4,9 @@ Rows with a blank key or malformed JSON are rejected, not raised; dimension
 rows also need a non-empty ``sk``.
 
 An upsert reduces the load to the last row of each key, and takes the keys
-that it holds out of the table with an anti join that builds on the load:
-the table is streamed through, neither sorted nor aggregated.
+that it holds out of the table with an anti join. The optimizer broadcasts
+the load's keys where its estimate of them allows (the table is then read in
+place, without an exchange) and shuffles both sides beyond.
 """
 from __future__ import annotations
 
@@ -127,7 +128,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], seq: s
     same = None
     for c in n.values():
         same = c if same is None else same & c
-    load_keys = latest.select(*keys, *([seq] if seq in existing.columns else [])).hint("shuffle_hash").alias("n")
+    load_keys = latest.select(*keys, *([seq] if seq in existing.columns else [])).alias("n")
     if seq not in existing.columns:
         return existing.alias("t").join(load_keys, same, "left_anti").unionByName(latest)
     stays = F.col(f"t.{seq}") > F.col(f"n.{seq}")

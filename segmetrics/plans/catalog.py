@@ -317,12 +317,13 @@ def q_load_dirty(spark, sf):
 
 def dirty_raw(spark, sf) -> DataFrame:
     """The raw sales with the faults that files have: prices and dates that
-    don't parse, prices of zero, blanks, and values that read 'All'. Line
+    don't parse, prices of zero and beyond all numbers, blanks, and values that read 'All'. Line
     and order numbers decide, so that SQL can repeat it."""
     ids = F.split("transaction_id", "-")
     o, n = ids[0].cast("long"), ids[1].cast("long")
     changed = {
-        "price": F.when(o % 17 == 0, "n/a").when(o % 19 == 0, "12,500").when(o % 13 == 0, " 0 ").otherwise(F.col("price")),
+        "price": F.when(o % 17 == 0, "n/a").when(o % 19 == 0, "12,500").when(o % 13 == 0, " 0 ").when(
+            o % 59 == 0, "Infinity").when(o % 61 == 0, "1e999").otherwise(F.col("price")),
         "date_of_transfer": F.when(o % 23 == 0, "1996-02-31 00:00").when(o % 29 == 0, "").otherwise(F.col("date_of_transfer")),
         "county": F.when(o % 31 == 0, " All ").when(o % 37 == 0, "  ").otherwise(F.col("county")),
         "district": F.when((o % 41 == 0) & (n % 2 == 0), "ALL").otherwise(F.col("district")),

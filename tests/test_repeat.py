@@ -2,8 +2,9 @@
 property (many sales, many on one day, price ties)."""
 import datetime as dt
 import random
+from collections import Counter
 
-from segmetrics.operators.repeat import repeat_sales, with_predecessor
+from segmetrics.operators.repeat import _paired_whole, hot_properties, repeat_sales, with_predecessor
 from segmetrics.plans.build import shared_sales
 
 
@@ -42,6 +43,32 @@ def test_predecessor_matches_sort(spark):
         got = {r["transaction_id"]: (r["bought_date"], r["bought_price"]) if r["bought_date"] else None
                for r in with_predecessor(source).collect()}
         assert got == expect
+    # hot properties in parts, some or all of them
+    for hot_sales in (0, 15, 100):
+        assert {r["_hot_id"] for r in hot_properties(df, hot_sales).collect()} == {
+            p for p, n in Counter(r[1] for r in rows).items() if n > hot_sales}
+        got = {r["transaction_id"]: (r["bought_date"], r["bought_price"]) if r["bought_date"] else None
+               for r in with_predecessor(df, hot_sales).collect()}
+        assert got == expect
+
+
+def test_infinite_and_nan_prices(spark):
+    """Infinity and NaN sort after all other prices of a day."""
+    day = dt.date(2001, 1, 1)
+    prices = [float("nan"), float("inf"), 1e308, 5.0, 0.0, -3.0, float("-inf")]
+    rows = [(f"t{i}", "p", x, day, 2001, "c", "o", "d", "flat", "freehold") for i, x in enumerate(prices)]
+    schema = ("transaction_id string, property_id string, price double, sale_date date, year_sold int, "
+              "county string, outcode string, district string, house_type string, tenure string")
+    for hot_sales in (0, 100):
+        got = {r["transaction_id"]: r["bought_price"] for r in with_predecessor(spark.createDataFrame(rows, schema), hot_sales).collect()}
+        assert got == {"t6": None, "t5": float("-inf"), "t4": -3.0, "t3": 0.0, "t2": 5.0, "t1": 1e308, "t0": float("inf")}
+
+
+def test_one_exchange_of_the_sales(spark):
+    """Sales that no property is hot in are exchanged once, by property."""
+    df, _ = make_sales(spark)
+    plan = _paired_whole(shared_sales(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(property_id" in plan
 
 
 def test_appreciation_and_repeat_filter(spark):
