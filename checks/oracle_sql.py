@@ -540,8 +540,14 @@ SELECT {K}, year_bought, {ycols} FROM frame LEFT JOIN piv USING ({K}, year_bough
     q["street_agg"] = base(sales_cte(extra=f", {norm('street')} AS street")) + (
         "SELECT street, year_sold, sum(price) / count(*) AS avg_price, count(*) AS sale_count "
         "FROM sales GROUP BY street, year_sold")
-    q["line_true_stats"] = q["line_mode"].replace("CAST(sale_count AS BIGINT) AS sale_count FROM",
-                                                  "CAST(sale_count AS BIGINT) AS sale_count, 1 AS median_rank_ok FROM")
+    q["line_true_stats"] = base(
+        sales_cte(),
+        cube_cte("sales", "pp", ["year_sold", "price"], "count(*) AS n"),
+        cube_cte("sales", "pm", ["year_sold"], "quantile_disc(price, 0.5) AS median_price"),
+    ) + f"""SELECT {K}, year_sold, median_price, mode_price, CAST(sale_count AS BIGINT) AS sale_count FROM (
+    SELECT *, price AS mode_price, sum(n) OVER (PARTITION BY {K}, year_sold) AS sale_count,
+      row_number() OVER (PARTITION BY {K}, year_sold ORDER BY n DESC, price ASC) AS rk FROM pp) t
+  JOIN pm USING ({K}, year_sold) WHERE rk = 1"""
     q["street_heatmap"] = base(sales_cte(extra=f", {norm('street')} AS street"), repeats_cte()) + (
         f"SELECT street, year_bought, year_sold, {HEAT_OUT} FROM (SELECT street, year_bought, year_sold, {HEAT_METRICS} "
         "FROM repeats GROUP BY street, year_bought, year_sold) h")

@@ -1,10 +1,11 @@
 """Metric sets, as lists of aliased aggregate Columns, for the cube.
 
 Line path (all sales, per segment and year sold) and heatmap path (repeat
-sales, per segment, year bought and year sold). Medians are element-valued
-(``percentile_approx`` with accuracy 10000, the lower median for even
-counts); they are computed on the cube's own groups, never rolled up from
-finer medians.
+sales, per segment, year bought and year sold). Both paths reduce their rows
+to mergeable states at the finest grain and roll these up. Medians can't be
+rolled up: they are the exact lower medians of the cube's own groups
+(``medians``); ``heatmap_metrics`` has them as ``percentile_approx`` with
+accuracy 10000, for groupings without a cube.
 """
 from __future__ import annotations
 
@@ -75,3 +76,32 @@ def line_metrics_from_partials() -> list[Column]:
         avg.alias("mode_price"),
         F.sum("_n").cast("bigint").alias("sale_count"),
     ]
+
+
+# Finest-grain states of the heatmap path; ``_ap`` pounds, ``_pct`` percent.
+def heatmap_partials() -> list[Column]:
+    ap, pct = F.col("appreciation_pounds"), F.col("appreciation_pct")
+    return [
+        F.count(F.lit(1)).alias("_n"), F.count_if(ap > 0).alias("_up"),
+        F.sum(ap).alias("_ap_sum"), F.min(ap).alias("_ap_min"), F.max(ap).alias("_ap_max"),
+        F.sum(pct).alias("_pct_sum"), F.count(pct).alias("_pct_n"), F.min(pct).alias("_pct_min"), F.max(pct).alias("_pct_max"),
+    ]
+
+
+def merged_heatmap_partials() -> list[Column]:
+    """The states of coarser groups, under the same names."""
+    sums, least, most = ("_n", "_up", "_ap_sum", "_pct_sum", "_pct_n"), ("_ap_min", "_pct_min"), ("_ap_max", "_pct_max")
+    return [*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most]]
+
+
+def heatmap_metrics_from_partials() -> list[Column]:
+    """``heatmap_metrics`` but the medians, from the states."""
+    n = F.col("_n")
+    return [
+        (F.col("_ap_sum") / n).alias("avg_appreciation_pounds"),
+        n.cast("bigint").alias("sale_count"),
+        F.try_divide(F.col("_pct_sum"), F.col("_pct_n")).alias("avg_appreciation_pct"),
+        (F.lit(100) * F.col("_up") / n).alias("pct_sales_appreciated"),
+        F.col("_ap_min").alias("biggest_loser_pounds"), F.col("_pct_min").alias("biggest_loser_pct"),
+        F.col("_ap_max").alias("biggest_winner_pounds"), F.col("_pct_max").alias("biggest_winner_pct"),
+    ]

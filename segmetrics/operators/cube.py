@@ -74,13 +74,15 @@ def segment_cube(
     return agg.select(*_key_select(values, by, metrics))
 
 
-def segment_cube_gs(
-    df: DataFrame,
-    aggs: Sequence[Column],
-    by: Sequence[str] = (),
-    dims: Sequence[str] = DIMS,
-) -> DataFrame:
-    """Grouping-sets form (16 sets, no fan-out). Same rows as ``segment_cube``."""
+# the location type of groups over all locations, before they are copied
+# to every type
+EVERY_TYPE = "*"
+
+
+def grouped_sets(df: DataFrame, aggs: Sequence[Column], by: Sequence[str] = (), dims: Sequence[str] = DIMS) -> DataFrame:
+    """The 16 grouping sets with named keys: ``by``, location_type (which of
+    the location columns is grouped; ``EVERY_TYPE`` if none), location_value,
+    ``dims`` ('all' where rolled up), metrics."""
     loc_cols = [c for _, c in LOCATION_LEVELS]
     loc_choices = [[c] for c in loc_cols] + [[]]
     dim_choices = [
@@ -92,33 +94,34 @@ def segment_cube_gs(
     flags = [F.grouping(c).alias(f"_g_{c}") for c in grouped]
     agg = df.groupingSets(sets, *by, *grouped).agg(*aggs, *flags)
     metrics = [c for c in agg.columns if c not in set([*by, *grouped]) and not c.startswith("_g_")]
+    loc_type = F.coalesce(*[F.when(F.col(f"_g_{c}") == 0, F.lit(t)) for t, c in LOCATION_LEVELS], F.lit(EVERY_TYPE))
+    loc_value = F.lit(ALL)
+    for _, c in LOCATION_LEVELS:
+        loc_value = F.when(F.col(f"_g_{c}") == 0, F.col(c)).otherwise(loc_value)
+    return agg.select(
+        *by, loc_type.alias("location_type"), loc_value.alias("location_value"),
+        *[F.when(F.col(f"_g_{d}") == 1, F.lit(ALL)).otherwise(F.col(d)).alias(d) for d in dims], *metrics)
+
+
+def copied_to_types(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``grouped_sets`` with groups over all locations once a location type:
+    6 key columns, ``by`` columns, metrics."""
+    metrics = [c for c in grouped.columns if c not in {*by, *KEY_COLUMNS}]
+    types = F.when(F.col("location_type") == EVERY_TYPE, F.array(*[F.lit(t) for t, _ in LOCATION_LEVELS])).otherwise(
+        F.array("location_type"))
+    values = {k: F.col(k) if k in grouped.columns else F.lit(ALL) for k in KEY_COLUMNS}
+    values["location_type"] = F.col("_type")
+    return grouped.withColumn("_type", F.explode(types)).select(*_key_select(values, by, metrics))
 
-    # which location column is grouped decides the type; none grouped = 'all'
-    # for every type, copied three times (post-aggregation, small)
-    type_list = F.array(*[F.lit(t) for t, _ in LOCATION_LEVELS])
-    loc_type = None
-    loc_value = None
-    for t, c in LOCATION_LEVELS:
-        cond = F.col(f"_g_{c}") == 0
-        loc_type = (F.when(cond, F.array(F.lit(t))) if loc_type is None else loc_type.when(cond, F.array(F.lit(t))))
-        loc_value = (F.when(cond, F.col(c)) if loc_value is None else loc_value.when(cond, F.col(c)))
-    loc_type = loc_type.otherwise(type_list)
-    loc_value = loc_value.otherwise(F.lit(ALL))
-
-    exploded = agg.select(
-        "*", F.explode(loc_type).alias("_location_type"), loc_value.alias("_location_value")
-    )
-    values = {
-        "location_type": F.col("_location_type"),
-        "location_value": F.col("_location_value"),
-        "size_band": F.lit(ALL),
-        "year_built_band": F.lit(ALL),
-    }
-    for d in dims:
-        values[d] = F.when(F.col(f"_g_{d}") == 1, F.lit(ALL)).otherwise(F.col(d))
-    for k in ("house_type", "tenure"):
-        values.setdefault(k, F.lit(ALL))
-    return exploded.select(*_key_select(values, by, metrics))
+
+def segment_cube_gs(
+    df: DataFrame,
+    aggs: Sequence[Column],
+    by: Sequence[str] = (),
+    dims: Sequence[str] = DIMS,
+) -> DataFrame:
+    """Grouping-sets form (16 sets, no fan-out). Same rows as ``segment_cube``."""
+    return copied_to_types(grouped_sets(df, aggs, by, dims), by)
 
 
 def affected_keys(segments: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:

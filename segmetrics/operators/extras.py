@@ -1,13 +1,14 @@
-"""Declared extras: exact mode, checked median, street-level and ad-hoc
+"""Declared extras: exact mode and median, street-level and ad-hoc
 aggregates, size bands."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmetrics.operators.aggregates import heatmap_metrics, median
+from segmetrics.operators.aggregates import heatmap_metrics
 from segmetrics.operators.cube import segment_cube_gs
-from segmetrics.schema import KEY_COLUMNS, MEDIAN_ACCURACY
+from segmetrics.operators.medians import exact_median
+from segmetrics.schema import KEY_COLUMNS
 
 SEGMENT_YEAR = [*KEY_COLUMNS, "year_sold"]
 
@@ -25,20 +26,10 @@ def line_mode(counts: DataFrame) -> DataFrame:
     )
 
 
-def line_true_stats(sales: DataFrame, counts: DataFrame) -> DataFrame:
-    """Median and mode per (segment, year sold). The median is a sketch's;
-    ``median_rank_ok`` says that its rank, counted over all prices, is within
-    the sketch's accuracy of the middle."""
-    medians = segment_cube_gs(sales, [median("price").alias("median_price")], by=["year_sold"])
-    ranked = counts.join(medians, SEGMENT_YEAR).groupBy(*SEGMENT_YEAR).agg(
-        F.first("median_price").alias("median_price"),
-        F.sum(F.when(F.col("price") < F.col("median_price"), F.col("n")).otherwise(0)).alias("below"),
-        F.sum(F.when(F.col("price") <= F.col("median_price"), F.col("n")).otherwise(0)).alias("upto"),
-        F.sum("n").alias("all"),
-    )
-    half, slack = F.col("all") / 2, F.ceil(F.col("all") / MEDIAN_ACCURACY)
-    ok = (F.col("below") - slack < half) & (half <= F.col("upto") + slack)
-    return ranked.select(*SEGMENT_YEAR, "median_price", ok.alias("median_rank_ok")).join(line_mode(counts), SEGMENT_YEAR)
+def line_true_stats(counts: DataFrame) -> DataFrame:
+    """Exact lower median and mode per (segment, year sold), from stored
+    ``price_counts``."""
+    return exact_median(counts, SEGMENT_YEAR, "price", "median_price").join(line_mode(counts), SEGMENT_YEAR)
 
 
 def street_line(sales: DataFrame) -> DataFrame:

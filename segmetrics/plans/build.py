@@ -10,16 +10,26 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from segmetrics.config import stored
-from segmetrics.operators.aggregates import heatmap_metrics, line_metrics_from_partials, line_partials
+from segmetrics.operators.aggregates import (
+    heatmap_metrics_from_partials,
+    heatmap_partials,
+    line_metrics_from_partials,
+    line_partials,
+    merged_heatmap_partials,
+)
 from segmetrics.operators.clean import clean_sales
-from segmetrics.operators.cube import DIMS, segment_cube_gs
+from segmetrics.operators.cube import DIMS, copied_to_types, grouped_sets, segment_cube_gs
+from segmetrics.operators.medians import exact_median
 from segmetrics.operators.repeat import repeat_sales
 from segmetrics.operators.series import performance_from_aggs
+from segmetrics.schema import HEATMAP_CELL
 
 LINE_BASE = ["price", "year_sold", "county", "outcode", "district"]
 HEAT_BASE = ["appreciation_pounds", "appreciation_pct", "year_bought", "year_sold", "county", "outcode", "district"]
+HEAT_METRICS = [f.name for f in HEATMAP_CELL.fields if f.name not in ("year_bought", "year_sold")]
 LINE_INPUT = [*LINE_BASE, *DIMS]
 HEAT_INPUT = [*HEAT_BASE, *DIMS]
 
@@ -35,10 +45,22 @@ def line_agg(sales: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
 
 
 def heatmap_agg(repeats: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
-    """Heatmap path: (segment, year_bought, year_sold) -> appreciation metrics."""
-    return segment_cube_gs(
-        repeats.select(*HEAT_BASE, *dims), heatmap_metrics(), by=["year_bought", "year_sold"], dims=dims
-    )
+    """Heatmap path: (segment, year_bought, year_sold) -> appreciation metrics.
+
+    Repeat sales are reduced to mergeable states by location, ``dims`` and
+    years, and the grouping sets expand those. Only the medians need the
+    values: their counts in each group, walked to the middle."""
+    by, values = ["year_bought", "year_sold"], ["appreciation_pounds", "appreciation_pct"]
+    finest = [c for c in HEAT_BASE if c not in values] + list(dims)
+    rows = stored(repeats.select(*HEAT_BASE, *dims), "repeats")
+    groups = [*by, "location_type", "location_value", *dims]
+    cells = grouped_sets(rows.groupBy(*finest).agg(*heatmap_partials()), merged_heatmap_partials(), by, dims).select(
+        *groups, *heatmap_metrics_from_partials())
+    for value in values:
+        counts = stored(grouped_sets(rows.groupBy(*finest, value).agg(F.count(F.lit(1)).alias("n")).where(
+            F.col(value).isNotNull()), [F.sum("n").alias("n")], [*by, value], dims), "heatmap-counts")
+        cells = cells.join(exact_median(counts, groups, value, f"median_{value}"), groups, "left")
+    return copied_to_types(cells.select(*groups, *HEAT_METRICS), by)
 
 
 def shared_sales(sales: DataFrame) -> DataFrame:
