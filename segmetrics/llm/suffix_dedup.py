@@ -19,16 +19,20 @@ steps keep that small without losing a suffix that could matter:
    and one more for each further window), to the bucket of the minimizer.
    A bucket's suffixes are sorted by themselves: no class spans buckets.
 
-A minimizer in more than ``HOT`` documents, as in a passage that a third of
-the corpus shares, would make its bucket large. Its windows travel on their
-own, to buckets by a hash of the window. And before anything travels, equal
-strings of one Arrow batch are combined: the least document's goes on, for
-the others it is settled that they repeat. So a bucket gets a string once a
-batch, however many documents hold it.
+Two kinds of minimizers would make their bucket large: one with more than
+``HOT`` places, as in a passage that a third of the corpus shares, and one of
+a periodic text, whose string has no end. Their windows travel on their own,
+to buckets by a hash of the window; of the equal windows of one text one
+travels, with the places of the others. And before anything travels, equal
+strings of one part of a batch are combined: the least document's goes on,
+for the others it is settled that they repeat.
 
 A text is shuffled once; the three steps that read it share that exchange.
-A task holds one Arrow batch of texts, or one bucket, which is a partition;
-of a bucket an eighth is sorted at a time.
+A task holds ``PART`` bytes of texts (or one longer text), of which ``SLICE``
+windows at a time travel on their own; or one bucket, of which one in
+``SHELVES`` parts is sorted at a time. There is a bucket for each
+``BUCKET_BYTES`` of text, one at least a partition; the buckets of a
+partition come one after another, sorted by Spark.
 
 Defined results: a null text is empty; a null doc_id is larger than all
 others; rows with one doc_id are no copies of each other; a text under 50
@@ -51,7 +55,11 @@ from segmetrics.llm.suffix_sort import deep_shallow, words_at
 WINDOW = 50
 GRAM = 24
 HOT = 4096
-SHELVES = 8  # a bucket's suffixes are sorted in so many parts
+SHELVES = 32  # a bucket's suffixes are sorted in so many parts
+PART = 8 << 20  # bytes of text
+SLICE = 1 << 17  # windows
+BUCKET_BYTES = 32 << 20
+LONGEST = WINDOW - GRAM + 1  # windows that one place of a gram can be the minimizer of
 BLOCK = 1 << 16
 LAST = (1 << 63) - 1  # the order of a null doc_id
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,6 +151,20 @@ def _unpack(block: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most PART bytes of text, or of one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text = batch.column("text")
+        size = np.diff(np.frombuffer(text.buffers()[1], np.int32, len(text) + 1 + text.offset)[text.offset:]).astype(np.int64)
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(size[at:]), PART, side="right")))
+            yield batch.slice(at, n)
+            at += n
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
 
@@ -158,8 +180,8 @@ def _delta(x: np.ndarray) -> np.ndarray:
 def _emit_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(bucket, block): of each minimizer 4 bytes, its text and its
-        number there."""
-        for batch in batches:
+        number there, and whether its string is of a periodic text."""
+        for batch in _parts(batches):
             a = Anchors(_texts(batch))
             if not a.place.size:
                 continue
@@ -176,7 +198,7 @@ def _emit_anchors(buckets: int):
                 # the runs' numbers grow within a text: small differences
                 keys.append(b)
                 blocks.append(_pack(ids=_delta(ids[text[new]]), hashes=hashes[text[new]], counts=counts.astype("<u4"),
-                                    numbers=_delta(a.number[at].astype("<u4")), prints=(mixed[at] >> np.uint64(32)).astype("<u4")))
+                                    numbers=_delta(a.number[at].astype("<u4")), prints=(mixed[at] >> np.uint64(32)).astype("<u4"), endless=a.count[at] > LONGEST))
             yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return run
@@ -201,24 +223,25 @@ def _shared_anchors(hot_docs: int):
         """(ord, text_hash, marks): the numbers of a text's runs whose minimizer
         another document has too, the hot ones with the highest bit set."""
         for _, blocks in _groups(batches, "bucket", "block"):
-            ids, hashes, text, numbers, prints, n = [], [], [], [], [], 0
+            ids, hashes, text, numbers, prints, endless, n = [], [], [], [], [], [], 0
             for block in blocks:
-                i, h, c, m, p = _unpack(block, "<i8", "<i8", "<u4", "<u4", "<u4")
+                i, h, c, m, p, e = _unpack(block, "<i8", "<i8", "<u4", "<u4", "<u4", "?")
                 ids.append(np.cumsum(i))
                 hashes.append(h)
                 text.append(np.repeat(np.arange(n, n + i.size), c))
                 numbers.append(np.cumsum(m, dtype="<u4"))
                 prints.append(p)
+                endless.append(e)
                 n += i.size
-            ids, hashes, text, numbers, prints = (np.concatenate(x) for x in (ids, hashes, text, numbers, prints))
+            ids, hashes, text, numbers, prints, endless = (np.concatenate(x) for x in (ids, hashes, text, numbers, prints, endless))
             order = np.lexsort((ids[text], prints))
             p, d = prints[order], ids[text][order]
             starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
             new_doc = np.concatenate(([True], (p[1:] != p[:-1]) | (d[1:] != d[:-1])))
-            docs = np.add.reduceat(new_doc.astype(np.int64), starts)
-            docs = np.repeat(docs, np.diff(np.append(starts, p.size)))
+            docs, size = np.add.reduceat(new_doc.astype(np.int64), starts), np.diff(np.append(starts, p.size))
+            apart = (size > hot_docs) | np.logical_or.reduceat(endless[order], starts)
             shared, hot = np.zeros(p.size, bool), np.zeros(p.size, bool)
-            shared[order], hot[order] = docs > 1, docs > hot_docs
+            shared[order], hot[order] = np.repeat(docs > 1, size), np.repeat(apart, size)
             at = np.flatnonzero(shared)
             if not at.size:
                 continue
@@ -240,30 +263,17 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(total[-1]) if size.size else 0) + np.repeat(start - np.concatenate(([0], total[:-1])), size)
 
 
-def _marked_runs(batch: pa.RecordBatch):
-    """The batch's anchors; of its marked runs the first places, numbers of
-    windows, texts and bucket hashes. Hot runs are cut into their windows."""
+def _marked_runs(batch: pa.RecordBatch) -> tuple[Anchors, np.ndarray, np.ndarray]:
+    """The batch's anchors, which of its runs are marked, and which of these
+    are hot."""
     a = Anchors(_texts(batch))
     head = np.searchsorted(a.text, np.arange(batch.num_rows))
-    found, is_hot = [], []
+    found, is_hot = [np.empty(0, np.int64)], [np.empty(0, bool)]
     for i, blobs in enumerate(batch.column("marks").to_pylist()):
         m = np.sort(np.frombuffer(b"".join(blobs), "<u4"))
         found.append((m & ~HOT_MARK).astype(np.int64) + head[i])
         is_hot.append(m >= HOT_MARK)
-    at = np.concatenate(found) if found else np.empty(0, np.int64)
-    hot = np.concatenate(is_hot) if is_hot else np.empty(0, bool)
-    cold, warm = at[~hot], at[hot]
-    place = np.concatenate([a.place[cold], _ranges(a.place[warm], a.count[warm])])
-    count = np.concatenate([a.count[cold], np.ones(place.size - cold.size, np.int64)])
-    text = np.concatenate([a.text[cold], np.repeat(a.text[warm], a.count[warm])])
-    if not place.size:
-        return a, place, count, text, place.astype(np.uint64), place.astype(np.uint64)
-    first, last = _window_hashes(a.data, place), _window_hashes(a.data, place + count - 1)
-    bucket = np.concatenate([a.mixed()[cold] >> np.uint64(7), first[cold.size:] >> np.uint64(7)])
-    # together the two windows hash all of a run of up to WINDOW windows
-    with np.errstate(over="ignore"):
-        both = first * MIX + last
-    return a, place, count, text, bucket, both
+    return a, np.concatenate(found), np.concatenate(is_hot)
 
 
 def _window_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -277,99 +287,166 @@ def _window_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return h
 
 
-def _combined(a: Anchors, place, count, text, both, ids) -> np.ndarray:
-    """True for runs whose string a smaller document of the batch has too."""
-    order = np.lexsort((ids[text], both, count))
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """True where the ``sizes`` bytes at a and b are the same."""
+    out = np.zeros(a.size, bool)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < a.size:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 50 * SLICE, side="right")))
+        if to == at + 1:  # perhaps a very long one
+            out[at] = np.array_equal(data[a[at]:a[at] + sizes[at]], data[b[at]:b[at] + sizes[at]])
+        else:
+            size = sizes[at:to]
+            same = data[_ranges(a[at:to], size)] == data[_ranges(b[at:to], size)]
+            out[at:to] = np.logical_and.reduceat(same, np.concatenate(([0], np.cumsum(size)[:-1])))
+        at = to
+    return out
+
+
+def _combined(data, place, count, owner, hashes) -> np.ndarray:
+    """For each run the one whose string it has too, of the least owner (and
+    the first of this); its own number if it is that one or has no equal."""
+    order = np.lexsort((place, owner, hashes, count))
     same = np.zeros(order.size, bool)
-    same[1:] = (both[order][1:] == both[order][:-1]) & (count[order][1:] == count[order][:-1])
-    least = order[np.maximum.accumulate(np.where(same, 0, np.arange(order.size)))]  # the first of the equal ones
-    at = np.flatnonzero(same)
-    run, ref = order[at], least[at]
-    later = (ids[text[run]] > ids[text[ref]]) & (count[run] <= WINDOW)
-    run, ref = run[later], ref[later]
-    done = np.zeros(order.size, bool)
-    for part in np.array_split(np.arange(run.size), run.size // 50_000 + 1):
-        if part.size:
-            size = count[run[part]] + WINDOW - 1
-            equal = a.data[_ranges(place[run[part]], size)] == a.data[_ranges(place[ref[part]], size)]
-            done[run[part]] = np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(size)[:-1])))
-    return done
+    same[1:] = (hashes[order][1:] == hashes[order][:-1]) & (count[order][1:] == count[order][:-1])
+    least = order[np.maximum.accumulate(np.where(same, 0, np.arange(order.size)))]
+    run, ref = order[same], least[same]
+    true = _equal(data, place[run], place[ref], count[run] + WINDOW - 1)
+    out = np.arange(order.size)
+    out[run[true]] = ref[true]
+    return out
 
 
-def _shelf(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes // np.uint64(buckets)) % np.uint64(SHELVES)).astype(np.uint8)
+class _Sender:
+    """Rows (bucket, block, done) of the runs of one batch."""
+
+    def __init__(self, batch: pa.RecordBatch, a: Anchors, buckets: int):
+        self.a, self.buckets, self.ids, self.hashes = a, buckets, _longs(batch, "ord"), _longs(batch, "text_hash")
+
+    def settled(self, place, count, text) -> pa.RecordBatch:
+        """Windows that are known to repeat, neighbours as one stretch."""
+        at = np.lexsort((place, text))
+        p, c, t = place[at], count[at], text[at]
+        new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1] + c[:-1]) | (t[1:] != t[:-1]))))
+        first, n = p[new], np.add.reduceat(c, new)
+        block = _pack(ids=self.ids[t[new]], hashes=self.hashes[t[new]], places=(first - self.a.starts[t[new]]).astype("<u4"),
+                      counts=n.astype("<u4"))
+        # any bucket will do
+        return self._rows([int(self.ids[t[0]] % self.buckets)], [None], [block])
+
+    def runs(self, key, place, count, text, more=None, extra=None) -> pa.RecordBatch:
+        """Strings for the buckets of their keys. ``more``: how many further
+        places of the text have a string; ``extra``: these, run by run."""
+        a = self.a
+        own = (key % np.uint64(self.buckets)).astype(np.int64)
+        shelf = ((key // np.uint64(self.buckets)) % np.uint64(SHELVES)).astype(np.uint8)
+        at = np.lexsort((shelf, own))
+        ends = np.searchsorted(own[at], np.arange(self.buckets + 1))
+        more = np.zeros(place.size, np.int64) if more is None else more
+        head = np.cumsum(more) - more
+        keys, blocks = [], []
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            r = at[ends[b]:ends[b + 1]]
+            t = text[r]
+            others = extra[_ranges(head[r], more[r])] - np.repeat(a.starts[t], more[r]) if extra is not None else place[:0]
+            keys.append(b)
+            blocks.append(_pack(ids=self.ids[t], hashes=self.hashes[t], places=(place[r] - a.starts[t]).astype("<u4"),
+                                counts=count[r].astype("<u4"), shelves=shelf[r], more=more[r].astype("<u4"),
+                                extra=others.astype("<u4"), data=a.data[_ranges(place[r], count[r] + WINDOW - 1)]))
+        return self._rows(keys, blocks, [None] * len(keys))
+
+    @staticmethod
+    def _rows(keys, blocks, done) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(keys, pa.int32()), pa.array(blocks, pa.binary()), pa.array(done, pa.binary())],
+                               names=["bucket", "block", "done"])
 
 
 def _emit_runs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(bucket, block, done): the strings of marked runs and where they
         stand; done: runs that are settled as repeats."""
-        for batch in batches:
-            a, place, count, text, bucket, both = _marked_runs(batch)
-            if not place.size:
+        for batch in _parts(batches):
+            a, at, hot = _marked_runs(batch)
+            if not at.size:
                 continue
-            ids, hashes = _longs(batch, "ord"), _longs(batch, "text_hash")
-            settled = _combined(a, place, count, text, both, ids)
-            keys, blocks, done = [], [], []
+            send = _Sender(batch, a, buckets)
+            place, count, text = a.place[at], a.count[at], a.text[at]
+            with np.errstate(over="ignore"):
+                ends = _window_hashes(a.data, place) * MIX + _window_hashes(a.data, place + count - 1)
+            owner = send.ids[text]
+            settled = owner > owner[_combined(a.data, place, count, owner, ends)]
             if settled.any():
-                at = np.flatnonzero(settled)
-                at = at[np.lexsort((place[at], text[at]))]
-                p, c, t = place[at], count[at], text[at]
-                # neighbouring runs of a text become one
-                new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1] + c[:-1]) | (t[1:] != t[:-1]))))
-                keys.append(int(bucket[at[0]] % np.uint64(buckets)))
-                blocks.append(None)
-                done.append(_pack(ids=ids[t[new]], hashes=hashes[t[new]], places=(p[new] - a.starts[t[new]]).astype("<u4"),
-                                  counts=np.add.reduceat(c, new).astype("<u4")))
-            at = np.flatnonzero(~settled)
-            own, shelf = (bucket[at] % np.uint64(buckets)).astype(np.int64), _shelf(bucket[at], buckets)
-            order = np.lexsort((shelf, own))
-            at, own, shelf = at[order], own[order], shelf[order]
-            ends = np.searchsorted(own, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(ends)).tolist():
-                r = at[ends[b]:ends[b + 1]]
-                t = text[r]
-                keys.append(b)
-                blocks.append(_pack(ids=ids[t], hashes=hashes[t], places=(place[r] - a.starts[t]).astype("<u4"),
-                                    counts=count[r].astype("<u4"), shelves=shelf[ends[b]:ends[b + 1]], data=a.data[_ranges(place[r], count[r] + WINDOW - 1)]))
-                done.append(None)
-            yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(blocks, pa.binary()), pa.array(done, pa.binary())],
-                                  names=["bucket", "block", "done"])
+                yield send.settled(place[settled], count[settled], text[settled])
+            cold = np.flatnonzero(~settled & ~hot)
+            if cold.size:
+                yield send.runs(a.mixed()[at[cold]] >> np.uint64(7), place[cold], count[cold], text[cold])
+            warm = ~settled & hot
+            yield from _emit_windows(send, place[warm], count[warm], text[warm])
 
     return run
 
 
+def _emit_windows(send: _Sender, place, count, text) -> Iterator[pa.RecordBatch]:
+    """Runs cut into their windows, SLICE at a time: of equal ones the least
+    document's first travels, with its further places in that text."""
+    total = np.cumsum(count)
+    for lo in range(0, int(total[-1]) if total.size else 0, SLICE):
+        window = np.arange(lo, min(lo + SLICE, int(total[-1])))
+        run = np.searchsorted(total, window, side="right")
+        p, t = place[run] + (window - (total[run] - count[run])), text[run]
+        one = np.ones(p.size, np.int64)
+        key, owner = _window_hashes(send.a.data, p), send.ids[t]
+        ref = _combined(send.a.data, p, one, owner, key)
+        settled = owner > owner[ref]
+        if settled.any():
+            yield send.settled(p[settled], one[settled], t[settled])
+        twin = ~settled & (ref != np.arange(p.size)) & (t == t[ref])
+        more = np.bincount(ref[twin], minlength=p.size)
+        extra = p[twin][np.argsort(ref[twin], kind="stable")]
+        stay = np.flatnonzero(~settled & ~twin)
+        if stay.size:
+            yield send.runs(key[stay] >> np.uint64(7), p[stay], one[stay], t[stay], more[stay], extra)
+
+
 def _repeats(ids, hashes, places, counts) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(ids), pa.array(hashes), pa.array(places.astype(np.int32)), pa.array(counts.astype(np.int32))],
-                           names=["ord", "text_hash", "place", "n"])
+    """One row a text: its stretches as (place, windows) in 4 bytes each."""
+    order = np.lexsort((places, hashes, ids))
+    ids, hashes = ids[order], hashes[order]
+    spots = np.column_stack([places[order], counts[order]]).astype("<u4")
+    new = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))))
+    ends = (np.append(new, ids.size) * 8).astype(np.int32)
+    blob = pa.Array.from_buffers(pa.binary(), new.size, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(spots.tobytes())])
+    return pa.record_batch([pa.array(ids[new]), pa.array(hashes[new]), blob], names=["ord", "text_hash", "spots"])
 
 
 def _sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, text_hash, place, n): n windows from ``place`` on that a smaller
-    document has too. A partition is one bucket."""
+    """(ord, text_hash, spots): windows that a smaller document has too, as
+    stretches. The rows of a bucket come together."""
     rows = (pa.record_batch([b.column("bucket"), pa.array(list(zip(b.column("block").to_pylist(), b.column("done").to_pylist())),
                                                          pa.list_(pa.binary()))], names=["bucket", "both"]) for b in batches)
     for _, both in _groups(rows, "bucket", "both"):
         for _, done in both:
             if done is not None:
                 yield _repeats(*_unpack(done, "<i8", "<i8", "<u4", "<u4"))
-        cols = [_unpack(b, "<i8", "<i8", "<u4", "<u4", "u1", "u1") for b, _ in both if b is not None]
+        cols = [_unpack(b, "<i8", "<i8", "<u4", "<u4", "u1", "<u4", "<u4", "u1") for b, _ in both if b is not None]
         if not cols:
             continue
-        ids, hashes, places, counts, shelves, data = (np.concatenate(x) for x in zip(*cols))
-        counts = counts.astype(np.int64)
-        starts = np.concatenate(([0], np.cumsum(counts + WINDOW - 1)[:-1]))
+        ids, hashes, places, counts, shelves, more, extra, data = (np.concatenate(x) for x in zip(*cols))
+        del cols
+        counts, more = counts.astype(np.int64), more.astype(np.int64)
+        starts, head = np.cumsum(counts + WINDOW - 1) - (counts + WINDOW - 1), np.cumsum(more) - more
         for shelf in range(SHELVES):
             at = np.flatnonzero(shelves == shelf)
             if at.size:
-                yield from _sorted_repeats(ids[at], hashes[at], places[at], counts[at],
-                                           data[_ranges(starts[at], counts[at] + WINDOW - 1)])
+                yield from _sorted_repeats(ids[at], hashes[at], places[at].astype(np.int64), counts[at], more[at],
+                                           extra[_ranges(head[at], more[at])], data[_ranges(starts[at], counts[at] + WINDOW - 1)])
 
 
-def _sorted_repeats(ids, hashes, places, counts, data) -> Iterator[pa.RecordBatch]:
+def _sorted_repeats(ids, hashes, places, counts, more, extra, data) -> Iterator[pa.RecordBatch]:
     """Sort the runs' suffixes; stretches of windows of which a smaller
     document has an equal one."""
-    starts = np.concatenate(([0], np.cumsum(counts + WINDOW - 1)[:-1]))
+    starts = np.cumsum(counts + WINDOW - 1) - (counts + WINDOW - 1)
     suffix, run = _ranges(starts, counts), np.repeat(np.arange(counts.size), counts)
     order, klass = deep_shallow(data, suffix, WINDOW)
     owner = ids[run[order]]
@@ -383,20 +460,24 @@ def _sorted_repeats(ids, hashes, places, counts, data) -> Iterator[pa.RecordBatc
         r = run[at]
         # what follows a stretch is no repeat, up to the next one
         yield _repeats(ids[r], hashes[r], places[r] + (suffix[at] - starts[r]), np.add.reduceat(later.astype(np.int64), at))
+        # further places of a window: it is a run of its own
+        r = r[more[r] > 0]
+        if r.size:
+            spot = extra[_ranges((np.cumsum(more) - more)[r], more[r])]
+            yield _repeats(np.repeat(ids[r], more[r]), np.repeat(hashes[r], more[r]), spot, np.ones(spot.size, np.int64))
 
 
-REPEATS = "ord long, text_hash long, place int, n int"
+REPEATS = "ord long, text_hash long, spots binary"
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their repeats -> what is removed and what stays."""
-    for batch in batches:
+    for batch in _parts(batches):
         removed, spans, kept = [], [], []
         for text, repeats in zip(_texts(batch), batch.column("repeats").to_pylist()):
-            gone = np.zeros(len(text) + 1, np.int32)
-            for x in repeats or ():
-                gone[x["place"]] += 1
-                gone[x["place"] + x["n"] + WINDOW - 1] -= 1
+            spots = np.frombuffer(b"".join(repeats or ()), "<u4").astype(np.int64).reshape(-1, 2)
+            gone = np.bincount(spots[:, 0], minlength=len(text) + 1)
+            gone -= np.bincount(spots.sum(1) + WINDOW - 1, minlength=len(text) + 1)
             gone = np.cumsum(gone[:-1]) > 0
             removed.append(int(gone.sum()))
             spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
@@ -427,17 +508,23 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_docs: int = HOT
     texts = rows.select("ord", "text_hash", "text").join(
         owners, (F.col("ord") == F.col("o_ord")) & (F.col("text_hash") == F.col("o_hash")), "left_semi").dropDuplicates(
         ["ord", "text_hash"])
-    anchors = in_arrow(texts, _emit_anchors(parts), "bucket int, block binary")
-    shared = in_arrow(anchors.repartitionById(parts, "bucket"), _shared_anchors(hot_docs),
-                      "ord long, text_hash long, marks binary")
+    n_bytes = ids.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = parts * max(1, -(-n_bytes // (parts * BUCKET_BYTES)))
+
+    def dealt(blocks: DataFrame) -> DataFrame:
+        by_part = blocks.repartitionById(parts, F.col("bucket") % parts)
+        return by_part if buckets == parts else by_part.sortWithinPartitions("bucket")
+
+    anchors = in_arrow(texts, _emit_anchors(buckets), "bucket int, block binary")
+    shared = in_arrow(dealt(anchors), _shared_anchors(hot_docs), "ord long, text_hash long, marks binary")
     marks = shared.groupBy(F.col("ord").alias("m_ord"), F.col("text_hash").alias("m_hash")).agg(
         F.collect_list("marks").alias("marks"))
     marked = texts.join(marks, (F.col("ord") == F.col("m_ord")) & (F.col("text_hash") == F.col("m_hash"))).select(
         "ord", "text_hash", "text", "marks")
-    runs = in_arrow(marked, _emit_runs(parts), "bucket int, block binary, done binary")
-    repeats = in_arrow(runs.repartitionById(parts, "bucket"), _sort_runs, REPEATS)
+    runs = in_arrow(marked, _emit_runs(buckets), "bucket int, block binary, done binary")
+    repeats = in_arrow(dealt(runs), _sort_runs, REPEATS)
     by_text = repeats.groupBy(F.col("ord").alias("b_ord"), F.col("text_hash").alias("b_hash")).agg(
-        F.collect_list(F.struct("place", "n")).alias("repeats"))
+        F.collect_list("spots").alias("repeats"))
     cut = in_arrow(
         texts.join(by_text, (F.col("ord") == F.col("b_ord")) & (F.col("text_hash") == F.col("b_hash")), "left").select(
             "ord", "text_hash", "text", "repeats"),
