@@ -198,6 +198,12 @@ PERF = f"""perf AS (
              FROM heat GROUP BY {K}) h USING ({K})
 )"""
 FULL = [sales_cte(), repeats_cte(), LINE, HEAT, PERF]
+# the same of the sales before the cut-over year, and what the second load leaves alone
+BEFORE = [f"sales_b AS (SELECT * FROM sales WHERE year_sold < {SNAPSHOT_YEAR})", repeats_cte("sales_b", "repeats_b"),
+          cube_cte("sales_b", "line_b", ["year_sold"], LINE_METRICS),
+          cube_cte("repeats_b", "heat_b", ["year_bought", "year_sold"], HEAT_METRICS),
+          PERF.replace("perf AS", "perf_b AS").replace("FROM line ", "FROM line_b ").replace("FROM heat ", "FROM heat_b ")]
+LEFT_ALONE = 4
 
 # served heatmap cells (one row per cell, years as text)
 CELLS = f"""cells AS (
@@ -310,7 +316,7 @@ CELL_VALUES = ["avg_appreciation_pounds", "median_appreciation_pounds", "avg_app
 NULLABLE = [v for v in CELL_VALUES if v.endswith("_pct")]
 
 
-def payload(keys: list[str] = KEYS, where: str = "TRUE", exported: bool = False) -> str:
+def payload(keys: list[str] = KEYS, where: str = "TRUE", exported: bool = False, suffix: str = "") -> str:
     """Every line point and heatmap cell of the table; ``exported``: rounded
     as the JSON export rounds, missing pounds as 0."""
     def val(v: str) -> str:
@@ -325,11 +331,11 @@ def payload(keys: list[str] = KEYS, where: str = "TRUE", exported: bool = False)
     return f"""SELECT * FROM (
   SELECT {k}, t.sale_count AS total_sale_count, 'line' AS kind, CAST(NULL AS VARCHAR) AS year_bought,
     CAST(l.year_sold AS VARCHAR) AS year_sold, l.sale_count, {', '.join(map(val, LINE_VALUES))}, {none(CELL_VALUES)}
-  FROM line l JOIN (SELECT {k}, sale_count FROM perf) t USING ({k})
+  FROM line{suffix} l JOIN (SELECT {k}, sale_count FROM perf{suffix}) t USING ({k})
   UNION ALL
   SELECT {k}, t.sale_count, 'cell', CAST(h.year_bought AS VARCHAR), CAST(h.year_sold AS VARCHAR), h.sale_count,
     {none(LINE_VALUES)}, {', '.join(map(val, CELL_VALUES))}
-  FROM heat h JOIN (SELECT {k}, sale_count FROM perf) t USING ({k})) p WHERE {where}"""
+  FROM heat{suffix} h JOIN (SELECT {k}, sale_count FROM perf{suffix}) t USING ({k})) p WHERE {where}"""
 
 
 METRICS = ["avg_appreciation_pounds", "median_appreciation_pounds", "sale_count",
@@ -352,12 +358,35 @@ def _sql() -> dict[str, str]:
     summary = payload()
     exported = payload(exported=True)
     q["write_read_parquet"] = base(*FULL) + summary
-    for name in ("export_json", "import_json", "roundtrip_csv", "upsert_performance"):
+    for name in ("import_json", "roundtrip_csv"):
         q[name] = base(*FULL) + exported
+    # the text of an item, numbers and years as N
+    point = '{"year_sold":"N",' + ",".join(f'"{v}":N' for v in LINE_VALUES) + ',"sale_count":N}'
+    n_or_null = lambda v: f"CASE WHEN {v} IS NULL THEN 'null' ELSE 'N' END"
+    cell_fields = ["avg_appreciation_pounds", "median_appreciation_pounds", "sale_count", "avg_appreciation_pct", "median_appreciation_pct",
+                   "pct_sales_appreciated", "biggest_loser_pounds", "biggest_loser_pct", "biggest_winner_pounds", "biggest_winner_pct"]
+    cell = " || ',' || ".join(
+        f"""'"{v}":' || {n_or_null(v) if v in NULLABLE or v.startswith('biggest') else "'N'"}""" for v in cell_fields)
+    q["export_json"] = base(*FULL) + f"""SELECT concat_ws('#', {K}) AS key,
+    '{{"line_graph":[' || l.t || '],"heatmap_graph":[' || coalesce(h.t, '') || '],"sale_count":N}}' AS text
+  FROM (SELECT {K}, string_agg('{point}', ',') AS t FROM line GROUP BY {K}) l
+  LEFT JOIN (SELECT {K}, string_agg('{{"year_bought":"N","year_sold":"N",' || {cell} || '}}', ',' ORDER BY year_bought, year_sold) AS t
+             FROM heat GROUP BY {K}) h USING ({K})"""
+    # a second load over a table of the sales before the cut-over year
+    q["upsert_performance"] = base(*FULL, *BEFORE) + f"""SELECT * FROM (
+  {payload(where=f"total_sale_count % {LEFT_ALONE} <> 0", exported=True)}
+  UNION ALL SELECT b.* FROM ({payload(exported=True, suffix="_b")}) b ANTI JOIN
+    (SELECT * FROM perf WHERE sale_count % {LEFT_ALONE} <> 0) f USING ({K})) p"""
     q["upsert_sequence"] = base(*FULL) + (
-        f"SELECT {K}, CASE WHEN sale_count % 2 = 1 THEN sale_count ELSE -sale_count END AS sale_count, "
-        "CAST(CASE WHEN sale_count % 2 = 1 THEN 5 ELSE 6 END AS BIGINT) AS load_seq FROM perf")
-    q["upsert_dimension"] = base(*FULL, dims_cte()) + "SELECT dimension_name, value, label, sale_count FROM dims"
+        f"SELECT {K}, CASE WHEN sale_count % 5 = 0 OR (sale_count % 3 <> 0 AND sale_count % 2 = 1) THEN sale_count ELSE -sale_count END AS sale_count, "
+        "CAST(CASE WHEN sale_count % 5 = 0 OR (sale_count % 3 <> 0 AND sale_count % 2 = 1) THEN 5 WHEN sale_count % 2 = 1 THEN 4 ELSE 6 END AS BIGINT) "
+        "AS load_seq FROM perf WHERE sale_count % 3 <> 0 OR sale_count % 5 <> 0")
+    q["upsert_dimension"] = base(*FULL, dims_cte(), *BEFORE, dims_cte("perf_b", "dims_b")) + f"""SELECT dimension_name, value, label, sale_count
+  FROM dims WHERE coalesce(sale_count, 1) % {LEFT_ALONE} <> 0
+  UNION ALL SELECT b.dimension_name, b.value, b.label, b.sale_count FROM dims_b b ANTI JOIN
+    (SELECT * FROM dims WHERE coalesce(sale_count, 1) % {LEFT_ALONE} <> 0) d USING (dimension_name, value)"""
+    q["upsert_touched"] = base(*FULL) + f"""SELECT {K}, CASE WHEN location_type = 'borough' AND location_value = 'nation_3'
+    AND house_type = 'flat' THEN -sale_count ELSE sale_count END AS sale_count, 1 AS file_ok FROM perf"""
     n = "coalesce(sale_count, 1)"
     ok = f"{n} % 7 <> 0 AND {n} % 5 <> 0"
     q["load_report"] = base(*FULL, dims_cte()) + f"""SELECT count(*) AS rows_read, count_if({n} % 7 = 0)::BIGINT AS blank_key,
@@ -447,14 +476,17 @@ FROM masked""".replace("WITH", "", 0)
     CASE WHEN location_type IS NULL OR location_type NOT IN ('county', 'postcode', 'borough', 'street') THEN 'location_type'
          WHEN location_value IS NULL OR length(location_value) < 1 THEN 'location_value' END AS reason
   FROM requests"""
-    q["lookup_batch"] = base(*FULL, REQUESTS, NREQ) + f"""SELECT request_id,
-    CAST(CASE WHEN p.sale_count IS NULL THEN 0 ELSE 1 END AS BIGINT) AS match_count,
-    p.sale_count, p.line_points, p.heatmap_cells, coalesce(round(la.x, 2), 0.0) AS sum_avg_price,
-    coalesce(round(ha.x, 2), 0.0) AS sum_median_pounds, coalesce(round(ha.n, 2), 0.0) AS repeat_sale_count
+    served = [v for v in CELL_VALUES if not v.startswith("biggest")]
+    nulls = lambda vs: ", ".join(f"CAST(NULL AS DOUBLE) AS {v}" for v in vs)
+    rounded = lambda vs: ", ".join(f"round({v}, {D}) AS {v}" for v in vs)
+    q["lookup_batch"] = base(*FULL, CELLS, REQUESTS, NREQ) + f"""SELECT request_id,
+    CAST(CASE WHEN p.sale_count IS NULL THEN 0 ELSE 1 END AS BIGINT) AS match_count, 'answer' AS kind,
+    CAST(NULL AS VARCHAR) AS year_bought, CAST(NULL AS VARCHAR) AS year_sold, p.sale_count, {nulls(LINE_VALUES + served)}
   FROM nreq LEFT JOIN perf p USING ({K})
-  LEFT JOIN (SELECT {K}, sum(avg_price) AS x FROM line GROUP BY {K}) la USING ({K})
-  LEFT JOIN (SELECT {K}, sum(coalesce(median_appreciation_pounds, 0.0)) AS x, sum(sale_count)::DOUBLE AS n
-             FROM heat GROUP BY {K}) ha USING ({K})"""
+  UNION ALL SELECT request_id, 1, 'line', NULL, CAST(year_sold AS VARCHAR), sale_count, {rounded(LINE_VALUES)}, {nulls(served)}
+  FROM nreq JOIN line USING ({K})
+  UNION ALL SELECT request_id, 1, 'cell', year_bought, year_sold, sale_count, {nulls(LINE_VALUES)}, {rounded(served)}
+  FROM nreq JOIN cells USING ({K})"""
     q["rejected_requests"] = base(REQUESTS) + f"""SELECT request_id,
     CASE WHEN location_type IS NULL OR location_type NOT IN ('county', 'postcode', 'borough', 'street') THEN 'location_type'
          ELSE 'location_value' END AS reason

@@ -23,15 +23,16 @@ def _build(args, spark: SparkSession) -> None:
     from segmetrics.functions.json import dimension_to_json, performance_to_json
     from segmetrics.operators.clean import borough_predicate, clean_sales
     from segmetrics.plans.build import build_serving_tables
+    from segmetrics.plans.load import read_current
     from segmetrics.sources.csv import read_raw_sales, write_key_value_csv
 
     predicate = borough_predicate(args.borough) if args.borough else None
     sales = clean_sales(read_raw_sales(spark, args.input), predicate, args.require_address)
     paths = build_serving_tables(sales, args.output)
     if args.export_csv:
-        write_key_value_csv(performance_to_json(spark.read.parquet(paths["performance"])),
+        write_key_value_csv(performance_to_json(read_current(spark, paths["performance"])),
                             f"{args.output}/performance_csv")
-        write_key_value_csv(dimension_to_json(spark.read.parquet(paths["dimension_index"])),
+        write_key_value_csv(dimension_to_json(read_current(spark, paths["dimension_index"])),
                             f"{args.output}/dimension_index_csv")
     print(json.dumps(paths))
 

@@ -25,7 +25,9 @@ from segmetrics.operators.cube import DIMS, copied_to_types, grouped_sets, segme
 from segmetrics.operators.medians import exact_median
 from segmetrics.operators.repeat import repeat_sales
 from segmetrics.operators.series import performance_from_aggs
-from segmetrics.schema import HEATMAP_CELL
+from segmetrics.operators.upsert import DIMENSION_KEYS
+from segmetrics.schema import HEATMAP_CELL, KEY_COLUMNS
+from segmetrics.sources.buckets import BUCKETS, write_version
 
 LINE_BASE = ["price", "year_sold", "county", "outcode", "district"]
 HEAT_BASE = ["appreciation_pounds", "appreciation_pct", "year_bought", "year_sold", "county", "outcode", "district"]
@@ -87,18 +89,18 @@ def performance_from_raw(
     return performance_from_sales(clean_sales(raw, predicate, require_address))
 
 
-def build_serving_tables(sales: DataFrame, base_path: str, dims: Sequence[str] = DIMS) -> dict[str, str]:
-    """Write the performance table (Parquet, partitioned by location type),
-    then derive the dimension index from the *written* table, reading only
-    its key columns and counts, so the cube is never computed twice."""
+def build_serving_tables(sales: DataFrame, base_path: str, dims: Sequence[str] = DIMS,
+                         buckets: int = BUCKETS) -> dict[str, str]:
+    """Write the performance table and the dimension index as the next
+    versions of two bucketed tables. The index is derived from the *written*
+    table, reading only its key columns and counts, so the cube is never
+    computed twice."""
     from segmetrics.operators.dimensions import dimension_index
 
     spark = sales.sparkSession
     perf_path = f"{base_path}/performance"
     dim_path = f"{base_path}/dimension_index"
-    performance_from_sales(sales, dims).write.mode("overwrite").partitionBy("location_type").parquet(perf_path)
-    written = spark.read.parquet(perf_path).select(
-        "location_type", "location_value", "house_type", "tenure", "size_band", "year_built_band", "sale_count"
-    )
-    dimension_index(written).write.mode("overwrite").partitionBy("dimension_name").parquet(dim_path)
+    perf = write_version(performance_from_sales(sales, dims), perf_path, KEY_COLUMNS, buckets)
+    written = perf.read(spark).select(*KEY_COLUMNS, "sale_count")
+    write_version(dimension_index(written), dim_path, DIMENSION_KEYS, 1)
     return {"performance": perf_path, "dimension_index": dim_path}

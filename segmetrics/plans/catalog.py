@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmetrics.config import scratch_path, stored
@@ -54,17 +54,18 @@ from segmetrics.plans.build import (
 )
 from segmetrics.plans.serve import (
     list_performance,
-    lookup_segment,
     query_heatmap,
     query_line,
     rejected_requests,
+    segment_in,
     served_shape,
     validate_requests,
 )
 from segmetrics.schema import HEATMAP_CELL, KEY_COLUMNS, SERVED_CELL_FIELDS
 from segmetrics.sources.csv import read_key_value_csv, read_raw_sales, resolve_roles, write_key_value_csv
 from segmetrics.operators.joins import join_dimension
-from segmetrics.plans.load import load_export, read_current
+from segmetrics.plans.load import apply_load, load_export, read_current
+from segmetrics.sources.buckets import Version, write_version
 from segmetrics.sources.tables import raw_sales_from_tables, read_table
 
 REPORT_DIGITS = 6
@@ -225,9 +226,10 @@ def q_write_read_parquet(spark, sf):
 
 @query("export_json")
 def q_export_json(spark, sf):
-    """The exported text, parsed again: its rounded numbers."""
+    """The exported text, its numbers and years replaced by N."""
     kv = performance_to_json(perf(spark, sf))
-    return _payload(parse_performance_kv(kv))
+    number = r"-?[0-9]+(\.[0-9]+)?(E-?[0-9]+)?"
+    return kv.select("key", F.regexp_replace("value", number, "N").alias("text"))
 
 
 @query("import_json")
@@ -243,25 +245,33 @@ def q_roundtrip_csv(spark, sf):
     return _payload(parse_performance_kv(read_key_value_csv(spark, path)))
 
 
+TABLE_BUCKETS = 16
+# Keys whose count is a multiple of it are not in the second load.
+LEFT_ALONE = 4
+
+
 def _loads(spark, sf, kind: str) -> DataFrame:
     """A first load and a second one through the batch loader. The first
-    holds the table of the sales before the cut-over year; the second all
-    of the full table, in two files: rows with wrong counts first, then the
-    right ones, and between them rows that must be rejected."""
+    holds the table of the sales before the cut-over year; the second the
+    keys of the full table whose count is no multiple of ``LEFT_ALONE``, in
+    two files: rows with wrong counts first, then the right ones, and
+    between them rows that must be rejected. So some keys are only in the
+    table, some only in the load."""
     s = shared(spark, sf)
     before = performance_from_shared(s.where(F.col("year_sold") < SNAPSHOT_YEAR))
     full = stored(performance_from_shared(s), "full")
-    to_kv = performance_to_json if kind == "performance" else lambda p: dimension_to_json(dimension_index(p))
+    to_index = (lambda p: p) if kind == "performance" else dimension_index
+    to_kv = performance_to_json if kind == "performance" else dimension_to_json
     first, second, table = (scratch_path(spark, n) for n in ("load-1", "load-2", f"table-{kind}"))
-    write_key_value_csv(to_kv(before), first)
-    wrong = full.withColumn("sale_count", F.col("sale_count") + 1)
-    right = to_kv(full)
+    write_key_value_csv(to_kv(to_index(before)), first)
+    loaded = stored(to_index(full).where(F.coalesce("sale_count", F.lit(1)) % LEFT_ALONE != 0), "loaded")
+    right = to_kv(loaded)
     rejects = right.select(F.when(F.hash("key") % 2 == 0, F.lit(" ")).otherwise(F.col("key")).alias("key"),
                            F.lit("{not json").alias("value"))
-    write_key_value_csv(to_kv(wrong), f"{second}/a")
+    write_key_value_csv(to_kv(loaded.withColumn("sale_count", F.col("sale_count") + 1)), f"{second}/a")
     write_key_value_csv(rejects, f"{second}/b")
     write_key_value_csv(right, f"{second}/c")
-    load_export(spark, first, table, kind)
+    load_export(spark, first, table, kind, TABLE_BUCKETS)
     load_export(spark, [f"{second}/{x}" for x in "abc"], table, kind)
     return read_current(spark, table)
 
@@ -275,11 +285,13 @@ def q_upsert_performance(spark, sf):
 @query("upsert_sequence")
 def q_upsert_sequence(spark, sf):
     """Table and load both carry sequences: of each key the greater stays.
-    Keys with an odd sale count have the older row in the load."""
+    Keys with an odd sale count have the older row in the load; every third
+    count is only in the load, every fifth only in the table."""
     full = stored(perf(spark, sf), "full")
     odd = F.col("sale_count") % 2 == 1
-    table = full.withColumn("load_seq", F.lit(5).cast("long"))
-    load = full.withColumn("load_seq", F.when(odd, 4).otherwise(6).cast("long")).withColumn("sale_count", -F.col("sale_count"))
+    table = full.where("sale_count % 3 != 0").withColumn("load_seq", F.lit(5).cast("long"))
+    load = full.where("sale_count % 5 != 0").withColumn("load_seq", F.when(odd, 4).otherwise(6).cast("long")).withColumn(
+        "sale_count", -F.col("sale_count"))
     return upsert_performance(table, load.unionByName(load.withColumn("load_seq", F.col("load_seq") - 3))).select(
         *KEY_COLUMNS, "sale_count", "load_seq")
 
@@ -289,6 +301,27 @@ def q_upsert_dimension(spark, sf):
     return _loads(spark, sf, "dimension").select("dimension_name", "value", "label", "sale_count")
 
 
+def bucketed(spark, sf) -> Version:
+    """The performance table as a bucketed table."""
+    return write_version(perf(spark, sf), scratch_path(spark, "table"), KEY_COLUMNS, TABLE_BUCKETS)
+
+
+@query("upsert_touched")
+def q_upsert_touched(spark, sf):
+    """A load of one segment's keys into a bucketed table, and which of the
+    table's files are of the new version: those of the load's buckets."""
+    table = bucketed(spark, sf)
+    rows = table.read(spark).drop("bucket")
+    mine = rows.where((F.col("location_type") == "borough") & (F.col("location_value") == "nation_3") & (F.col("house_type") == "flat"))
+    after, _ = apply_load(stored(mine.withColumn("sale_count", -F.col("sale_count")), "load"), table.table, KEY_COLUMNS)
+    now = after.read(spark)
+    new_file = F.col("_metadata.file_path").contains(f"version={after.number:06d}")
+    own = F.max((F.col("sale_count") < 0).cast("int")).over(Window.partitionBy("bucket"))
+    # of every row: it lies in a new file if and only if its bucket was loaded
+    return now.withColumn("new_file", new_file).withColumn("own", own).select(
+        *KEY_COLUMNS, "sale_count", (F.col("new_file") == (F.col("own") == 1)).cast("int").alias("file_ok"))
+
+
 def _dirty_load(p: DataFrame) -> DataFrame:
     """The table's export as a load with rejects: every 7th sale count's key
     blank, every 5th value cut short, every 3rd without ``sk``."""
@@ -530,7 +563,7 @@ def q_list_dimension(spark, sf):
 
 @query("lookup_segment")
 def q_lookup_segment(spark, sf):
-    return _flat_line(lookup_segment(perf(spark, sf), "county", " EUROPE "))
+    return _flat_line(segment_in(spark, bucketed(spark, sf), "county", " EUROPE "))
 
 
 SERVED_OUT = [f for f in SERVED_CELL_FIELDS if f != "avg_appreciation_pct"]
@@ -551,21 +584,25 @@ def q_validate_requests(spark, sf):
 
 @query("lookup_batch")
 def q_lookup_batch(spark, sf):
-    lp = list_performance(perf(spark, sf), requests(spark, sf))
-    item = F.try_element_at("items", F.lit(1))
-    points = F.coalesce(item["line_graph"], F.array().cast(lp.schema["items"].dataType.elementType["line_graph"].dataType))
-    cells = F.coalesce(item["heatmap_graph"], F.array().cast(lp.schema["items"].dataType.elementType["heatmap_graph"].dataType))
-    total = lambda xs, v: F.round(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + F.coalesce(x[v].cast("double"), F.lit(0.0))), 2)
-    return lp.select(
-        "request_id",
-        F.col("count").cast("bigint").alias("match_count"),
-        item["sale_count"].alias("sale_count"),
-        F.size(item["line_graph"]).alias("line_points"),
-        F.size(item["heatmap_graph"]).alias("heatmap_cells"),
-        total(points, "avg_price").alias("sum_avg_price"),
-        total(cells, "median_appreciation_pounds").alias("sum_median_pounds"),
-        total(cells, "sale_count").alias("repeat_sale_count"),
-    )
+    """Every request's items whole: a row for the answer, and one for each
+    line point and heatmap cell that it holds."""
+    table = bucketed(spark, sf)
+    answers = list_performance(table.read(spark), requests(spark, sf), table.buckets)
+    lp = stored(answers.withColumn("match_count", F.col("count").cast("bigint")).drop("count"), "answers")
+    cell_values = [f for f in SERVED_CELL_FIELDS if f not in ("year_bought", "year_sold", "sale_count")]
+    item = lp.select("request_id", "match_count", F.explode("items").alias("item"))
+
+    def rows(kind, df, x, own):
+        year = F.col("x.year_bought") if kind == "cell" else F.lit(None).cast("string")
+        sold = F.lit(None).cast("string") if kind == "answer" else F.col("x.year_sold")
+        return df.select("request_id", "match_count", F.lit(kind).alias("kind"), year.alias("year_bought"), sold.alias("year_sold"),
+                         x.alias("sale_count"), *[(F.round(f"x.{v}", REPORT_DIGITS) if v in own else F.lit(None).cast("double")).alias(v)
+                                                  for v in [*LINE_VALUES, *cell_values]])
+
+    each = lambda series: item.select("request_id", "match_count", F.explode(f"item.{series}").alias("x"))
+    total = F.try_element_at("items", F.lit(1))["sale_count"]
+    return rows("answer", lp, total, []).unionByName(rows("line", each("line_graph"), F.col("x.sale_count"), LINE_VALUES)).unionByName(
+        rows("cell", each("heatmap_graph"), F.col("x.sale_count"), cell_values))
 
 
 @query("rejected_requests")

@@ -6,16 +6,24 @@ way a lookup key is built, and equi-joined to the performance table on the
 six key columns; the optimizer picks broadcast or shuffle join from the
 sizes it sees (AQE re-plans at runtime), so a large request batch still
 works.
+
+A table read from a bucketed version (``sources.buckets``) has the column
+``bucket``. ``segment_in`` reads the one bucket of a key; with ``buckets``,
+the number of them, a batch joins on its requests' buckets too, which prunes
+the table's files at run time by the buckets that the batch asks for.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmetrics.functions.keys import lookup_part
 from segmetrics.functions.text import strip
 from segmetrics.operators.merge import merge_heatmap, merge_line
 from segmetrics.schema import ALL, KEY_COLUMNS, REQUEST_LOCATION_TYPES, SERVED_CELL_FIELDS
+from segmetrics.sources.buckets import BUCKET, Version, bucket_of
 
 _DIMS = ["house_type", "tenure", "size_band", "year_built_band"]
 
@@ -81,21 +89,26 @@ def served_shape(perf: DataFrame) -> DataFrame:
     )
 
 
+def _key_values(location_type: str, location_value: str, *dims: str) -> dict[str, str]:
+    loc = location_value.strip() if location_type == "street" else location_value.strip().lower()
+    return {"location_type": location_type, "location_value": loc, **{d: (v or ALL).strip().lower() for d, v in zip(_DIMS, dims)}}
+
+
 def lookup_segment(perf: DataFrame, location_type: str, location_value: str, house_type: str = ALL,
                    tenure: str = ALL, size_band: str = ALL, year_built_band: str = ALL) -> DataFrame:
-    """Exact segment: six equality predicates (``location_type`` prunes the
-    table's partitions)."""
-    loc = location_value.strip() if location_type == "street" else location_value.strip().lower()
-    parts = {
-        "location_type": location_type,
-        "location_value": loc,
-        **{d: (v or ALL).strip().lower() for d, v in zip(_DIMS, (house_type, tenure, size_band, year_built_band))},
-    }
-    cond = None
-    for k, v in parts.items():
-        c = F.col(k) == F.lit(v)
-        cond = c if cond is None else cond & c
-    return perf.where(cond)
+    """Exact segment: six equality predicates."""
+    parts = _key_values(location_type, location_value, house_type, tenure, size_band, year_built_band)
+    return perf.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in parts.items()]))
+
+
+def segment_in(spark: SparkSession, table: Version, location_type: str, location_value: str, house_type: str = ALL,
+               tenure: str = ALL, size_band: str = ALL, year_built_band: str = ALL) -> DataFrame:
+    """Exact segment of a bucketed table: the key's bucket is a constant that
+    prunes the files, and the key skips row groups in the one left."""
+    dims = (house_type, tenure, size_band, year_built_band)
+    parts = _key_values(location_type, location_value, *dims)
+    own = bucket_of([F.lit(parts[k]) for k in table.keys], table.buckets)
+    return lookup_segment(table.read(spark).where(F.col(BUCKET) == own), location_type, location_value, *dims).drop(BUCKET)
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:
@@ -108,21 +121,29 @@ def rejected_requests(requests: DataFrame) -> DataFrame:
     return validate_requests(requests).where("NOT valid").drop("valid")
 
 
-def lookup(perf: DataFrame, requests: DataFrame) -> DataFrame:
+def _asked(requests: DataFrame, buckets: int | None) -> tuple[DataFrame, list[str]]:
+    """Valid requests, and the columns on which they meet the table."""
+    valid = valid_requests(requests)
+    if buckets is None:
+        return valid, KEY_COLUMNS
+    return valid.withColumn(BUCKET, bucket_of(KEY_COLUMNS, buckets)), [BUCKET, *KEY_COLUMNS]
+
+
+def lookup(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
     """Matched items per valid request (0 or 1 row per request), served shape."""
     # shape only the matched rows: the join runs on the stored table
-    return served_shape(valid_requests(requests).join(perf, KEY_COLUMNS, "inner"))
+    asked, on = _asked(requests, buckets)
+    return served_shape(asked.join(perf, on, "inner")).drop(BUCKET)
 
 
-def list_performance(perf: DataFrame, requests: DataFrame) -> DataFrame:
+def list_performance(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per valid request: ``count`` of matched items beside the items'
     content (null when nothing matched)."""
-    joined = served_shape(valid_requests(requests).join(perf, KEY_COLUMNS, "left"))
-    matched = F.col("line_graph").isNotNull()
-    return joined.groupBy("request_id").agg(
-        F.count_if(matched).alias("count"),
-        F.collect_list(F.when(matched, F.struct("line_graph", "heatmap_graph", "sale_count"))).alias("items"),
-    )
+    matched = lookup(perf, requests, buckets).groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("count"), F.collect_list(F.struct("line_graph", "heatmap_graph", "sale_count")).alias("items"))
+    answers = _answers(requests, matched)
+    none = F.array().cast(matched.schema["items"].dataType)
+    return answers.select("request_id", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("items", none).alias("items"))
 
 
 def _answers(requests: DataFrame, merged: DataFrame) -> DataFrame:
@@ -130,13 +151,13 @@ def _answers(requests: DataFrame, merged: DataFrame) -> DataFrame:
     return valid_requests(requests).select("request_id").distinct().join(merged, "request_id", "left")
 
 
-def query_line(perf: DataFrame, requests: DataFrame) -> DataFrame:
+def query_line(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
     """Line series per request (merged by year when several items match); a
     request without a match, or without points, has one row, its year null."""
-    return _answers(requests, merge_line(lookup(perf, requests), "request_id"))
+    return _answers(requests, merge_line(lookup(perf, requests, buckets), "request_id"))
 
 
-def query_heatmap(perf: DataFrame, requests: DataFrame) -> DataFrame:
+def query_heatmap(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
     """Heatmap cells per request (merged by year pair when several items
     match); a request without cells has one row, its years null."""
-    return _answers(requests, merge_heatmap(lookup(perf, requests), "request_id"))
+    return _answers(requests, merge_heatmap(lookup(perf, requests, buckets), "request_id"))

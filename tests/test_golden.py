@@ -8,6 +8,7 @@ import sys
 from segmetrics.functions.json import performance_to_json
 from segmetrics.operators.clean import clean_sales
 from segmetrics.plans.build import build_serving_tables, performance_from_sales
+from segmetrics.plans.load import read_current
 from segmetrics.sources.csv import read_raw_sales
 
 # id, price, date, postcode, type, new, duration, paon, saon, street, locality, town, district, county, category, status
@@ -44,12 +45,12 @@ def test_golden_table(spark, tmp_dir):
 
 def test_serving_tables_written_once(spark, tmp_dir):
     paths = build_serving_tables(golden_sales(spark, tmp_dir), f"{tmp_dir}/serving")
-    perf = spark.read.parquet(paths["performance"])
+    perf = read_current(spark, paths["performance"])
     assert perf.count() == 24
     assert sorted(r["location_type"] for r in perf.select("location_type").distinct().collect()) == [
         "borough", "county", "postcode"]
     dims = {(r["dimension_name"], r["value"]): (r["label"], r["sale_count"])
-            for r in spark.read.parquet(paths["dimension_index"]).collect()}
+            for r in read_current(spark, paths["dimension_index"]).collect()}
     assert dims[("county", "north vale")] == ("North Vale", 4)
     assert dims[("postcode", "qx4")] == ("QX4", 4) and dims[("postcode", "all")] == ("ALL", 4)
     assert dims[("house_type", "terraced")] == ("Terraced", 4) and dims[("tenure", "all")] == ("All", 4)
@@ -70,4 +71,4 @@ def test_cli_build_and_load(spark, tmp_dir):
     run_cli("build", "--input", f"{tmp_dir}/in", "--output", f"{tmp_dir}/out", "--borough", "fenwick", "--export-csv")
     report = run_cli("load", "--source", f"{tmp_dir}/out/performance_csv", "--table", f"{tmp_dir}/table")
     assert (report["version"], report["rows_read"], report["loaded"]) == (1, 24, 24)
-    assert spark.read.parquet(f"{tmp_dir}/table/version=000001").count() == 24
+    assert read_current(spark, f"{tmp_dir}/table").count() == 24
