@@ -172,9 +172,12 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         places, base = [], set()
         for phrase, size, label in self.phrases:
-            at = joined.find(phrase)
+            at, counted, before = joined.find(phrase), 0, -1
             while at >= 0:
-                places.append(joined.count(b" ", 0, at + 1) - 1)
+                # blanks up to here, from the last place on
+                before += joined.count(b" ", counted, at + 1)
+                counted = at + 1
+                places.append(before)
                 base.add(label)
                 at = joined.find(phrase, at + 1)
         labels, score, index = set(base), 1.0 if base else 0.0, None

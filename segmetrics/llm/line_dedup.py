@@ -8,20 +8,16 @@ h lines, paired with the ranks h lines further on and sorted, give ranks by
 shares a prefix of h lines; a suffix alone in its interval repeats nothing
 and leaves the table, so later rounds move repeated lines only.
 
-A repeated run must have ``min_words`` words. From position i that takes
-depth(i) lines, and two overlapping powers of two give the interval of
-suffixes sharing these lines. Its smallest position is the first copy; the
-others are later copies, and the lines they cover are deleted. A longer run
-is covered from each of its positions that has enough words after it inside
-the run, so doubling may stop at the largest depth.
-
-By these shortest windows a run's last lines stay if the window before them
-ends sooner: of a repeated [10-word line, 2-word line] the second one. With
-``whole_runs`` the maximal repeated runs of ``min_words`` words go whole.
-Lines that no window covers have fewer than ``min_words`` words together, so
-a position takes all lengths from depth(i) up to the lines whose words after
-the first are still fewer; that is ``min_words`` lines at most. The SQL of
-the registered query states the shortest windows, which are the default.
+A repeated run must have ``min_words`` words; the maximal ones are deleted
+whole from all copies but the first. They are covered by short windows: a
+line of a run lies in the window of the fewest lines from it on that hold
+enough words, or, near the run's end, in one that ends with the run and whose
+lines after the first hold too few. So a position takes all lengths from
+depth(i), the lines until the words suffice, up to those whose words after
+the first are still fewer: ``min_words`` lines at most, where doubling may
+stop. Two overlapping powers of two give the interval of suffixes that share
+a window's lines. Its smallest position is the first copy; the others are
+later copies, and the lines they cover are deleted.
 
 Sorting is by ranges of distinct rank pairs, counted map-side, so a line
 that stands in a third of all documents is one row there. Joins back to
@@ -38,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmetrics.llm.common import SPACES, WORD, running_total, stored
+from segmetrics.llm.common import SPACES, WORD, let, running_total, stored
 
 MIN_WORDS = 5
 
@@ -60,12 +56,13 @@ def line_sequence(docs: DataFrame, min_words: int) -> DataFrame:
     """One row per line: pos (its place in the whole sequence), doc_id,
     text_hash, line, h1, h2, depth (lines from here until the words suffice;
     null if the document ends before), longest (depth, or the lines from here
-    while those after the first have too few words to be a run)."""
+    while those after the first have too few words to be a run) and n_after
+    (lines after this one in its document)."""
     rows = _line_rows(docs)
     one = rows.groupBy("doc_id", "text_hash").agg(F.max(F.size("lines")).alias("n"))
     starts = running_total(one.withColumn("no_id", F.col("doc_id").isNull()), ["no_id", "doc_id", "text_hash"],
                            F.col("n"), "start", "line-starts").select(
-        F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "start")
+        F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "start", F.col("n").alias("n_lines"))
     lines = stored(rows.select("doc_id", "text_hash", F.posexplode("lines").alias("k", "l")).select(
         "doc_id", "text_hash", "k", "l.*"), "lines").dropDuplicates(["doc_id", "text_hash", "k"])
     here = Window.partitionBy("doc_id", "text_hash").orderBy("k")
@@ -78,7 +75,8 @@ def line_sequence(docs: DataFrame, min_words: int) -> DataFrame:
         F.element_at("ahead", -1) >= F.col("need"), F.size(F.filter("ahead", lambda u: u < F.col("need"))) + 1)).withColumn("longest", F.when(
             F.col("depth").isNotNull(), F.greatest("depth", F.size(F.filter("ahead", lambda u: u < F.col("upto") + min_words)))))
     return marked.join(starts, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash"))).select(
-        (F.col("start") + F.col("k")).alias("pos"), "doc_id", "text_hash", "line", "h1", "h2", "depth", "longest")
+        (F.col("start") + F.col("k")).alias("pos"), "doc_id", "text_hash", "line", "h1", "h2", "depth", "longest",
+        (F.col("n_lines") - 1 - F.col("k")).alias("n_after"))
 
 
 def rank_pairs(pairs: DataFrame, name: str) -> DataFrame:
@@ -110,12 +108,13 @@ def suffix_ranks(lines: DataFrame, depth: int) -> dict[int, DataFrame]:
     return levels
 
 
-def later_copies(lines: DataFrame, levels: dict[int, DataFrame], whole_runs: bool = False) -> DataFrame:
-    """(pos, depth) of the runs of ``depth`` lines, with ``whole_runs`` of
-    each number of lines from ``depth`` to ``longest``, that also start
-    earlier: members of an interval other than its smallest position."""
-    if whole_runs:
-        lines = lines.where("depth IS NOT NULL").select("pos", F.explode(F.sequence("depth", "longest")).alias("depth"))
+def later_copies(lines: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
+    """(pos, depth) of the windows of each number of lines from ``depth`` to
+    ``longest`` that also start earlier: members of an interval other than
+    its smallest position."""
+    # of lines that repeat at all
+    lines = lines.where("depth IS NOT NULL").join(levels[1].select(F.col("pos").alias("r")), F.col("pos") == F.col("r"), "left_semi").select(
+        "pos", F.explode(F.sequence("depth", "longest")).alias("depth"))
     parts = []
     for h, ranks in levels.items():
         top = F.lit(2 * h) if 2 * h in levels else F.lit(1 << 30)
@@ -135,14 +134,13 @@ def later_copies(lines: DataFrame, levels: dict[int, DataFrame], whole_runs: boo
     return runs.join(first, same[0] & same[1] & same[2]).where("pos > first").select("pos", "depth")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents (doc_id, text) -> one row per document with deleted lines:
     doc_id, text_hash, lines (places among the ``\\n``-split lines, sorted)
     and n_runs (maximal runs of deleted lines)."""
-    after = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "text_hash").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
-    lines = stored(line_sequence(docs, min_words).withColumn("n_after", after), "line-sequence")
-    deepest = lines.agg(F.max("longest" if whole_runs else "depth")).first()[0] or 1
-    copies = later_copies(lines, suffix_ranks(lines, deepest), whole_runs)
+    lines = stored(line_sequence(docs, min_words), "line-sequence")
+    deepest = lines.agg(F.max("longest")).first()[0] or 1
+    copies = later_copies(lines, suffix_ranks(lines, deepest))
     gone = copies.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("depth") - 1)).alias("g")).distinct()
     # a document's deleted lines: bounded by its text
     hit = lines.join(gone, F.col("pos") == F.col("g")).groupBy("doc_id", "text_hash").agg(
@@ -153,19 +151,20 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool
                       F.aggregate(run_starts, F.lit(0), lambda acc, x: acc + x).cast("long").alias("n_runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False, whole_runs: bool = False) -> DataFrame:
-    """The documents, all columns, with later copies of repeated line runs
-    deleted from ``text``; with ``whole_runs`` the maximal ones whole, else
-    what their shortest windows cover. With ``report``: doc_id, n_lines (with a word),
-    n_removed, n_runs, kept_sha256 of the text that stays."""
-    gone = repeated_lines(docs, min_words, whole_runs).select(
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+    """The documents, all columns, with later copies of maximal repeated line
+    runs deleted from ``text``. With ``report``: doc_id, n_lines (with a
+    word), n_removed, n_runs, kept_sha256 of the text that stays."""
+    gone = repeated_lines(docs, min_words).select(
         F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), F.col("lines").alias("g_lines"), "n_runs")
     text = _text(docs)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("d_id"),
                        F.xxhash64(text).alias("d_hash"))
     out = rows.join(gone, F.col("d_id").eqNullSafe(F.col("g_id")) & (F.col("d_hash") == F.col("g_hash")), "left")
     lines = F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n", -1)
-    stay = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("g_lines", i)), "\n")
+    # places that stay, by a hash set: linear in the lines
+    stay = let(lines, lambda ls: F.array_join(F.transform(F.array_except(
+        F.sequence(F.lit(0), F.size(ls) - 1), "g_lines"), lambda i: F.get(ls, i)), "\n"))
     kept = F.when(F.col("g_lines").isNull(), F.col("doc.text")).otherwise(stay)
     if not report:
         return out.select(*[kept.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -79,7 +79,8 @@ def sample_copies(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_w
     source, size, source_size, target, copies."""
     base = stored(docs.select(
         F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"),
-        F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SALTS)).cast("int").alias("salt"),
+        (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % SALTS)
+        .cast("int").alias("salt"),
     ), "mix-sizes")
     salted = stored(base.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     sized = salted.groupBy("source", "size").agg(F.sum("n").alias("n"))
@@ -115,8 +116,8 @@ def sample_copies(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_w
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: every document as often as ``sample_copies`` says,
     with all its columns. Rows that share doc_id, source and size are
-    exchangeable for the sampler; their copies are dealt out by a row number
-    among them."""
+    exchangeable for the sampler; their copies are dealt out in the order of
+    a hash of the rows, so reruns agree."""
     drawn = sample_copies(docs, **how).groupBy(
         F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(
         F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("drawn")).where("drawn[0] > 0")
@@ -124,7 +125,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
                        docs["source"].alias("d_source"), n_words(docs["text"]).alias("d_size"))
     met = rows.join(drawn, F.col("d_id").eqNullSafe(F.col("t_id")) & F.col("d_source").eqNullSafe(F.col("t_source"))
                     & (F.col("d_size") == F.col("t_size")))
-    row = F.row_number().over(Window.partitionBy("d_id", "d_source", "d_size").orderBy(F.lit(0)))
+    row = F.row_number().over(Window.partitionBy("d_id", "d_source", "d_size").orderBy(
+        F.xxhash64("doc"), F.xxhash64("doc.text")))
     copies = met.withColumn("row", row).withColumn("copies", F.expr("drawn[row - 1]")).where("copies > 0")
     return copies.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         *[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -101,17 +101,21 @@ def common_lines(lines: DataFrame, hosts: DataFrame, max_docs: int, max_share: f
             .where(F.col("n_docs") > F.col("host_docs") * F.lit(max_share)).select("host", "line", "n_docs"))
 
 
-def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE,
+                  with_text: bool = False) -> DataFrame:
     """Documents (doc_id, text, source) -> one row per document: the base
     rules' columns, ``removed_lines`` and ``removed_words`` (of lines above
     the limits) and ``kept``: the base rules hold and at most half of the
-    words are removed."""
+    words are removed. ``with_text`` adds ``removed`` (the places of these
+    lines among the ``\\n``-split ones, sorted) and ``remaining``, the text
+    without them (null for a null text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     host, text_hash = F.col("source").alias("host"), F.xxhash64(text).alias("text_hash")
-    lines = F.transform(text_lines(text), lambda x: F.struct(
-        F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
-    rows = stored(docs.select("doc_id", host, text_hash, F.posexplode(lines).alias("place", "l")).select(
-        "doc_id", "host", "text_hash", "place", "l.line", "l.words"), "line-hashes")
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(
+        i.alias("place"), F.xxhash64(normalised(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))),
+        lambda x: x["words"] > 0)
+    rows = stored(docs.select("doc_id", host, text_hash, F.explode(lines).alias("l")).select(
+        "doc_id", "host", "text_hash", "l.*"), "line-hashes")
     # a line repeated in a text, or a text repeated in a host, counts once
     once = rows.select("host", "line", "text_hash").distinct()
     hosts = docs.select(host, text_hash).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -122,12 +126,20 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     # identical rows hold the same lines at the same places: count them once
     lost = hit.select("doc_id", "host", "text_hash", "place", "words").distinct().groupBy(
         F.col("doc_id").alias("r_id"), F.col("host").alias("r_host"), F.col("text_hash").alias("r_text")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("words").cast("long").alias("w"))
-    base = base_rules(docs, host, text_hash)
+        F.count(F.lit(1)).alias("n"), F.sum("words").cast("long").alias("w"),
+        # of one text: bounded by its lines
+        *([F.sort_array(F.collect_list("place")).alias("places")] if with_text else []))
+    base = base_rules(docs, host, text_hash, *([F.col("text").alias("whole")] if with_text else []))
     on = (F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("host").eqNullSafe(F.col("r_host"))
           & (F.col("text_hash") == F.col("r_text")))
     zero = F.lit(0).cast("long")
     out = base.join(lost, on, "left").withColumns(
         {"removed_lines": F.coalesce("n", zero), "removed_words": F.coalesce("w", zero)})
-    return out.select(*BASE_COLUMNS, "removed_lines", "removed_words",
-                      (~F.col("base_failed") & (2 * F.col("removed_words") <= F.col("n_words"))).alias("kept"))
+    kept = (~F.col("base_failed") & (2 * F.col("removed_words") <= F.col("n_words"))).alias("kept")
+    columns = [*BASE_COLUMNS, "removed_lines", "removed_words", kept]
+    if with_text:
+        gone = F.coalesce("places", F.array().cast("array<int>"))
+        stay = let(F.split("whole", "\n", -1), lambda ls: F.array_join(F.transform(F.array_except(
+            F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n"))
+        columns += [gone.alias("removed"), F.when(F.col("places").isNull(), F.col("whole")).otherwise(stay).alias("remaining")]
+    return out.select(*columns)

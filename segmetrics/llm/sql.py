@@ -1,8 +1,9 @@
 """DuckDB statements of the queries that SQL can express. They restate the
 results from the texts, without hashes, salts, slices or doubling."""
 
-# op1: a window of lines from each line on, until it has 5 words; a window
-# that also starts earlier covers lines to delete. Five lines are enough.
+# op1: of the lines with a word, every window of 1 to 5 lines that holds 5
+# words; one that also starts earlier covers lines to delete. Five lines are
+# enough: of a longer run each line lies in such a window of the run.
 _OP1 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d),
@@ -12,10 +13,8 @@ s AS (SELECT doc_id, i, ln, n, row_number() OVER (ORDER BY doc_id, i) AS pos,
              row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w WHERE n > 0),
 a AS (SELECT *, list(ln) OVER f AS lns, list(n) OVER f AS ns FROM s
       WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-m AS (SELECT doc_id, pos, lns, CASE WHEN list_sum(ns[1:1]) >= 5 THEN 1 WHEN len(ns) >= 2 AND list_sum(ns[1:2]) >= 5 THEN 2
-        WHEN len(ns) >= 3 AND list_sum(ns[1:3]) >= 5 THEN 3 WHEN len(ns) >= 4 AND list_sum(ns[1:4]) >= 5 THEN 4
-        WHEN len(ns) >= 5 AND list_sum(ns[1:5]) >= 5 THEN 5 END AS depth FROM a),
-r AS (SELECT pos, depth, min(pos) OVER (PARTITION BY lns[1:depth]) AS first FROM m WHERE depth IS NOT NULL),
+m AS (SELECT * FROM (SELECT doc_id, pos, lns, ns, unnest(generate_series(1, len(ns))) AS depth FROM a) WHERE list_sum(ns[1:depth]) >= 5),
+r AS (SELECT pos, depth, min(pos) OVER (PARTITION BY lns[1:depth]) AS first FROM m),
 g AS (SELECT DISTINCT unnest(generate_series(pos, pos + depth - 1)) AS pos FROM r WHERE pos > first),
 gone AS (SELECT s.doc_id, s.i, s.pos - lag(s.pos) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS gap FROM s JOIN g USING (pos)),
 per AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE gap IS NULL OR gap > 1) AS n_runs FROM gone GROUP BY 1),
@@ -46,7 +45,8 @@ e AS (
 v AS (SELECT list_name, pattern, day AS valid_from, added, lead(day) OVER (PARTITION BY list_name, pattern ORDER BY day) AS valid_to FROM e),
 lab AS (SELECT *, string_split(host, '.') AS ls FROM c),
 ks AS (
-  SELECT page_id, url, fetch_day, unnest([array_to_string(ls[i:], '.') FOR i IN generate_series(1, len(ls) - 1)]) AS key FROM lab WHERE host <> ''
+  SELECT page_id, url, fetch_day, unnest(CASE WHEN regexp_matches(host, '^[0-9.]+$|^\[') THEN [host]
+         ELSE [array_to_string(ls[i:], '.') FOR i IN generate_series(1, len(ls) - 1)] END) AS key FROM lab WHERE host <> ''
   UNION SELECT page_id, url, fetch_day, unnest([host || '/' || array_to_string(path[1:i], '/') || '/' FOR i IN generate_series(1, len(path) - 1)]) FROM lab WHERE host <> ''),
 hit AS (SELECT ks.page_id, list_name FROM ks JOIN v ON key = pattern AND added AND valid_from <= fetch_day AND (valid_to IS NULL OR fetch_day < valid_to)),
 m AS (SELECT page_id, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists, count(*) AS n FROM hit GROUP BY 1)
@@ -98,7 +98,7 @@ t AS (SELECT source, source_size, CASE WHEN list_contains(closed, 's' || coalesc
         THEN cap::DOUBLE ELSE (rest * weight)::DOUBLE / nullif(shares, 0)::DOUBLE END AS target,
         ('0x' || substr(md5('9:' || coalesce('s' || source, 'n')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM w, fin),
 n AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.target / nullif(t.source_size, 0) AS rate, u,
-        row_number() OVER (PARTITION BY d.source ORDER BY d.size, ((coalesce(d.doc_id, 0) % 1024) + 1024) % 1024, d.doc_id) AS k
+        row_number() OVER (PARTITION BY d.source ORDER BY d.size, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024, d.doc_id) AS k
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, coalesce(floor(k::DOUBLE * rate + u) - floor((k - 1)::DOUBLE * rate + u), 0)::BIGINT AS copies FROM n)
 SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size AS taken, copies, source FROM c

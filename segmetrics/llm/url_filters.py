@@ -5,7 +5,8 @@ added). Entries become validity intervals: an added pattern holds from its
 day until the day of the pattern's next entry, an end that is exclusive. A
 capture (url, fetch_day) is blocked if any list holds, on the day of the
 fetch, a pattern that covers its URL: the host or a parent domain
-(``bad.example``), or a path prefix of whole segments (``host/dir/``).
+(``bad.example``), or a path prefix of whole segments (``host/dir/``). A host
+that is an address has no parent domains.
 
 The as-of join equates pattern and time slice: both sides are cut at the
 borders of ``SLICE_DAYS``-day slices, so that a pattern with a long history,
@@ -13,8 +14,9 @@ or a host with a third of all captures, is spread over slices, and a capture
 meets only the intervals alive in its slice. Spark splits slices that stay
 large as skewed partitions.
 
-Defined results: a capture without a host or day matches nothing; patterns
-are compared in lower case (hosts) and as given (paths); entries without
+Defined results: a capture without a host or day matches nothing; patterns'
+hosts are folded as those of URLs are (lower case, no final dot), their paths
+are taken as given; entries without
 list, pattern, day or action are ignored; of several entries for a pattern
 on one day a removal wins; repeated captures get a row each; empty tables
 give empty results or unblocked captures.
@@ -44,7 +46,8 @@ def url_keys(url: Column) -> Column:
 
     def domains(labels: Column) -> Column:
         n = F.size(labels)
-        return F.when(n < 2, labels).otherwise(F.transform(
+        address = F.array_join(labels, ".").rlike(r"^[0-9.]+$|^\[")
+        return F.when((n < 2) | address, F.array(F.array_join(labels, "."))).otherwise(F.transform(
             F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), ".")))
 
     def prefixes(host: Column) -> Column:
@@ -58,12 +61,18 @@ def url_keys(url: Column) -> Column:
         F.array_distinct(F.concat(let(F.split(h, r"\.", -1), domains), prefixes(h)))))
 
 
+def folded(pattern: Column) -> Column:
+    """A pattern with its host as ``host_of`` gives hosts."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(pattern, "^[^/]*", 0)), r"\.$", "")
+    return F.concat(host, F.regexp_extract(pattern, "(?s)/.*$", 0))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """Dated entries -> (list_name, pattern, valid_from, valid_to); an open
     end is null. One row per day and pattern enters the window, so a task
     holds at most a pattern's days."""
     known = entries.where("list_name IS NOT NULL AND pattern IS NOT NULL AND day IS NOT NULL AND added IS NOT NULL")
-    daily = known.groupBy("list_name", "pattern", "day").agg(F.bool_and("added").alias("added"))
+    daily = known.withColumn("pattern", folded(F.col("pattern"))).groupBy("list_name", "pattern", "day").agg(F.bool_and("added").alias("added"))
     after = F.lead("day").over(Window.partitionBy("list_name", "pattern").orderBy("day"))
     return daily.withColumn("valid_to", after).where("added").select(
         "list_name", "pattern", F.col("day").alias("valid_from"), "valid_to")

@@ -2,6 +2,7 @@
 the contracts' columns, and the pipeline stage by stage."""
 import os
 import sys
+import zlib
 from collections import defaultdict
 
 from tokenizers import Tokenizer
@@ -47,6 +48,11 @@ def test_columns(spark):
             assert df.count() == n, name
 
 
+def test_held_out_labels(spark):
+    for r in queries.op10_quality_classifier(spark, SF001).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_sql(spark):
     con = duck(SF001)
     for name, sql in ORACLE_SQL.items():

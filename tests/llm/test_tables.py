@@ -2,7 +2,9 @@
 brute force, and the odd cases of each."""
 import datetime as dt
 import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -103,6 +105,16 @@ def test_mix_keeps_columns(docs, rows):
     assert got == Counter({k: v for k, v in copies.items() if v})
 
 
+def test_mix_does_not_depend_on_row_order(spark):
+    """Null ids of one size: which texts are copied is settled by the texts."""
+    rows = [(None, f"word {i} here", "en", "s", 3) for i in range(6)] + [(7, "same id", "en", "s", 1), (7, "other", "en", "s", 1)]
+    rows += [(i, f"many words in source t number {i}", "en", "t", 1) for i in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    runs = [Counter(r.text for r in mixing.mix(spark.createDataFrame(x, schema).repartition(n)).collect())
+            for x, n in ((rows, 1), (rows[::-1], 1), (rows[3:] + rows[:3], 4))]
+    assert runs[0] == runs[1] == runs[2] and sum(runs[0].values()) > 0
+
+
 def test_mix_empty(no_docs, spark):
     assert mixing.mix(no_docs).count() == 0 and mixing.sample_copies(no_docs).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "x")], "doc_id long, text string, source string")
@@ -117,11 +129,13 @@ ENTRIES = [
     ("spam", "bad.example", day(10), True), ("spam", "bad.example", day(50), False), ("spam", "bad.example", day(300), True),
     ("spam", "bad.example", day(10), True), ("games", "play.bad.example", day(0), True), ("games", "play.bad.example", day(0), False),
     ("policy", "site.example/de/", day(20), True), ("policy", "site.example/de/at/", day(5), True),
-    (None, "x", day(0), True), ("spam", None, day(0), True), ("spam", "x", None, True), ("spam", "x", day(0), None),
+    ("spam", "Loud.Example.", day(0), True), ("spam", "Loud.Example/Dir/", day(0), True), ("spam", "3.4", day(0), True),
+    ("spam", "1.2.3.5", day(0), True), (None, "x", day(0), True), ("spam", None, day(0), True), ("spam", "x", None, True), ("spam", "x", day(0), None),
 ]
 URLS = ["http://bad.example/", "https://WWW.Bad.Example:80/a/b?q=1", "http://u@play.bad.example/x", "http://notbad.example/",
         "http://site.example/de/page", "http://site.example/de", "http://site.example/de/at/x#f", "http://site.example/en/de/",
-        "no url", "", None, "http://example/", "http://bad.example./x", "ftp://bad.example"]
+        "http://1.2.3.4/", "http://1.2.3.5:80/x", "http://a.LOUD.example/", "http://loud.example/Dir/x", "http://loud.example/dir/x",
+        "http://[::1]/x", "no url", "", None, "http://example/", "http://bad.example./x", "ftp://bad.example"]
 
 
 def test_url_filters(spark):
@@ -143,9 +157,11 @@ def test_url_filters(spark):
         host, _, path = rest.partition("/")
         host = host.rpartition("@")[2].partition(":")[0].lower().rstrip(".")
         path = path.partition("?")[0].partition("#")[0]
-        if "/" in pattern:
-            return f"{host}/{path}".startswith(pattern)
-        return host == pattern or host.endswith("." + pattern)
+        p_host, slash, p_path = pattern.partition("/")
+        p_host = p_host.lower().rstrip(".")
+        if slash:
+            return f"{host}/{path}".startswith(f"{p_host}/{p_path}")
+        return host == p_host or (not re.fullmatch("[0-9.]+", host) and host.endswith("." + p_host))
 
     want = Counter()
     for i, u, on in caps:
@@ -291,6 +307,27 @@ def test_quality_model_on_held_out_labels(spark):
     assert kept.columns == [*docs.columns[:1], *docs.columns[1:], "s2"] and kept.first()["score"] == "mine"
 
 
+def test_quality_model_scores_recomputed(spark):
+    """Scores from the two dictionaries and the curve, step by step."""
+    import zstandard as zstd
+
+    docs, labels, _ = labelled(spark)
+    model = quality_model.fit(docs, labels, F.col("doc_id") % 5 != 0)
+
+    def size(text, dictionary):
+        d = zstd.ZstdCompressionDict(dictionary)
+        c = zstd.ZstdCompressor(level=quality_model.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(text[at:at + 4096])) for at in range(0, len(text), 4096))
+
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in quality_model.score(docs, model).collect():
+        data = (texts[r.doc_id] or "").encode()
+        good, bad = size(data, model.good), size(data, model.bad)
+        x = [(bad - good) / (bad + good), good / len(data), (good / len(data)) ** 2] if data else [0.0, 1.0, 1.0]
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_quality_model_ignores_held_out_rows(spark):
     docs, labels, _ = labelled(spark)
     learn = F.col("doc_id") % 5 != 0

@@ -2,6 +2,8 @@
 against brute force on a small corpus with odd rows."""
 import hashlib
 import random
+import time
+import tracemalloc
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -30,21 +32,23 @@ def order(text):
 
 
 def brute_lines(rows, least=5):
-    """(doc_id, text) -> (lines, removed, runs, kept text)."""
-    out, seen = {}, set()
+    """(doc_id, text) -> (lines, removed, runs, kept text), without the
+    maximal runs that start earlier."""
+    out, seen = {}, defaultdict(list)
     for i, text in sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (key(x[0]), order(x[1]))):
         split = text.split("\n")
         seq = [(k, x, len(WORD.findall(x))) for k, x in enumerate(split) if WORD.search(x)]
         gone = set()
-        for a in range(len(seq)):
-            n, b = 0, a
-            while b < len(seq) and n < least:
-                n, b = n + seq[b][2], b + 1
-            if n >= least:
-                window = tuple(x for _, x, _ in seq[a:b])
-                if window in seen:
-                    gone.update(range(a, b))
-                seen.add(window)
+        for a, (_, x, _) in enumerate(seq):
+            longest = 0
+            for other, b in seen[x]:
+                n = 0
+                while a + n < len(seq) and b + n < len(other) and seq[a + n][1] == other[b + n][1]:
+                    n += 1
+                longest = max(longest, n)
+            if sum(n for _, _, n in seq[a:a + longest]) >= least:
+                gone.update(range(a, a + longest))
+            seen[x].append((seq, a))
         places = {seq[a][0] for a in gone}
         out[i, text] = (len(seq), len(gone), sum(a - 1 not in gone for a in gone),
                         "\n".join(x for k, x in enumerate(split) if k not in places))
@@ -76,41 +80,29 @@ def test_line_dedup_longer_runs(spark):
     assert got == {1: rows[0][1], 2: "xx", 3: "ww", 4: rows[3][1]}
 
 
-def brute_runs(rows, least=5):
-    """(doc_id, text) -> text without the maximal runs that start earlier."""
-    out, seen = {}, defaultdict(list)
-    for i, text in sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (key(x[0]), order(x[1]))):
-        split = text.split("\n")
-        seq = [(k, x, len(WORD.findall(x))) for k, x in enumerate(split) if WORD.search(x)]
-        gone = set()
-        for a, (_, x, _) in enumerate(seq):
-            longest = 0
-            for other, b in seen[x]:
-                n = 0
-                while a + n < len(seq) and b + n < len(other) and seq[a + n][1] == other[b + n][1]:
-                    n += 1
-                longest = max(longest, n)
-            if sum(n for _, _, n in seq[a:a + longest]) >= least:
-                gone.update(k for k, _, _ in seq[a:a + longest])
-            seen[x].append((seq, a))
-        out[i, text] = "\n".join(x for k, x in enumerate(split) if k not in gone)
-    return out
-
-
 def test_line_dedup_whole_runs(spark, docs, rows):
     """The short last lines of a repeated run go with it."""
     run = "a line of ten words that stands in two documents\ntwo words"
     some = [(1, run + "\nq"), (2, "x\n" + run + "\ny"), (3, run), (4, "a b c\nd e\nf"), (5, "a b c\nd e\nf\ng"), (6, "two words")]
     df = spark.createDataFrame(some, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, whole_runs=True).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     assert got == {1: some[0][1], 2: "x\ny", 3: "", 4: some[3][1], 5: "g", 6: "two words"}
     rng = random.Random(4)
     lines = [" ".join("abcdefg"[rng.randrange(7)] for _ in range(n)) for n in (1, 1, 1, 2, 2, 3, 4, 5, 9)]
     more = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(60)]
     for df, r0 in ((docs, rows), (spark.createDataFrame(more, "doc_id long, text string"), more)):
-        want = brute_runs(r0)
-        kept = line_dedup.dedup_lines(df, whole_runs=True).collect()
-        assert Counter((r.doc_id, r.text or "") for r in kept) == Counter((r[0], want[r[0], r[1] or ""]) for r in r0)
+        want = brute_lines(r0)
+        kept = line_dedup.dedup_lines(df).collect()
+        assert Counter((r.doc_id, r.text or "") for r in kept) == Counter((r[0], want[r[0], r[1] or ""][3]) for r in r0)
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Two copies of 80,000 short lines: linear in the lines."""
+    text = "\n".join(f"a b c {i}" for i in range(80_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nlast one")], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs) for r in line_dedup.dedup_lines(df, report=True).collect()}
+    assert got == {1: (80_000, 0, 0), 2: (80_001, 80_000, 1)} and time.time() - start < 60
 
 
 def brute_windows(rows, size=50):
@@ -146,6 +138,46 @@ def test_suffix_dedup(docs, rows):
     assert as_rows(suffix_dedup.remove_repeats(docs, with_kept=True, hot_docs=1)) == expected
 
 
+def test_suffix_dedup_of_periodic_texts(spark, monkeypatch):
+    """Strings without an end, and parts and slices of a few windows."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 40)
+    monkeypatch.setattr(suffix_dedup, "PART", 300)
+    rng = random.Random(7)
+    texts = ["a" * 300, "b" + "a" * 200, "ab" * 150, "xy" + "ab" * 60 + "q" * 90, "q" * 60, "abc" * 80 + "a" * 55, "ab" * 150]
+    texts += ["".join(rng.choice("ab") for _ in range(30)) * 6 for _ in range(6)] + ["z" * 49, "z" * 50, "", None]
+    rows = [(rng.randrange(1000), t) for t in texts * 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = brute_windows(rows)
+    expected = Counter((r[0], *w[:3], hashlib.sha256(w[3]).hexdigest(), w[3]) for r in rows for w in [want[r[0], r[1] or ""]])
+    for hot in (1, 4096):
+        assert as_rows(suffix_dedup.remove_repeats(df, with_kept=True, hot_docs=hot)) == expected
+
+
+def test_suffix_dedup_memory_of_near_copies():
+    """Cutting hot strings of 10,000 near copies holds one slice at a time."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    base = [f"word{rng.randrange(900)}" for _ in range(90)]
+    texts = []
+    for i in range(10_000):
+        words = list(base)
+        words[rng.randrange(90)] = f"own{i}"
+        texts.append(" ".join(words))
+    anchors = suffix_dedup.Anchors([t.encode() for t in texts])
+    counts = np.bincount(anchors.text, minlength=len(texts))
+    marks = [[(np.arange(n, dtype="<u4") | suffix_dedup.HOT_MARK).tobytes()] for n in counts]
+    del anchors
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts),
+                             pa.array(marks, pa.list_(pa.binary()))], names=["ord", "text_hash", "text", "marks"])
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    n = sum(1 for _ in suffix_dedup._emit_runs(16)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 5e6 and n > 3 and peak < 250e6, peak
+
+
 def fingerprint(text):
     words = WORD.findall(lower(text or ""))
     if not words:
@@ -232,7 +264,7 @@ def brute_base(text):
 
 
 def test_quality_rules(docs, rows):
-    got = quality_rules.quality_rules(docs, max_docs=3, max_share=0.2).collect()
+    got = quality_rules.quality_rules(docs, max_docs=1, max_share=0.01).collect()
     base = {(r[0], r[1]): brute_base(r[1]) for r in rows}
     assert Counter(tuple(r[:7]) for r in got) == Counter((r[0], *base[r[0], r[1]]) for r in rows)
     norm = lambda x: " ".join(WORD.findall(x)).lower()
@@ -245,10 +277,30 @@ def test_quality_rules(docs, rows):
     want = Counter()
     for r in rows:
         common = [x for x in (r[1] or "").split("\n") if WORD.search(x)
-                  and len(count[r[3], norm(x)]) > max(3, 0.2 * len(texts[r[3]]))]
+                  and len(count[r[3], norm(x)]) > max(1, 0.01 * len(texts[r[3]]))]
         lost = sum(len(WORD.findall(x)) for x in common)
         want[r[0], len(common), lost, not base[r[0], r[1]][5] and 2 * lost <= base[r[0], r[1]][0]] += 1
     assert Counter((r.doc_id, r.removed_lines, r.removed_words, r.kept) for r in got) == want
+    assert sum(k[1] for k in want) > 10
+
+
+def test_quality_rules_remaining_text(docs, rows):
+    got = quality_rules.quality_rules(docs, max_docs=1, max_share=0.01, with_text=True).collect()
+    plain = quality_rules.quality_rules(docs, max_docs=1, max_share=0.01).collect()
+    assert Counter(tuple(r[:10]) for r in got) == Counter(map(tuple, plain))
+    texts = defaultdict(set)
+    for r in rows:
+        texts[r[0]].add(r[1])
+    left = Counter()
+    for r in got:
+        # the text that has these lines at these places, and loses them alone
+        whole = [t for t in texts[r.doc_id] if "\n".join(
+            x for k, x in enumerate((t or "").split("\n")) if k not in set(r.removed)) == (r.remaining or "")]
+        assert whole and len(r.removed) == r.removed_lines
+        lost = [sum(len(WORD.findall((t or "").split("\n")[k])) for k in r.removed) for t in whole]
+        assert r.removed_words in lost
+        left[r.remaining is None] += 1
+    assert left[True] == sum(r[1] is None for r in rows) and any(r.removed for r in got)
 
 
 def test_repeated_windows(spark):
@@ -280,6 +332,31 @@ def test_licenses(spark, docs, rows):
         (r[0], len(word.findall(lower(r[1] or "")))) for r in rows)
 
 
+def test_license_places_by_brute_force(spark):
+    """Base places over words that licenses are made of."""
+    rng = random.Random(12)
+    words = "under the mit license apache version 2 0 cc by nc MIT License, Version licenses é under the cc by nc".split()
+    texts = [rng.choice([" ", "-", ". "]).join(rng.choice(words) for _ in range(rng.randint(0, 400))) for _ in range(150)]
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    word, found = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), 0
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ws = word.findall(lower(text))
+        places = [(a, label) for p, label in phrases.items() for a in range(len(ws)) if ws[a:a + len(p.split())] == p.split()]
+        at = [a for a, _ in places]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == (
+            len(ws), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+        found += len(at)
+    assert found > 100
+
+
+def test_license_places_in_linear_time():
+    scanner = licenses.Scanner()
+    start = time.time()
+    n, n_base, first, last, *_ = scanner.scan("cc by nc " * 200_000)
+    assert (n, n_base, first, last) == (600_000, 200_000, 0, 599_997) and time.time() - start < 10
+
+
 def test_template_markup():
     a = licenses.compile_template("x", "one [[two [[three]]]] <<1-2>> four")
     for text, ok in (("one two three z four", True), ("one z four", True), ("one two z y four", True), ("one four", False),
