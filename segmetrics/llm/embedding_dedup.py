@@ -21,8 +21,11 @@ vectors costs rows in proportion to its size. A pair across shards is met
 in one search; a pair inside a shard in two, one from each end, and each
 counts for the vector that was searched for.
 
+A search task meets the pairs in bounded parts (``hnsw``) and keeps of each
+its counts and its forest.
+
 Shards: at least ``SHARDS``, and so many that none has over about
-``SHARD_ROWS`` vectors.
+``SHARD_ROWS`` vectors or ``SHARD_BYTES`` of them in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components link with nothing; vectors link only with those of
@@ -44,7 +47,8 @@ from segmetrics.llm.components import components
 from segmetrics.llm.hnsw import Graph
 
 SHARDS = 8
-SHARD_ROWS = 200_000
+SHARD_ROWS = 50_000
+SHARD_BYTES = 64 << 20
 BLOCK = 4096
 UNIT_BLOCKS = 16
 BEAM = 48
@@ -53,6 +57,7 @@ AUDIT_EVERY = 20
 AUDIT_BLOCK = 16384
 RECALL = 0.995
 SLACK = 1e-5  # single precision in the search
+COSINES = 1 << 15  # pairs verified at a time
 
 
 def _usable(v: Column) -> Column:
@@ -150,22 +155,31 @@ def _search(least: float, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units: a graph's pieces, then blocks of vectors to search for ->
         counts (kind 0: node, links, links with copies) and edges (kind 1)."""
-        def found(graph: Graph, ids, copies, x, own: bool, q_ids, q_copies, q):
-            u, v = _unit(q), _unit(x)
-            a, b = graph.within(u.astype(np.float32), least - SLACK, beam)
-            cosine = np.concatenate([np.einsum("ij,ij->i", u[s], v[t]) for s, t in zip(
-                np.array_split(a, a.size // 65536 + 1), np.array_split(b, a.size // 65536 + 1))])
-            ok = (cosine >= least) & (q_ids[a] != ids[b])
-            a, b = a[ok], b[ok]
-            counts = [(q_ids, np.bincount(a, minlength=q_ids.size), np.bincount(a, copies[b], q_ids.size))]
-            if not own:
-                counts.append((ids, np.bincount(b, minlength=ids.size), np.bincount(b, q_copies[a], ids.size)))
-            node, links, heavy = (np.concatenate(c)[np.concatenate([c[1] for c in counts]) > 0] for c in zip(*counts))
-            low, high = _forest(q_ids[a], ids[b])
-            kind = np.repeat(np.array([0, 1], np.int32), [node.size, low.size])
-            none = np.zeros(low.size, np.int64)
-            return pa.record_batch([pa.array(kind), pa.array(np.concatenate([node, low])), pa.array(np.concatenate([links, high])),
-                                    pa.array(np.concatenate([heavy.astype(np.int64), none]))], names=["kind", "a", "b", "n"])
+        def found(graph: Graph, ids, copies, v, own: bool, q_ids, q_copies, q):
+            u = _unit(q)
+            mine, heavy = np.zeros(q_ids.size, np.int64), np.zeros(q_ids.size)
+            theirs, t_heavy = np.zeros(ids.size, np.int64), np.zeros(ids.size)
+            edges = np.empty((2, 0), np.int64)
+            for a, b in graph.near(u.astype(np.float32), least - SLACK, beam):
+                for at in range(0, a.size, 1 << 19):
+                    s, t = a[at:at + (1 << 19)], b[at:at + (1 << 19)]
+                    cosine = np.concatenate([np.einsum("ij,ij->i", u[s[i:i + COSINES]], v[t[i:i + COSINES]])
+                                             for i in range(0, s.size, COSINES)])
+                    ok = (cosine >= least) & (q_ids[s] != ids[t])
+                    s, t = s[ok], t[ok]
+                    mine += np.bincount(s, minlength=mine.size)
+                    heavy += np.bincount(s, copies[t], heavy.size)
+                    if not own:
+                        theirs += np.bincount(t, minlength=theirs.size)
+                        t_heavy += np.bincount(t, q_copies[s], t_heavy.size)
+                    edges = np.array(_forest(*np.concatenate([edges, [q_ids[s], ids[t]]], axis=1)))
+            node, links, n = (np.concatenate(c) for c in ((q_ids, ids), (mine, theirs), (heavy, t_heavy)))
+            some = links > 0
+            kind = np.repeat(np.array([0, 1], np.int32), [int(some.sum()), edges.shape[1]])
+            return pa.record_batch([pa.array(kind), pa.array(np.concatenate([node[some], edges[0]])),
+                                    pa.array(np.concatenate([links[some], edges[1]])),
+                                    pa.array(np.concatenate([n[some].astype(np.int64), np.zeros(edges.shape[1], np.int64)]))],
+                                   names=["kind", "a", "b", "n"])
 
         now, pieces, state = None, [], None
         for batch in batches:
@@ -181,7 +195,7 @@ def _search(least: float, beam: int):
                 if state is None:
                     ids, copies, x, *rest = _arrays(b"".join(pieces))
                     own = row["unit"].split("-")[0] == str(row["graph"])
-                    state, pieces = (Graph.of(rest), ids, copies, x, own), []
+                    state, pieces = (Graph.of(rest), ids, copies, _unit(x), own), []
                 yield found(*state, *_arrays(row["blob"]))
 
     return run
@@ -293,8 +307,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, beam: int = BEAM, sh
         F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least_id"))
     nodes = stored(running_total(one, ["h1", "h2"], F.lit(1), "node", "hnsw-distinct").withColumn(
         "size", F.size("vector")), "hnsw-nodes")
-    count = nodes.count()
-    found = _links(nodes, least, max(shards, -(-count // SHARD_ROWS)), beam, count)
+    count, size = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("size").cast("long") * 8), F.lit(0))).first()
+    found = _links(nodes, least, max(shards, -(-count // SHARD_ROWS), -(-size // SHARD_BYTES)), beam, count)
     partners = found.where("kind = 0").groupBy(F.col("a").alias("from")).agg(F.sum("n").alias("partners"))
     links = found.where("kind = 1").select("a", "b")
     grouped = nodes.join(components(links).withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select(

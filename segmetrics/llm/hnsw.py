@@ -11,12 +11,15 @@ graph so far, and is compared with itself.
 """
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 
 LINKS = 16
 FAN = 16
 FOLLOW = 4  # vectors a search follows in one step
-CELLS = 1 << 23  # visited flags held at a time
+CELLS = 1 << 22  # visited flags, or pairs compared, held at a time
+WALKERS = 256  # queries that walk over links together
 
 
 def diverse(x: np.ndarray, found: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
@@ -194,26 +197,46 @@ class Graph:
             merge(active, nxt.reshape(active.size, -1))
         return ids, sims
 
-    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) pairs of similarity ``least`` or more: the beam's, and
-        all that can be reached from them over links between such rows. There
-        is no limit on a query's pairs. A beam as wide as the shard compares
-        all, so that no row is out of reach."""
-        if not len(self.x) or not len(queries):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        if beam >= len(self.x):
-            step = max(1, CELLS // len(self.x))
-            parts = [np.nonzero(queries[i:i + step] @ self.x.T >= least) for i in range(0, len(queries), step)]
-            return (np.concatenate([p[0] + i * step for i, p in enumerate(parts)]), np.concatenate([p[1] for p in parts]))
-        start = None
+    def near(self, queries: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) pairs of similarity ``least`` or more, all pairs of a
+        query in one part: the beam's, and all that can be reached from them
+        over links between such rows. There is no limit on a query's pairs:
+        one that reaches over a sixteenth of the shard is compared with all
+        of it, as is every query of a beam as wide as the shard. A part holds
+        CELLS pairs at most, or one query's."""
+        n = len(self.x)
+        if not n or not len(queries):
+            return
+        every = np.arange(len(queries))
+        if beam >= n:
+            yield from self._compared(queries, every, least)
+            return
+        many = []
+        for at in range(0, len(queries), WALKERS):
+            mine = every[at:at + WALKERS]
+            found, large = self._walk(queries[mine], least, beam, max(4 * beam, n // 16))
+            many.append(mine[large])
+            yield mine[found // n], found % n
+        yield from self._compared(queries, np.concatenate(many), least)
+
+    def _compared(self, queries: np.ndarray, which: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, CELLS // len(self.x))
+        for at in range(0, which.size, step):
+            q, row = np.nonzero(queries[which[at:at + step]] @ self.x.T >= least)
+            yield which[at + q], row
+
+    def _walk(self, queries: np.ndarray, least: float, beam: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs as query * rows + row, and the queries given up because they
+        have over ``most``."""
+        start, n = None, len(self.x)
         for l in range(len(self.layers) - 1, 0, -1):
             if self.layers[l].members.size:
                 start = self.search_layer(queries, start, l, LINKS)[0][:, :4]
-        ids, sims = self.search_layer(queries, start, 0, min(beam, max(4, len(self.x))))
-        n = len(self.x)
+        ids, sims = self.search_layer(queries, start, 0, min(beam, max(4, n)))
         q, k = np.nonzero((sims >= least) & (ids >= 0))
         found = np.unique(q.astype(np.int64) * n + ids[q, k])
         tried, front = found, found
+        large = np.zeros(len(queries), bool)
         while front.size:
             q, row = front // n, front % n
             near = self.layers[0].links[row]
@@ -222,10 +245,19 @@ class Graph:
             pairs = np.setdiff1d(pairs, tried, assume_unique=True)
             tried = np.union1d(tried, pairs)
             keep = [np.einsum("kd,kd->k", self.x[p % n], queries[p // n]) >= least
-                    for p in np.array_split(pairs, max(1, pairs.size // (1 << 17)))]
-            front = pairs[np.concatenate(keep)] if keep else pairs
+                    for p in np.array_split(pairs, max(1, pairs.size // (1 << 15)))]
+            front = pairs[np.concatenate(keep)]
             found = np.union1d(found, front)
-        return found // n, found % n
+            over = np.bincount(found // n, minlength=large.size) > most
+            if over.any():
+                large |= over
+                found, tried, front = (x[~large[x // n]] for x in (found, tried, front))
+        return found, np.flatnonzero(large)
+
+    def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of ``near`` at once, for few queries."""
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64)), *self.near(queries, least, beam)]
+        return tuple(np.concatenate(p) for p in zip(*parts))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.x, *[a for l in self.layers for a in (l.members, l.links[l.members])]]
