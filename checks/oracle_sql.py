@@ -355,6 +355,11 @@ def _sql() -> dict[str, str]:
             "ppd_category_type", "record_status"]) + " FROM raw"
     q["resolve_roles"] = base() + ("SELECT transaction_id, price, date_of_transfer AS date, postcode, property_type, "
                                    "duration, county, district, paon, saon, street FROM raw")
+    q["csv_rejects"] = base() + f"""SELECT transaction_id,
+    CASE WHEN {O} % 17 = 0 THEN 'fields' WHEN {O} % 19 = 0 THEN 'quotes' END AS reject,
+    CASE WHEN {O} % 17 <> 0 AND {O} % 19 <> 0 THEN CASE WHEN {O} % 23 <> 0 AND {O} % 29 = 0 THEN street || ', x' ELSE street END END AS street,
+    CASE WHEN {O} % 17 <> 0 AND {O} % 19 <> 0 AND {O} % 23 <> 0 THEN record_status END AS record_status
+  FROM raw"""
     summary = payload()
     exported = payload(exported=True)
     q["write_read_parquet"] = base(*FULL) + summary
@@ -434,6 +439,8 @@ def _sql() -> dict[str, str]:
     q["appreciation"] = base(sales_cte(), repeats_cte()) + (
         "SELECT transaction_id, appreciation_pounds, appreciation_pct FROM repeats")
 
+    q["pairs_in_loads"] = q["repeat_sales"]
+
     # cube
     q["location_fanout"] = base(sales_cte(), fan_cte("sales", "fan")) + (
         "SELECT transaction_id, location_type, location_value FROM fan")
@@ -441,6 +448,7 @@ def _sql() -> dict[str, str]:
     q["segment_cube"] = cube_sql
     q["segment_cube_gs"] = cube_sql
     q["line_agg"] = cube_sql
+    q["incremental_line"] = cube_sql
     q["affected_keys"] = base(sales_cte(), fan_cte("sales", "fan")) + """, segs AS (
   SELECT DISTINCT location_type, location_value, house_type, tenure, 'all' AS size_band, 'all' AS year_built_band
   FROM fan
@@ -592,7 +600,27 @@ SELECT {K}, year_bought, {ycols} FROM frame LEFT JOIN piv USING ({K}, year_bough
         return cte.replace("'all' AS size_band", "CASE WHEN grouping(size_band) = 1 THEN 'all' ELSE size_band END AS size_band").replace(
             "CUBE(location_value, house_type, tenure)", "CUBE(location_value, house_type, tenure, size_band)")
 
-    q["banded_cube"] = base(*banded, band(LINE), band(HEAT), PERF) + payload(where="size_band <> 'all'")
+    q["banded_cube"] = base(*banded, band(LINE), band(HEAT), PERF) + payload()
+    low = "CAST(floor((1950 + CAST(paon AS INTEGER) % 60) / 20) * 20 AS INTEGER)"
+    built = [sales_cte(extra=f", {low}::VARCHAR || '-' || ({low} + 19)::VARCHAR AS year_built_band"), repeats_cte()]
+
+    def by_built(cte: str) -> str:
+        return cte.replace("'all' AS year_built_band", "CASE WHEN grouping(year_built_band) = 1 THEN 'all' ELSE year_built_band END AS year_built_band").replace(
+            "CUBE(location_value, house_type, tenure)", "CUBE(location_value, house_type, tenure, year_built_band)")
+
+    q["built_band_cube"] = base(*built, by_built(LINE), by_built(HEAT), PERF) + payload()
+    streets = sales_cte(extra=f", {norm('street')} AS street")
+    q["street_cube"] = base(streets) + """SELECT 'street' AS location_type, street AS location_value,
+    CASE WHEN grouping(house_type) = 1 THEN 'all' ELSE house_type END AS house_type,
+    CASE WHEN grouping(tenure) = 1 THEN 'all' ELSE tenure END AS tenure, 'all' AS size_band, 'all' AS year_built_band, year_sold,
+    sum(price) / count(*) AS avg_price, sum(price) / count(*) AS median_price, sum(price) / count(*) AS mode_price, count(*) AS sale_count
+  FROM sales WHERE street IN (SELECT street FROM sales GROUP BY street HAVING count(*) >= 600)
+  GROUP BY street, year_sold, CUBE(house_type, tenure)"""
+    states = "\n".join(x for x in HEAT_METRICS.split("\n") if "quantile_disc" not in x)
+    q["bought_band_cube"] = base(sales_cte(), repeats_cte(), """bands AS (SELECT *, (year_bought // 5 * 5)::VARCHAR || '-' ||
+    (year_bought // 5 * 5 + 4)::VARCHAR AS year_bought_band FROM repeats)""", cube_cte("bands", "hb", ["year_bought_band", "year_sold"], states)) + (
+        f"SELECT {K}, year_bought_band, year_sold, avg_appreciation_pounds, sale_count, round(avg_appreciation_pct, {D}) AS avg_appreciation_pct, "
+        "pct_sales_appreciated, biggest_loser_pounds, biggest_loser_pct, biggest_winner_pounds, biggest_winner_pct FROM hb")
     q["adhoc_agg"] = base(sales_cte()) + (
         "SELECT year_sold, sum(price) / count(*) AS avg_price, count(*) AS sale_count FROM sales "
         "WHERE district = 'nation_3' AND house_type = 'flat' GROUP BY year_sold")

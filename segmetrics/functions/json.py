@@ -86,15 +86,19 @@ def dimension_to_json(index: DataFrame) -> DataFrame:
     )
 
 
-def parse_performance_value(value: Column) -> Column:
-    """JSON text -> typed {line_graph, heatmap_graph, sale_count}."""
-    return F.from_json(value, PERFORMANCE_VALUE)
+def parsed_once(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with ``text`` parsed into the VARIANT column ``name``, null for
+    blank or malformed JSON. The one-element ``explode`` keeps the optimizer
+    from copying the parse into every place that reads the column."""
+    value = F.col(text)
+    variant = F.when(value.isNotNull() & (strip(value) != ""), F.try_parse_json(value))
+    return df.select("*", F.explode(F.array(variant)).alias(name))
 
 
-def parse_dimension_value(value: Column) -> Column:
-    return F.from_json(value, DIMENSION_VALUE)
+def performance_field(variant: str, field: str) -> Column:
+    """A field of a parsed performance value, null if it is not of its type."""
+    return F.try_variant_get(F.col(variant), f"$.{field}", PERFORMANCE_VALUE[field].dataType.simpleString())
 
 
-def is_valid_json(value: Column) -> Column:
-    """True when ``value`` is non-blank, well-formed JSON."""
-    return value.isNotNull() & (strip(value) != "") & F.try_parse_json(value).isNotNull()
+def dimension_field(variant: str, field: str) -> Column:
+    return F.try_variant_get(F.col(variant), f"$.{field}", DIMENSION_VALUE[field].dataType.simpleString())

@@ -1,14 +1,24 @@
-"""Declared extras: exact mode and median, street-level and ad-hoc
-aggregates, size bands."""
+"""Declared extras: exact mode and median, street-level aggregates, size and
+year bands."""
 from __future__ import annotations
 
+from itertools import product
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmetrics.operators.aggregates import heatmap_metrics
-from segmetrics.operators.cube import segment_cube_gs
+from segmetrics.operators.aggregates import (
+    heatmap_metrics,
+    heatmap_metrics_from_partials,
+    heatmap_partials,
+    line_metrics_from_partials,
+    line_partials,
+    merged_heatmap_partials,
+)
+from segmetrics.operators.cube import DIMS, copied_to_types, grouped_sets, segment_cube_gs
 from segmetrics.operators.medians import exact_median
-from segmetrics.schema import KEY_COLUMNS
+from segmetrics.schema import ALL, KEY_COLUMNS, LOCATION_LEVELS
 
 SEGMENT_YEAR = [*KEY_COLUMNS, "year_sold"]
 
@@ -42,10 +52,38 @@ def street_heatmap(repeats: DataFrame) -> DataFrame:
     return repeats.groupBy("street", "year_bought", "year_sold").agg(*heatmap_metrics())
 
 
-def adhoc_line(sales: DataFrame, predicate: Column) -> DataFrame:
-    """Line metrics by year over the clean sales that ``predicate`` selects."""
-    return sales.where(predicate).groupBy("year_sold").agg(
-        F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("sale_count"))
+def street_cube(sales: DataFrame, least: int, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Line metrics of streets as a fourth location type: (segment, year
+    sold) for each street of at least ``least`` sales. Iceberg: streets below
+    leave by their counts, before the dimensions are expanded."""
+    counts = sales.groupBy(F.col("street").alias("_street")).agg(F.count(F.lit(1)).alias("_sales"))
+    large = counts.where(F.col("_sales") >= least).select("_street")
+    finest = ["street", *dims, "year_sold"]
+    partials = sales.join(large, F.col("street") == F.col("_street"), "left_semi").groupBy(*finest).agg(*line_partials())
+    sets = [["street", "year_sold", *[d for d, keep in zip(dims, mask) if keep]] for mask in product([True, False], repeat=len(dims))]
+    flags = [F.grouping(d).alias(f"_g_{d}") for d in dims]
+    cube = partials.groupingSets(sets, *finest).agg(*line_metrics_from_partials(), *flags)
+    values = {"location_type": F.lit("street"), "location_value": F.col("street"), **{
+        d: F.when(F.col(f"_g_{d}") == 1, F.lit(ALL)).otherwise(F.col(d)) for d in dims}}
+    return cube.select(*[values.get(k, F.lit(ALL)).alias(k) for k in KEY_COLUMNS], "year_sold",
+                       "avg_price", "median_price", "mode_price", "sale_count")
+
+
+def year_band(year: Column, width: int = 5) -> Column:
+    """'1995-1999', '2000-2004', ... of a year; 'unknown' if it is null."""
+    low = (F.floor(year / width) * width).cast("int")
+    return F.when(year.isNotNull(), F.concat(low.cast("string"), F.lit("-"), (low + width - 1).cast("string"))).otherwise("unknown")
+
+
+def bought_band_cube(repeats: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Appreciation by segment, band of the year bought, and year sold, from
+    the mergeable states of the heatmap path."""
+    by = ["year_bought_band", "year_sold"]
+    locations = [c for _, c in LOCATION_LEVELS]
+    rows = repeats.withColumn("year_bought_band", year_band(F.col("year_bought")))
+    states = rows.groupBy(*by, *locations, *dims).agg(*heatmap_partials())
+    cells = grouped_sets(states, merged_heatmap_partials(), by, dims)
+    return copied_to_types(cells.select(*[c for c in cells.columns if not c.startswith("_")], *heatmap_metrics_from_partials()), by)
 
 
 def size_band(size: Column, width: int = 10) -> Column:

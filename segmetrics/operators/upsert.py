@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmetrics.functions.json import is_valid_json, parse_dimension_value, parse_performance_value
+from segmetrics.functions.json import dimension_field, parsed_once, performance_field
 from segmetrics.functions.keys import split_key
 from segmetrics.functions.text import strip
 from segmetrics.schema import HEATMAP_CELL, KEY_COLUMNS, LINE_POINT
@@ -28,53 +28,57 @@ def _blank(c: str) -> Column:
     return F.col(c).isNull() | (strip(c) == "")
 
 
-def _well_formed(kv: DataFrame) -> DataFrame:
-    return kv.where(~_blank("key") & is_valid_json(F.col("value")))
-
-
 def _sequence(seq: Column | int | None) -> list[Column]:
     if seq is None:
         return []
     return [(F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("load_seq")]
 
 
+def _parsed(kv: DataFrame) -> DataFrame:
+    """(key, value) rows with the value parsed, once, as ``_v``."""
+    return parsed_once(kv, "value", "_v")
+
+
+def _performance_rows(parsed: DataFrame, seq: Column | int | None, keep: Sequence[str]) -> DataFrame:
+    rows = parsed.where(~_blank("key") & F.col("_v").isNotNull()).select(
+        strip("key").alias("_key"),
+        *[performance_field("_v", f).alias(f) for f in ("line_graph", "heatmap_graph", "sale_count")], *_sequence(seq), *keep)
+    rest = [c for c in rows.columns if c not in ("_key", "line_graph", "heatmap_graph", "sale_count")]
+    return rows.select(
+        *split_key("_key"),
+        F.coalesce("line_graph", F.array().cast(f"array<{LINE_POINT.simpleString()}>")).alias("line_graph"),
+        F.coalesce("heatmap_graph", F.array().cast(f"array<{HEATMAP_CELL.simpleString()}>")).alias("heatmap_graph"),
+        "sale_count", *rest)
+
+
 def parse_performance_kv(kv: DataFrame, seq: Column | int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(key, value) text -> typed performance rows, and ``load_seq`` if
     ``seq`` is given; rejects dropped. Missing graphs default to empty arrays."""
-    parsed = _well_formed(kv).select(
-        strip("key").alias("_key"), parse_performance_value(F.col("value")).alias("v"), *_sequence(seq), *keep)
-    rest = [c for c in parsed.columns if c not in ("_key", "v")]
-    return parsed.select(
-        *split_key("_key"),
-        F.coalesce("v.line_graph", F.array().cast(f"array<{LINE_POINT.simpleString()}>")).alias("line_graph"),
-        F.coalesce("v.heatmap_graph", F.array().cast(f"array<{HEATMAP_CELL.simpleString()}>")).alias("heatmap_graph"),
-        F.col("v.sale_count").alias("sale_count"),
-        *rest,
-    )
+    return _performance_rows(_parsed(kv), seq, keep)
+
+
+def _dimension_rows(parsed: DataFrame, seq: Column | int | None, keep: Sequence[str]) -> DataFrame:
+    rows = parsed.where(~_blank("key") & F.col("_v").isNotNull()).select(
+        F.regexp_replace(strip("key"), "^meta#", "").alias("dimension_name"), dimension_field("_v", "sk").alias("value"),
+        dimension_field("_v", "label").alias("label"), dimension_field("_v", "sale_count").alias("sale_count"),
+        *_sequence(seq), *keep)
+    return rows.where(F.coalesce("value", F.lit("")) != "")
 
 
 def parse_dimension_kv(kv: DataFrame, seq: Column | int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(key 'meta#<dim>', value {sk, label}) -> (dimension_name, value,
     label, sale_count) and ``load_seq`` if ``seq`` is given; rows without sk
     are rejected."""
-    parsed = _well_formed(kv).select(
-        strip("key").alias("_key"), parse_dimension_value(F.col("value")).alias("v"), *_sequence(seq), *keep)
-    rest = [c for c in parsed.columns if c not in ("_key", "v")]
-    return parsed.where(F.coalesce(F.col("v.sk"), F.lit("")) != "").select(
-        F.regexp_replace("_key", "^meta#", "").alias("dimension_name"),
-        F.col("v.sk").alias("value"),
-        F.col("v.label").alias("label"),
-        F.col("v.sale_count").alias("sale_count"),
-        *rest,
-    )
+    return _dimension_rows(_parsed(kv), seq, keep)
 
 
 def _report(require_sk: bool) -> list[Column]:
+    """Counts over rows parsed as ``_v``."""
     blank = _blank("key")
-    bad = ~blank & ~is_valid_json(F.col("value"))
+    bad = ~blank & F.col("_v").isNull()
     no_sk = F.lit(False)
     if require_sk:
-        no_sk = ~blank & ~bad & (F.coalesce(parse_dimension_value(F.col("value"))["sk"], F.lit("")) == "")
+        no_sk = ~blank & ~bad & (F.coalesce(dimension_field("_v", "sk"), F.lit("")) == "")
     return [
         F.count(F.lit(1)).alias("rows_read"),
         F.count_if(blank).alias("blank_key"),
@@ -86,7 +90,7 @@ def _report(require_sk: bool) -> list[Column]:
 
 def load_report(kv: DataFrame, require_sk: bool = False) -> DataFrame:
     """One-row report: rows read, blank keys, malformed values, loaded."""
-    return kv.agg(*_report(require_sk))
+    return _parsed(kv).agg(*_report(require_sk))
 
 
 def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int | None = None, keep: Sequence[str] = ()):
@@ -96,9 +100,9 @@ def observed_load(kv: DataFrame, kind: str = "performance", seq: Column | int |
     from pyspark.sql import Observation
 
     obs = Observation(f"{kind}_load")
-    observed = kv.observe(obs, *_report(kind != "performance"))
-    parse = parse_performance_kv if kind == "performance" else parse_dimension_kv
-    return parse(observed, seq, keep), obs
+    observed = _parsed(kv).observe(obs, *_report(kind != "performance"))
+    rows = _performance_rows if kind == "performance" else _dimension_rows
+    return rows(observed, seq, keep), obs
 
 
 def last_of_load(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

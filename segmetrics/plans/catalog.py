@@ -61,8 +61,18 @@ from segmetrics.plans.serve import (
     served_shape,
     validate_requests,
 )
-from segmetrics.schema import HEATMAP_CELL, KEY_COLUMNS, SERVED_CELL_FIELDS
-from segmetrics.sources.csv import read_key_value_csv, read_raw_sales, resolve_roles, write_key_value_csv
+from segmetrics.plans.adhoc import adhoc_line, store_aggregates
+from segmetrics.plans.increments import add_to_line, add_to_pairs, line_from_states
+from segmetrics.schema import HEATMAP_CELL, KEY_COLUMNS, RAW_COLUMNS, SERVED_CELL_FIELDS
+from segmetrics.sources.csv import (
+    checked_sale_lines,
+    checked_sales,
+    read_key_value_csv,
+    read_raw_sales,
+    rejected_lines,
+    resolve_roles,
+    write_key_value_csv,
+)
 from segmetrics.operators.joins import join_dimension
 from segmetrics.plans.load import apply_load, load_export, read_current
 from segmetrics.sources.buckets import Version, write_version
@@ -212,6 +222,27 @@ def q_scan_csv(spark, sf):
     return read_raw_sales(spark, path)
 
 
+@query("csv_rejects")
+def q_csv_rejects(spark, sf):
+    """Sale lines with the faults that lines have: fields too many, a quote
+    left open; and such as are fine: fields missing at the end, a comma
+    inside quotes. Every line with its reason, and what was parsed of it."""
+    o = F.split("transaction_id", "-")[0].cast("long")
+    columns = [F.coalesce(c, F.lit("")) for c in RAW_COLUMNS]
+    street = RAW_COLUMNS.index("street")
+    quoted = [F.concat(F.lit('"'), c, F.lit(', x"')) if i == street else c for i, c in enumerate(columns)]
+    line = F.when(o % 17 == 0, F.concat_ws(",", *columns, F.lit("x"), F.lit("y"))).when(
+        o % 19 == 0, F.concat(columns[0], F.lit(',"'), F.concat_ws(",", *columns[1:]))).when(
+        o % 23 == 0, F.concat_ws(",", *columns[:14])).when(o % 29 == 0, F.concat_ws(",", *quoted)).otherwise(F.concat_ws(",", *columns))
+    path = scratch_path(spark, "sale_lines")
+    raw(spark, sf).select(line.alias("value")).write.text(path)
+    lines = checked_sale_lines(spark, path)
+    good = checked_sales(lines).select("transaction_id", F.lit(None).cast("string").alias("reject"), "street", "record_status")
+    bad = rejected_lines(lines).select(F.split("line", ",")[0].alias("transaction_id"), "reject",
+                                       F.lit(None).cast("string").alias("street"), F.lit(None).cast("string").alias("record_status"))
+    return good.unionByName(bad)
+
+
 @query("resolve_roles")
 def q_resolve_roles(spark, sf):
     return resolve_roles(raw(spark, sf))
@@ -474,6 +505,18 @@ def q_repeat_sales(spark, sf):
     )
 
 
+@query("pairs_in_loads")
+def q_pairs_in_loads(spark, sf):
+    """The pairing of sales that come in three loads, the years in the middle
+    last, in a table that is repaired load by load."""
+    s, path = shared(spark, sf), scratch_path(spark, "pairs")
+    for part in ("year_sold < 1997", "year_sold >= 2000", "year_sold BETWEEN 1997 AND 1999"):
+        now = add_to_pairs(s.where(part), path, TABLE_BUCKETS)
+    return now.read(spark).where("bought_date IS NOT NULL").select(
+        "transaction_id", "property_id", "price", "bought_price", F.col("bought_year").alias("year_bought"), "year_sold",
+        _date("sale_date"), _date("bought_date"))
+
+
 @query("appreciation")
 def q_appreciation(spark, sf):
     return repeats(spark, sf).select("transaction_id", "appreciation_pounds", "appreciation_pct")
@@ -514,6 +557,17 @@ def q_line_agg(spark, sf):
     return line_agg(sales(spark, sf))
 
 
+@query("incremental_line")
+def q_incremental_line(spark, sf):
+    """The line cube of sales that come in three loads: stored states, to
+    which each load's own cube is added."""
+    s, path = shared(spark, sf), scratch_path(spark, "line-states")
+    later = F.col("year_sold") >= SNAPSHOT_YEAR
+    for part in (~later, later & (F.col("district") == "nation_3"), later & (F.col("district") != "nation_3")):
+        now = add_to_line(s.where(part), path, buckets=TABLE_BUCKETS)
+    return line_from_states(now.read(spark))
+
+
 HEAT_OUT = ["avg_appreciation_pounds", "median_appreciation_pounds", "sale_count", "median_appreciation_pct",
             "pct_sales_appreciated", "biggest_loser_pounds", "biggest_loser_pct", "biggest_winner_pounds",
             "biggest_winner_pct"]
@@ -740,7 +794,30 @@ def q_street_heatmap(spark, sf):
 
 @query("adhoc_agg")
 def q_adhoc_agg(spark, sf):
-    return extras.adhoc_line(sales(spark, sf), (F.col("district") == "nation_3") & (F.col("house_type") == "flat"))
+    """Answered from the smallest stored aggregate with the two columns."""
+    s = sales(spark, sf)
+    stored_by = store_aggregates(s, scratch_path(spark, "aggregates"), [
+        ["county", "outcode", "district", "house_type", "tenure"], ["district", "house_type"], ["county", "tenure"]])
+    predicate = (F.col("district") == "nation_3") & (F.col("house_type") == "flat")
+    return adhoc_line(spark, predicate, ["district", "house_type"], stored_by, s)
+
+
+# sales that a street must have for the cube
+STREET_SALES = 600
+
+
+@query("street_cube")
+def q_street_cube(spark, sf):
+    return extras.street_cube(_extended_sales(spark, sf, street=normalise("street")), STREET_SALES)
+
+
+@query("bought_band_cube")
+def q_bought_band_cube(spark, sf):
+    """Appreciation by the band of the year bought."""
+    c = extras.bought_band_cube(repeats(spark, sf))
+    return c.select(*KEY_COLUMNS, "year_bought_band", "year_sold", "avg_appreciation_pounds", "sale_count",
+                    _r("avg_appreciation_pct"), "pct_sales_appreciated", "biggest_loser_pounds", "biggest_loser_pct",
+                    "biggest_winner_pounds", "biggest_winner_pct")
 
 
 BANDED = ["house_type", "tenure", "size_band"]
@@ -756,5 +833,14 @@ def banded_sales(spark, sf) -> DataFrame:
 @query("banded_cube")
 def q_banded_cube(spark, sf):
     """The performance table with the size band as a third dimension."""
-    p = performance_from_sales(banded_sales(spark, sf), BANDED)
-    return _payload(p.where(F.col("size_band") != "all"))
+    return _payload(performance_from_sales(banded_sales(spark, sf), BANDED))
+
+
+@query("built_band_cube")
+def q_built_band_cube(spark, sf):
+    """The performance table with the band of the year built as a third
+    dimension; the test tables hold no such year, the house number stands
+    in for it."""
+    built = extras.year_band(F.lit(1950) + F.col("paon").cast("int") % 60, 20)
+    s = _extended_sales(spark, sf, year_built_band=built)
+    return _payload(performance_from_sales(s, ["house_type", "tenure", "year_built_band"]))

@@ -2,6 +2,8 @@
 
 * ``read_raw_sales``: headerless positional sale file(s), every column a
   nullable string, no schema inference (missing trailing columns -> null).
+* ``checked_sale_lines``: the same files line by line, with the lines marked
+  that are no sale rows (more fields than columns, a quote left open).
 * ``resolve_roles``: project any sale table onto the roles the cleaning step
   needs; the caller names the columns, or they are found by the words of
   their names.
@@ -9,10 +11,10 @@
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmetrics.schema import KEY_VALUE_SCHEMA, RAW_SCHEMA
+from segmetrics.schema import KEY_VALUE_SCHEMA, RAW_COLUMNS, RAW_SCHEMA
 
 # Role -> the words that a column name must hold for it, most wanted first;
 # a name that is one of the alternatives, word for word, beats any other.
@@ -39,6 +41,44 @@ def read_raw_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).option("header", False).option("mode", "PERMISSIVE").csv(path)
 
 
+def _open_quote(line: Column) -> Column:
+    """An odd number of quotes, escaped ones aside."""
+    bare = F.replace(line, F.lit('\\"'), F.lit(""))
+    return (F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))) % 2 == 1
+
+
+def _n_fields(line: Column) -> Column:
+    """Fields of a line, commas inside quotes aside."""
+    outside = F.regexp_replace(line, r'"(?:[^"\\\\]|\\\\.)*"', "")
+    return F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1
+
+
+def checked_sale_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per line of sale CSV file(s): the raw columns, the line's place
+    (``LOAD_PLACE``), ``line`` and ``reject``: ``quotes`` for a quote left
+    open, ``fields`` for more fields than columns, else null. Fewer fields
+    are tolerated, as the raw scan does. A line is parsed once."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("row_pos"))
+    schema = RAW_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " ") + ", _bad string"
+    parsed = lines.withColumn("row", F.from_csv("line", schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    # only lines whose number of fields is another are looked at again
+    odd = F.col("row._bad").isNotNull()
+    reject = F.when(_open_quote(F.col("line")), "quotes").when(odd & (_n_fields(F.col("line")) > len(RAW_COLUMNS)), "fields")
+    return parsed.select(*[F.col(f"row.{c}").alias(c) for c in RAW_COLUMNS], *LOAD_PLACE, "line", reject.alias("reject"))
+
+
+def checked_sales(lines: DataFrame) -> DataFrame:
+    """The raw sales among ``checked_sale_lines``."""
+    return lines.where("reject IS NULL").select(*RAW_COLUMNS)
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """The other lines: where they stand, the reason, and the text."""
+    return lines.where("reject IS NOT NULL").select(*LOAD_PLACE, "reject", "line")
+
+
 def match_role(role: str, columns: list[str]) -> str | None:
     """The column for a role, None if no name fits; several that fit equally
     well are an error, to be settled by naming one."""
