@@ -1,7 +1,9 @@
 """License scans by template matching.
 
 A template is wording with mark-up: ``[[`` ... ``]]`` encloses an optional
-region, ``<<m-n>>`` a replaceable one of m to n words. Templates compile into
+region, ``<<m-n>>`` a replaceable one of m to n words, and ``!!word`` says
+that the next word after the match is another. Templates are whole license
+texts (``license_texts``) or notices and extracts. They compile into
 token automata: a state for each word, a way around each optional region, and
 a chain of free words for each replaceable one. A text carries a license if
 somewhere the automaton runs from start to end, so mandatory wording must
@@ -17,10 +19,10 @@ first words stand, which loses no match.
 
 Defined results: a null or empty text has no words, no label and score 0;
 repeated rows get a result each; an empty table gives an empty result. The
-score is 1 where a phrase or template matches; else, over the templates
-all of whose mandatory words the text holds, the largest share of them that
-was followed from a starting place, halved so that partial wording stays
-below any match; else 0.
+score is 1 where a whole text matches, ``NOTICE`` where a phrase, a notice or
+an extract does; else, over the notices all of whose mandatory words the
+text holds, the largest share of them that was followed from a starting
+place, halved so that partial wording stays below any match; else 0.
 """
 from __future__ import annotations
 
@@ -32,6 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from segmetrics.llm.common import in_arrow
+from segmetrics.llm.license_texts import GENERAL, WHOLE_TEXTS
+
+NOTICE = 0.9  # score of a match that is no whole license
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -45,7 +50,7 @@ TEMPLATES = [
     ("gpl-3", "licensed under the gnu general public license [[as published by the free software foundation]] "
               "[[either]] version 3 [[0]] [[or any later version]]"),
     ("gpl-3", "gnu general public license as published by the free software foundation either version 3 [[of the license]]"),
-    ("gpl-2", "gnu general public license [[as published by the free software foundation]] [[either]] version 2"),
+    ("gpl-2", "gnu general public license [[as published by the free software foundation]] [[either]] version 2 !!1"),
     ("lgpl", "gnu lesser general public license [[as published by <<1-6>>]] version <<1-1>>"),
     ("agpl-3", "gnu affero general public license [[as published by <<1-6>>]] version 3"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
@@ -74,6 +79,7 @@ class Automaton:
     free: list[list[int]] = field(default_factory=list)
     mandatory_before: list[int] = field(default_factory=list)
     mandatory: frozenset[bytes] = frozenset()
+    not_next: frozenset[bytes] = frozenset()
     end: int = 0
 
     def state(self, before: int) -> int:
@@ -110,16 +116,16 @@ class Automaton:
                 break
             states = self.closure(step)
             far = max(far, max(self.mandatory_before[s] for s in states))
-            if self.end in states:
+            if self.end in states and not (place + 1 < len(words) and words[place + 1] in self.not_next):
                 return place, 1.0
         return None, far / total
 
 
 def compile_template(label: str, text: str) -> Automaton:
     """Mark-up -> automaton. Optional regions may nest."""
-    a, needed, depth, opened, count = Automaton(label), [], 0, [], 0
+    a, needed, depth, opened, count, other = Automaton(label), [], 0, [], 0, []
     now = a.state(0)
-    for part in re.findall(r"\[\[|\]\]|<<\d+-\d+>>|[^\s\[\]<>]+", text):
+    for part in re.findall(r"\[\[|\]\]|<<\d+-\d+>>|!!\S+|[^\s\[\]<>!]+", text):
         if part == "[[":
             opened.append(now)
             depth += 1
@@ -141,6 +147,8 @@ def compile_template(label: str, text: str) -> Automaton:
                     last.append(now)
             for s in last:
                 a.free[s].append(now)
+        elif part.startswith("!!"):
+            other.append(part[2:].encode().translate(FOLD).strip())
         else:
             word = part.encode().translate(FOLD).strip()
             if depth == 0:
@@ -151,13 +159,14 @@ def compile_template(label: str, text: str) -> Automaton:
             now = nxt
     if opened or not needed:
         raise ValueError(f"template of {label}: an open optional region, or nothing mandatory")
-    a.end, a.mandatory = now, frozenset(needed)
+    a.end, a.mandatory, a.not_next = now, frozenset(needed), frozenset(other)
     return a
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES):
-        self.automata = [compile_template(*t) for t in templates]
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, whole_texts=WHOLE_TEXTS):
+        self.automata = [compile_template(*t) for t in [*templates, *whole_texts]]
+        self.notices = len(templates)
         for a in self.automata:
             if not a.first_words() or any(a.any_word[s] is not None for s in a.closure({0})):
                 raise ValueError(f"template of {a.label} starts with a replaceable region")
@@ -180,8 +189,8 @@ class Scanner:
                 places.append(before)
                 base.add(label)
                 at = joined.find(phrase, at + 1)
-        labels, score, index = set(base), 1.0 if base else 0.0, None
-        for a, starts in zip(self.automata, self.starts):
+        labels, whole, score, index = set(base), set(), NOTICE if base else 0.0, None
+        for k, (a, starts) in enumerate(zip(self.automata, self.starts)):
             if any(b" " + w + b" " not in joined for w in a.mandatory):
                 continue
             if index is None:
@@ -190,10 +199,13 @@ class Scanner:
                     index.setdefault(w, []).append(i)
             for i in sorted(i for w in starts for i in index.get(w, ())):
                 end, share = a.run(words, i)
-                score = max(score, 1.0 if end is not None else share / 2)
                 if end is not None:
-                    labels.add(a.label)
+                    score = max(score, NOTICE if k < self.notices else 1.0)
+                    (labels if k < self.notices else whole).add(a.label)
                     break
+                if k < self.notices:
+                    score = max(score, share / 2)
+        labels = labels - ({GENERAL[x] for x in whole if x in GENERAL} - base) | whole
         join = lambda x: ",".join(sorted(x))
         return (len(words), len(places), min(places, default=None), max(places, default=None), join(base), join(labels), score)
 
@@ -202,13 +214,13 @@ SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
           "labels string, score double")
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, whole_texts=WHOLE_TEXTS) -> DataFrame:
     """Documents (doc_id, text) -> one row per document, see ``SCHEMA``."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases)
+        scanner = Scanner(templates, phrases, whole_texts)
         for batch in batches:
             rows = [scanner.scan(t) for t in batch.column("text").to_pylist()]
             cols = zip(*rows) if rows else [[]] * 7

@@ -326,12 +326,48 @@ def test_licenses(spark, docs, rows):
         ("mit", "mit"), ("mit", "mit"), ("", ""), ("apache-2", "apache-2"), ("cc-by-nc", "cc-by-nc"), ("", "gpl-3"), ("", ""),
         ("", "mit"), ("", ""), ("", ""), ("", ""), ("", "gpl-3")]
     assert [(r.n_base, r.first_word, r.last_word) for r in got[:4]] == [(1, 1, 1), (2, 0, 4), (0, None, None), (1, 3, 3)]
-    assert got[0].score == 1.0 and 0 < got[6].score < 1 and got[8].score == 0.0
+    assert got[0].score == licenses.NOTICE and 0 < got[6].score < licenses.NOTICE and got[8].score == 0.0
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     assert Counter((r.doc_id, r.n_words) for r in licenses.scan_licenses(docs).collect()) == Counter(
         (r[0], len(word.findall(lower(r[1] or "")))) for r in rows)
 
 
+def filled(template, rng, with_optional):
+    """A text of a template: regions filled in, marks and case thrown in."""
+    text = re.sub(r"\[\[(.*?)\]\]", lambda m: m[1] if with_optional else "", template)
+    text = re.sub(r"<<(\d+)-(\d+)>>", lambda m: " ".join(f"Holder{rng.randrange(99)}" for _ in range(rng.randint(int(m[1]), int(m[2])))), text)
+    return " ".join(w.upper() if rng.random() < 0.2 else w + rng.choice(["", ",", ".", "\n"]) for w in text.split())
+
+
+def test_whole_licenses():
+    """Each whole text by its own label; with one mandatory word changed or
+    gone, or a region too long, no longer whole."""
+    rng, scanner = random.Random(5), licenses.Scanner()
+    assert len({label for label, _ in licenses.WHOLE_TEXTS}) >= 8
+    for label, template in licenses.WHOLE_TEXTS:
+        for with_optional in (True, False):
+            text = filled(template, rng, with_optional)
+            *_, labels, score = scanner.scan("Some words. " + text + " and more")
+            assert score == 1.0 and label in labels.split(","), label
+            assert "bsd" not in labels.split(",") and (label == "isc" or "isc" not in labels.split(","))
+            words = text.split()
+            fixed = [i for i, w in enumerate(words) if "holder" not in w.lower()]
+            for i in rng.sample(fixed[5:-5], 12):
+                for changed in (words[:i] + ["otherwise"] + words[i + 1:], words[:i] + words[i + 1:]):
+                    if label in scanner.scan(" ".join(changed))[5].split(","):
+                        # an optional word, or what is left is a notice
+                        assert scanner.scan(" ".join(changed))[6] in (1.0, licenses.NOTICE)
+            long = re.sub(r"(?i)holder\d+", "x " * 20, text, count=1)
+            if long != text:
+                assert scanner.scan(long)[6] < 1.0
+    three = filled(dict(licenses.WHOLE_TEXTS)["bsd-3-clause"], rng, True)
+    assert scanner.scan(three)[5] == "bsd-3-clause" and scanner.scan(three.split("either")[0])[5] == "bsd"
+    broken = filled(dict(licenses.WHOLE_TEXTS)["mit"], rng, False).lower().replace("without warranty", "with warranty")
+    assert scanner.scan(broken)[5:] == ("mit", licenses.NOTICE)
+    gpl = "GNU General Public License, version "
+    assert scanner.scan(gpl + "2")[5] == "gpl-2" and scanner.scan(gpl + "2.1")[5] == "" and scanner.scan(gpl + "2.0")[5] == "gpl-2"
+
+
 def test_license_places_by_brute_force(spark):
     """Base places over words that licenses are made of."""
     rng = random.Random(12)
