@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan; runs no job. None where the
+    session doesn't give it, as a remote one."""
+    plan = getattr(df, "_jdf", None)
+    return None if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list, how: str = "inner",
                    max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    if estimated_bytes(dim) <= max_bytes:
+    size = estimated_bytes(dim)
+    if size is not None and size <= max_bytes:
         return fact.join(F.broadcast(dim), on, how)
     return fact.hint("merge").join(dim.hint("merge"), on, how)

@@ -38,3 +38,22 @@ def test_oracle_small(spark, name):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert digest(rows, df.columns)[0] == digest(drows, dcols)[0]
+
+
+def test_only_the_absence_of_the_optional_part_passes(tmp_path):
+    """Without the two folders the rest registers; a fault inside raises."""
+    import shutil
+    import subprocess
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("segmetrics", "checks"):
+        shutil.copytree(f"{here}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"],
+                                 cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.strip() == str(len(QUERIES))
+    if os.path.exists(f"{here}/corpus_pipeline.py"):
+        shutil.copy(f"{here}/corpus_pipeline.py", tmp_path)
+        assert run().stdout.strip() == str(len(QUERIES))
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
+    assert "no_such_module" in run().stderr
