@@ -15,13 +15,16 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from segmetrics.config import local_session  # noqa: E402
+from segmetrics.config import local_session, stored  # noqa: E402
 from segmetrics.plans import catalog as C  # noqa: E402
 from segmetrics.operators.dimensions import list_dimension  # noqa: E402
 from segmetrics.operators.merge import merge_heatmap  # noqa: E402
 from segmetrics.operators.views import heatmap_grid, metric_range  # noqa: E402
 from segmetrics.plans.build import build_serving_tables  # noqa: E402
-from segmetrics.plans.serve import list_performance, query_heatmap, query_line, served_shape  # noqa: E402
+from segmetrics.plans.load import apply_load, read_current  # noqa: E402
+from segmetrics.plans.serve import list_performance, query_heatmap, query_line, segment_in, served_shape  # noqa: E402
+from segmetrics.schema import KEY_COLUMNS  # noqa: E402
+from segmetrics.sources.buckets import version  # noqa: E402
 
 # operator queries, each from the raw tables
 FROM_RAW = ["clean_sales", "line_agg", "repeat_sales", "heatmap_agg", "performance_table", "upsert_performance"]
@@ -60,17 +63,24 @@ def main() -> None:
         timed(name, lambda: C.QUERIES[name](spark, sf_dir))
 
     # serving queries against the written tables (build once, serve many)
-    perf = spark.read.parquet(paths["performance"])
-    dims = spark.read.parquet(paths["dimension_index"])
+    table = version(spark, paths["performance"])
+    bucketed, buckets = table.read(spark), table.buckets
+    perf, dims = bucketed.drop("bucket"), read_current(spark, paths["dimension_index"])
     reqs = C.requests(spark, sf_dir)
     served = served_shape(perf)
-    timed("serve_lookup_batch", lambda: list_performance(perf, reqs))
-    timed("serve_query_line", lambda: query_line(perf, reqs))
-    timed("serve_query_heatmap", lambda: query_heatmap(perf, reqs))
+    timed("serve_lookup_segment", lambda: segment_in(spark, table, "county", "Europe"))
+    timed("serve_lookup_batch", lambda: list_performance(bucketed, reqs, buckets))
+    timed("serve_query_line", lambda: query_line(bucketed, reqs, buckets))
+    timed("serve_query_heatmap", lambda: query_heatmap(bucketed, reqs, buckets))
     timed("serve_merge_heatmap", lambda: merge_heatmap(C.region_items(spark, sf_dir, perf), "region"))
     timed("serve_heatmap_grid", lambda: heatmap_grid(served, "median_appreciation_pounds", C.DATA_YEARS))
     timed("serve_metric_range", lambda: metric_range(served))
     timed("serve_list_dimension", lambda: list_dimension(dims, "borough"))
+    # one segment's keys loaded into the written table
+    mine = stored(perf.where("location_type = 'borough' AND location_value = 'nation_3'"), "bench-load")
+    t = time.time()
+    apply_load(mine, paths["performance"], KEY_COLUMNS)
+    times["load_touched_buckets"] = round(time.time() - t, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "total_query_seconds",
