@@ -22,7 +22,7 @@ def perf_table(spark):
     line = [("2019", 100.0, 100.0, 100.0, 2), ("2020", None, None, None, 1)]
     cell = [("2019", "2020", None, 5.0, 1, None, 2.0, None, -1.0, -2.0, 3.0, 4.0)]
     rows = [KEY + (line, cell, 3),
-            ("borough", "hackney", "flat", "all", "all", "all", line[:1], [], 2)]
+            ("borough", "quarrow", "flat", "all", "all", "all", line[:1], [], 2)]
     return spark.createDataFrame(rows, schema)
 
 
@@ -43,7 +43,7 @@ def test_lookup_batch(spark):
     reqs = requests(spark, [
         (1, "county", " KENT ", None, "", None, "All"),     # exact hit, mixed case, blank filters
         (2, "county", "surrey", "all", "all", "all", "all"),  # no match
-        (3, "borough", "Hackney", "FLAT", None, None, None),
+        (3, "borough", "Quarrow", "FLAT", None, None, None),
         (4, "city", "x", None, None, None, None),           # invalid type
         (5, "county", "", None, None, None, None),          # invalid value
     ])
