@@ -66,6 +66,13 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def content_hash(df: DataFrame, prefix: str = "") -> Column:
+    """A hash of a row's columns, those left out that Spark does not hash
+    (maps and variants)."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return F.xxhash64(*[F.col(f"{prefix}`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind])
+
+
 def running_total(df: DataFrame, order: list[str], weight: Column, name: str, label: str = "sorted") -> DataFrame:
     """``df`` with the column ``name``: the sum of ``weight`` (long) over all
     rows that come before in ``order``, which must be unique.

@@ -26,7 +26,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmetrics.llm.common import n_words, stored
+from segmetrics.llm.common import content_hash, n_words, stored
 
 SALTS = 1024
 
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     met = rows.join(drawn, F.col("d_id").eqNullSafe(F.col("t_id")) & F.col("d_source").eqNullSafe(F.col("t_source"))
                     & (F.col("d_size") == F.col("t_size")))
     row = F.row_number().over(Window.partitionBy("d_id", "d_source", "d_size").orderBy(
-        F.xxhash64("doc"), F.xxhash64("doc.text")))
+        F.xxhash64("doc.text"), content_hash(docs, "doc.")))
     copies = met.withColumn("row", row).withColumn("copies", F.expr("drawn[row - 1]")).where("copies > 0")
     return copies.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         *[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmetrics.llm.common import in_arrow, stored
+from segmetrics.llm.common import content_hash, in_arrow, stored
 from segmetrics.llm.components import components
 
 BITS = 64
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents, all columns, with one document of each component."""
+    """The documents, all columns, with one document of each component; of
+    rows with its id and text that of the least hash of all columns."""
     found = near_duplicates(docs, shingle, radius)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keeper_hash"))
                        ).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
@@ -225,4 +226,4 @@ def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
     named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("k_doc"),
                         text_hash.alias("k_text"))
     kept = named.join(keep, F.col("k_doc").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_hash")), "left_semi")
-    return kept.dropDuplicates(["k_doc", "k_text"]).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    return kept.groupBy("k_doc", "k_text").agg(F.min_by("doc", content_hash(docs, "doc.")).alias("doc")).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

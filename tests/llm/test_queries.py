@@ -63,6 +63,34 @@ def test_sql(spark):
         assert digest(rows, df.columns)[0] == digest(res.fetchall(), columns)[0], name
 
 
+def test_pipeline_on_odd_rows(spark, docs, tmp_path):
+    """Nulls, empty texts, repeated rows and extra columns go through all
+    stages; reruns on other layouts keep the same texts."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    def stages(frame):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, str(tmp_path))
+            assert frame.columns == docs.columns
+        return frame
+
+    mixed = stages(docs)
+    texts = sorted(str(r.text) for r in mixed.collect())
+    again = stages(docs.repartition(5, "text"))
+    assert sorted(str(r.text) for r in again.collect()) == texts and texts
+    pieces = corpus_pipeline.packed(spark, mixed, str(tmp_path)).collect()
+    assert pieces and all(0 < p.length <= 4096 for p in pieces)
+
+
+def test_pipeline_on_an_empty_table(spark, no_docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+    assert frame.collect() == []
+
+
 def test_pipeline_stages(spark):
     """Each stage's decisions, from its own input."""
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
