@@ -458,7 +458,7 @@ def test_pack_limits():
     placed, sequences = defaultdict(list), list(packing.pack(examples, limits))
     for s in sequences:
         assert len(s) <= 12 and sum(p[2] for p in s) <= 512
-        assert sum(packing.loss_of(p[2], *examples[p[0]]) for p in s) <= 300 + len(s)
+        assert sum(packing.loss_of(p[1], p[2], *examples[p[0]]) for p in s) <= 300
         for i, start, length in s:
             placed[i].append((start, length))
     for i, (tokens, _) in enumerate(examples):
@@ -469,6 +469,57 @@ def test_pack_limits():
         assert at == tokens
 
 
+def test_loss_limit_binds():
+    """Answers alone would pass the limit: instructions of others fill the
+    sequences, which stay full; large examples do not wait for the last."""
+    rng = np.random.default_rng(3)
+    examples = [(int(t), int(t * 0.93)) for t in rng.integers(20, 900, 4000)] + [(50_000, 49_990)] * 3
+    limits, bound = packing.Limits(), 0
+    sequences = list(packing.pack(examples, limits))
+    for s in sequences[:-1]:
+        loss = sum(packing.loss_of(p[1], p[2], *examples[p[0]]) for p in s)
+        assert sum(p[2] for p in s) == limits.tokens and loss <= limits.loss
+        bound += loss == limits.loss
+    assert len(sequences) == -(-sum(t for t, _ in examples) // limits.tokens) and bound > len(sequences) // 4
+    assert sum(p[2] for s in sequences for p in s) == sum(t for t, _ in examples)
+
+
+def test_loss_bearing_tokens():
+    """The first line's ids bear no loss, by the tokenizer's own count."""
+    from tokenizers import Tokenizer
+
+    full, own = Tokenizer.from_file(TOKENIZER), packing.CachedTokenizer(TOKENIZER)
+    texts = ["Say it twice\nit it\nmore", "one line only", "\nanswer", "It's naïve ẞ\n’tis", "", None, "a\n", "\n"]
+    for text, (ids, free) in zip(texts, own.examples(texts)):
+        first = (text or "").split("\n")[0] if "\n" in (text or "") else ""
+        assert free == max(1, len(full.encode(first, add_special_tokens=False).ids)), text
+        assert free <= len(ids) // 4
+
+
+def test_packing_over_batches(spark, docs, rows):
+    """The last sequence of a batch goes on in the next one."""
+    from tokenizers import Tokenizer
+
+    full, ids = Tokenizer.from_file(TOKENIZER), defaultdict(list)
+    for r in rows:
+        ids[r[0]].append(full.encode(r[1] or "", add_special_tokens=False).ids + [2])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        pieces = packing.pack_documents(docs.coalesce(1), TOKENIZER, with_ids=True).collect()
+    finally:
+        spark.conf.set(key, before)
+    check_pieces(pieces, ids)
+    used = defaultdict(int)
+    for p in pieces:
+        assert len(p.ids) == p.length and 0 <= p.loss_tokens <= p.length
+        used[p.sequence_id] += p.loss_tokens
+    assert max(used.values()) <= packing.MAX_LOSS
+    short = {p.sequence_id for p in pieces if p.sequence_tokens < 4096}
+    assert len(short) <= 12
+
+
 def test_empty_tables(no_docs):
     assert line_dedup.dedup_lines(no_docs).columns == no_docs.columns
     for df in (line_dedup.dedup_lines(no_docs, report=True), suffix_dedup.remove_repeats(no_docs), simhash.near_duplicates(no_docs),
