@@ -7,9 +7,9 @@ and the room left, both in shares of the limits, goes in next. Examples may
 be cut, from their front on: one larger than a sequence demands what there
 is room for, and when no example fits whole, the best cut of any is taken. A
 sequence closes when no piece finds room. What is shorter than a sequence
-then is split at powers of two, lengths that need no padding; the last
-sequence of a batch goes back among the examples of the task's next batch
-instead.
+then is split at powers of two, lengths that need no padding. At most 64
+short sequences of a batch, its last ones, go back among the examples of the
+task's next batch instead.
 
 A document is an instruction, its first line, and an answer, the rest with
 the end token: the loss-bearing tokens. A text without a line break is all
@@ -19,7 +19,7 @@ for instructions, a limit that answers alone would pass.
 
 Documents never meet across tasks: each task packs the documents of its
 scan split, batch by batch, so there is no shuffle, a task's memory is one
-Arrow batch and less than a sequence, and a lost executor repeats its splits
+Arrow batch and 64 sequences, and a lost executor repeats its splits
 with the same result. Sequence ids carry the split's number in their upper
 bits.
 
@@ -50,6 +50,7 @@ END_ID = 2
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 256
 MAX_LOSS = 3840
+REST = 64
 CACHE = 1_000_000
 # texts of ASCII and Latin letters, digits and marks, without apostrophes
 # (which begin tokens of their own); these split into words by the pattern
@@ -249,6 +250,17 @@ def power_pieces(pieces: list[tuple[int, int, int]], n_max: int) -> Iterator[lis
         yield out
 
 
+def joined(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pieces with those that follow each other in an example made one."""
+    out: list[tuple[int, int, int]] = []
+    for i, start, length in sorted(pieces):
+        if out and out[-1][0] == i and sum(out[-1][1:]) == start:
+            out[-1] = (i, out[-1][1], out[-1][2] + length)
+        else:
+            out.append((i, start, length))
+    return out
+
+
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, sequence_tokens long, segment long, loss_tokens long")
 
@@ -297,9 +309,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), w
                 parts = rest + [Part(d, 0, ids, len(ids) // 4 - free, len(ids) // 4)
                                 for d, (ids, free) in zip(batch.column("doc_id").to_pylist(), found)]
             packed = list(pack([(len(p.ids) // 4, p.loss) for p in parts], limits))
-            rest = []
-            if batch is not None and packed and sum(p[2] for p in packed[-1]) < limits.tokens:
-                rest = [cut(parts[i], start, length) for i, start, length in packed.pop()]
+            back, taken = [], 0
+            while batch is not None and packed and taken < REST and sum(p[2] for p in packed[-1]) < limits.tokens:
+                back += packed.pop()
+                taken += 1
+            rest = [cut(parts[i], start, length) for i, start, length in joined(back)]
             closed = [[cut(parts[i], start, length) for i, start, length in pieces]
                       for whole in packed for pieces in power_pieces(whole, limits.tokens)]
             yield record(closed, sequence)

@@ -497,7 +497,8 @@ def test_loss_bearing_tokens():
 
 
 def test_packing_over_batches(spark, docs, rows):
-    """The last sequence of a batch goes on in the next one."""
+    """Short sequences of a batch go on in the next one: where the loss limit
+    is idle, only the last of all is split, into one piece a power of two."""
     from tokenizers import Tokenizer
 
     full, ids = Tokenizer.from_file(TOKENIZER), defaultdict(list)
@@ -508,15 +509,17 @@ def test_packing_over_batches(spark, docs, rows):
     spark.conf.set(key, "3")
     try:
         pieces = packing.pack_documents(docs.coalesce(1), TOKENIZER, with_ids=True).collect()
+        idle = packing.pack_documents(docs.coalesce(1), TOKENIZER, packing.Limits(loss=4096)).collect()
     finally:
         spark.conf.set(key, before)
     check_pieces(pieces, ids)
+    check_pieces(idle, ids)
     used = defaultdict(int)
     for p in pieces:
         assert len(p.ids) == p.length and 0 <= p.loss_tokens <= p.length
         used[p.sequence_id] += p.loss_tokens
     assert max(used.values()) <= packing.MAX_LOSS
-    short = {p.sequence_id for p in pieces if p.sequence_tokens < 4096}
+    short = {p.sequence_id for p in idle if p.sequence_tokens < 4096}
     assert len(short) <= 12
 
 
