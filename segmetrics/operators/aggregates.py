@@ -4,8 +4,8 @@ Line path (all sales, per segment and year sold) and heatmap path (repeat
 sales, per segment, year bought and year sold). Both paths reduce their rows
 to mergeable states at the finest grain and roll these up. Medians can't be
 rolled up: they are the exact lower medians of the cube's own groups
-(``medians``); ``heatmap_metrics`` has them as ``percentile_approx`` with
-accuracy 10000, for groupings without a cube.
+(``medians``); ``heatmap_metrics`` and ``price_stats_metrics`` have them as
+``percentile_approx`` with accuracy 10000, the served contract's form.
 """
 from __future__ import annotations
 
@@ -105,3 +105,25 @@ def heatmap_metrics_from_partials() -> list[Column]:
         F.col("_ap_min").alias("biggest_loser_pounds"), F.col("_pct_min").alias("biggest_loser_pct"),
         F.col("_ap_max").alias("biggest_winner_pounds"), F.col("_pct_max").alias("biggest_winner_pct"),
     ]
+
+
+# Finest-grain states of the price view.
+def price_stats_partials() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("appreciation_pounds") < 0).alias("_down"),
+        F.sum("price").alias("_sum"), F.count("price").alias("_priced"), F.min("price").alias("_min"), F.max("price").alias("_max"),
+    ]
+
+
+def merged_price_stats_partials() -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in ("_n", "_down", "_sum", "_priced")], F.min("_min").alias("_min"), F.max("_max").alias("_max")]
+
+
+def price_stats_from_partials() -> list[Column]:
+    """``price_stats_metrics`` but the median, from the states."""
+    return [
+        F.try_divide(F.col("_sum"), F.col("_priced")).alias("avg_price"),
+        F.col("_min").alias("min_price"), F.col("_max").alias("max_price"),
+        F.col("_n").cast("bigint").alias("sale_count"),
+        (F.lit(100) * F.col("_down") / F.col("_n")).alias("pct_sales_at_loss"),
+    ]

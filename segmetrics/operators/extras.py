@@ -1,5 +1,5 @@
-"""Declared extras: exact mode and median, street-level aggregates, size and
-year bands."""
+"""Declared extras: exact mode and median, price statistics, street-level
+aggregates, size and year bands."""
 from __future__ import annotations
 
 from itertools import product
@@ -8,17 +8,20 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmetrics.config import stored
 from segmetrics.operators.aggregates import (
-    heatmap_metrics,
     heatmap_metrics_from_partials,
     heatmap_partials,
     line_metrics_from_partials,
     line_partials,
     merged_heatmap_partials,
+    merged_price_stats_partials,
+    price_stats_from_partials,
+    price_stats_partials,
 )
 from segmetrics.operators.cube import DIMS, copied_to_types, grouped_sets, segment_cube_gs
-from segmetrics.operators.medians import exact_median
-from segmetrics.schema import ALL, KEY_COLUMNS, LOCATION_LEVELS
+from segmetrics.operators.medians import exact_median, with_median
+from segmetrics.schema import ALL, HEATMAP_CELL, KEY_COLUMNS, LOCATION_LEVELS
 
 SEGMENT_YEAR = [*KEY_COLUMNS, "year_sold"]
 
@@ -42,14 +45,36 @@ def line_true_stats(counts: DataFrame) -> DataFrame:
     return exact_median(counts, SEGMENT_YEAR, "price", "median_price").join(line_mode(counts), SEGMENT_YEAR)
 
 
+def price_stats_cube(repeats: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Price view of repeat sales by (segment, year bought, year sold). The
+    cube expands states of the finest grain, and for the exact medians the
+    prices' counts there, not every sale."""
+    by = ["year_bought", "year_sold"]
+    finest = [*by, *[c for _, c in LOCATION_LEVELS], *dims]
+    groups = [*by, "location_type", "location_value", *dims]
+    rows = stored(repeats.select(*finest, "price", "appreciation_pounds"), "price-stats")
+    cells = grouped_sets(rows.groupBy(*finest).agg(*price_stats_partials()), merged_price_stats_partials(), by, dims).select(
+        *groups, *price_stats_from_partials())
+    prices = rows.where(F.col("price").isNotNull()).groupBy(*finest, "price").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(grouped_sets(prices, [F.sum("n").alias("n")], [*by, "price"], dims), "price-stats-counts")
+    return copied_to_types(with_median(cells, counts, groups, "price", "median_price"), by)
+
+
 def street_line(sales: DataFrame) -> DataFrame:
     """Line metrics per (street, year sold); ``sales`` carry a street."""
     return sales.groupBy("street", "year_sold").agg(F.avg("price").alias("avg_price"), F.count(F.lit(1)).alias("sale_count"))
 
 
 def street_heatmap(repeats: DataFrame) -> DataFrame:
-    """Appreciation metrics per (street, year bought, year sold)."""
-    return repeats.groupBy("street", "year_bought", "year_sold").agg(*heatmap_metrics())
+    """Appreciation metrics per (street, year bought, year sold); medians
+    exact, from the values' counts."""
+    groups, values = ["street", "year_bought", "year_sold"], ["appreciation_pounds", "appreciation_pct"]
+    rows = stored(repeats.select(*groups, *values), "street-repeats")
+    cells = rows.groupBy(*groups).agg(*heatmap_partials()).select(*groups, *heatmap_metrics_from_partials())
+    for value in values:
+        counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")), "street-counts")
+        cells = with_median(cells, counts, groups, value, f"median_{value}")
+    return cells.select(*groups, *[f.name for f in HEATMAP_CELL.fields if f.name not in groups])
 
 
 def street_cube(sales: DataFrame, least: int, dims: Sequence[str] = DIMS) -> DataFrame:

@@ -64,3 +64,10 @@ def exact_median(counts: DataFrame, groups: Sequence[str], value: str, name: str
     near = ranged.join(middle, _same(ranged, middle, groups) & (ranged["_range"] == middle["_at"])).select(
         *ranged.columns, "_skipped")
     return plain.unionByName(_walked(near, groups, value, name, F.col("_skipped"), F.col("_total")))
+
+
+def with_median(cells: DataFrame, counts: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
+    """``cells``, one row a group, with the group's exact median; null where
+    the group has no value. Null keys are groups."""
+    found = exact_median(counts, groups, value, name).select(*[F.col(g).alias(f"_{g}") for g in groups], name)
+    return cells.join(found, _same(cells, found, groups), "left").select(*cells.columns, name)

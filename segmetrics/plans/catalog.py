@@ -19,7 +19,7 @@ from segmetrics.functions.json import dimension_to_json, performance_to_json
 from segmetrics.functions.keys import segment_key, split_key
 from segmetrics.functions.text import house_type, normalise, normalise_or_empty, outcode, tenure
 from segmetrics.functions.keys import property_id as property_id_expr
-from segmetrics.operators.aggregates import line_metrics, price_stats_metrics
+from segmetrics.operators.aggregates import line_metrics
 from segmetrics.operators import extras
 from segmetrics.operators.clean import (
     borough_predicate,
@@ -44,7 +44,6 @@ from segmetrics.operators.upsert import (
 )
 from segmetrics.operators.views import heatmap_grid, metric_long, metric_range, metric_scaled
 from segmetrics.plans.build import (
-    HEAT_INPUT,
     LINE_INPUT,
     heatmap_agg,
     line_agg,
@@ -771,8 +770,7 @@ def q_line_true_stats(spark, sf):
 
 @query("heatmap_price_stats")
 def q_heatmap_price_stats(spark, sf):
-    r = repeats(spark, sf).select(*HEAT_INPUT, "price")
-    return segment_cube_gs(r, price_stats_metrics(), by=["year_bought", "year_sold"])
+    return extras.price_stats_cube(repeats(spark, sf))
 
 
 def _extended_sales(spark, sf, **extra) -> DataFrame:

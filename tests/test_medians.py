@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from segmetrics.operators.aggregates import heatmap_metrics
+from segmetrics.operators.aggregates import heatmap_metrics, price_stats_metrics
 from segmetrics.operators.cube import segment_cube
+from segmetrics.operators.extras import price_stats_cube, street_heatmap
 from segmetrics.operators.medians import exact_median
 from segmetrics.plans.build import HEAT_INPUT, heatmap_agg
 
@@ -59,3 +60,34 @@ def test_states_are_expanded_not_sales(spark):
     plan = heatmap_agg(df)._jdf.queryExecution().optimizedPlan().toString()
     expand = plan.index("Expand")
     assert "Aggregate" in plan[expand:] and "_ap_sum" in plan[expand:]
+
+
+def test_price_stats_and_streets_are_exact(spark):
+    """The rolled-up price view and the street grid against plain groupings
+    of the rows and sorted values; null streets and null values among them."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(1200):
+        price, pounds = float(rng.randint(1, 40)), rng.choice([None, -5.0, 0.0, float(rng.randint(-9, 9))])
+        rows.append((rng.choice(["c1", "c2"]), rng.choice(["o1", "o2"]), rng.choice(["d1", "d2"]), rng.choice(["flat", "other"]), "freehold",
+                     2000 + rng.randint(0, 1), 2005, price, pounds, None if pounds is None else pounds / 4, rng.choice(["high", "low", None])))
+    df = spark.createDataFrame(rows, "county string, outcode string, district string, house_type string, tenure string, year_bought int, "
+                               "year_sold int, price double, appreciation_pounds double, appreciation_pct double, street string").cache()
+    exact = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY price)").alias("median_price")
+    by = ["year_bought", "year_sold"]
+    want = segment_cube(df, [m for m in price_stats_metrics() if "percentile" not in str(m)] + [exact], by=by)
+    got = price_stats_cube(df).select(*want.columns)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
+
+    streets = {}
+    for r in rows:
+        streets.setdefault((r[10], r[5], r[6]), []).append(r)
+    found = street_heatmap(df).collect()
+    assert len(found) == len(streets)
+    for r in found:
+        own = streets[r.street, r.year_bought, r.year_sold]
+        pounds = sorted(x[8] for x in own if x[8] is not None)
+        assert r.sale_count == len(own) and r.biggest_loser_pounds == pounds[0] and r.biggest_winner_pounds == pounds[-1]
+        assert r.median_appreciation_pounds == pounds[(len(pounds) + 1) // 2 - 1]
+        assert r.median_appreciation_pct == pounds[(len(pounds) + 1) // 2 - 1] / 4
