@@ -316,15 +316,35 @@ CELL_VALUES = ["avg_appreciation_pounds", "median_appreciation_pounds", "avg_app
 NULLABLE = [v for v in CELL_VALUES if v.endswith("_pct")]
 
 
+def exported_value(v: str) -> str:
+    """A number as the JSON export rounds it, missing pounds as 0."""
+    x = v if v in NULLABLE or v.startswith("biggest") else f"coalesce({v}, 0.0)"
+    digits = 1 if v == "pct_sales_appreciated" else 2
+    return f"CAST(format('{{:.{digits}f}}', {x}) AS DOUBLE) + 0.0"  # no negative zero
+
+
+def number_text(v: str) -> str:
+    """An exported number as text: 12.5, from ten million on 1.25E7."""
+    x = exported_value(v)
+    digits = f"replace(CAST(abs({x}) AS VARCHAR), '.', '')"
+    large = (f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END) || left({digits}, 1) || '.' || coalesce(nullif(rtrim(substr({digits}, 2), '0'), ''), '0') "
+             f"|| 'E' || (length(split_part(CAST(abs({x}) AS VARCHAR), '.', 1)) - 1)")
+    return f"(CASE WHEN {v} IS NULL AND {x} IS NULL THEN 'null' WHEN abs({x}) < 1e7 THEN CAST({x} AS VARCHAR) ELSE {large} END)"
+
+
+def quoted(v: str) -> str:
+    return f"""'"' || {v} || '"'"""
+
+
+def item_text(fields: list[tuple[str, str]]) -> str:
+    return "'{' || " + " || ',' || ".join(f"""'"{name}":' || {text}""" for name, text in fields) + " || '}'"
+
+
 def payload(keys: list[str] = KEYS, where: str = "TRUE", exported: bool = False, suffix: str = "") -> str:
     """Every line point and heatmap cell of the table; ``exported``: rounded
     as the JSON export rounds, missing pounds as 0."""
     def val(v: str) -> str:
-        if not exported:
-            return f"round({v}, {D}) AS {v}"
-        x = v if v in NULLABLE or v.startswith("biggest") else f"coalesce({v}, 0.0)"
-        digits = 1 if v == "pct_sales_appreciated" else 2
-        return f"CAST(format('{{:.{digits}f}}', {x}) AS DOUBLE) + 0.0 AS {v}"  # no negative zero
+        return f"{exported_value(v)} AS {v}" if exported else f"round({v}, {D}) AS {v}"
 
     none = lambda vs: ", ".join(f"CAST(NULL AS DOUBLE) AS {v}" for v in vs)
     k = ", ".join(keys)
@@ -365,17 +385,14 @@ def _sql() -> dict[str, str]:
     q["write_read_parquet"] = base(*FULL) + summary
     for name in ("import_json", "roundtrip_csv"):
         q[name] = base(*FULL) + exported
-    # the text of an item, numbers and years as N
-    point = '{"year_sold":"N",' + ",".join(f'"{v}":N' for v in LINE_VALUES) + ',"sale_count":N}'
-    n_or_null = lambda v: f"CASE WHEN {v} IS NULL THEN 'null' ELSE 'N' END"
-    cell_fields = ["avg_appreciation_pounds", "median_appreciation_pounds", "sale_count", "avg_appreciation_pct", "median_appreciation_pct",
-                   "pct_sales_appreciated", "biggest_loser_pounds", "biggest_loser_pct", "biggest_winner_pounds", "biggest_winner_pct"]
-    cell = " || ',' || ".join(
-        f"""'"{v}":' || {n_or_null(v) if v in NULLABLE or v.startswith('biggest') else "'N'"}""" for v in cell_fields)
+    # the whole text of an item, its numbers as the export writes them
+    point = item_text([("year_sold", quoted("year_sold")), *[(v, number_text(v)) for v in LINE_VALUES], ("sale_count", "sale_count")])
+    cell = item_text([("year_bought", quoted("year_bought")), ("year_sold", quoted("year_sold")),
+                      *[(v, "sale_count" if v == "sale_count" else number_text(v)) for v in [*CELL_VALUES[:2], "sale_count", *CELL_VALUES[2:]]]])
     q["export_json"] = base(*FULL) + f"""SELECT concat_ws('#', {K}) AS key,
-    '{{"line_graph":[' || l.t || '],"heatmap_graph":[' || coalesce(h.t, '') || '],"sale_count":N}}' AS text
-  FROM (SELECT {K}, string_agg('{point}', ',') AS t FROM line GROUP BY {K}) l
-  LEFT JOIN (SELECT {K}, string_agg('{{"year_bought":"N","year_sold":"N",' || {cell} || '}}', ',' ORDER BY year_bought, year_sold) AS t
+    '{{"line_graph":[' || l.t || '],"heatmap_graph":[' || coalesce(h.t, '') || '],"sale_count":' || l.n || '}}' AS text
+  FROM (SELECT {K}, sum(sale_count) AS n, string_agg({point}, ',' ORDER BY year_sold) AS t FROM line GROUP BY {K}) l
+  LEFT JOIN (SELECT {K}, string_agg({cell}, ',' ORDER BY year_bought, year_sold) AS t
              FROM heat GROUP BY {K}) h USING ({K})"""
     # a second load over a table of the sales before the cut-over year
     q["upsert_performance"] = base(*FULL, *BEFORE) + f"""SELECT * FROM (
