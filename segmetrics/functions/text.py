@@ -57,6 +57,29 @@ def _stripped_or_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def spaced(c: Column | str) -> Column:
+    """The text with every whitespace character as a blank, stripped. As a
+    column of its own it is the input of the ``*_of_spaced`` functions, which
+    refer to it more than once."""
+    return F.trim(_blanks_to_spaces(_col(c)))
+
+
+def _collapsed(x: Column) -> Column:
+    return F.regexp_replace(F.replace(F.lower(x), F.lit("#"), F.lit("")), " {2,}", " ")
+
+
+def normalise_of_spaced(x: Column | str) -> Column:
+    """``normalise`` of a text, from its ``spaced`` form."""
+    x = _col(x)
+    return F.when(x != "", _collapsed(x)).otherwise(F.lit(UNKNOWN))
+
+
+def normalise_or_empty_of_spaced(x: Column | str, c: Column | str) -> Column:
+    """``normalise_or_empty`` of the text ``c``, from its ``spaced`` form."""
+    x = _col(x)
+    return F.when(x != "", _collapsed(x)).when(_col(c) != "", F.lit(UNKNOWN)).otherwise(F.lit(""))
+
+
 def normalise(c: Column | str) -> Column:
     """Blank -> 'unknown'; otherwise strip, lower, remove '#', single blanks."""
     return F.coalesce(_clean_stripped(_stripped_or_null(_col(c))), F.lit(UNKNOWN))
@@ -70,7 +93,7 @@ def normalise_or_empty(c: Column | str) -> Column:
 
 def _code_lookup(c: Column, mapping: dict[str, str], default: str) -> Column:
     # a blank or missing value has no first letter in the map -> default
-    first = F.substring(F.lower(strip(c)), 1, 1)
+    first = F.substring(F.lower(spaced(c)), 1, 1)
     pairs = []
     for code, name in mapping.items():
         pairs += [F.lit(code), F.lit(name)]
@@ -87,6 +110,13 @@ def tenure(c: Column | str) -> Column:
     return _code_lookup(_col(c), TENURES, TENURE_DEFAULT)
 
 
+def outcode_of_spaced(x: Column | str) -> Column:
+    """``outcode`` of a postcode, from its ``spaced`` form."""
+    x = _col(x)
+    first = F.replace(F.lower(F.substring_index(x, " ", 1)), F.lit("#"), F.lit(""))
+    return F.when(x != "", first).otherwise(F.lit(UNKNOWN))
+
+
 def outcode(c: Column | str) -> Column:
     """Postcode -> outward code: first whitespace token, normalised."""
     token = F.substring_index(_blanks_to_spaces(_stripped_or_null(_col(c))), " ", 1)

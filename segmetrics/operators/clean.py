@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmetrics.functions.keys import property_id
-from segmetrics.functions.text import house_type, is_blank, normalise, outcode, tenure
-from segmetrics.schema import ALL
+from segmetrics.functions.text import (
+    house_type,
+    normalise_of_spaced,
+    normalise_or_empty_of_spaced,
+    outcode_of_spaced,
+    spaced,
+    tenure,
+)
+from segmetrics.schema import ALL, PROPERTY_DELIMITER
 from segmetrics.sources.csv import resolve_roles
 
 SALE_COLUMNS = [
@@ -31,19 +37,36 @@ SALE_COLUMNS = [
 SEGMENT_COLUMNS = ["county", "outcode", "district", "house_type", "tenure"]
 
 
+def _day(text: Column) -> Column:
+    """The date of a yyyy-MM-dd text. Texts of that very form are cast, which
+    costs a fraction of a parse by pattern; the pattern decides on others."""
+    plain = text.rlike("^[12][0-9]{3}-[0-9]{2}-[0-9]{2}$")
+    return F.when(plain, text.try_cast("date")).otherwise(F.try_to_date(text, "yyyy-MM-dd"))
+
+
 def _parsed(roles: DataFrame) -> DataFrame:
     """``price`` (double), ``sale_date`` (date) and ``year_sold`` (int), null
     where the text does not parse."""
     price = F.col("price").try_cast("double")
-    sale_date = F.try_to_date(F.substring(F.trim(F.col("date")), 1, 10), "yyyy-MM-dd")
-    out = roles.withColumn("price", price).withColumn("sale_date", sale_date)
-    return out.withColumn("year_sold", F.year("sale_date"))
+    text = roles.withColumns({"price": price, "_day": F.substring(F.trim(F.col("date")), 1, 10)})
+    return text.withColumn("sale_date", _day(F.col("_day"))).drop("_day").withColumn("year_sold", F.year("sale_date"))
+
+
+def kept_rows(df: DataFrame, keep: Column) -> DataFrame:
+    """The rows for which ``keep`` holds. A plain filter would be pushed below
+    the columns that it reads, down to the scan, and compute them a second
+    time there; the one-element ``explode`` keeps it where they are."""
+    return df.withColumn("_keep", F.explode(F.array(F.coalesce(keep, F.lit(False))))).where("_keep").drop("_keep")
+
+
+def parses() -> Column:
+    return F.col("price").isNotNull() & F.col("sale_date").isNotNull()
 
 
 def parse_price_date(roles: DataFrame) -> DataFrame:
     """Add ``price``, ``sale_date`` and ``year_sold``; rows whose price or
     date does not parse are dropped, not raised."""
-    return _parsed(roles).where(F.col("price").isNotNull() & F.col("sale_date").isNotNull())
+    return kept_rows(_parsed(roles), parses())
 
 
 def reserved(columns: list[str] = SEGMENT_COLUMNS) -> Column:
@@ -70,18 +93,22 @@ def segment_columns(
 ) -> DataFrame:
     """Normalised segment attributes and the property id; narrow output.
     ``extra`` adds named columns (e.g. a normalised street) in the same pass."""
-    out = parsed.select(
+    texts = ["postcode", "paon", "saon", "street", "county", "district"]
+    spaced_texts = parsed.select("*", *[spaced(c).alias(f"_{c}") for c in texts])
+    parts = [normalise_or_empty_of_spaced(f"_{c}", c) for c in ("postcode", "paon", "saon", "street")]
+    no_address = [F.coalesce(F.col(f"_{c}"), F.lit("")) == "" for c in ("paon", "saon", "street")]
+    out = spaced_texts.select(
         F.col("transaction_id"),
-        property_id(F.col("postcode"), F.col("paon"), F.col("saon"), F.col("street")).alias("property_id"),
+        F.concat_ws(PROPERTY_DELIMITER, *parts).alias("property_id"),
         F.col("price"),
         F.col("sale_date"),
         F.col("year_sold"),
-        normalise(F.col("county")).alias("county"),
-        outcode(F.col("postcode")).alias("outcode"),
-        normalise(F.col("district")).alias("district"),
+        normalise_of_spaced("_county").alias("county"),
+        outcode_of_spaced("_postcode").alias("outcode"),
+        normalise_of_spaced("_district").alias("district"),
         house_type(F.col("property_type")).alias("house_type"),
         tenure(F.col("duration")).alias("tenure"),
-        (is_blank("paon") & is_blank("saon") & is_blank("street")).alias("_no_address"),
+        (no_address[0] & no_address[1] & no_address[2]).alias("_no_address"),
         *[c.alias(n) for n, c in (extra or {}).items()],
     )
     if require_address:
@@ -101,9 +128,9 @@ def clean_sales(
     """Raw sale table -> clean sales. ``roles`` names columns where the role
     rules don't settle them; ``keep_reserved`` keeps the sales whose segment
     values read ``all`` (for reports, never for the cube)."""
-    parsed = parse_price_date(resolve_roles(raw, roles))
-    sales = segment_columns(prefilter(parsed, predicate), require_address)
-    return sales if keep_reserved else sales.where(~reserved())
+    parsed = prefilter(_parsed(resolve_roles(raw, roles)), predicate)
+    sales = segment_columns(parsed, require_address)
+    return kept_rows(sales, parses() if keep_reserved else parses() & ~reserved())
 
 
 def rejected_sales(raw: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:

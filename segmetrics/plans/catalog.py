@@ -24,6 +24,7 @@ from segmetrics.operators import extras
 from segmetrics.operators.clean import (
     borough_predicate,
     clean_sales,
+    kept_rows,
     parse_price_date,
     rejected_sales,
     reserved,
@@ -773,7 +774,7 @@ def q_heatmap_price_stats(spark, sf):
 
 def _extended_sales(spark, sf, **extra) -> DataFrame:
     parsed = parse_price_date(resolve_roles(raw(spark, sf)))
-    return segment_columns(parsed, extra=extra).where(~reserved())
+    return kept_rows(segment_columns(parsed, extra=extra), ~reserved())
 
 
 @query("street_agg")

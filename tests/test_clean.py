@@ -1,6 +1,10 @@
 """Parsing, dropping bad rows, role resolution."""
 import pytest
 
+from pyspark.sql import functions as F
+
+from segmetrics.functions import text as T
+from segmetrics.functions.keys import property_id
 from segmetrics.operators.clean import borough_predicate, clean_sales, rejected_sales
 from segmetrics.plans.build import performance_from_sales
 from segmetrics.sources.csv import read_raw_sales, resolve_roles
@@ -96,3 +100,30 @@ def test_reserved_value_report(spark):
             sale("c", "1", "2019-01-01")]
     r = reserved_value_report(clean_sales(raw_rows(spark, rows), keep_reserved=True)).collect()[0]
     assert (r["sales"], r["county_all"], r["tenure_all"], r["no_address"]) == (3, 1, 0, 1)
+
+
+def test_cleaning_is_done_once_a_row(spark):
+    """No filter repeats the cleaning of the columns that it reads."""
+    plan = clean_sales(raw_rows(spark, [{"price": "1"}]))._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Filter" in line or "Join" in line:
+            assert "regexp_replace" not in line and "gettimestamp" not in line and "translate" not in line, line
+
+
+def test_cleaned_parts_equal_the_plain_functions(spark):
+    """Columns that are cleaned from a common spaced form, against each
+    function by itself, on odd texts; dates of odd forms against the pattern."""
+    odd = [None, "", " ", "#", "# a", "  A  b\t\tC ", " ", "x#y", " \t#\t ", "E1 2AB", "Å  İ", "all", "a b"]
+    days = ["2019-06-15 00:00", " 1996-02-29", "1996-02-31 00:00", "1996-2-3", "0000-01-01", "9999-12-31", "", None, "2019-06-15x", "+2019-06-1",
+            "2019-13-01", "2019/06/15", "12019-06-15"]
+    rows = [{"transaction_id": f"{i}-{j}", "price": "7", "date_of_transfer": days[(i + j) % len(days)], "postcode": a, "county": b, "district": a,
+             "paon": b, "saon": a, "street": b, "property_type": a, "duration": b} for i, a in enumerate(odd) for j, b in enumerate(odd)]
+    raw = raw_rows(spark, rows)
+    got = {r.transaction_id: r for r in clean_sales(raw, keep_reserved=True).withColumn("sale_date", F.col("sale_date").cast("string")).collect()}
+    day = F.try_to_date(F.substring(F.trim(F.col("date_of_transfer")), 1, 10), "yyyy-MM-dd")
+    want = raw.select("transaction_id", day.cast("string").alias("sale_date"), T.normalise("county").alias("county"), T.normalise("district").alias("district"),
+                      T.outcode("postcode").alias("outcode"), T.house_type("property_type").alias("house_type"), T.tenure("duration").alias("tenure"),
+                      property_id(*[F.col(c) for c in ("postcode", "paon", "saon", "street")]).alias("property_id")).where("sale_date IS NOT NULL").collect()
+    assert len(got) == len(want) > 0
+    for r in want:
+        assert all(got[r.transaction_id][c] == r[c] for c in r.asDict()), (r, got[r.transaction_id])
