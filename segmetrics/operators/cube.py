@@ -103,6 +103,19 @@ def grouped_sets(df: DataFrame, aggs: Sequence[Column], by: Sequence[str] = (),
         *[F.when(F.col(f"_g_{d}") == 1, F.lit(ALL)).otherwise(F.col(d)).alias(d) for d in dims], *metrics)
 
 
+def expanded_sets(df: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Each row once for every one of the 16 sets, with the keys of
+    ``grouped_sets`` in place of its location columns and ``dims``. Rows stay
+    in their partition: an aggregation by what the rows are partitioned by,
+    and the keys, needs no exchange."""
+    loc_cols = [c for _, c in LOCATION_LEVELS]
+    locations = [(t, F.col(c)) for t, c in LOCATION_LEVELS] + [(EVERY_TYPE, F.lit(ALL))]
+    keys = [F.struct(F.lit(t).alias("location_type"), value.alias("location_value"),
+                     *[(F.col(d) if keep else F.lit(ALL)).alias(d) for d, keep in zip(dims, mask)])
+            for t, value in locations for mask in product([True, False], repeat=len(dims))]
+    return df.select(*[c for c in df.columns if c not in {*loc_cols, *dims}], F.inline(F.array(*keys)))
+
+
 def copied_to_types(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``grouped_sets`` with groups over all locations once a location type:
     6 key columns, ``by`` columns, metrics."""

@@ -19,45 +19,57 @@ from segmetrics.operators.aggregates import (
     price_stats_from_partials,
     price_stats_partials,
 )
-from segmetrics.operators.cube import DIMS, copied_to_types, grouped_sets, segment_cube_gs
-from segmetrics.operators.medians import exact_median, with_median
+from segmetrics.operators.cube import DIMS, copied_to_types, expanded_sets, grouped_sets
+from segmetrics.operators.medians import cube_medians, with_cube_medians, with_median
 from segmetrics.schema import ALL, HEATMAP_CELL, KEY_COLUMNS, LOCATION_LEVELS
 
 SEGMENT_YEAR = [*KEY_COLUMNS, "year_sold"]
 
 
-def price_counts(sales: DataFrame) -> DataFrame:
-    """(segment, year sold, price) -> n."""
-    return segment_cube_gs(sales, [F.count(F.lit(1)).alias("n")], by=["year_sold", "price"])
+# (location, year, price) counts that one task expands
+PART_ROWS = 100_000
 
 
-def line_mode(counts: DataFrame) -> DataFrame:
-    """Most frequent price per (segment, year sold), the lowest on ties."""
-    return counts.groupBy(*SEGMENT_YEAR).agg(
-        F.max_by("price", F.struct(F.col("n"), -F.col("price"))).alias("mode_price"),
-        F.sum("n").cast("bigint").alias("sale_count"),
-    )
+def finest_price_counts(sales: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """(locations, dimensions, year sold, price) -> n, stored."""
+    finest = [c for _, c in LOCATION_LEVELS]
+    return stored(sales.groupBy(*finest, *dims, "year_sold", "price").agg(F.count(F.lit(1)).alias("n")), "finest-price-counts")
 
 
-def line_true_stats(counts: DataFrame) -> DataFrame:
-    """Exact lower median and mode per (segment, year sold), from stored
-    ``price_counts``."""
-    return exact_median(counts, SEGMENT_YEAR, "price", "median_price").join(line_mode(counts), SEGMENT_YEAR)
+def line_mode(finest: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Most frequent price per (segment, year sold), the lowest on ties, and
+    the count of sales, from ``finest_price_counts``.
+
+    All counts of a year and price lie in one partition, so those of every
+    segment are added up there, in partitions of bounded size, and only the
+    best price of each segment in each of them moves."""
+    parts = max(finest.sparkSession.sparkContext.defaultParallelism, -(-finest.count() // PART_ROWS))
+    groups = ["year_sold", "location_type", "location_value", *dims]
+    dealt = expanded_sets(finest.repartition(parts, "year_sold", "price"), dims)
+    counts = dealt.groupBy(*groups, "price").agg(F.sum("n").alias("n"))
+    modes = counts.groupBy(*groups).agg(
+        F.max_by("price", F.struct(F.col("n"), -F.col("price"))).alias("mode_price"), F.sum("n").cast("bigint").alias("sale_count"))
+    return copied_to_types(modes, ["year_sold"])
+
+
+def line_true_stats(finest: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
+    """Exact lower median and mode per (segment, year sold), from
+    ``finest_price_counts``."""
+    medians = copied_to_types(cube_medians(finest, ["year_sold"], "price", "median_price", dims, n="n"), ["year_sold"])
+    return medians.join(line_mode(finest, dims), SEGMENT_YEAR)
 
 
 def price_stats_cube(repeats: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     """Price view of repeat sales by (segment, year bought, year sold). The
     cube expands states of the finest grain, and for the exact medians the
-    prices' counts there, not every sale."""
+    prices of the buckets in which they lie, not every sale."""
     by = ["year_bought", "year_sold"]
     finest = [*by, *[c for _, c in LOCATION_LEVELS], *dims]
     groups = [*by, "location_type", "location_value", *dims]
     rows = stored(repeats.select(*finest, "price", "appreciation_pounds"), "price-stats")
     cells = grouped_sets(rows.groupBy(*finest).agg(*price_stats_partials()), merged_price_stats_partials(), by, dims).select(
         *groups, *price_stats_from_partials())
-    prices = rows.where(F.col("price").isNotNull()).groupBy(*finest, "price").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(grouped_sets(prices, [F.sum("n").alias("n")], [*by, "price"], dims), "price-stats-counts")
-    return copied_to_types(with_median(cells, counts, groups, "price", "median_price"), by)
+    return copied_to_types(with_cube_medians(cells, rows, by, "price", "median_price", dims), by)
 
 
 def street_line(sales: DataFrame) -> DataFrame:

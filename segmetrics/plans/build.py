@@ -22,7 +22,7 @@ from segmetrics.operators.aggregates import (
 )
 from segmetrics.operators.clean import clean_sales
 from segmetrics.operators.cube import DIMS, copied_to_types, grouped_sets, segment_cube_gs
-from segmetrics.operators.medians import exact_median
+from segmetrics.operators.medians import with_cube_medians
 from segmetrics.operators.repeat import repeat_sales
 from segmetrics.operators.series import performance_from_aggs
 from segmetrics.operators.upsert import DIMENSION_KEYS
@@ -51,7 +51,7 @@ def heatmap_agg(repeats: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
 
     Repeat sales are reduced to mergeable states by location, ``dims`` and
     years, and the grouping sets expand those. Only the medians need the
-    values: their counts in each group, walked to the middle."""
+    values: those of the bucket in which a group's middle lies."""
     by, values = ["year_bought", "year_sold"], ["appreciation_pounds", "appreciation_pct"]
     finest = [c for c in HEAT_BASE if c not in values] + list(dims)
     rows = stored(repeats.select(*HEAT_BASE, *dims), "repeats")
@@ -59,9 +59,7 @@ def heatmap_agg(repeats: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     cells = grouped_sets(rows.groupBy(*finest).agg(*heatmap_partials()), merged_heatmap_partials(), by, dims).select(
         *groups, *heatmap_metrics_from_partials())
     for value in values:
-        counts = stored(grouped_sets(rows.groupBy(*finest, value).agg(F.count(F.lit(1)).alias("n")).where(
-            F.col(value).isNotNull()), [F.sum("n").alias("n")], [*by, value], dims), "heatmap-counts")
-        cells = cells.join(exact_median(counts, groups, value, f"median_{value}"), groups, "left")
+        cells = with_cube_medians(cells, rows, by, value, f"median_{value}", dims)
     return copied_to_types(cells.select(*groups, *HEAT_METRICS), by)
 
 

@@ -76,7 +76,7 @@ from segmetrics.sources.csv import (
 from segmetrics.operators.joins import join_dimension
 from segmetrics.plans.load import apply_load, load_export, read_current
 from segmetrics.sources.buckets import Version, write_version
-from segmetrics.sources.tables import raw_sales_from_tables, read_table
+from segmetrics.sources.tables import raw_sales_from_tables, read_table, spread
 
 REPORT_DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,7 +134,7 @@ def requests(spark, sf) -> DataFrame:
     """One request per customer: a location from the customer's nation,
     region or a postcode district, filters in mixed case / blank / missing;
     some requests are invalid on purpose (unknown type, empty value)."""
-    c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    c = spread(read_table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     n = read_table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf, "region").select("r_regionkey", "r_name")
     df = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -664,7 +664,7 @@ def q_rejected_requests(spark, sf):
 
 @query("query_line")
 def q_query_line(spark, sf):
-    return query_line(perf(spark, sf), requests(spark, sf)).select(
+    return query_line(stored(perf(spark, sf), "performance"), requests(spark, sf)).select(
         "request_id", "year_sold", "sale_count", _r("avg_price"), _r("median_price"), _r("mode_price")
     )
 
@@ -675,19 +675,19 @@ MERGED_HEAT = ["avg_appreciation_pounds", "median_appreciation_pounds", "avg_app
 
 @query("query_heatmap")
 def q_query_heatmap(spark, sf):
-    q = query_heatmap(perf(spark, sf), requests(spark, sf))
+    q = query_heatmap(stored(perf(spark, sf), "performance"), requests(spark, sf))
     return q.select("request_id", "year_bought", "year_sold", "sale_count", *[_r(c) for c in MERGED_HEAT])
 
 
 @query("merge_line")
 def q_merge_line(spark, sf):
-    m = merge_line(region_items(spark, sf, perf(spark, sf)), "region")
+    m = merge_line(region_items(spark, sf, stored(perf(spark, sf), "performance")), "region")
     return m.select("region", "year_sold", "sale_count", _r("avg_price"), _r("median_price"), _r("mode_price"))
 
 
 @query("merge_heatmap")
 def q_merge_heatmap(spark, sf):
-    m = merge_heatmap(region_items(spark, sf, perf(spark, sf)), "region")
+    m = merge_heatmap(region_items(spark, sf, stored(perf(spark, sf), "performance")), "region")
     return m.select("region", "year_bought", "year_sold", "sale_count", *[_r(c) for c in MERGED_HEAT])
 
 
@@ -711,13 +711,13 @@ def _uneven(items: DataFrame) -> DataFrame:
 
 @query("merge_line_uneven")
 def q_merge_line_uneven(spark, sf):
-    m = merge_line(_uneven(region_items(spark, sf, perf(spark, sf))), "region")
+    m = merge_line(_uneven(region_items(spark, sf, stored(perf(spark, sf), "performance"))), "region")
     return m.select("region", "year_sold", "sale_count", _r("avg_price"), _r("median_price"), _r("mode_price"))
 
 
 @query("merge_heatmap_uneven")
 def q_merge_heatmap_uneven(spark, sf):
-    m = merge_heatmap(_uneven(region_items(spark, sf, perf(spark, sf))), "region")
+    m = merge_heatmap(_uneven(region_items(spark, sf, stored(perf(spark, sf), "performance"))), "region")
     return m.select("region", "year_bought", "year_sold", "sale_count", *[_r(c) for c in MERGED_HEAT])
 
 
@@ -757,13 +757,14 @@ def q_heatmap_grid(spark, sf):
 
 @query("line_mode")
 def q_line_mode(spark, sf):
-    return extras.line_mode(extras.price_counts(sales(spark, sf).select(*LINE_INPUT)))
+    mode = extras.line_mode(extras.finest_price_counts(sales(spark, sf).select(*LINE_INPUT)))
+    return mode.select(*extras.SEGMENT_YEAR, "mode_price", "sale_count")
 
 
 @query("line_true_stats")
 def q_line_true_stats(spark, sf):
     """Exact mode and median of the prices."""
-    counts = stored(extras.price_counts(sales(spark, sf).select(*LINE_INPUT)), "price-counts")
+    counts = extras.finest_price_counts(sales(spark, sf).select(*LINE_INPUT))
     return extras.line_true_stats(counts).select(*extras.SEGMENT_YEAR, "median_price", "mode_price", "sale_count")
 
 

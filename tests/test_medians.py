@@ -6,9 +6,10 @@ import random
 from pyspark.sql import functions as F
 
 from segmetrics.operators.aggregates import heatmap_metrics, price_stats_metrics
-from segmetrics.operators.cube import segment_cube
-from segmetrics.operators.extras import price_stats_cube, street_heatmap
-from segmetrics.operators.medians import exact_median
+from segmetrics.operators import medians
+from segmetrics.operators.cube import EVERY_TYPE, segment_cube
+from segmetrics.operators.extras import SEGMENT_YEAR, finest_price_counts, line_mode, price_stats_cube, street_heatmap
+from segmetrics.operators.medians import cube_medians, exact_median
 from segmetrics.plans.build import HEAT_INPUT, heatmap_agg
 
 
@@ -91,3 +92,69 @@ def test_price_stats_and_streets_are_exact(spark):
         assert r.sale_count == len(own) and r.biggest_loser_pounds == pounds[0] and r.biggest_winner_pounds == pounds[-1]
         assert r.median_appreciation_pounds == pounds[(len(pounds) + 1) // 2 - 1]
         assert r.median_appreciation_pct == pounds[(len(pounds) + 1) // 2 - 1] / 4
+
+
+def test_cube_medians_by_sorting(spark):
+    """Medians of all groups of the cube from their middle buckets, odd values
+    and counts among them, also where the bucket itself is walked by ranges."""
+    rng = random.Random(4)
+    odd = [float("nan"), float("inf"), -float("inf"), 0.0, -0.5, 1e-300, -1e300, 1000.0, 1000.5, 1001.0, None]
+    rows = [(rng.choice(["c1", "c2"]), rng.choice(["o1", "o2", "o3"]), "d1", rng.choice(["h1", "h2"]), rng.choice(["t1", "t2"]), 2000 + rng.randint(0, 1),
+             rng.choice(odd + [float(rng.randint(-2000, 2000))] * 8), rng.randint(1, 3)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "county string, outcode string, district string, house_type string, tenure string, year_sold int, x double, n int")
+    want = {}
+    for c, o, d, h, t, y, x, n in rows:
+        for place in (("county", c), ("postcode", o), ("borough", d), (EVERY_TYPE, "all")):
+            for hk in (h, "all"):
+                for tk in (t, "all"):
+                    if x is not None:
+                        want.setdefault((y, *place, hk, tk), []).extend([x] * n)
+    want = {k: sorted(v, key=_order)[(len(v) + 1) // 2 - 1] for k, v in want.items()}
+    got = cube_medians(df, ["year_sold"], "x", "m", n="n")
+    found = {tuple(r)[:-1]: r.m for r in got.collect()}
+    assert {k: _order(v) for k, v in found.items()} == {k: _order(v) for k, v in want.items()}
+
+
+def test_median_of_a_middle_part(spark):
+    """Values below the part are counted, not held; giant parts, too."""
+    rows = [("a", float(v), 1, 40, 200) for v in range(1000, 1100)]
+    counts = spark.createDataFrame(rows, "g string, x double, n int, b long, t long")
+    for giant_rows in (1_000_000, 10):
+        assert exact_median(counts, ["g"], "x", "m", giant_rows=giant_rows, before="b", total="t").collect()[0].m == 1059.0
+
+
+def test_cube_medians_expand_few_rows(spark):
+    """The heatmap's values are not expanded to all 16 sets and grouped: the
+    counts that are stored hold the middle buckets alone."""
+    rows = [(float(i), 1.0, 2000, 2001, "c", "o", "d", "h", "t") for i in range(1, 20001)]
+    df = spark.createDataFrame(rows, "appreciation_pounds double, appreciation_pct double, year_bought int, year_sold int, "
+                                     "county string, outcode string, district string, house_type string, tenure string")
+    written = []
+    real = medians.stored
+    medians.stored = lambda d, name: written.append((name, real(d, name))) or written[-1][1]
+    try:
+        heatmap_agg(df).count()
+    finally:
+        medians.stored = real
+    assert [n for n, _ in written].count("median-counts") == 2
+    assert sum(d.count() for n, d in written if n == "median-counts") < 20000
+
+
+def test_modes_are_counted_where_a_price_lies(spark):
+    """One exchange by year and price before the sets are added up."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["c1", "c2"]), rng.choice(["o1", "o2"]), "d1", rng.choice(["h1", "h2"]), "t1", 2000 + rng.randint(0, 1), float(rng.randint(1, 30)))
+            for _ in range(900)]
+    df = spark.createDataFrame(rows, "county string, outcode string, district string, house_type string, tenure string, year_sold int, price double")
+    got = {tuple(r[k] for k in SEGMENT_YEAR): (r.mode_price, r.sale_count) for r in line_mode(finest_price_counts(df)).collect()}
+    want = {}
+    for c, o, d, h, t, y, p in rows:
+        for kind, value in (("county", c), ("postcode", o), ("borough", d)):
+            for v in (value, "all"):
+                for hk in (h, "all"):
+                    for tk in (t, "all"):
+                        want.setdefault((kind, v, hk, tk, "all", "all", y), []).append(p)
+    assert got == {k: (min(set(v), key=lambda p: (-v.count(p), p)), len(v)) for k, v in want.items()}
+    plan = line_mode(finest_price_counts(df))._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate inline")]
+    assert "price" not in "".join(x for x in above.splitlines() if "Exchange hashpartitioning" in x)
