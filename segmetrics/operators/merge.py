@@ -12,7 +12,9 @@ with a zero total count, nulls count as 0 in a plain mean.
 
 Series are exploded first and combined map-side per (group, year); the number
 of items of a group, which tells a single item from a point that only one
-of several items has, is a narrow count joined to the merged rows.
+of several items has, is a narrow count joined to the merged rows. Where the
+caller marks the items that are their group's only one (``alone``), these
+are exploded and passed through without an aggregation.
 """
 from __future__ import annotations
 
@@ -29,8 +31,16 @@ HEAT_OUT = ["avg_appreciation_pounds", "median_appreciation_pounds", "sale_count
 
 
 def _merge(items: DataFrame, group: str, series: str, by: Sequence[str], values: dict[str, list[Column]],
-           choose) -> DataFrame:
+           choose, alone: str | None = None) -> DataFrame:
     """Partial sums per (group, by), joined with the group's item count."""
+    if alone is not None:
+        # an item with two points for the same years is merged with itself
+        years = F.transform(series, lambda p: F.struct(*[p[b] for b in by]))
+        passes = F.coalesce(F.col(alone) & (F.size(F.array_distinct(years)) == F.size(series)), F.lit(False))
+        merged = _merge(items.where(~passes), group, series, by, values, choose)
+        through = items.where(passes).select(group, F.explode(series).alias("p")).select(
+            group, *[F.col(f"p.{c}") for c in by], F.col("p.sale_count").cast("bigint").alias("sale_count"), *[F.col(f"p.{v}") for v in values])
+        return merged.unionByName(through)
     points = items.select(group, F.explode(series).alias("p")).select(group, "p.*")
     n = F.col("sale_count")
     sums = [F.sum(n).cast("bigint").alias("sale_count")]
@@ -49,18 +59,18 @@ def _weighted(v: str) -> list[Column]:
     return [F.sum(F.when(has, F.col(v) * n)).alias(f"_sum_{v}"), F.sum(F.when(has, n)).alias(f"_weight_{v}")]
 
 
-def merge_line(items: DataFrame, group: str, series: str = "line_graph") -> DataFrame:
+def merge_line(items: DataFrame, group: str, series: str = "line_graph", alone: str | None = None) -> DataFrame:
     values = {v: [*_weighted(v), F.avg(v).alias(f"_plain_{v}")] for v in LINE_VALUES}
 
     def choose(v: str) -> Column:
         return F.when(F.col("sale_count") == 0, F.col(f"_plain_{v}")).otherwise(
             F.try_divide(F.col(f"_sum_{v}"), F.col("sale_count")))
 
-    return _merge(items, group, series, ["year_sold"], values, choose).select(
+    return _merge(items, group, series, ["year_sold"], values, choose, alone).select(
         group, "year_sold", *LINE_VALUES, "sale_count")
 
 
-def merge_heatmap(items: DataFrame, group: str, series: str = "heatmap_graph") -> DataFrame:
+def merge_heatmap(items: DataFrame, group: str, series: str = "heatmap_graph", alone: str | None = None) -> DataFrame:
     values = {v: [*_weighted(v), F.avg(F.coalesce(F.col(v), F.lit(0.0))).alias(f"_plain_{v}")]
               for v in [*HEAT_POUNDS, *HEAT_PCT]}
 
@@ -69,7 +79,7 @@ def merge_heatmap(items: DataFrame, group: str, series: str = "heatmap_graph") -
         return F.when(F.col("sale_count") == 0, F.col(f"_plain_{v}")).otherwise(
             F.try_divide(F.col(f"_sum_{v}"), F.col(weight)))
 
-    return _merge(items, group, series, ["year_bought", "year_sold"], values, choose).select(
+    return _merge(items, group, series, ["year_bought", "year_sold"], values, choose, alone).select(
         group, "year_bought", "year_sold", *HEAT_OUT)
 
 

@@ -136,6 +136,18 @@ def lookup(perf: DataFrame, requests: DataFrame, buckets: int | None = None) ->
     return served_shape(asked.join(perf, on, "inner")).drop(BUCKET)
 
 
+ALONE = "_alone"
+
+
+def _marked_lookup(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``lookup`` with the column ``ALONE``: the item is the only one of its
+    request id. It is found by the keys alone, before the items are read."""
+    asked, on = _asked(requests, buckets)
+    found = asked.join(perf.select(*on), on).groupBy(F.col("request_id").alias("_id")).agg((F.count(F.lit(1)) == 1).alias(ALONE))
+    marked = asked.join(found, F.col("request_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return served_shape(marked.join(perf, on, "inner")).drop(BUCKET)
+
+
 def list_performance(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per valid request: ``count`` of matched items beside the items'
     content (null when nothing matched)."""
@@ -154,10 +166,10 @@ def _answers(requests: DataFrame, merged: DataFrame) -> DataFrame:
 def query_line(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
     """Line series per request (merged by year when several items match); a
     request without a match, or without points, has one row, its year null."""
-    return _answers(requests, merge_line(lookup(perf, requests, buckets), "request_id"))
+    return _answers(requests, merge_line(_marked_lookup(perf, requests, buckets), "request_id", alone=ALONE))
 
 
 def query_heatmap(perf: DataFrame, requests: DataFrame, buckets: int | None = None) -> DataFrame:
     """Heatmap cells per request (merged by year pair when several items
     match); a request without cells has one row, its years null."""
-    return _answers(requests, merge_heatmap(lookup(perf, requests, buckets), "request_id"))
+    return _answers(requests, merge_heatmap(_marked_lookup(perf, requests, buckets), "request_id", alone=ALONE))

@@ -38,3 +38,19 @@ def test_merge_heatmap(spark):
     z = got["z"]                                   # zero total count: plain means, null pct as 0
     assert (z["avg_appreciation_pounds"], z["avg_appreciation_pct"], z["median_appreciation_pct"],
             z["pct_sales_appreciated"]) == (2.0, 1.0, 2.0, 25.0)
+
+
+def test_items_that_are_alone_pass_without_aggregation(spark):
+    """The same rows whether or not the caller marks them; a marked item with
+    two points of one year is still merged."""
+    from pyspark.sql import functions as F
+
+    point = "struct<year_sold:string,avg_price:double,median_price:double,mode_price:double,sale_count:bigint>"
+    rows = [("a", [("1999", 5.0, None, 1.0, 2), ("2000", 6.0, 2.0, 1.0, 0)], True), ("b", [("1999", 1.0, 1.0, 1.0, 1), ("1999", 2.0, 3.0, 1.0, 4)], True),
+            ("c", [("1999", 1.0, 1.0, 1.0, 1)], False), ("c", [("1999", 2.0, 3.0, 1.0, 3)], False), (None, [("1999", 2.0, 3.0, 1.0, 3)], True), ("e", [], True)]
+    items = spark.createDataFrame(rows, f"grp string, line_graph array<{point}>, alone boolean")
+    key = lambda r: str(tuple(r))
+    marked = merge_line(items, "grp", alone="alone")
+    assert sorted(marked.collect(), key=key) == sorted(merge_line(items, "grp").collect(), key=key)
+    passed = merge_line(items.where(F.col("grp") == "a"), "grp", alone="alone")._jdf.queryExecution().optimizedPlan().toString()
+    assert passed.splitlines()[0].startswith("Union") or "Union" in passed
