@@ -7,7 +7,9 @@
 * **Pairs.** The table holds the sales, each with its predecessor, bucketed by
   property. New sales pair with all sales of their own properties, so a late
   one between two known ones becomes the predecessor of the later. Only the
-  buckets of these properties are read, and in them only these are paired.
+  buckets of these properties are read, and in them only these are paired,
+  unless the load is large beside them: then whole buckets are, in the one
+  exchange that the pairing needs, without joins that look for the others.
 """
 from __future__ import annotations
 
@@ -26,6 +28,8 @@ from segmetrics.sources.buckets import BUCKET, BUCKETS, Version, version, write_
 
 STATES = ["_price_sum", "_n"]
 PAIR = ["bought_date", "bought_price", "bought_year"]
+# A load of more than one row to this many in its buckets is large.
+SMALL_LOAD = 10
 
 
 def line_states(sales: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -75,7 +79,10 @@ def add_to_pairs(sales: DataFrame, table: str, buckets: int = BUCKETS) -> Versio
         return write_version(with_predecessor(fresh), table, ["property_id"], buckets)
     touched = _touched(now, fresh)
     old = now.read(spark, touched).drop(BUCKET)
+    held = sum(n for b, _, n in now.files if b in set(touched))
+    if fresh.count() * SMALL_LOAD > held:
+        return write_version(with_predecessor(old.drop(*PAIR).unionByName(fresh)), table, ["property_id"], last=now, touched=touched)
     mine = fresh.select(F.col("property_id").alias("_p")).distinct()
-    again = old.join(mine, F.col("property_id") == F.col("_p"), "left_semi").drop(*PAIR).unionByName(fresh)
+    again = stored(old.join(mine, F.col("property_id") == F.col("_p"), "left_semi").drop(*PAIR).unionByName(fresh), "paired-again")
     others = old.join(mine, F.col("property_id") == F.col("_p"), "left_anti")
     return write_version(others.unionByName(with_predecessor(again)), table, ["property_id"], last=now, touched=touched)
