@@ -109,11 +109,13 @@ def expanded_sets(df: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
     in their partition: an aggregation by what the rows are partitioned by,
     and the keys, needs no exchange."""
     loc_cols = [c for _, c in LOCATION_LEVELS]
-    locations = [(t, F.col(c)) for t, c in LOCATION_LEVELS] + [(EVERY_TYPE, F.lit(ALL))]
-    keys = [F.struct(F.lit(t).alias("location_type"), value.alias("location_value"),
-                     *[(F.col(d) if keep else F.lit(ALL)).alias(d) for d, keep in zip(dims, mask)])
-            for t, value in locations for mask in product([True, False], repeat=len(dims))]
-    return df.select(*[c for c in df.columns if c not in {*loc_cols, *dims}], F.inline(F.array(*keys)))
+    locations = F.array(*[F.struct(F.lit(t).alias("location_type"), value.alias("location_value"))
+                          for t, value in [*[(t, F.col(c)) for t, c in LOCATION_LEVELS], (EVERY_TYPE, F.lit(ALL))]])
+    kept = [c for c in df.columns if c not in {*loc_cols, *dims}]
+    out = df.select(*kept, *dims, F.inline(locations))
+    for d in dims:
+        out = out.withColumn(d, F.explode(F.array(d, F.lit(ALL))))
+    return out.select(*kept, "location_type", "location_value", *dims)
 
 
 def copied_to_types(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
