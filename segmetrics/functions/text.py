@@ -5,7 +5,8 @@
 space, the Unicode space separators...), built by that rule below. Stripping
 uses ``btrim`` with that set; inner whitespace is mapped to ' ' with
 ``translate`` (a per-character table) and runs of blanks are collapsed with a
-literal-prefix regex. Each function references its input once.
+literal-prefix regex. Each function references its input once, but ``spaced``
+and the ``*_of_spaced`` functions, which read columns.
 """
 from __future__ import annotations
 
@@ -60,8 +61,10 @@ def _stripped_or_null(c: Column) -> Column:
 def spaced(c: Column | str) -> Column:
     """The text with every whitespace character as a blank, stripped. As a
     column of its own it is the input of the ``*_of_spaced`` functions, which
-    refer to it more than once."""
-    return F.trim(_blanks_to_spaces(_col(c)))
+    refer to it more than once. Printable ASCII has no blank but ' ', and is
+    spared the per-character table."""
+    c = _col(c)
+    return F.trim(F.when(c.rlike("[^ -~]"), _blanks_to_spaces(c)).otherwise(c))
 
 
 def _collapsed(x: Column) -> Column:
@@ -74,10 +77,12 @@ def normalise_of_spaced(x: Column | str) -> Column:
     return F.when(x != "", _collapsed(x)).otherwise(F.lit(UNKNOWN))
 
 
-def normalise_or_empty_of_spaced(x: Column | str, c: Column | str) -> Column:
-    """``normalise_or_empty`` of the text ``c``, from its ``spaced`` form."""
-    x = _col(x)
-    return F.when(x != "", _collapsed(x)).when(_col(c) != "", F.lit(UNKNOWN)).otherwise(F.lit(""))
+def normalise_or_empty_of_spaced(parts: dict[str, Column | str], delimiter: str) -> Column:
+    """``normalise_or_empty`` of each text (name -> ``spaced`` form), joined.
+    They are joined first and normalised together: a run of blanks doesn't
+    cross the delimiter."""
+    pieces = [F.when(_col(x) != "", _col(x)).when(F.col(c) != "", F.lit(UNKNOWN)).otherwise(F.lit("")) for c, x in parts.items()]
+    return _collapsed(F.concat_ws(delimiter, *pieces))
 
 
 def normalise(c: Column | str) -> Column:
@@ -93,7 +98,7 @@ def normalise_or_empty(c: Column | str) -> Column:
 
 def _code_lookup(c: Column, mapping: dict[str, str], default: str) -> Column:
     # a blank or missing value has no first letter in the map -> default
-    first = F.substring(F.lower(spaced(c)), 1, 1)
+    first = F.substring(F.lower(F.trim(_blanks_to_spaces(c))), 1, 1)
     pairs = []
     for code, name in mapping.items():
         pairs += [F.lit(code), F.lit(name)]

@@ -92,14 +92,15 @@ def segment_columns(
     parsed: DataFrame, require_address: bool = False, extra: dict[str, Column] | None = None
 ) -> DataFrame:
     """Normalised segment attributes and the property id; narrow output.
-    ``extra`` adds named columns (e.g. a normalised street) in the same pass."""
+    ``extra`` adds named columns (e.g. a normalised street) in the same pass;
+    they may read the ``spaced`` texts, as ``_street``."""
     texts = ["postcode", "paon", "saon", "street", "county", "district"]
     spaced_texts = parsed.select("*", *[spaced(c).alias(f"_{c}") for c in texts])
-    parts = [normalise_or_empty_of_spaced(f"_{c}", c) for c in ("postcode", "paon", "saon", "street")]
+    address = {c: f"_{c}" for c in ("postcode", "paon", "saon", "street")}
     no_address = [F.coalesce(F.col(f"_{c}"), F.lit("")) == "" for c in ("paon", "saon", "street")]
     out = spaced_texts.select(
         F.col("transaction_id"),
-        F.concat_ws(PROPERTY_DELIMITER, *parts).alias("property_id"),
+        normalise_or_empty_of_spaced(address, PROPERTY_DELIMITER).alias("property_id"),
         F.col("price"),
         F.col("sale_date"),
         F.col("year_sold"),

@@ -127,3 +127,11 @@ def test_cleaned_parts_equal_the_plain_functions(spark):
     assert len(got) == len(want) > 0
     for r in want:
         assert all(got[r.transaction_id][c] == r[c] for c in r.asDict()), (r, got[r.transaction_id])
+
+
+def test_property_id_is_normalised_at_once(spark):
+    """One pass over the joined parts, and one each for county and district;
+    the table of blanks only for texts that aren't plain ASCII."""
+    plan = clean_sales(raw_rows(spark, [{"price": "1"}]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3
+    assert plan.count("RLIKE(") == 6 + 1  # six texts, and the form of the date
