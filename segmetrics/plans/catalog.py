@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from segmetrics.config import scratch_path, stored
 from segmetrics.functions.json import dimension_to_json, performance_to_json
 from segmetrics.functions.keys import segment_key, split_key
-from segmetrics.functions.text import house_type, normalise, normalise_or_empty, outcode, tenure
+from segmetrics.functions.text import house_type, normalise, normalise_of_spaced, normalise_or_empty, outcode, tenure
 from segmetrics.functions.keys import property_id as property_id_expr
 from segmetrics.operators.aggregates import line_metrics
 from segmetrics.operators import extras
@@ -780,12 +780,12 @@ def _extended_sales(spark, sf, **extra) -> DataFrame:
 
 @query("street_agg")
 def q_street_agg(spark, sf):
-    return extras.street_line(_extended_sales(spark, sf, street=normalise("street")))
+    return extras.street_line(_extended_sales(spark, sf, street=normalise_of_spaced("_street")))
 
 
 @query("street_heatmap")
 def q_street_heatmap(spark, sf):
-    s = stored(_extended_sales(spark, sf, street=normalise("street")), "street-sales")
+    s = stored(_extended_sales(spark, sf, street=normalise_of_spaced("_street")), "street-sales")
     h = extras.street_heatmap(repeat_sales(s))
     return h.select("street", "year_bought", "year_sold", *HEAT_OUT, _r("avg_appreciation_pct"))
 
@@ -806,7 +806,7 @@ STREET_SALES = 600
 
 @query("street_cube")
 def q_street_cube(spark, sf):
-    return extras.street_cube(_extended_sales(spark, sf, street=normalise("street")), STREET_SALES)
+    return extras.street_cube(_extended_sales(spark, sf, street=normalise_of_spaced("_street")), STREET_SALES)
 
 
 @query("bought_band_cube")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from segmetrics.functions import text as T
 from segmetrics.functions.keys import property_id
 from segmetrics.operators.clean import borough_predicate, clean_sales, rejected_sales
+from segmetrics.plans import catalog
 from segmetrics.plans.build import performance_from_sales
 from segmetrics.sources.csv import read_raw_sales, resolve_roles
 from tests.conftest import raw_rows
@@ -135,3 +136,14 @@ def test_property_id_is_normalised_at_once(spark):
     plan = clean_sales(raw_rows(spark, [{"price": "1"}]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 3
     assert plan.count("RLIKE(") == 6 + 1  # six texts, and the form of the date
+
+
+def test_streets_are_cleaned_with_the_sale(spark, monkeypatch):
+    """The street queries take the street from the sale's own texts."""
+    streets = ["Mill  Lane", " mill\tlane ", "#", " ", None, "É  x"]
+    rows = [sale(f"s{i}", "10", "2019-06-15", street=x) for i, x in enumerate(streets)]
+    monkeypatch.setattr(catalog, "raw", lambda spark, sf: raw_rows(spark, rows))
+    lines = catalog.QUERIES["street_agg"](spark, "")
+    # not stripped by itself
+    assert "trim(street" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["street"]: r["sale_count"] for r in lines.collect()} == {"mill lane": 2, "": 1, "unknown": 2, "é x": 1}
