@@ -19,7 +19,7 @@ from segmetrics.functions.json import dimension_to_json, performance_to_json
 from segmetrics.functions.keys import segment_key, split_key
 from segmetrics.functions.text import house_type, normalise, normalise_of_spaced, normalise_or_empty, outcode, tenure
 from segmetrics.functions.keys import property_id as property_id_expr
-from segmetrics.operators.aggregates import line_metrics
+from segmetrics.operators.aggregates import line_metrics_from_partials, line_partials
 from segmetrics.operators import extras
 from segmetrics.operators.clean import (
     borough_predicate,
@@ -527,16 +527,21 @@ def q_location_fanout(spark, sf):
     return location_fanout(sales(spark, sf)).select("transaction_id", "location_type", "location_value")
 
 
+def finest_line(spark, sf) -> DataFrame:
+    """Sums and counts of the prices by locations, dimensions and year: what
+    the cube expands in place of every sale."""
+    s = sales(spark, sf).select(*LINE_INPUT)
+    return s.groupBy(*[c for c in LINE_INPUT if c != "price"]).agg(*line_partials())
+
+
 @query("segment_cube")
 def q_segment_cube(spark, sf):
-    s = sales(spark, sf).select(*LINE_INPUT)
-    return segment_cube(s, line_metrics(), by=["year_sold"])
+    return segment_cube(finest_line(spark, sf), line_metrics_from_partials(), by=["year_sold"])
 
 
 @query("segment_cube_gs")
 def q_segment_cube_gs(spark, sf):
-    s = sales(spark, sf).select(*LINE_INPUT)
-    return segment_cube_gs(s, line_metrics(), by=["year_sold"])
+    return segment_cube_gs(finest_line(spark, sf), line_metrics_from_partials(), by=["year_sold"])
 
 
 @query("affected_keys")

@@ -5,6 +5,7 @@ import random
 
 from segmetrics.operators.aggregates import line_metrics
 from segmetrics.operators.cube import affected_keys, location_fanout, segment_cube, segment_cube_gs
+from segmetrics.plans import catalog
 
 
 def sales(spark, n=300, seed=3):
@@ -56,3 +57,15 @@ def test_affected_keys(spark):
     out = affected_keys(seg).collect()
     keys = {(r["affected_location_value"], r["affected_house_type"], r["affected_tenure"]) for r in out}
     assert len(out) == 8 and keys == set(itertools.product(["kent", "all"], ["flat", "all"], ["freehold", "all"]))
+
+
+def test_cube_queries_expand_finest_states(spark, monkeypatch):
+    """The sales are summed by locations, dimensions and year before the
+    expansion, so that it grows with the groups and not with the sales."""
+    df, rows = sales(spark)
+    monkeypatch.setattr(catalog, "sales", lambda spark, sf: df)
+    for name in ("segment_cube", "segment_cube_gs"):
+        cube = catalog.QUERIES[name](spark, "")
+        below = cube._jdf.queryExecution().optimizedPlan().toString().split("Expand")[1]
+        assert "Aggregate" in below
+        assert as_dict(cube) == masks_brute_force(rows)
