@@ -67,14 +67,37 @@ def hot_properties(sales: DataFrame, hot_sales: int = HOT_SALES) -> DataFrame:
     return counts.where(F.col("n") > hot_sales).orderBy(F.desc("n"), "_hot_id").limit(HOT_PROPERTIES).select("_hot_id")
 
 
-def with_predecessor(sales: DataFrame, hot_sales: int = HOT_SALES) -> DataFrame:
-    """Add ``bought_date``, ``bought_price``, ``bought_year`` (null when the
-    sale is the property's first)."""
+def _by_heat(sales: DataFrame, hot_sales: int) -> tuple[DataFrame, DataFrame]:
+    """The sales of all other properties, and those of the hot ones."""
     # bounded by its limit, whatever the sales
     hot = F.broadcast(hot_properties(sales, hot_sales))
     is_hot = F.col("property_id") == F.col("_hot_id")
-    return _paired_whole(sales.join(hot, is_hot, "left_anti")).unionByName(
-        _paired_in_parts(sales.join(hot, is_hot, "left_semi")))
+    return sales.join(hot, is_hot, "left_anti"), sales.join(hot, is_hot, "left_semi")
+
+
+def with_predecessor(sales: DataFrame, hot_sales: int = HOT_SALES) -> DataFrame:
+    """Add ``bought_date``, ``bought_price``, ``bought_year`` (null when the
+    sale is the property's first)."""
+    others, hot = _by_heat(sales, hot_sales)
+    return _paired_whole(others).unionByName(_paired_in_parts(hot))
+
+
+def placed_with_predecessor(sales: DataFrame, place: str, parts: int = 1, hot_sales: int = HOT_SALES) -> DataFrame:
+    """``with_predecessor`` for a writer that wants the rows of a ``place`` (a
+    column that depends on the property alone) together, sorted by place and
+    property: dealt out by place, ``parts`` tasks to each, in the one exchange
+    that the pairing needs. Hot properties come paired; their sales are spread
+    over the tasks of their place by day, and pass the window unchanged."""
+    others, hot = _by_heat(sales, hot_sales)
+    mine = [c for c in sales.columns if c != "property_id"]
+    found = F.struct(F.col("bought_date").alias("sale_date"), F.col("bought_price").alias("price"))
+    paired = _paired_in_parts(hot).select("property_id", *mine, found.alias("_found"), F.col("sale_date").alias("_hot_day"))
+    nothing = {c: F.lit(None).cast(paired.schema[c].dataType) for c in ("_found", "_hot_day")}
+    rows = others.withColumns(nothing).unionByName(paired).withColumn("_part", F.pmod(F.hash("property_id", "_hot_day"), F.lit(parts)))
+    own = Window.partitionBy(place, "property_id", "_hot_day", "_part").orderBy(
+        "sale_date", "price", F.col("transaction_id").asc_nulls_first())
+    last = F.when(F.col("_found").isNull(), F.lag(F.struct("sale_date", "price")).over(own)).otherwise(F.col("_found"))
+    return _bought(rows.repartition(place, "_part").withColumn("_last", last), sales.columns, F.col("_last.sale_date"), F.col("_last.price"))
 
 
 def with_appreciation(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmetrics.config import scratch_path, stored
+from segmetrics.config import scratch_path, sparing_disk, stored
 from segmetrics.functions.json import dimension_to_json, performance_to_json
 from segmetrics.functions.keys import segment_key, split_key
 from segmetrics.functions.text import house_type, normalise, normalise_of_spaced, normalise_or_empty, outcode, tenure
@@ -507,7 +507,8 @@ def q_repeat_sales(spark, sf):
 def q_pairs_in_loads(spark, sf):
     """The pairing of sales that come in three loads, the years in the middle
     last, in a table that is repaired load by load."""
-    s, path = shared(spark, sf), scratch_path(spark, "pairs")
+    with sparing_disk(spark):
+        s, path = shared(spark, sf), scratch_path(spark, "pairs")
     for part in ("year_sold < 1997", "year_sold >= 2000", "year_sold BETWEEN 1997 AND 1999"):
         now = add_to_pairs(s.where(part), path, TABLE_BUCKETS)
     return now.read(spark).where("bought_date IS NOT NULL").select(

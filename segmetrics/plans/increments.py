@@ -8,28 +8,36 @@
   property. New sales pair with all sales of their own properties, so a late
   one between two known ones becomes the predecessor of the later. Only the
   buckets of these properties are read, and in them only these are paired,
-  unless the load is large beside them: then whole buckets are, in the one
-  exchange that the pairing needs, without joins that look for the others.
+  unless the load is large beside them: then whole buckets are, without joins
+  that look for the others. That takes one exchange, which pairs the sales and
+  places them for the writer, and a large load makes it in ``ROUNDS`` rounds of
+  buckets, so that a fraction of it is on disk at once; nor do the load's copy
+  and the shuffle files of a round stay there.
 """
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmetrics.config import stored
+from segmetrics.config import sparing_disk, stored, stored_for_now
 from segmetrics.operators.aggregates import line_metrics_from_partials, line_partials
 from segmetrics.operators.cube import DIMS, affected_keys, copied_to_types, grouped_sets, location_fanout
-from segmetrics.operators.repeat import with_predecessor
+from segmetrics.operators.repeat import placed_with_predecessor, with_predecessor
 from segmetrics.plans.build import LINE_BASE
 from segmetrics.schema import ALL, KEY_COLUMNS
-from segmetrics.sources.buckets import BUCKET, BUCKETS, Version, version, write_version
+from segmetrics.sources.buckets import BUCKET, BUCKETS, Version, bucket_of, version, write_version
 
 STATES = ["_price_sum", "_n"]
 PAIR = ["bought_date", "bought_price", "bought_year"]
 # A load of more than one row to this many in its buckets is large.
 SMALL_LOAD = 10
+# Sales that a task pairs, and sales above which a load takes several rounds,
+# each of which reads the load's copy.
+PART_ROWS = 1_000_000
+ROUND_ROWS = 10_000_000
+ROUNDS = 4
 
 
 def line_states(sales: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
@@ -70,19 +78,39 @@ def add_to_line(sales: DataFrame, table: str, dims: Sequence[str] = DIMS, bucket
     return write_version(merged, table, KEY_COLUMNS, last=now, touched=touched)
 
 
+def _paired_buckets(fresh: DataFrame, bucket: Column, per_bucket: dict[int, int], now: Version | None = None) -> list[DataFrame]:
+    """All sales of the buckets, the table's and the new ones, each with its
+    predecessor: for each round the rows of its buckets."""
+    rows, wanted = sum(per_bucket.values()), sorted(per_bucket)
+    parts = -(-rows // (PART_ROWS * max(1, len(wanted))))
+    rounds = max(1, min(ROUNDS, len(wanted), -(-rows // ROUND_ROWS)))
+    out = []
+    for i in range(rounds):
+        mine = wanted[i * len(wanted) // rounds:(i + 1) * len(wanted) // rounds]
+        sales = fresh if rounds == 1 else fresh.where(bucket.isin(mine))
+        if now is not None:
+            sales = now.read(fresh.sparkSession, mine).drop(BUCKET, *PAIR).unionByName(sales)
+        out.append(placed_with_predecessor(sales.withColumn(BUCKET, bucket), BUCKET, max(1, parts)))
+    return out
+
+
 def add_to_pairs(sales: DataFrame, table: str, buckets: int = BUCKETS) -> Version:
     """Add new sales to the table of paired sales."""
-    fresh = stored(sales, "new-sales")
-    spark = fresh.sparkSession
-    now = version(spark, table)
-    if now is None:
-        return write_version(with_predecessor(fresh), table, ["property_id"], buckets)
-    touched = _touched(now, fresh)
-    old = now.read(spark, touched).drop(BUCKET)
-    held = sum(n for b, _, n in now.files if b in set(touched))
-    if fresh.count() * SMALL_LOAD > held:
-        return write_version(with_predecessor(old.drop(*PAIR).unionByName(fresh)), table, ["property_id"], last=now, touched=touched)
-    mine = fresh.select(F.col("property_id").alias("_p")).distinct()
-    again = stored(old.join(mine, F.col("property_id") == F.col("_p"), "left_semi").drop(*PAIR).unionByName(fresh), "paired-again")
-    others = old.join(mine, F.col("property_id") == F.col("_p"), "left_anti")
-    return write_version(others.unionByName(with_predecessor(again)), table, ["property_id"], last=now, touched=touched)
+    spark, keys = sales.sparkSession, ["property_id"]
+    with sparing_disk(spark), stored_for_now(sales, "new-sales") as fresh:
+        now = version(spark, table)
+        bucket = bucket_of(keys, buckets) if now is None else now.bucket()
+        added = {r[0]: r[1] for r in fresh.groupBy(bucket).count().collect()}
+        if now is None:
+            return write_version(_paired_buckets(fresh, bucket, added), table, keys, buckets)
+        touched = sorted(added)
+        held = {b: sum(n for c, _, n in now.files if c == b) for b in touched}
+        if sum(added.values()) * SMALL_LOAD > sum(held.values()):
+            per_bucket = {b: added[b] + held[b] for b in touched}
+            return write_version(_paired_buckets(fresh, bucket, per_bucket, now), table, keys, last=now, touched=touched)
+        old = now.read(spark, touched).drop(BUCKET)
+        mine = fresh.select(F.col("property_id").alias("_p")).distinct()
+        is_mine = F.col("property_id") == F.col("_p")
+        with stored_for_now(old.join(mine, is_mine, "left_semi").drop(*PAIR).unionByName(fresh), "paired-again") as again:
+            others = old.join(mine, is_mine, "left_anti")
+            return write_version(others.unionByName(with_predecessor(again)), table, keys, last=now, touched=touched)

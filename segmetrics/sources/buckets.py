@@ -101,26 +101,30 @@ def version(spark: SparkSession, table: str, number: int | None = None) -> Versi
     return Version(table, number, tuple(head["keys"]), head["buckets"], T.StructType.fromJson(json.loads(head["schema"])), tuple(files))
 
 
-def write_version(rows: DataFrame, table: str, keys: Sequence[str], buckets: int = BUCKETS,
+def write_version(rows: DataFrame | Sequence[DataFrame], table: str, keys: Sequence[str], buckets: int = BUCKETS,
                   last: Version | None = None, touched: Iterable[int] | None = None) -> Version:
     """Write the next version: ``rows`` in their buckets, and of ``last`` the
     files of all buckets that are not ``touched`` (default: all are). Keys
-    and buckets stay those of ``last``."""
-    spark = rows.sparkSession
-    numbers = versions(spark, table)
-    number = (numbers[-1] if numbers else 0) + 1
+    and buckets stay those of ``last``. Several ``rows`` are written one after
+    the other; they have their bucket as the column ``bucket``, and are dealt
+    out so that few tasks share one."""
     if last is not None:
         keys, buckets = last.keys, last.buckets
-        rows = rows.select(*last.schema.fieldNames())
+    if isinstance(rows, DataFrame):
+        rows = rows if last is None else rows.select(*last.schema.fieldNames())
+        rows = [rows.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(BUCKET)]
+    spark, schema = rows[0].sparkSession, rows[0].drop(BUCKET).schema if last is None else last.schema
+    numbers = versions(spark, table)
+    number = (numbers[-1] if numbers else 0) + 1
     path = version_path(table, "data", number)
-    placed = rows.withColumn(BUCKET, bucket_of(keys, buckets))
-    placed.repartition(BUCKET).sortWithinPartitions(BUCKET, *keys).write.mode("overwrite").partitionBy(BUCKET).option(
-        "parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    schema = rows.schema if last is None else last.schema
+    for i, placed in enumerate(rows):
+        placed.select(*schema.fieldNames(), BUCKET).sortWithinPartitions(BUCKET, *keys).write.mode(
+            "append" if i else "overwrite").partitionBy(BUCKET).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     try:
         written = spark.read.schema(T.StructType([T.StructField(BUCKET, T.IntegerType())])).parquet(path)
-        mine = [(r[BUCKET], r["path"], r["count"]) for r in written.groupBy(
-            BUCKET, F.regexp_extract(F.col("_metadata.file_path"), r"(data/version=\d+/bucket=\d+/[^/]+)$", 1).alias("path")).count().collect()]
+        counts = written.groupBy(BUCKET, F.col("_metadata.file_path").alias("path")).count()
+        below = F.regexp_extract("path", r"(data/version=\d+/bucket=\d+/[^/]+)$", 1)
+        mine = [(r[BUCKET], r["path"], r["count"]) for r in counts.withColumn("path", below).collect()]
     except AnalysisException as e:  # no rows, no folder
         if "PATH_NOT_FOUND" not in str(e):
             raise

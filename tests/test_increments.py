@@ -1,14 +1,18 @@
 """Incremental builds, ad-hoc answers from stored aggregates, the iceberg
 street cube, checked sale lines and the single JSON parse."""
 import datetime as dt
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from segmetrics.config import SPARING, shared_dir
 from segmetrics.operators.aggregates import line_metrics
 from segmetrics.operators.extras import street_cube, year_band
 from segmetrics.operators.repeat import with_predecessor
 from segmetrics.operators.upsert import load_report, observed_load, parse_performance_kv
+from segmetrics.plans import increments
 from segmetrics.plans.adhoc import adhoc_line, smallest, store_aggregates
 from segmetrics.plans.build import line_agg
 from segmetrics.plans.increments import add_to_line, add_to_pairs, line_from_states, line_states, touched_segments
@@ -68,6 +72,51 @@ def test_pairs_of_loads_out_of_order(spark, tmp_dir):
     assert len({f[0] for f in again.files if "version=000004" in f[1]}) == 1
 
 
+def test_pairs_leave_nothing_on_disk(spark, tmp_dir):
+    """Neither a copy of the load nor shuffle files outlast a load."""
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        shuffled = {found.apply(i).getName() for i in range(found.size())}
+        return {f for f in shuffled if f.startswith("shuffle_")} | {f for f in os.listdir(top) if f.startswith(("new-sales", "paired-again"))}
+
+    s, top = sales(spark, 3000).cache(), f"{shared_dir(spark).removeprefix('file:')}/segmetrics"
+    os.makedirs(top, exist_ok=True)
+    s.count()
+    settings = {k: spark.conf.get(k, None) for k in SPARING}
+    before = files()
+    # two large loads and a small one
+    for part in ("year_sold < 2001", "year_sold > 2001", "year_sold = 2001 AND transaction_id < 't2'"):
+        add_to_pairs(s.where(part), f"{tmp_dir}/pairs", 4)
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+    assert not left
+    assert {k: spark.conf.get(k, None) for k in SPARING} == settings
+
+
+def test_pairs_of_large_loads_in_rounds(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(increments, "PART_ROWS", 20)
+    monkeypatch.setattr(increments, "ROUND_ROWS", 50)
+    s, path, written = sales(spark), f"{tmp_dir}/pairs", []
+    take = increments.write_version
+    monkeypatch.setattr(increments, "write_version", lambda rows, *a, **b: (written.append(rows), take(rows, *a, **b))[1])
+    columns = with_predecessor(s).columns
+    for part, n in ((F.col("year_sold") == 2000, 2), (F.col("year_sold") > 2000, 4), (F.col("year_sold") < 2000, 4)):
+        now = add_to_pairs(s.where(part), path, 8)
+        assert len(written[-1]) >= n
+    assert bag(now.read(spark).select(columns)) == bag(with_predecessor(s))
+    assert sum(n for _, _, n in now.files) == 400 and len({b for b, _, _ in now.files}) == 8
+    # an empty load, and one of few properties
+    assert add_to_pairs(s.where("false"), path).files == now.files
+    some = sales(spark, 200, 9, "new").where("property_id in ('p1', 'p2')")
+    assert bag(add_to_pairs(some, path).read(spark).select(columns)) == bag(with_predecessor(s.unionByName(some)))
+    # rows of a file are sorted by property
+    read = now.read(spark).select("property_id", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).collect()
+    for f in {r.f for r in read}:
+        here = [r.property_id for r in sorted(read, key=lambda r: r.i) if r.f == f]
+        assert here == sorted(here)
+
+
 def test_adhoc_takes_the_smallest_table(spark, tmp_dir):
     s = sales(spark)
     tables = store_aggregates(s, f"{tmp_dir}/agg", [["county"], ["county", "district", "house_type"], ["district", "house_type"], []])

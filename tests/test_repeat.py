@@ -4,7 +4,9 @@ import datetime as dt
 import random
 from collections import Counter
 
-from segmetrics.operators.repeat import _paired_whole, hot_properties, repeat_sales, with_predecessor
+from pyspark.sql import functions as F
+
+from segmetrics.operators.repeat import _paired_whole, hot_properties, placed_with_predecessor, repeat_sales, with_predecessor
 from segmetrics.plans.build import shared_sales
 
 
@@ -52,6 +54,24 @@ def test_predecessor_matches_sort(spark):
         assert got == expect
 
 
+def test_placed_pairs_match_sort(spark):
+    """Dealt out by place: the same pairs, hot properties or not, several
+    tasks to a place, properties, ids and prices missing, rows repeated."""
+    df, rows = make_sales(spark)
+    odd = [(None, "p1", 200.0), (None, "p1", 200.0), ("x", None, 100.0), ("y", None, 200.0), ("z", "hot", float("nan")), ("n", "hot", None)]
+    day = dt.date(2000, 1, 15)
+    df = df.unionByName(spark.createDataFrame([(t, p, x, day, 2000, "c", "o", "d", "flat", "freehold") for t, p, x in odd], df.schema))
+    want = Counter(map(str, with_predecessor(df).collect()))
+    placed = df.withColumn("place", F.pmod(F.xxhash64("property_id"), F.lit(4)))
+    for hot_sales, parts in ((0, 3), (15, 1), (15, 3), (100, 3), (10_000, 1), (10_000, 3)):
+        got = placed_with_predecessor(placed, "place", parts, hot_sales)
+        assert Counter(map(str, got.drop("place").collect())) == want
+    # what the pairing deals out and sorts is as the writer wants it
+    out = got.sortWithinPartitions("place", "property_id")._jdf.queryExecution()
+    plan = out.executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == plan.count("hashpartitioning(place") == plan.count("Sort [place") == 1
+
+
 def test_infinite_and_nan_prices(spark):
     """Infinity and NaN sort after all other prices of a day."""
     day = dt.date(2001, 1, 1)
